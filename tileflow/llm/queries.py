@@ -6,21 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import mixing, sharding
-from tileflow.llm.scratch import tables
+from tileflow.llm import mixing, quality_rules, secrets, sharding
+from tileflow.llm.scratch import small_batches, tables
 
 
 def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(tables(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secrets.secret_report(tables(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(tables(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(tables(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op6_secret_scan, op7_quality_rules, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE_SQL}
+    return {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL}
