@@ -31,7 +31,7 @@ MIN_GROUP = 100
 #: metric -> (numerator, denominator, scale, slack above the upper fence, whether it has a lower fence)
 METRICS = {
     "symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "word_length": ("word_chars", "n_words", 100, 100, True),
+    "word_length": ("word_chars", "n_words", 100, 300, True),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 200, False),
     "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
 }
