@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import mixing, quality_rules, secrets, sharding
+from tileflow.llm import mixing, quality_classifier, quality_rules, secrets, sharding
 from tileflow.llm.scratch import small_batches, tables
 
 
@@ -27,8 +27,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(tables(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality_classifier.quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op6_secret_scan, op7_quality_rules, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
