@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import mixing, quality_classifier, quality_rules, secrets, sharding
+from tileflow.llm import html_text, language_id, mixing, quality_classifier, quality_rules, secrets, sharding
 from tileflow.llm.scratch import small_batches, tables
 
 
@@ -14,6 +14,16 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(tables(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language_id.language_report(tables(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html_text.page_report(tables(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return secrets.secret_report(tables(spark, sf_dir, "documents"))
@@ -33,7 +43,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
