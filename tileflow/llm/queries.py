@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import html_text, language_id, mixing, packing, quality_classifier, quality_rules, secrets, sharding
+from tileflow.llm import html_text, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, secrets, sharding
 from tileflow.llm.scratch import small_batches, tables
 
 
@@ -14,6 +14,11 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(tables(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_duplicates.near_duplicate_report(tables(spark, sf_dir, "documents"))
+
+
 def op3_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.packing_report(tables(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_order_minhash, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
