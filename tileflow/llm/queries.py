@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import html_text, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, secrets, sharding
+from tileflow.llm import embedding_duplicates, html_text, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, secrets, sharding
 from tileflow.llm.scratch import small_batches, tables
 
 
@@ -43,6 +43,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(tables(spark, sf_dir, "documents"))
 
 
+def op8_lattice_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return embedding_duplicates.embedding_report(tables(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(tables(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_order_minhash, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_order_minhash, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_lattice_embeddings, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
