@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.llm.components import components
+from tileflow.llm.groups import grouped
 from tileflow.llm.scratch import stage
 
 THRESHOLD = 0.95
@@ -146,29 +147,6 @@ def compared(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
     return pd.DataFrame({"fp": fp, "links": links, "root": fp[root]})
 
 
-def grouped(keys: list[str], each, columns: list[str]):
-    """A mapInPandas function that calls ``each`` on every run of rows equal in keys, whole across batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in itertools.chain(batches, [None]):  # None: the end
-            if b is not None and not len(b):
-                continue
-            if b is not None:
-                held = b if held is None else pd.concat([held, b], ignore_index=True)
-            if held is None:
-                continue
-            k = held[keys].to_numpy()
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            parts = np.split(np.arange(len(held)), cut)
-            whole = parts if b is None else parts[:-1]
-            found = [r for p in whole if len(p) > 1 and (r := each(held.iloc[p])) is not None]
-            yield pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
-            held = None if b is None else held.iloc[parts[-1]].reset_index(drop=True)
-
-    return run
-
-
 def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """vectors(fp, v, n), distinct and staged -> (fp, links, root), rows to be added up by fp."""
     spark = vectors.sparkSession

@@ -15,7 +15,8 @@ number of different k-mers aligned over the number of different k-mers of either
 Equal texts are one node from the start, so copies are never paired. Texts that share a
 sketch are first compared with one of them (its leader); links found so merge into
 classes; then texts of one sketch that are still in different classes are compared with
-each other, so no link is lost. Hot sketches are split over tasks, not gathered.
+each other in blocks of bounded size, so no link is lost. A task returns only links that join
+classes; pairs are never rows. Hot sketches are split over tasks, not gathered.
 
 Defined results
     null text: a class of its own. Texts without a word: only equal texts are one class. Texts of
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.llm.components import components
+from tileflow.llm.groups import grouped
 from tileflow.llm.scratch import stage
 
 K = 5
@@ -182,12 +184,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, f"id {id_type}, fp binary, n long, keys array<long>, picks binary")
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """wanted(f) of fingerprints -> staged (fp, text), one row for each text."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
+    return stage(texts.join(wanted.distinct(), F.col("fp") == F.col("f"), "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """pairs(a, b) of fingerprints, staged -> those whose texts are similar."""
-    wanted = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
-    texts = docs.where(F.col(text_col).isNotNull()).select(fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, F.col("fp") == F.col("f"), "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    texts = stage(texts, "near-texts")
+    texts = texts_of(pairs.select(F.col("a").alias("f")).union(pairs.select("b")), docs, id_col, text_col)
     a, b = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,54 +210,93 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
 
 #: Texts of a block; a sketch with more is compared block by block, each pair of blocks a group of its own.
 BLOCK = 1024
-#: Picks that a pair at the threshold shares: 0.85 of them, with a deviation of 0.05. Below this share a pair is not aligned.
+#: Picks that a pair at the threshold shares: 0.85 of them, with a deviation of 0.05. Below this share a pair is not looked at further.
 LEAST_PICKS = 0.58
+#: k-mers whose presence is held as a dense table at a time.
+COLUMNS = 4096
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of k-mers that each two of the sets share, all at once."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = size[column] > 1
+    row, column = row[common], column[common]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[row[at], column[at] - start] = 1
+        out += table @ table.T
+    return out
 
 
-def likely_pairs(members: DataFrame) -> DataFrame:
-    """members(key, m: texts of the key, fp, component, picks) -> pairs (a, b) of texts of one key and different
-    components whose picks overlap enough to be aligned. Nothing but such pairs leaves a task."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    rows = members.withColumns({"blocks": blocks, "own": own})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "picks")
-
-    def pairs(g: pd.DataFrame, i: int, j: int) -> list[tuple[bytes, bytes]]:
-        fp, comp, own = g["fp"].to_numpy(), pd.factorize(g["component"])[0], g["own"].to_numpy()
-        picks = np.frombuffer(b"".join(g["picks"]), np.uint32).reshape(len(g), SKETCHES, PICK)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        shared = np.zeros((len(left), len(right)), np.int16)
-        for s in range(SKETCHES):
-            for a in range(PICK):
-                for b in range(PICK):
-                    shared += picks[left, s, a][:, None] == picks[right, s, b][None, :]
-        a, b = np.nonzero((shared >= LEAST_PICKS * SKETCHES * PICK) & (comp[left][:, None] != comp[right][None, :]))
-        return [(min(fp[x], fp[y]), max(fp[x], fp[y])) for x, y in zip(left[a], right[b], strict=True) if i < j or x < y]
+def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
+    """One group (key, i, j): links that join the classes of its texts, as few as do that.
+
+    Pairs of different classes go through three gates, each of all pairs at once but the last: shared picks, shared
+    k-mers (exact; no alignment can exceed it), alignment. A pair already joined through others is not aligned.
+    """
+    fp, own = g["fp"].to_numpy(), g["own"].to_numpy()
+    comp = pd.factorize(g["component"])[0]
+    left, right = np.flatnonzero(own == g["i"].iat[0]), np.flatnonzero(own == g["j"].iat[0])
+    picks = np.frombuffer(b"".join(g["picks"]), np.uint32).reshape(len(g), SKETCHES, PICK)
+    same = np.zeros((len(left), len(right)), np.int16)
+    for s in range(SKETCHES):
+        for a in range(PICK):
+            for b in range(PICK):
+                same += picks[left, s, a][:, None] == picks[right, s, b][None, :]
+    a, b = np.nonzero((same >= LEAST_PICKS * SKETCHES * PICK) & (comp[left][:, None] != comp[right][None, :]))
+    a, b = left[a], right[b]
+    once = (g["i"].iat[0] < g["j"].iat[0]) | (a < b)
+    a, b = a[once], b[once]
+    if not len(a):
+        return []
+    used = np.unique(np.concatenate([a, b]))
+    at = np.full(len(g), -1)
+    at[used] = np.arange(len(used))
+    texts = g["text"].to_numpy()
+    s = [kmers(texts[i]) for i in used]
+    sets = [np.unique(x) for x in s]
+    n = np.array([len(x) for x in sets])
+    a, b = at[a], at[b]
+    both = shared_counts(sets)[a, b]
+    share = both / (n[a] + n[b] - both)
+    order = np.argsort(-share, kind="stable")
+    order = order[share[order] >= least - EPS]
+    parent = list(range(comp.max() + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        cx, cy = root(comp[used[x]]), root(comp[used[y]])
+        if cx != cy and similarity(s[x], s[y], least) >= least - EPS:
+            parent[cx] = cy
+            out.append((fp[used[x]], fp[used[y]]))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
 
-        def closed(g: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-            cut = np.flatnonzero((g[["key", "i", "j"]].to_numpy()[1:] != g[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)) + 1
-            out: list[tuple[bytes, bytes]] = []
-            for part in np.split(np.arange(len(g)), cut):
-                if len(part) > 1:
-                    out += pairs(g.iloc[part], g["i"].iat[part[0]], g["j"].iat[part[0]])
-            return out
+def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """members(key, m: texts of the key, fp, component, picks) -> links (a, b) between different classes."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "picks").join(texts, "fp")
+    keys = ["key", "i", "j"]
 
-        for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = held[["key", "i", "j"]].iloc[-1]
-            still = (held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])
-            if not still.all():  # all groups but the last are whole
-                yield pd.DataFrame(closed(held[~still]), columns=["a", "b"])
-                held = held[still].reset_index(drop=True)
-        if held is not None and len(held):
-            yield pd.DataFrame(closed(held), columns=["a", "b"])
+    def each(g: pd.DataFrame) -> pd.DataFrame | None:
+        found = linking_pairs(g, least)
+        return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a binary, b binary").distinct()
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(grouped(keys, each, ["a", "b"]), "a binary, b binary")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -269,9 +313,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "m", "fp", F.coalesce("component", "fp").alias("component"))
     larger = stage(larger, "near-larger")
     unsettled = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = likely_pairs(larger.join(unsettled, "key").join(texts.select("fp", "picks"), "fp"))
-    rest = stage(rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-    more = stage(verified(rest, docs, id_col, text_col, least), "near-links")
+    unsettled = larger.join(unsettled, "key").join(texts.select("fp", "picks"), "fp")
+    full = texts_of(unsettled.select(F.col("fp").alias("f")), docs, id_col, text_col)
+    more = stage(remaining_links(unsettled, full, least), "near-links")
     if not more.isEmpty():
         found = components(links.union(more))
     return rows.select("id", "fp"), found.withColumnRenamed("node", "fp")
