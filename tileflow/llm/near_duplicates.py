@@ -185,14 +185,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted(f) of fingerprints -> staged (fp, text), one row for each text."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
-    return stage(texts.join(wanted.distinct(), F.col("fp") == F.col("f"), "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
+    """wanted(f, rep: an id of that text) -> staged (fp, text), one row for each text. Rows meet by text and id, so
+    that copies of one text do not meet in one task."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(fingerprint(id_col, text_col).alias("fp"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    same = (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("rep"))
+    return stage(texts.join(wanted, same, "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """pairs(a, b) of fingerprints, staged -> those whose texts are similar."""
-    texts = texts_of(pairs.select(F.col("a").alias("f")).union(pairs.select("b")), docs, id_col, text_col)
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) of fingerprints -> those whose texts are similar."""
     a, b = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,19 +303,20 @@ def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataF
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(rows(id, fp) of all documents, classes(fp, component) of the texts that have a near-duplicate text)."""
     rows = stage(sketched(docs, id_col, text_col), "near-sketches")
-    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("picks").alias("picks")), "near-nodes")
+    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("picks").alias("picks")), "near-nodes")
     member = texts.select("fp", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1")
     member = stage(member.join(shared, "key"), "near-members")
     tested = stage(member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
-    links = stage(verified(tested, docs, id_col, text_col, least), "near-links")
+    wanted = texts.join(member.select("fp").distinct(), "fp", "left_semi").select(F.col("fp").alias("f"), "rep")
+    full = texts_of(wanted, docs, id_col, text_col)
+    links = stage(verified(tested, full, least), "near-links")
     found = components(links)
     # a key of two texts is settled by its one pair; larger ones may still join different classes
     larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "m", "fp", F.coalesce("component", "fp").alias("component"))
     larger = stage(larger, "near-larger")
     unsettled = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     unsettled = larger.join(unsettled, "key").join(texts.select("fp", "picks"), "fp")
-    full = texts_of(unsettled.select(F.col("fp").alias("f")), docs, id_col, text_col)
     more = stage(remaining_links(unsettled, full, least), "near-links")
     if not more.isEmpty():
         found = components(links.union(more))
