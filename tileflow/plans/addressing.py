@@ -99,14 +99,13 @@ def projection_lookup(v: Views) -> DataFrame:
 @query(f"""
 WITH s AS (SELECT srs_no, {_BOUNDS} FROM srs_cases), r AS (SELECT *, pow(2.0, z) AS n FROM tile_requests JOIN s ON srs_no = req_id % 4),
 t AS (SELECT *, aspect_x * n AS nx, aspect_y * n AS ny, least(8.0, aspect_x * n) AS tx, least(8.0, aspect_y * n) AS ty, bound_x1 - bound_x0 AS w, bound_y1 - bound_y0 AS h FROM r)
-SELECT req_id, round(bound_x0 + w * (mx / nx), 6) AS minx, round(bound_y1 - h * ((my + ty) / ny), 6) AS miny, round(bound_x0 + w * ((mx + tx) / nx), 6) AS maxx,
-  round(bound_y1 - h * (my / ny), 6) AS maxy, CAST(tx AS INT) AS tiles_x, CAST(ty AS INT) AS tiles_y FROM t
+SELECT req_id, bound_x0 + w * (mx / nx) AS minx, bound_y1 - h * ((my + ty) / ny) AS miny, bound_x0 + w * ((mx + tx) / nx) AS maxx, bound_y1 - h * (my / ny) AS maxy, CAST(tx AS INT) AS tiles_x, CAST(ty AS INT) AS tiles_y FROM t
 """)
 def tile_bbox(v: Views) -> DataFrame:
     p = v.srs_cases.select("srs_no", *[c.alias(k) for k, c in A.projection(C("srs")).items()])
     r = v.tile_requests.join(F.broadcast(p), C("srs_no") == C("req_id") % 4)  # four rows
     box = A.tile_bounds({n: C(n) for n in ("bound_x0", "bound_y0", "bound_x1", "bound_y1", "aspect_x", "aspect_y")}, C("mx"), C("my"), C("z"))
-    return r.select("req_id", *[(F.round(c, 6) if k[0] == "m" else c).alias(k) for k, c in box.items()])
+    return r.select("req_id", *[c.alias(k) for k, c in box.items()])
 
 
 @query("""
