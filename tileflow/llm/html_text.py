@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.llm.arrow import computed
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|[^<]+|<""",
     re.S,
@@ -194,15 +196,16 @@ def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
 
 def extracted(pages: DataFrame, weights: dict[str, float], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every page."""
-    types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [extract(x, weights) for x in b["html"]]
-            yield pd.DataFrame({id_col: b["id"], url_col: b["url"], "text": text, "n_chars": [len(x) for x in text]})
+    def make():
+        def each(html: list) -> list:
+            text = [extract(x, weights) for x in html]
+            return [text, [len(x) for x in text]]
+
+        return each
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")
+    return computed(rows, ["html"], make, "text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def page_report(pages: DataFrame) -> DataFrame:

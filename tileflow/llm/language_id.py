@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileflow.llm.arrow import computed
+
 TOP = 400
 WIDTH = 21  # bits of a code point; three fit into a long
 
@@ -136,14 +138,16 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def predicted(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every document; only the text is read."""
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [profiles.predict(t) for t in b["text"]]
-            yield pd.DataFrame({id_col: b["id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    def make():
+        def each(texts: list) -> list:
+            found = [profiles.predict(t) for t in texts]
+            return [[x[0] for x in found], [x[1] for x in found]]
+
+        return each
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return computed(rows, ["text"], make, "lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def language_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5000) -> DataFrame:

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.llm.arrow import computed
 from tileflow.llm.components import components
 from tileflow.llm.groups import grouped
 from tileflow.llm.scratch import stage
@@ -167,21 +168,17 @@ def fingerprint(id_col: str, text_col: str) -> Column:
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp, n: k-mers, keys, picks) of every row; keys is empty for a text without words."""
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, keys, picks = [], [], []
-            for text in b["text"]:
-                s = kmers(text)
-                k, p = sketches(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-                n.append(len(s))
-                keys.append(k)
-                picks.append(p.tobytes())
-            yield pd.DataFrame({"id": b["id"], "fp": b["fp"], "n": n, "keys": keys, "picks": picks})
+    def make():
+        def each(texts: list) -> list:
+            found = [kmers(t) for t in texts]
+            made = [sketches(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.uint32)) for s in found]
+            return [[len(s) for s in found], [k for k, _ in made], [p.tobytes() for _, p in made]]
+
+        return each
 
     rows = docs.select(F.col(id_col).alias("id"), fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {id_type}, fp binary, n long, keys array<long>, picks binary")
+    return computed(rows, ["text"], make, "n long, keys array<long>, picks binary")
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.llm.arrow import computed, kept
 from tileflow.llm.scratch import stage
 
 FEATURES = ("log_words", "word_length", "word_length_sd", "letters", "upper", "digits", "symbols", "punctuation", "exclamations", "bars", "distinct", "repeats", "commonest", "dup_lines", "words_per_stop", "capital_words")
@@ -120,13 +121,8 @@ def scores(model: Model | None, x: np.ndarray) -> np.ndarray:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x: statistics) for every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "x": [statistics(t) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {id_type}, x array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return computed(rows, ["text"], lambda: lambda texts: [[statistics(t) for t in texts]], "x array<double>")
 
 
 def train(rows: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", held_out: str = "pmod(crc32(CAST(CAST(id AS STRING) AS BINARY)), 4) = 2") -> Model | None:
@@ -155,14 +151,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """(id, held_out, score, predicted) for every document."""
     rows = stage(measured(docs, id_col, text_col), "quality-statistics")
     model = train(rows, labels)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = scores(model, np.stack(b["x"].to_numpy())) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"id": b["id"], "score": s, "predicted": (s >= cut).astype(np.int32)})
+    def make():
+        def each(x: list) -> list:
+            s = scores(model, np.array(x))
+            return [s, (s >= cut).astype(np.int32)]
 
-    out = rows.mapInPandas(run, f"id {id_type}, score double, predicted int")
+        return each
+
+    out = computed(rows, ["x"], make, "score double, predicted int")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted")
 
@@ -171,8 +168,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """The documents whose score reaches ``cut``, with all their columns."""
     model = train(stage(measured(docs, id_col, text_col), "quality-statistics"), labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[scores(model, np.stack([statistics(t) for t in b[text_col]])) >= cut] if len(b) else b
-
-    return docs.mapInPandas(run, docs.schema)
+    return kept(docs, text_col, lambda: lambda texts: scores(model, np.stack([statistics(t) for t in texts])) >= cut)

@@ -22,12 +22,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.llm.arrow import computed, replaced
+
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 1.0
 
@@ -159,29 +159,19 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
 
 
 def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def make():
+        def each(texts: list) -> list:
+            found = [scan(t) for t in texts]
+            n = [Counter(k for k, _, _ in base) for base, _ in found]
+            digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
+            return [[c[k] for c in n] for k in ("assign", "access", "hex")] + [digests, [joined(spans) for _, spans in found]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                base, spans = scan(text)
-                n = Counter(k for k, _, _ in base)
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, id_col, b["id"].to_numpy())
-            yield out
+        return each
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return computed(rows, ["text"], make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The input with every span found replaced by ``mark``; no row is dropped, other columns stay."""
-    schema = docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[text_col] = [t if t is None or not (spans := scan(t)[1]) else redact(t, spans, mark) for t in b[text_col]]
-            yield b
-
-    return docs.mapInPandas(run, schema)
+    return replaced(docs, text_col, lambda: lambda texts: [t if t is None else redact(t, scan(t)[1], mark) for t in texts])
