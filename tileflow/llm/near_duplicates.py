@@ -302,7 +302,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(sketched(docs, id_col, text_col), "near-sketches")
     texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("picks").alias("picks")), "near-nodes")
     member = texts.select("fp", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1")
+    shared = stage(member.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1"), "near-shared")
     member = stage(member.join(shared, "key"), "near-members")
     tested = stage(member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
     wanted = texts.join(member.select("fp").distinct(), "fp", "left_semi").select(F.col("fp").alias("f"), "rep")
@@ -313,6 +313,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "m", "fp", F.coalesce("component", "fp").alias("component"))
     larger = stage(larger, "near-larger")
     unsettled = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    unsettled = stage(unsettled, "near-unsettled")
     unsettled = larger.join(unsettled, "key").join(texts.select("fp", "picks"), "fp")
     more = stage(remaining_links(unsettled, full, least), "near-links")
     if not more.isEmpty():
@@ -329,7 +330,8 @@ def labelled_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicate_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
     """(id, class_id: smallest id of the class, kept) for every document."""
     rows = stage(labelled_rows(*classes(docs, id_col=id_col, text_col=text_col, least=least)), "near-classes")
-    smallest = rows.groupBy("component").agg(F.min("id").alias("class_id"))
+    # staged: a join with the output of an aggregation can't be split where one class is very large
+    smallest = stage(rows.groupBy("component").agg(F.min("id").alias("class_id")), "near-smallest")
     out = rows.join(smallest, "component")
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
