@@ -164,6 +164,7 @@ def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     rows = stage(vectors.select("fp", "v").mapInPandas(hashed, "t int, dim int, cell long, own boolean, fp binary"), "lattice-cells")
     key = ["t", "dim", "cell"]
     size = rows.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("own").alias("owners")).where("m > 1 AND owners > 0").drop("owners")
+    size = stage(size, "lattice-sizes")  # else a join with an aggregate, which can't be split at a crowded cell
     member = rows.join(size, key).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     member = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -184,7 +185,7 @@ def embedding_report(embeddings: DataFrame, *, id_col: str = "vec_id", vector_co
     counted = found.groupBy("fp").agg(F.sum("links").alias("links")).withColumnRenamed("fp", "f")
     node = nodes.select("fp", "n", "least_id").join(parts, F.col("fp") == F.col("node"), "left").join(counted, F.col("fp") == F.col("f"), "left")
     node = stage(node.select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "lattice-nodes")
-    name = node.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    name = stage(node.groupBy("component").agg(F.min("least_id").alias("component_id")), "lattice-names")
     node = node.join(name, "component").select(F.col("fp").alias("f"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "fp").join(node, F.col("fp") == F.col("f"), "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
