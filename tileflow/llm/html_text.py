@@ -55,7 +55,9 @@ NEVER_NAMES = frozenset(
 #: Names that say an element holds, or lacks, such parts rather than being one.
 FRAMES = frozenset("with has no without wrapper wrap layout page site container".split())
 #: A tag's cost, and what a word scores before anything is learned.
-TAG_COST, WORD_PRIOR, LIMIT = -0.3, 0.5, 3.0
+TAG_COST, WORD_PRIOR, LIMIT = -0.1, 0.5, 3.0
+#: Words of subtrees that are left out anyway; little, so that an advert does not end the article around it.
+LEFT_OUT = -0.1
 
 
 def _names(attrs: str) -> tuple[set[str], bool]:
@@ -71,7 +73,7 @@ def _names(attrs: str) -> tuple[set[str], bool]:
 
 
 def parse(page: str | None) -> list[tuple]:
-    """("tag", name, breaks a block) and ("text", text, features, excluded, labelled) in page order."""
+    """("tag", name, breaks a block, excluded) and ("text", text, features, excluded, labelled) in page order."""
     page = page or ""
     out: list[tuple] = []
     stack: list[tuple[str, frozenset, bool, bool]] = [("", frozenset(), False, False)]  # name, features, excluded, inside a labelled element
@@ -87,11 +89,11 @@ def parse(page: str | None) -> list[tuple]:
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if m["close"] or m["close2"]:
+            out.append(("tag", tag, tag not in INLINE, stack[-1][2]))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            out.append(("tag", tag, tag not in INLINE))
             continue
         if tag in CLOSES_P or tag in SIBLINGS:
             ends = SIBLINGS.get(tag, {"p"})
@@ -101,12 +103,13 @@ def parse(page: str | None) -> list[tuple]:
                     break
                 if stack[i][0] in SCOPES and not (tag == "tr" and stack[i][0] in ("td", "th")):
                     break
-        out.append(("tag", tag, tag not in INLINE))
         if tag in VOID:
+            out.append(("tag", tag, tag not in INLINE, stack[-1][2]))
             if tag == "br":
                 out.append(("text", " ", stack[-1][1], stack[-1][2], stack[-1][3]))
             continue
         if tag in RAW:
+            out.append(("tag", tag, tag not in INLINE, True))
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
@@ -115,6 +118,7 @@ def parse(page: str | None) -> list[tuple]:
         own = ({tag} if tag not in LABELS and tag not in ("html", "body", "div", "span", "section") else set()) | {f".{x}" for x in names}
         # a heading group inside the article belongs to it; one of the page does not
         excluded = excluded or hidden or tag in NEVER or not inside and "header" in (tag, *names) or bool(names & NEVER_NAMES) and not names & FRAMES and tag not in ("html", "body")
+        out.append(("tag", tag, tag not in INLINE, excluded))
         if not attrs.rstrip().endswith("/") or tag not in ("svg", "path"):
             stack.append((tag, features | own, excluded, inside or tag in LABELS or "articlebody" in names))
     return out
@@ -147,12 +151,12 @@ def region(tokens: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     known: dict[frozenset, float] = {}
     for i, t in enumerate(tokens):
         if t[0] == "tag":
-            total += TAG_COST
+            total += 0.0 if t[3] else TAG_COST
         elif n := len(t[1].split()):
             if t[3]:
-                score = -1.0
+                score = LEFT_OUT
             elif (score := known.get(t[2])) is None:
-                score = known[t[2]] = max(-1.0, min(1.0, WORD_PRIOR + 0.25 * sum(weights.get(f, 0.0) for f in t[2])))
+                score = known[t[2]] = max(-1.0, min(1.0, WORD_PRIOR + 0.25 * sum(weights.get(f, 0.0) for f in ("", *t[2]))))
             total += score * n
         if total <= 0:
             total, start = 0.0, i + 1
