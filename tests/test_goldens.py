@@ -175,9 +175,9 @@ def test_stores(tmp_path, spark):
 
 
 def test_layer_defaults_and_errors(spark):
-    r = config.layers(spark, "[renderd]\n[Default]\nuri=/osm\n").first()
-    assert (r.baseuri, r.minzoom, r.maxzoom, r.output_format, r.scale) == ("/osm/", 0, 20, "png256", 1.0)
-    for bad in ("[a]\n", "[renderd]\n[renderd0]\n", "[renderd]\n[a]\nmaxzoom=21\n", "[renderd]\n[a]\nminzoom=5\nmaxzoom=4\n", "[renderd]\n[a]\ntype=png\n", "[renderd]\n[a]\ntype=a b c d\n", "[renderd]\n[a]\nscale=9\n", "[renderd]\n[a]\nmaxzoom=x\n", "[renderd9]\n", "[renderd]\n[a]\n[a]\n", "[renderd]\n" + "".join(f"[m{i}]\n" for i in range(101))):
+    r = config.layers(spark, "[daemon]\n[Default]\nuri=/map\n").first()
+    assert (r.baseuri, r.minzoom, r.maxzoom, r.output_format, r.scale) == ("/map/", 0, 20, "png256", 1.0)
+    for bad in ("[a]\n", "[daemon]\n[daemon0]\n", "[daemon]\n[a]\nmaxzoom=21\n", "[daemon]\n[a]\nminzoom=5\nmaxzoom=4\n", "[daemon]\n[a]\ntype=png\n", "[daemon]\n[a]\ntype=a b c d\n", "[daemon]\n[a]\nscale=9\n", "[daemon]\n[a]\nmaxzoom=x\n", "[daemon9]\n", "[daemon]\n[a]\n[a]\n", "[daemon]\n" + "".join(f"[m{i}]\n" for i in range(101))):
         with pytest.raises(config.ConfigError):
             config.parse(bad)
 

@@ -137,7 +137,7 @@ def route(url: Column, layer: dict[str, Column], with_options: bool = False) ->
     across = F.pow(F.lit(2.0), F.least(F.greatest(z, F.lit(0)), F.lit(30))).cast("long")
     inside = (z >= layer["minzoom"]) & (z <= layer["maxzoom"]) & (x >= 0) & (y >= 0) & (x <= across * layer["aspect_x"] - 1) & (y <= across * layer["aspect_y"] - 1)
     handler = (
-        F.when(url.startswith("/mod_tile"), "stats").when(url.startswith("/metrics"), "metrics").when(layer["baseuri"].isNull(), "declined").when(rest.startswith("tile-layer.json"), "json")
+        F.when(url.startswith("/server_stats"), "stats").when(url.startswith("/metrics"), "metrics").when(layer["baseuri"].isNull(), "declined").when(rest.startswith("tile-layer.json"), "json")
         .when(~parsed | (ext != layer["ext"]), "declined").when(~inside, "notfound").when(tail == "", "serve").when(tail == "status", "status").when(tail == "dirty", "dirty").otherwise("declined")
     )
     found = handler.isin("serve", "status", "dirty")

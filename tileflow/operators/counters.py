@@ -63,12 +63,12 @@ def prometheus(row: DataFrame, max_zoom: int, layers: list[tuple[int, str]]) ->
     """The same counters as (line_no, line) in the exposition format; durations become seconds."""
     zooms = range(max_zoom + 1)
     families = [
-        ("modtile_http_responses_total", "Number of HTTP responses by response code", [(f'status="{n}"', k) for n, k in (("200", "NoResp200"), ("304", "NoResp304"), ("404", "NoResp404"), ("503", "NoResp503"), ("5XX", "NoResp5XX"), ("other", "NoRespOther"))]),
-        ("modtile_tiles_total", "Tiles served", [(f'age="{age}",rendered="{how}"', k) for age, how, k in (("fresh", "no", "NoFreshCache"), ("old", "no", "NoOldCache"), ("outdated", "no", "NoVeryOldCache"), ("fresh", "yes", "NoFreshRender"), ("old", "attempted", "NoOldRender"), ("outdated", "attempted", "NoVeryOldRender"))]),
-        ("modtile_zoom_responses_total", "Tiles served by zoom level", [(f'zoom="{i:02d}"', f"NoRespZoom{i:02d}") for i in zooms]),
-        ("modtile_tile_reads_total", "Tiles served from the tile buffer", [(f'zoom="{i:02d}"', f"NoTileBufferReadZoom{i:02d}") for i in zooms]),
-        ("modtile_tile_reads_seconds_total", "Tile buffer duration", [(f'zoom="{i:02d}"', f"DurationTileBufferReadZoom{i:02d}") for i in zooms]),
-        ("modtile_layer_responses_total", "Layer responses", [(f'layer="{uri}",status="{s}"', f"NoRes{s}Layer{uri}") for _, uri in layers for s in (200, 404)]),
+        ("tile_server_http_responses_total", "Number of HTTP responses by response code", [(f'status="{n}"', k) for n, k in (("200", "NoResp200"), ("304", "NoResp304"), ("404", "NoResp404"), ("503", "NoResp503"), ("5XX", "NoResp5XX"), ("other", "NoRespOther"))]),
+        ("tile_server_tiles_total", "Tiles served", [(f'age="{age}",rendered="{how}"', k) for age, how, k in (("fresh", "no", "NoFreshCache"), ("old", "no", "NoOldCache"), ("outdated", "no", "NoVeryOldCache"), ("fresh", "yes", "NoFreshRender"), ("old", "attempted", "NoOldRender"), ("outdated", "attempted", "NoVeryOldRender"))]),
+        ("tile_server_zoom_responses_total", "Tiles served by zoom level", [(f'zoom="{i:02d}"', f"NoRespZoom{i:02d}") for i in zooms]),
+        ("tile_server_tile_reads_total", "Tiles served from the tile buffer", [(f'zoom="{i:02d}"', f"NoTileBufferReadZoom{i:02d}") for i in zooms]),
+        ("tile_server_tile_reads_seconds_total", "Tile buffer duration", [(f'zoom="{i:02d}"', f"DurationTileBufferReadZoom{i:02d}") for i in zooms]),
+        ("tile_server_layer_responses_total", "Layer responses", [(f'layer="{uri}",status="{s}"', f"NoRes{s}Layer{uri}") for _, uri in layers for s in (200, 404)]),
     ]
     out = []
     for family, help_text, samples in families:

@@ -91,13 +91,13 @@ def _prom() -> list[str]:
         out.extend([f"'# HELP {name} {text}'", f"'# TYPE {name} counter'"])
         out.extend(f"concat('{name}{{{labels}}} ', {value})" for labels, value in samples)
 
-    family("modtile_http_responses_total", "Number of HTTP responses by response code", [(f'status="{s}"', f'"{k}"') for s, k in zip(("200", "304", "404", "503", "5XX", "other"), ("NoResp200", "NoResp304", "NoResp404", "NoResp503", "NoResp5XX", "NoRespOther"), strict=True)])
+    family("tile_server_http_responses_total", "Number of HTTP responses by response code", [(f'status="{s}"', f'"{k}"') for s, k in zip(("200", "304", "404", "503", "5XX", "other"), ("NoResp200", "NoResp304", "NoResp404", "NoResp503", "NoResp5XX", "NoRespOther"), strict=True)])
     names = [k for k, _ in K.FRESHNESS]
-    family("modtile_tiles_total", "Tiles served", [(f'age="{a}",rendered="{h}"', f'"{k}"') for (a, h), k in zip((("fresh", "no"), ("old", "no"), ("outdated", "no"), ("fresh", "yes"), ("old", "attempted"), ("outdated", "attempted")), names, strict=True)])
-    family("modtile_zoom_responses_total", "Tiles served by zoom level", [(f'zoom="{i:02d}"', f'"NoRespZoom{i:02d}"') for i in z])
-    family("modtile_tile_reads_total", "Tiles served from the tile buffer", [(f'zoom="{i:02d}"', f'"NoTileBufferReadZoom{i:02d}"') for i in z])
-    family("modtile_tile_reads_seconds_total", "Tile buffer duration", [(f'zoom="{i:02d}"', f"""printf('%.6f', "DurationTileBufferReadZoom{i:02d}" / 1000000.0)""") for i in z])
-    family("modtile_layer_responses_total", "Layer responses", [(f'layer="{u}",status="{s}"', f'"NoRes{s}Layer{u}"') for _, u in LAYERS for s in (200, 404)])
+    family("tile_server_tiles_total", "Tiles served", [(f'age="{a}",rendered="{h}"', f'"{k}"') for (a, h), k in zip((("fresh", "no"), ("old", "no"), ("outdated", "no"), ("fresh", "yes"), ("old", "attempted"), ("outdated", "attempted")), names, strict=True)])
+    family("tile_server_zoom_responses_total", "Tiles served by zoom level", [(f'zoom="{i:02d}"', f'"NoRespZoom{i:02d}"') for i in z])
+    family("tile_server_tile_reads_total", "Tiles served from the tile buffer", [(f'zoom="{i:02d}"', f'"NoTileBufferReadZoom{i:02d}"') for i in z])
+    family("tile_server_tile_reads_seconds_total", "Tile buffer duration", [(f'zoom="{i:02d}"', f"""printf('%.6f', "DurationTileBufferReadZoom{i:02d}" / 1000000.0)""") for i in z])
+    family("tile_server_layer_responses_total", "Layer responses", [(f'layer="{u}",status="{s}"', f'"NoRes{s}Layer{u}"') for _, u in LAYERS for s in (200, 404)])
     return out
 
 

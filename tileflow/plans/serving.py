@@ -153,7 +153,7 @@ WITH u AS (SELECT req_id, url, min(layer_no) AS n FROM url_cases LEFT JOIN layer
 r AS (SELECT req_id, url, l.*, substr(url, length(baseuri) + 1) AS rest FROM u LEFT JOIN layers l ON l.layer_no = u.n),
 p AS (SELECT *, regexp_extract(rest, '^\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)\.([a-z]{1,255})(?:/(\S{1,10}))?', ['z', 'x', 'y', 'e', 't']) AS m FROM r),
 q AS (SELECT *, TRY_CAST(m.z AS BIGINT) AS tz, TRY_CAST(m.x AS BIGINT) AS tx, TRY_CAST(m.y AS BIGINT) AS ty FROM p),
-h AS (SELECT *, CASE WHEN starts_with(url, '/mod_tile') THEN 'stats' WHEN starts_with(url, '/metrics') THEN 'metrics' WHEN baseuri IS NULL THEN 'declined'
+h AS (SELECT *, CASE WHEN starts_with(url, '/server_stats') THEN 'stats' WHEN starts_with(url, '/metrics') THEN 'metrics' WHEN baseuri IS NULL THEN 'declined'
   WHEN starts_with(rest, 'tile-layer.json') THEN 'json' WHEN coalesce(m.e, '') <> ext THEN 'declined'
   WHEN NOT (tz BETWEEN minzoom AND maxzoom AND tx BETWEEN 0 AND CAST(pow(2, tz) AS BIGINT) * aspect_x - 1 AND ty BETWEEN 0 AND CAST(pow(2, tz) AS BIGINT) * aspect_y - 1) THEN 'notfound'
   WHEN m.t = '' THEN 'serve' WHEN m.t = 'status' THEN 'status' WHEN m.t = 'dirty' THEN 'dirty' ELSE 'declined' END AS handler FROM q)

@@ -225,16 +225,16 @@ def slave_threads(v: Views) -> DataFrame:
 
 
 SAMPLE = """
-[renderd]
+[daemon]
 num_threads=4
-[renderd1]
+[daemon1]
 num_threads=8
 iphostname=one.example.org
 ipport=7654
-[renderd2]
+[daemon2]
 num_threads=2
-[mapnik]
-plugins_dir=/usr/lib/mapnik
+[engine]
+plugins_dir=/usr/lib/engine
 [click]
 URI=/tiles/click
 XML=/etc/click.xml

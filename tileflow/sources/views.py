@@ -55,7 +55,7 @@ FROM customer""",
 SELECT x, y, z, CASE WHEN req_id % 11 = 0 THEN '' ELSE concat(style, CAST(req_id AS STRING)) END AS data, ts AS created_at
 FROM tile_requests""",
     "url_cases": """
-SELECT req_id, style, CASE WHEN req_id % 41 = 0 THEN '/mod_tile' WHEN req_id % 43 = 0 THEN '/metrics' WHEN req_id % 47 = 0 THEN concat('/tiles/', style, '/tile-layer.json')
+SELECT req_id, style, CASE WHEN req_id % 41 = 0 THEN '/server_stats' WHEN req_id % 43 = 0 THEN '/metrics' WHEN req_id % 47 = 0 THEN concat('/tiles/', style, '/tile-layer.json')
   WHEN req_id % 37 = 0 THEN concat('/tiles/', style, '/', CAST(z AS STRING), '/', CAST(x AS STRING), '/', CAST(y AS STRING), '.jpg')
   WHEN req_id % 53 = 0 THEN concat('/tiles/', style, '/', CAST(z AS STRING), '/', CAST(x AS STRING), '/-1.png')
   WHEN req_id % 23 = 0 THEN concat(url, '/status') WHEN req_id % 29 = 0 THEN concat(url, '/dirty') WHEN req_id % 31 = 0 THEN concat(url, '/foo')
