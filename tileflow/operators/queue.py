@@ -71,7 +71,7 @@ def fetch_order(items: DataFrame, k: int) -> DataFrame:
 
 
 class RenderQueue:
-    """Sequential queue with the reference's rules: dedup, caps, overflow, fetch order, cancel, statistics."""
+    """Sequential queue: dedup, caps, overflow, fetch order, cancel, statistics."""
 
     WAITING = ("Request", "Prio", "Low", "Render")
 
