@@ -75,6 +75,37 @@ def test_crowded_sketches(spark):
     assert classes(N.near_duplicate_report(documents(spark, docs)).collect()) == brute(docs)
 
 
+def test_repeated_passages(spark):
+    """Repeats of a passage change what is shared of labelled k-mers, not of different ones."""
+    docs = []
+    for base in range(40):
+        w = text(base, 104).split()
+        at = base * 2
+        docs += [(10 * base + n, " ".join(w + w[at : at + 24] * times), "en", "a") for n, times in enumerate((0, 10, 30))]
+    want = brute(docs)
+    assert len(want) == 40
+    assert classes(N.near_duplicate_report(documents(spark, docs)).collect()) == want
+
+
+def test_pairs_of_a_group_are_not_gated_by_picks():
+    import pandas as pd
+
+    w = text(5, 104).split()
+    texts = [" ".join(w + w[20:44] * times) for times in (0, 10, 30)]
+    g = pd.DataFrame({"key": 1, "i": 0, "j": 0, "own": 0, "fp": [b"a", b"b", b"c"], "component": [b"a", b"b", b"c"], "text": texts})
+    assert len(N.linking_pairs(g, 0.8)) == 2
+
+
+@pytest.mark.parametrize("limit", [7, 100, 10**6])
+def test_shared_counts(monkeypatch, limit):
+    monkeypatch.setattr(N, "SORTED", limit)
+    monkeypatch.setattr(N, "COLUMNS", 8)
+    r = np.random.default_rng(limit)
+    common = r.integers(0, 1 << 64, 40, np.uint64)
+    left, right = ([np.unique(r.choice(common, r.integers(1, 30))) for _ in range(n)] for n in (9, 5))
+    assert N.shared_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     t = text(7, 146)

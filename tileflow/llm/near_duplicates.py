@@ -4,8 +4,10 @@ Texts are sequences of words; k-mers are ``K`` = 5 words, labelled by occurrence
 n-th copy of a k-mer in a text is an element of its own. Each of ``SKETCHES`` hash functions
 picks the ``PICK`` labelled k-mers of smallest hash and keeps them in text order; two texts
 share a sketch only if they share these k-mers in the same order, which follows edit
-similarity rather than set overlap. A pair at the threshold 0.8 shares one sketch with
-probability of about 0.5, so it shares none of 16 once in 10^5.
+similarity rather than set overlap. A text that repeats k-mers is also sketched over its
+different k-mers, in order of first occurrence and, for pairs in which both texts repeat,
+without order, as similarity counts different k-mers however often each occurs. A pair at the
+threshold 0.8 shares one sketch with probability of about 0.5, so it shares none of 16 once in 10^5.
 
 Candidates are verified by banded alignment: labelled k-mers common to both texts are the
 matching cells, cells further from the diagonal than the threshold allows are outside the
@@ -97,25 +99,42 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _smallest(v: np.ndarray) -> np.ndarray:
+    """Positions of the PICK smallest of each row, ascending."""
+    n = v.shape[1]
+    pick = min(PICK, n)
+    at = np.argpartition(v, pick - 1, axis=1)[:, :pick] if n > pick else np.tile(np.arange(pick), (SKETCHES, 1))
+    at.sort(axis=1)
+    return at
+
+
+def _keys(chosen: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    key = SEEDS ^ salt
+    for c in range(chosen.shape[1]):
+        key ^= chosen[:, c]
+        key *= MIX2
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash function, a key of its smallest labelled k-mers in text order, and 32 bits of each of them, ascending."""
+    """Keys over the labelled k-mers, and those over the different k-mers of a text that repeats some.
+
+    A text without repeats has the same different as labelled k-mers. It aligns first occurrences only, so the order of
+    these holds for pairs with it; where both texts repeat, later occurrences may be aligned, so order is left out too.
+    """
     x = labelled(s)
     v = x[None, :] ^ SEEDS[:, None]
     v *= MIX1
     v ^= v >> np.uint64(31)
     v *= MIX2
     v ^= v >> np.uint64(29)
-    pick = min(PICK, len(x))
-    at = np.argpartition(v, pick - 1, axis=1)[:, :pick] if len(x) > pick else np.tile(np.arange(pick), (SKETCHES, 1))
-    at.sort(axis=1)
-    key = SEEDS.copy()
-    for c in range(pick):
-        key ^= x[at[:, c]]
-        key *= MIX2
-        key ^= key >> np.uint64(32)
-    picks = np.zeros((SKETCHES, PICK), np.uint32)
-    picks[:, :pick] = x[at] >> np.uint64(32)
-    return key.view(np.int64), picks
+    keys = _keys(x[_smallest(v)])
+    if x is s:
+        return keys, np.zeros(0, np.int64)
+    first = x == s
+    chosen = s[first][_smallest(v[:, first])]
+    return keys, np.concatenate([_keys(chosen), _keys(np.sort(chosen, axis=1), MULT)])
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
@@ -167,18 +186,17 @@ def fingerprint(id_col: str, text_col: str) -> Column:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n: k-mers, keys, picks) of every row; keys is empty for a text without words."""
+    """(id, fp, n: k-mers, keys) of every row; keys is empty for a text without words."""
 
     def make():
         def each(texts: list) -> list:
             found = [kmers(t) for t in texts]
-            made = [sketches(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.uint32)) for s in found]
-            return [[len(s) for s in found], [k for k, _ in made], [p.tobytes() for _, p in made]]
+            return [[len(s) for s in found], [np.unique(np.concatenate(sketches(s))) if len(s) else np.zeros(0, np.int64) for s in found]]
 
         return each
 
     rows = docs.select(F.col(id_col).alias("id"), fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
-    return computed(rows, ["text"], make, "n long, keys array<long>, picks binary")
+    return computed(rows, ["text"], make, "n long, keys array<long>")
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,62 +226,58 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 #: Texts of a block; a sketch with more is compared block by block, each pair of blocks a group of its own.
 BLOCK = 1024
-#: Picks that a pair at the threshold shares: 0.85 of them, with a deviation of 0.05. Below this share a pair is not looked at further.
-LEAST_PICKS = 0.58
 #: k-mers whose presence is held as a dense table at a time.
 COLUMNS = 4096
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of k-mers that each two of the sets share, all at once."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = size[column] > 1
-    row, column = row[common], column[common]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        at = slice(*np.searchsorted(column, [start, start + COLUMNS]))
-        table = np.zeros((len(sets), COLUMNS), np.float32)
-        table[row[at], column[at] - start] = 1
-        out += table @ table.T
+#: k-mers of a group that are sorted at a time.
+SORTED = 4_000_000
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of k-mers that each of the ascending sets of left shares with each of right, all at once."""
+    sets, out = [*left, *right], np.zeros((len(left), len(right)), np.float32)
+    parts = -(-sum(map(len, sets)) // SORTED)
+    ends = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    edges = np.array([[0, *np.searchsorted(x, ends), len(x)] for x in sets])
+    for p in range(parts):
+        cut = [x[a:b] for x, a, b in zip(sets, edges[:, p], edges[:, p + 1], strict=True)]
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in cut])
+        _, column = np.unique(np.concatenate(cut), return_inverse=True)
+        n = int(column.max()) + 1 if len(column) else 0
+        on_left = row < len(left)
+        both = (np.bincount(column[on_left], minlength=n) > 0) & (np.bincount(column[~on_left], minlength=n) > 0)
+        common = both[column]
+        row, column = row[common], (np.cumsum(both) - 1)[column[common]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int(both.sum()), COLUMNS):
+            at = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+            table = np.zeros((len(sets), min(COLUMNS, int(both.sum()) - start)), np.float32)
+            table[row[at], column[at] - start] = 1
+            out += table[: len(left)] @ table[len(left) :].T
     return out
 
 
 def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
     """One group (key, i, j): links that join the classes of its texts, as few as do that.
 
-    Pairs of different classes go through three gates, each of all pairs at once but the last: shared picks, shared
-    k-mers (exact; no alignment can exceed it), alignment. A pair already joined through others is not aligned.
+    Pairs of different classes go through two gates: shared k-mers (exact, all pairs at once; no alignment can exceed
+    it), alignment. A pair already joined through others is not aligned.
     """
     fp, own = g["fp"].to_numpy(), g["own"].to_numpy()
     comp = pd.factorize(g["component"])[0]
     left, right = np.flatnonzero(own == g["i"].iat[0]), np.flatnonzero(own == g["j"].iat[0])
-    picks = np.frombuffer(b"".join(g["picks"]), np.uint32).reshape(len(g), SKETCHES, PICK)
-    same = np.zeros((len(left), len(right)), np.int16)
-    for s in range(SKETCHES):
-        for a in range(PICK):
-            for b in range(PICK):
-                same += picks[left, s, a][:, None] == picks[right, s, b][None, :]
-    a, b = np.nonzero((same >= LEAST_PICKS * SKETCHES * PICK) & (comp[left][:, None] != comp[right][None, :]))
-    a, b = left[a], right[b]
-    once = (g["i"].iat[0] < g["j"].iat[0]) | (a < b)
-    a, b = a[once], b[once]
-    if not len(a):
+    if not len(left) or not len(right) or comp.max() == 0:
         return []
-    used = np.unique(np.concatenate([a, b]))
-    at = np.full(len(g), -1)
-    at[used] = np.arange(len(used))
-    texts = g["text"].to_numpy()
-    s = [kmers(texts[i]) for i in used]
+    s = [kmers(t) for t in g["text"]]
     sets = [np.unique(x) for x in s]
     n = np.array([len(x) for x in sets])
-    a, b = at[a], at[b]
-    both = shared_counts(sets)[a, b]
-    share = both / (n[a] + n[b] - both)
+    both = shared_counts([sets[x] for x in left], [sets[x] for x in right])
+    share = both / (n[left][:, None] + n[right][None, :] - both)
+    a, b = np.nonzero((share >= least - EPS) & (comp[left][:, None] != comp[right][None, :]))
+    share, a, b = share[a, b], left[a], right[b]
+    once = (g["i"].iat[0] < g["j"].iat[0]) | (a < b)
+    share, a, b = share[once], a[once], b[once]
     order = np.argsort(-share, kind="stable")
-    order = order[share[order] >= least - EPS]
     parent = list(range(comp.max() + 1))
 
     def root(x: int) -> int:
@@ -274,19 +288,19 @@ def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
 
     out = []
     for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        cx, cy = root(comp[used[x]]), root(comp[used[y]])
+        cx, cy = root(comp[x]), root(comp[y])
         if cx != cy and similarity(s[x], s[y], least) >= least - EPS:
             parent[cx] = cy
-            out.append((fp[used[x]], fp[used[y]]))
+            out.append((fp[x], fp[y]))
     return out
 
 
 def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members(key, m: texts of the key, fp, component, picks) -> links (a, b) between different classes."""
+    """members(key, m: texts of the key, fp, component) -> links (a, b) between different classes."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "picks").join(texts, "fp")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component").join(texts, "fp")
     keys = ["key", "i", "j"]
 
     def each(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -300,7 +314,7 @@ def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataF
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(rows(id, fp) of all documents, classes(fp, component) of the texts that have a near-duplicate text)."""
     rows = stage(sketched(docs, id_col, text_col), "near-sketches")
-    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("picks").alias("picks")), "near-nodes")
+    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
     member = texts.select("fp", F.explode("keys").alias("key"))
     shared = stage(member.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1"), "near-shared")
     member = stage(member.join(shared, "key"), "near-members")
@@ -314,7 +328,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     larger = stage(larger, "near-larger")
     unsettled = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     unsettled = stage(unsettled, "near-unsettled")
-    unsettled = larger.join(unsettled, "key").join(texts.select("fp", "picks"), "fp")
+    unsettled = larger.join(unsettled, "key")
     more = stage(remaining_links(unsettled, full, least), "near-links")
     if not more.isEmpty():
         found = components(links.union(more))
