@@ -95,6 +95,19 @@ def test_method_adds_literals():
     assert found("see https://example.org/a=b for more") == []
 
 
+def test_joined_literals_are_one_secret():
+    """Parts too short or too plain alone are found, wherever they stand; those that reach the threshold alone stay literals."""
+    kinds = lambda t: [(k, t[s:e]) for k, s, e in S.scan(t)[1]]
+    assert kinds('private_key := "aZ19!" + "kkQ2-0zz"') == [("part", "aZ19!"), ("literal", "kkQ2-0zz")]
+    assert kinds('db_pwd = "ab1!" + "Cd34" + "xY9-"') == [("part", "ab1!"), ("part", "Cd34"), ("part", "xY9-")]
+    for join in ("p + q", "p+q", 'p+"xY9-"', '"xY9-"+p'):
+        t = f'p = "ab1!Z"\nq = "Cd34-"\ntoken = {join}\n'
+        assert "ab1!Z" not in S.redact(t, S.scan(t)[1])
+    t = 'db_pwd = "ab1!" + mid + "Cd34xY"'
+    assert S.redact(t, S.scan(t)[1]) == 'db_pwd = "[SECRET]" + mid + "[SECRET]"'
+    assert kinds('title = "ab1!" + "Cd34" + "xY9-"') == []
+
+
 def test_secret_report(spark):
     rows = S.secret_report(documents(spark)).collect()
     assert len(rows) == len(ROWS)

@@ -6,7 +6,9 @@ lexed for assignments as source code and configuration files write them (``name
 pairs of a target name and literals. A name bound to a literal is a constant; where a later
 assignment uses that name its literals are carried over, and ``"a" + "b"`` joins literals.
 A literal is scored by how sensitive its target name is and by how random it looks, and a
-span of kind ``literal`` is added where the score reaches ``THRESHOLD``.
+span of kind ``literal`` is added where the score reaches ``THRESHOLD``. Joined literals are
+also scored as the one text they make; where that reaches it, those of them that alone do
+not get a span of kind ``part``.
 
 Texts are scanned whole, one row at a time, with no shuffle.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tileflow.llm.arrow import computed, replaced
 
-KINDS = ("assign", "access", "hex", "literal")
+KINDS = ("assign", "access", "hex", "literal", "part")
 THRESHOLD = 1.0
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,6 +44,7 @@ NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123
 QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:\"\"\"(?P<d3>.*?)\"\"\"|'''(?P<s3>.*?)'''|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)""", re.S)
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#]+""")
 IDENT = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.A)
+JOINER = re.compile(r"\+|\.\.|\|\|")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|<>|\|\|)[ \t]*\n?[ \t]*")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)(?:\$\{.*|\{\{.*|<.*|%\(.*|x{3,}|\*{3,}|\.{3,}|true|false|null|none|nil|todo|changeme|example|placeholder|your[-_].*|process\.env.*|os\.environ.*|https?:.*|/.*)\Z")
@@ -86,16 +89,21 @@ def _parts(text: str, at: int) -> list[tuple[str, int, int]]:
             inner = m.span(m.lastgroup)
             out.append((text[inner[0] : inner[1]], *inner))
         elif m := BARE.match(text, at):
-            out.append((m[0], *m.span()))
+            value, (s, e) = m[0], m.span()
+            # an operator right before a quote joins: p+"x"
+            if (op := next((x for x in ("+", "..", "||") if value.endswith(x)), "")) and QUOTED.match(text, e):
+                value, e = value[: -len(op)], e - len(op)
+            out.append((value, s, e))
         else:
             return out
-        if not (j := JOIN.match(text, m.end())) or j.end() == m.end():
+        end = m.end() if m.re is QUOTED else e
+        if not (j := JOIN.match(text, end)) or j.end() == end:
             return out
         at = j.end()
 
 
-def literals(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, value, start, end) of each literal that an assignment gives to a name."""
+def literals(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(target name, (value, start, end) of each literal) of each assignment; its literals joined are the value."""
     constants: dict[str, list[tuple[str, int, int]]] = {}
     found = []
     for m in OPERATOR.finditer(text):
@@ -113,18 +121,39 @@ def literals(text: str) -> list[tuple[str, str, int, int]]:
             continue
         while text[end : end + 1] in (" ", "\t") and text[end : end + 1]:
             end += 1
-        values = []
-        for value, s, e in _parts(text, end):
+        values, parts = [], _parts(text, end)
+        for value, s, e in parts:
             if value.lower() in ("bearer", "basic") and (b := BARE.match(text, e + 1)):
                 value, s, e = b[0], *b.span()
             quoted = s and text[s - 1] in "\"'`"
-            values += [(value, s, e)] if quoted or value not in constants else constants[value]
+            names = [] if quoted else [value] if value in constants else JOINER.split(value)
+            if names and all(x in constants for x in names):
+                values += [v for x in names for v in constants[x]]
+            else:
+                values.append((value, s, e))
+        values = list(dict.fromkeys(values))  # x = x + x must not grow without bound
         if values:
             constants[name] = values
-            found += [(name, *v) for v in values]
+            found.append((name, values))
     return found
 
 
+def literal_spans(text: str) -> set[tuple[str, int, int]]:
+    """Literals that reach the threshold alone, and the other parts of joined ones that reach it together."""
+    out = set()
+    for name, values in literals(text):
+        if not (n := name_score(name)):
+            continue
+        reaches = lambda value, n=n: (score := literal_score(value)) and n + score >= THRESHOLD
+        alone = {("literal", s, e) for value, s, e in values if reaches(value)}
+        # an unquoted name without a value is a reference, not a part of the text
+        known = [(value, s, e) for value, s, e in values if s and text[s - 1] in "\"'`" or not IDENT.match(value)]
+        out |= alone
+        if len(known) > 1 and reaches("".join(value for value, _, _ in known)):
+            out |= {("part", s, e) for _, s, e in known if s < e}
+    return {x for x in out if x[0] == "literal" or ("literal", *x[1:]) not in out}
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [("access", *m.span()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
@@ -139,8 +168,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """(base spans, all spans), each in order."""
     text = text or ""
     base = base_spans(text)
-    extra = {("literal", s, e) for name, value, s, e in literals(text) if (n := name_score(name)) and n + literal_score(value) >= THRESHOLD and literal_score(value)}
-    extra = {x for x in extra if not any(s <= x[1] and x[2] <= e for _, s, e in base)}
+    extra = {x for x in literal_spans(text) if not any(s <= x[1] and x[2] <= e for _, s, e in base)}
     return _order(base), _order([*base, *extra])
 
 
