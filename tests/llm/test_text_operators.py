@@ -108,6 +108,14 @@ def test_joined_literals_are_one_secret():
     assert kinds('title = "ab1!" + "Cd34" + "xY9-"') == []
 
 
+def test_placeholders_by_their_full_shape():
+    """Secrets that begin like a path, a URL or a placeholder are found, what is one is not."""
+    for value in ("/kX3bQ9+rT7vLmN2pZ8wYc4dFg6hJk1sAe5uQiOx", "/kXab/QqRt9z/Lm2Np", "https://user:hT5kk9qz@db.example.org/x", "https://hooks.example.org/services/T02AB9/xK93jfLq82mZpQ", "https://api.example.org/v1?key=q8Zt71mVbx", "<hT5-kk9!qz", "%(hT5-kk9!qz", "${A:-hT5-kk9!qz}", "your-hT5kk9qzX3b"):
+        assert found(f'db_pwd = "{value}"') == [value]
+    for value in ("/etc/ssl/private/server.key", "/home/app/.config/my-app/id_rsa", "https://auth.example.org/oauth2/token", "http://10.0.0.1:8080/login", "<your-token>", "%(db_password)s", "${DB_PASS}", "{{vault.password}}", "YOUR_API_KEY", "your-secret-here", "process.env.API_SECRET", "%(user)s:%(password)s"):
+        assert found(f'db_pwd = "{value}"') == []
+
+
 def test_secret_report(spark):
     rows = S.secret_report(documents(spark)).collect()
     assert len(rows) == len(ROWS)

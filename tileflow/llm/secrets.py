@@ -47,7 +47,16 @@ IDENT = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.A)
 JOINER = re.compile(r"\+|\.\.|\|\|")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|<>|\|\|)[ \t]*\n?[ \t]*")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-PLACEHOLDER = re.compile(r"(?i)(?:\$\{.*|\{\{.*|<.*|%\(.*|x{3,}|\*{3,}|\.{3,}|true|false|null|none|nil|todo|changeme|example|placeholder|your[-_].*|process\.env.*|os\.environ.*|https?:.*|/.*)\Z")
+#: A word as people write it: one case, capitalised or camel case, with at most three digits after it. Atomic, so that no text takes more than linear time.
+_WORD = r"(?>(?>[A-Z]?[a-z]{2,20}(?:[A-Z][a-z]{2,20})*|[A-Z]{1,20}|[a-z])[0-9]{0,3})"
+_NAME = rf"(?>{_WORD}(?:[._-](?:{_WORD}|[0-9]{{1,4}}))*)"
+_SEGMENT = rf"(?>[.~]?{_NAME}|[0-9]{{1,8}}|\.\.?)"
+_HOST = rf"(?:{_NAME}|[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})(?::[0-9]{{1,5}})?"
+#: Values that stand for one or lead to one, by their full shape: a secret may begin like any of them.
+PLACEHOLDER = re.compile(
+    rf"(?:(?:\$\{{[\w.]*\}}|\{{\{{[\w.|]*\}}\}}|%\(\w+\)[a-zA-Z]?)(?:[/:@._-]?(?:\$\{{[\w.]*\}}|\{{\{{[\w.|]*\}}\}}|%\(\w+\)[a-zA-Z]?))*|<{_NAME}>|(?i:x{{3,}}|\*{{3,}}|\.{{3,}}|true|false|null|none|nil|todo|changeme|example|placeholder)"
+    rf"|(?i:your)(?:[_-]{_WORD})+|(?i:process\.env|os\.environ)(?:\.[A-Za-z_]\w*)?(?:[\[(][\"']?\w+[\"']?[\])])?|/{_SEGMENT}(?:/{_SEGMENT})+/?|(?i:https?)://{_HOST}(?:/{_SEGMENT})*/?)\Z"
+)
 
 #: Words of a name and how strongly each, alone or as a pair, marks a secret.
 SENSITIVE = {"password": 0.8, "passwd": 0.8, "pwd": 0.8, "passphrase": 0.8, "secret": 0.7, "token": 0.6, "apikey": 0.7, "credential": 0.7, "credentials": 0.7, "bearer": 0.6, "auth": 0.45, "authorization": 0.5, "pass": 0.5, "pw": 0.5, "salt": 0.4, "pin": 0.3, "key": 0.2}
