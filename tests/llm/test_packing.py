@@ -57,6 +57,20 @@ def test_tree_of_small_nodes(spark, plain, monkeypatch):
     assert n <= least * 1.05 + 2
 
 
+@pytest.mark.parametrize("leaf", [100_000, 1000])
+def test_input_sorted_by_length(spark, monkeypatch, leaf):
+    """Partitions of long and of short pieces: 3,000 sequences where each is packed for itself, 2,000 by one best fit."""
+    monkeypatch.setattr(P, "LEAF", leaf, raising=False)
+    parts = spark.range(0, 4000, 1, 2).selectExpr("id AS doc_id", "CASE WHEN id < 2000 THEN 600L ELSE 400L END AS length")
+    rows = P.packed(parts).collect()
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    assert max(used.values()) <= 1024
+    assert len(used) <= (2000 if leaf > 4000 else 2100)
+
+
 def test_sequences_hold_the_ids(spark, plain):
     docs = [(i, text(i, 300), "en", "a") for i in range(20)] + [(3, text(3, 300), "en", "a")]
     rows = P.sequences(documents(spark, docs)).collect()

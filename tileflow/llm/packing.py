@@ -1,7 +1,8 @@
 """Packing documents into fixed-length sequences by hierarchical residual packing.
 
 Documents are tokenised, ended with one id, and cut only where they are longer than a
-sequence. Pieces are packed by best fit, largest first, inside each partition. Bins with at
+sequence. Pieces are dealt by a hash of their row number to leaves of about ``LEAF``, so that each
+sees the whole mix of lengths whatever the input's order, and packed there by best fit, largest first. Bins with at
 most ``SLACK`` free places are finished; of the rest each node passes its ``KEEP`` emptiest
 bins up a tree, where they are items of the next round of best fit, eight nodes' bins in
 one, until one node is left. A bin moves as a whole, so its pieces stay together and a
@@ -39,7 +40,7 @@ LENGTH = 1024
 END_ID = 2
 SLACK = 4
 KEEP, FAN = 8192, 8
-CHUNK = 400_000
+CHUNK, LEAF = 400_000, 100_000
 PROBE = "It's a test: café 你好  \t\n\n 12345 foo_bar <|endoftext|> don't x \U0001f600"
 
 
@@ -196,7 +197,8 @@ def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         if sum(x.num_rows for x in held):
             yield from _merged(pa.Table.from_batches(held), length, keep)
 
-    level = stage(items.mapInArrow(leaf, items.schema), "pack-level")
+    leaves = max(1, -(-items.count() // LEAF))
+    level = stage(items.repartition(leaves, "bin").mapInArrow(leaf, items.schema), "pack-level")
     finished = [level.where("done")]
     while left := level.where("NOT done").select("bin").distinct().count():
         nodes = -(-left // (FAN * keep))
