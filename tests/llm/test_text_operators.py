@@ -116,6 +116,73 @@ def test_placeholders_by_their_full_shape():
         assert found(f'db_pwd = "{value}"') == []
 
 
+def spans_by_interpreter(program):
+    """Lines of (name, operands) run one by one: every name holds the list of its literals, copied at each use."""
+    t, env, alone, parts = "", {}, set(), set()
+    for name, operands in program:
+        t += f"{name} = "
+        value = []
+        for k, (kind, x) in enumerate(operands):
+            t += " + " if k else ""
+            if kind == "literal":
+                value.append((x, len(t) + 1, len(t) + 1 + len(x)))
+                t += f'"{x}"'
+            else:
+                value += env.get(x, [])
+                t += x
+        if value:  # a name that refers to nothing known keeps nothing
+            env[name] = value
+        if n := S.name_score(name):
+            alone |= {x[1:] for x in value if S.reaches(n, S.literal_score(x[0]))}
+            if len(value) > 1 and S.reaches(n, S.literal_score("".join(x[0] for x in value))):
+                parts |= {x[1:] for x in value if x[0]}
+        t += "\n"
+    return t, {("literal", *x) for x in alone} | {("part", *x) for x in parts - alone}
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_propagation_by_interpreter(seed):
+    r = random.Random(seed)
+    program, known = [], []
+    for _ in range(r.randint(1, 12)):
+        name = r.choice(["a", "b", "title", "db_pwd", "token", "clientSecret", "pin", "x.auth"])
+        operands = [("name", r.choice(known)) if known and r.random() < 0.5 else ("literal", r.choice(["", "aB", "q8Zt-", "ab1!Z", "hT5-kk9!qz", "plain", "two words", "Xy", "/etc/ssl/key", "aaaa"])) for _ in range(r.randint(1, 4))]
+        program.append((name, operands))
+        known.append(name)
+    t, want = spans_by_interpreter(program)
+    assert S.literal_spans(t) == want
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for t in ("a = a + a\n" * 1000, 'token = "Ab1!"\n' + "token = token + token\n" * 2000, "a=1&" * 1_000_000, "token=1&" * 20_000, ("a" * 200 + "=") * 2000, 'key = """' * 20_000, 'token = "\\' * 20_000, "a:b:password:c:" * 10_000, "key" + " " * 200_000 + "=" + " " * 200_000):
+        S.scan(t)
+    assert time.perf_counter() - began < 20
+    t = 'token = "Ab1!"\n' + 'token = token + "q8Zt-"\n' * 3000
+    assert len(S.scan(t)[1]) == 3001
+
+
+def test_planted_pairs_are_found():
+    """Name-literal pairs in the ways that sources and configurations write them, amid other lines."""
+    r = random.Random(7)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789-_!"
+    forms = ['{n} = "{v}"', "{n}: {v}", "export {n}='{v}'", '"{n}": "{v}",', "{n} := `{v}`", "{n} => '{v}'", 'set(host="db1", {n}="{v}")', "u=1&{n}={v}&x=2", 'base = "{v}"\n{n} = base', 'lo = "{a}"\n{n} = lo + "{b}"']
+    names = ["db_pwd", "DB_PASSWORD", "clientSecret", "private-key", "aws_secret_key", "auth.token", "signing_key", "smtp_passphrase", "apiKey", "credentials"]
+    caught = clean = 0
+    for i in range(500):
+        v = "".join(r.choice(letters) for _ in range(r.randint(10, 30)))
+        k = r.randint(3, len(v) - 3)
+        line = r.choice(forms).format(n=r.choice(names), v=v, a=v[:k], b=v[k:])
+        t = f"title = 'A plain title'\nretries: 5\n{line}\n{text(i, 8)} and more: words\n"
+        left = S.redact(t, S.scan(t)[1])
+        caught += v not in left and v[:k] not in left
+        clean += "A plain title" in left and "more: words" in left and text(i, 8) in left
+    assert caught >= 0.95 * 500
+    assert clean == 500
+
+
 def test_secret_report(spark):
     rows = S.secret_report(documents(spark)).collect()
     assert len(rows) == len(ROWS)
