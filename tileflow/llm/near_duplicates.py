@@ -29,9 +29,9 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -49,32 +49,61 @@ SKETCHES, PICK = 16, 3
 THRESHOLD = 0.8
 EPS = 1e-9
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch %d" % j) for j in range(SKETCHES)], np.uint64)
+#: A sketch's hash function: k-mers are hashes already, so an odd factor of its own gives it an order of its own.
+FACTORS = np.array([xxhash.xxh64_intdigest(b"factor %d" % j) | 1 for j in range(SKETCHES)], np.uint64)
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, remembered."""
+#: Base of the polynomial that hashes the bytes of a word modulo 2^64, and its inverse.
+BASE = 0x2545F4914F6CDD1D
+#: Bytes whose words are hashed together, and the longest word hashed so; a longer one is hashed by xxh3.
+SPAN, LONG_WORD = 1 << 20, 1 << 16
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
-
-_hash = _Hashes()
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for all i below 2^bits."""
+    out = []
+    for x in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.ones(1, np.uint64)
+        for k in range(bits):
+            p = np.concatenate([p, p * np.uint64(pow(x, 1 << k, 1 << 64))])
+        out.append(p)
+    return out[0], out[1]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, in order: words are hashed by their bytes, all of a stretch at once."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + SPAN, "right")), at + 1)
+        first, last = starts[at], ends[to - 1]
+        if last - first <= SPAN:
+            up, down = _powers(max(int(last - first).bit_length(), 10))
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum((raw[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=sums[1:])
+            s, e = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    out ^= out >> np.uint64(32)
+    out *= MIX2
+    return out ^ (out >> np.uint64(29))
 
 
 def kmers(text: str | None) -> np.ndarray:
     """Hashes of the K-word k-mers in text order; a shorter text is one k-mer; no word, none."""
-    words = WORD.findall(text or "")
-    n = len(words)
+    h = word_hashes(text or "")
+    n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, n)
     width = min(K, n)
     out = h[: n - width + 1].copy()
     for i in range(1, width):
@@ -99,11 +128,21 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _smallest(v: np.ndarray) -> np.ndarray:
-    """Positions of the PICK smallest of each row, ascending."""
-    n = v.shape[1]
-    pick = min(PICK, n)
-    at = np.argpartition(v, pick - 1, axis=1)[:, :pick] if n > pick else np.tile(np.arange(pick), (SKETCHES, 1))
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """For each sketch, the positions in x of the PICK smallest under its hash function, ascending."""
+    n = len(x)
+    if n <= PICK:
+        return np.tile(np.arange(n), (SKETCHES, 1))
+    v = x[None, :] * FACTORS[:, None]
+    if n >= 64:  # of a uniform hash, about 16 of a row lie below this bound
+        row, at = np.nonzero(v < np.uint64((16 << 64) // n))
+        count = np.bincount(row, minlength=SKETCHES)
+        if count.min() >= PICK:
+            first = np.cumsum(count) - count
+            at = at[np.lexsort((v[row, at], row))][first[:, None] + np.arange(PICK)]
+            at.sort(axis=1)
+            return at
+    at = np.argpartition(v, PICK - 1, axis=1)[:, :PICK]
     at.sort(axis=1)
     return at
 
@@ -124,16 +163,11 @@ def sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     these holds for pairs with it; where both texts repeat, later occurrences may be aligned, so order is left out too.
     """
     x = labelled(s)
-    v = x[None, :] ^ SEEDS[:, None]
-    v *= MIX1
-    v ^= v >> np.uint64(31)
-    v *= MIX2
-    v ^= v >> np.uint64(29)
-    keys = _keys(x[_smallest(v)])
+    keys = _keys(x[_smallest(x)])
     if x is s:
         return keys, np.zeros(0, np.int64)
-    first = x == s
-    chosen = s[first][_smallest(v[:, first])]
+    first = s[x == s]
+    chosen = first[_smallest(first)]
     return keys, np.concatenate([_keys(chosen), _keys(np.sort(chosen, axis=1), MULT)])
 
 
