@@ -121,12 +121,51 @@ def test_odd_rows(spark):
         by[r.doc_id].add((r.class_id, r.kept))
     assert by[1] == {(1, True)}
     assert by[2] == {(1, False)}
-    assert by[11] == {(11, True)}
+    assert by[11] == {(11, True), (11, False)}, "of repeated rows one is kept"
+    assert sum(r.kept for r in rows) == N.deduplicated(documents(spark)).count()
     assert by[4] == {(4, True)}
     assert by[5] == {(5, True)}
     assert N.near_duplicate_report(documents(spark, [])).count() == 0
 
 
+def test_rows_without_text_and_id_are_all_kept(spark):
+    docs = documents(spark, [(None, None, "en", "a")] * 3 + [(4, None, "en", "a")] * 2 + [(None, "same words in here now", "en", "a")] * 2)
+    rows = N.near_duplicate_report(docs).collect()
+    assert sorted((str(r.class_id), r.kept) for r in rows) == [("4", False), ("4", True)] + [("None", False)] + [("None", True)] * 4
+    assert N.deduplicated(docs).count() == 5
+
+
+def test_repeated_lines_by_brute_force(spark):
+    """Texts made of a few lines, each repeated: all pairs are similar by their different k-mers alone."""
+    docs, r = [], random.Random(3)
+    for base in range(30):
+        lines = [text(base * 10 + k, 24) for k in range(1 + base % 3)]
+        for n in range(6):
+            docs.append((100 * base + n, "\n".join(line for line in lines for _ in range(r.randint(2, 20))), "en", "a"))
+    want = brute(docs)
+    assert classes(N.near_duplicate_report(documents(spark, docs)).collect()) == want
+
+
+def test_word_hashes():
+    """Equal words, equal hashes, wherever they stand and however long the text."""
+    r = random.Random(4)
+    words = ["é", "a", "b", "ab", "ba", "\x00", "\x00\x00", "\x1c", "你好", "\ud800", "w" * 70_000, "w" * 70_001, *[text(i, 1) for i in range(500)]]
+    t = "".join(r.choice(words) + r.choice([" ", "\n", "\t\x0b ", "  "]) for _ in range(3000))
+    w, h = WORD.findall(t), N.word_hashes(t).tolist()
+    assert len(w) == len(h)
+    assert len(set(zip(w, h, strict=True))) == len(set(w)) == len(set(h))
+    long = "".join(x + " " for x in words) * 400
+    assert N.word_hashes(long).tolist() == N.word_hashes("".join(x + " " for x in words)).tolist() * 400
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 63, 64, 500])
+def test_picked_kmers_by_sorting(n):
+    x = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)
+    for j, at in enumerate(N._smallest(x)):
+        v = x * N.FACTORS[j]
+        assert at.tolist() == sorted(np.argsort(v)[: N.PICK].tolist())
+
+
 def test_deduplicated(spark):
     docs = documents(spark)
     out = N.deduplicated(docs)

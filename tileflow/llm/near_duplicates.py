@@ -21,10 +21,11 @@ each other in blocks of bounded size, so no link is lost. A task returns only li
 classes; pairs are never rows. Hot sketches are split over tasks, not gathered.
 
 Defined results
-    null text: a class of its own. Texts without a word: only equal texts are one class. Texts of
-    fewer than five words: one k-mer of all words. Repeated rows: one class. Null id: takes
-    part by its text; a class whose ids are all null has a null id. Ties: the smallest id of a class
-    represents it, and of rows with that id, one is kept. Empty table: an empty result.
+    null text: a class of its own (rows repeated with their id: one class). Texts without a word: only
+    equal texts are one class. Texts of fewer than five words: one k-mer of all words. Repeated
+    rows: one class. Null id: takes part by its text; a class whose ids are all null has a null id.
+    Ties: the smallest id of a class represents it, and of rows with that id, one is kept. Empty table:
+    an empty result.
 """
 
 from __future__ import annotations
@@ -215,12 +216,18 @@ def _rising(j: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(id_col: str, text_col: str) -> Column:
-    """16 bytes that are equal for equal texts; a null text has those of its id."""
-    return F.unhex(F.md5(F.when(F.col(text_col).isNotNull(), F.concat(F.lit("t"), F.col(text_col))).otherwise(F.concat(F.lit("n"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))))
+    """16 bytes that are equal for equal texts; a null text has those of its id, and without one those of nothing."""
+    return F.unhex(F.md5(F.when(F.col(text_col).isNotNull(), F.concat(F.lit("t"), F.col(text_col))).otherwise(F.coalesce(F.concat(F.lit("n"), F.col(id_col).cast("string")), F.lit("")))))
+
+
+def is_nothing(fp: str) -> Column:
+    """Rows without text and id: nothing tells them apart, but each is a class of its own."""
+    return F.col(fp) == F.unhex(F.md5(F.lit("")))
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n: k-mers, keys) of every row; keys is empty for a text without words."""
+    """(id, fp, row: a number of its own, n: k-mers, keys) of every row; keys is empty for a text without words. To be
+    staged before ``row`` is used, which another run of a task may give otherwise."""
 
     def make():
         def each(texts: list) -> list:
@@ -229,7 +236,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return each
 
-    rows = docs.select(F.col(id_col).alias("id"), fingerprint(id_col, text_col).alias("fp"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), fingerprint(id_col, text_col).alias("fp"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     return computed(rows, ["text"], make, "n long, keys array<long>")
 
 
@@ -330,23 +337,31 @@ def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
 
 
 def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members(key, m: texts of the key, fp, component) -> links (a, b) between different classes."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """members(key, fp, component), staged -> links (a, b) between different classes of a key.
+
+    A key's largest class is never compared within itself: its texts are in blocks of their own, which meet only the
+    blocks of the other texts. So a key costs its size times the texts outside its largest class.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("m")).where("most.n < m")
+    keys = keys.select(F.col("key").alias("k"), F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.n")) / BLOCK).cast("int").alias("others"))
+    rows = members.join(stage(keys, "near-unsettled"), F.col("key") == F.col("k")).withColumn("within", F.col("component") == F.col("main"))
+    own = F.when(F.col("within"), F.col("others") + F.pmod(F.xxhash64("fp"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("others")))
+    met = F.when(F.col("within"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component").join(texts, "fp")
-    keys = ["key", "i", "j"]
+    by = ["key", "i", "j"]
 
     def each(g: pd.DataFrame) -> pd.DataFrame | None:
         found = linking_pairs(g, least)
         return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(grouped(keys, each, ["a", "b"]), "a binary, b binary")
+    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInPandas(grouped(by, each, ["a", "b"]), "a binary, b binary")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows(id, fp) of all documents, classes(fp, component) of the texts that have a near-duplicate text)."""
+    """(rows(id, fp, row) of all documents, classes(fp, component) of the texts that have a near-duplicate text)."""
     rows = stage(sketched(docs, id_col, text_col), "near-sketches")
     texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
     member = texts.select("fp", F.explode("keys").alias("key"))
@@ -358,41 +373,41 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = stage(verified(tested, full, least), "near-links")
     found = components(links)
     # a key of two texts is settled by its one pair; larger ones may still join different classes
-    larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "m", "fp", F.coalesce("component", "fp").alias("component"))
-    larger = stage(larger, "near-larger")
-    unsettled = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    unsettled = stage(unsettled, "near-unsettled")
-    unsettled = larger.join(unsettled, "key")
-    more = stage(remaining_links(unsettled, full, least), "near-links")
+    larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+    more = stage(remaining_links(stage(larger, "near-larger"), full, least), "near-links")
     if not more.isEmpty():
         found = components(links.union(more))
-    return rows.select("id", "fp"), found.withColumnRenamed("node", "fp")
+    return rows.select("id", "fp", "row"), found.withColumnRenamed("node", "fp")
 
 
 def labelled_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, fp, component) of every row; a text without near-duplicates is its own component."""
+    """(id, fp, row, component) of every row; a text without near-duplicates is its own component."""
     found = found.select(F.col("fp").alias("node"), "component")
-    return rows.join(found, rows.fp == found.node, "left").select("id", "fp", F.coalesce("component", "fp").alias("component"))
+    return rows.join(found, rows.fp == found.node, "left").select("id", "fp", "row", F.coalesce("component", "fp").alias("component"))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """component -> (class_id, first: the one row that represents it, id, fp of that row)."""
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "fp"))
+    # staged: a join with the output of an aggregation can't be split where one class is very large
+    return stage(rows.groupBy("component").agg(first.alias("k")).select("component", F.col("k.id").alias("class_id"), F.col("k.row").alias("first"), F.col("k.fp").alias("first_fp")), "near-first")
 
 
 def near_duplicate_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """(id, class_id: smallest id of the class, kept) for every document."""
+    """(id, class_id: smallest id of the class, kept: one row of each class) for every document."""
     rows = stage(labelled_rows(*classes(docs, id_col=id_col, text_col=text_col, least=least)), "near-classes")
-    # staged: a join with the output of an aggregation can't be split where one class is very large
-    smallest = stage(rows.groupBy("component").agg(F.min("id").alias("class_id")), "near-smallest")
-    out = rows.join(smallest, "component")
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = rows.join(first_rows(rows), "component")
+    return out.select(F.col("id").alias(id_col), "class_id", ((F.col("row") == F.col("first")) | is_nothing("fp")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
     """One document of each class, with its columns: the one of smallest id, a text of which the class has."""
     rows = stage(labelled_rows(*classes(docs, id_col=id_col, text_col=text_col, least=least)), "near-classes")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp"))
-    keep = stage(rows.groupBy("component").agg(first.alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.fp").alias("keep_fp")), "near-kept")
+    keep = first_rows(rows).select(F.col("class_id").alias("keep_id"), F.col("first_fp").alias("keep_fp"))
     packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("row_id"), fingerprint(id_col, text_col).alias("row_fp"))
     same = packed.row_fp.eqNullSafe(F.col("keep_fp")) & packed.row_id.eqNullSafe(F.col("keep_id"))
     kept = packed.join(keep, same, "left_semi")
-    twice = rows.groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias("twice_id"), F.col("fp").alias("twice_fp"))
+    twice = rows.where(~is_nothing("fp")).groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias("twice_id"), F.col("fp").alias("twice_fp"))
     twin = packed.row_fp.eqNullSafe(F.col("twice_fp")) & packed.row_id.eqNullSafe(F.col("twice_id"))
     # rows repeated as they are: only those are compared row by row
     once = kept.join(twice, twin, "left_anti")
