@@ -1,16 +1,18 @@
 """Near-duplicate embeddings by lattice hashing.
 
-Unit vectors are projected to 8 dimensions by a random Gaussian matrix, one for each of
-``TABLES`` tables, scaled, and decoded to the nearest point of the lattice E8. A vector lies in
-the cell of that point and probes the ``PROBES`` neighbouring cells nearest to it (of 240), so
-two vectors meet in a table if one lies in the other's cell or in a cell the other probes.
-At cosine 0.95 they meet in one table with probability 0.89, and miss each other in all five
-once in 70,000; closer pairs less.
-
-Equal vectors are one node with a count, so copies are never compared. The members of a cell
-are compared in blocks of bounded size, a group for each pair of blocks, by exact cosine in
-double precision. A task gives each node one row: how many vectors it links to, and a node of
-its connected part. Pairs are not emitted. A pair that meets in several cells counts only
+Unit vectors are projected to ``BLOCKS`` times 8 dimensions by a random Gaussian matrix, one for each of
+``TABLES`` tables, scaled, and each 8 coordinates are decoded to the nearest point of the lattice E8; the
+points together are the vector's cell. A vector also probes ``PROBES`` neighbouring cells, those that a shift
+by a shortest lattice vector in one or more blocks reaches at the least distance, so two vectors meet in a
+table if one lies in the other's cell or in a cell the other probes. At cosine 0.95 they meet in one table
+with probability 0.45, and miss each other in all of them once in 4,000; closer pairs far less. Of unrelated
+pairs one in 5,000 meets.
+
+Equal vectors are one node with a count, so copies are never compared. The members of a cell are compared in
+blocks of bounded size, a group for each pair of blocks: first by ``BITS`` random-projection signs each, which
+leaves members without a possible partner behind, so that vectors travel only to cells in which they
+probably link; then by exact cosine in double precision. A task gives each node one row: how many vectors it
+links to, and a node of its connected part. Pairs are not emitted. A pair that meets in several cells counts only
 where it meets first, which both vectors' hashes tell.
 
 Defined results
@@ -36,7 +38,11 @@ from tileflow.llm.groups import grouped
 from tileflow.llm.scratch import stage
 
 THRESHOLD = 0.95
-TABLES, PROBES, SCALE = 5, 8, 0.75
+#: Parameters of the hash. More tables find more, more blocks or a larger scale compare less, more probes need fewer tables.
+TABLES, PROBES, BLOCKS, SCALE = 14, 4, 2, 0.6
+#: Signs of a vector, and how many may differ. Of a pair at cosine 0.95 13 differ on average, more than 40 once in 10^10; of an unrelated pair 64.
+BITS, MOST_DIFFERENT = 128, 40
+#: Members of a cell that are compared at once with as many others.
 BLOCK = 1024
 
 
@@ -47,14 +53,30 @@ def _roots() -> np.ndarray:
     return np.array([*whole, *half], float)
 
 
+#: All have the squared length 2.
 ROOTS = _roots()
-#: Coordinates of lattice points are halves; doubled they are integers, hashed by these odd numbers.
-CODE = np.random.default_rng(8).integers(1, 1 << 62, 8, dtype=np.int64) * 2 + 1
+#: One of each pair r, -r.
+HALF = np.array([r for r in ROOTS if tuple(r) > tuple(-r)])
+#: Coordinates of lattice points are halves; doubled they are integers, hashed by odd numbers.
+CODE = np.random.default_rng(8).integers(1, 1 << 62, (BLOCKS, 8), dtype=np.int64) * 2 + 1
+TABLE_CODE = np.int64(0x2127599BF4325C37)
+#: What a shift by a root adds to a code.
+SHIFT = [np.rint(HALF * 2).astype(np.int64) @ c for c in CODE]
 
 
 @cache
 def projection(dim: int, tables: int = TABLES) -> np.ndarray:
-    return np.random.default_rng(1234).standard_normal((tables, dim, 8)) * SCALE
+    return np.random.default_rng(1234).standard_normal((tables, dim, 8 * BLOCKS)) * SCALE
+
+
+@cache
+def _sides(dim: int) -> np.ndarray:
+    return np.random.default_rng(4321).standard_normal((dim, BITS))
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    """BITS signs of random projections, as longs."""
+    return np.packbits(x @ _sides(x.shape[1]) > 0, axis=1).view(np.int64)
 
 
 def _even_point(x: np.ndarray) -> np.ndarray:
@@ -75,20 +97,32 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
-def _code(points: np.ndarray) -> np.ndarray:
-    return np.rint(points * 2).astype(np.int64) @ CODE
+def _nearest(costs: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the n least of each row."""
+    return np.argpartition(costs, n - 1, axis=1)[:, :n] if n < costs.shape[1] else np.tile(np.arange(costs.shape[1]), (len(costs), 1))
 
 
 def cells(x: np.ndarray) -> np.ndarray:
     """Unit vectors -> codes (rows, tables, 1 + PROBES) of the own cell and of those probed."""
     out = np.empty((len(x), TABLES, 1 + PROBES), np.int64)
+    none = np.zeros((len(x), 1))
     for t, p in enumerate(projection(x.shape[1])):
         y = x @ p
-        c = decode(y)
-        # |y - c - r|^2 differs between neighbours r by r.r/2 - (y - c).r
-        order = np.argsort((ROOTS**2).sum(axis=1) / 2 - (y - c) @ ROOTS.T, axis=1, kind="stable")[:, :PROBES]
-        out[:, t, 0] = _code(c)
-        out[:, t, 1:] = _code((c[:, None, :] + ROOTS[order]).reshape(-1, 8)).reshape(len(x), PROBES)
+        own, cost, shift = np.full(len(x), x.shape[1] * TABLES + t, np.int64) * TABLE_CODE, none, none.astype(np.int64)
+        for block, (code, shifts) in enumerate(zip(CODE, SHIFT, strict=True)):
+            z = y[:, 8 * block : 8 * block + 8]
+            c = decode(z)
+            own += np.rint(c * 2).astype(np.int64) @ code
+            # a shift by a root r changes the squared distance by r.r - 2 (z - c).r, so by its sign r or -r is the nearer
+            along = (z - c) @ HALF.T
+            near = _nearest(-np.abs(along), PROBES)
+            along = np.take_along_axis(along, near, 1)
+            here, moved = np.hstack([none, 1 - np.abs(along)]), np.hstack([none.astype(np.int64), np.where(along < 0, -1, 1) * shifts[near]])
+            cost, shift = (cost[:, :, None] + here[:, None, :]).reshape(len(x), -1), (shift[:, :, None] + moved[:, None, :]).reshape(len(x), -1)
+            near = _nearest(cost[:, 1:], PROBES) + 1  # the first is the own cell
+            near = np.hstack([none.astype(np.int64), near])
+            cost, shift = np.take_along_axis(cost, near, 1), np.take_along_axis(shift, near, 1)
+        out[:, t] = own[:, None] + shift
     return out
 
 
@@ -99,27 +133,46 @@ def _unit(v: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """cells of paired vectors -> table in which they meet first, and the cell there that counts them."""
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """cells of paired vectors -> the cell that counts them, of the first table in which they meet."""
     same = a[:, :, 0] == b[:, :, 0]
     a_in = (b[:, :, 1:] == a[:, :, :1]).any(axis=2)
     b_in = (a[:, :, 1:] == b[:, :, :1]).any(axis=2)
     first = (same | a_in | b_in).argmax(axis=1)
     at = np.arange(len(a)), first
     ca, cb = a[:, :, 0][at], b[:, :, 0][at]
-    cell = np.where(same[at] | a_in[at] & ~b_in[at], ca, np.where(b_in[at] & ~a_in[at], cb, np.minimum(ca, cb)))
-    return first, cell
+    return np.where(same[at] | a_in[at] & ~b_in[at], ca, np.where(b_in[at] & ~a_in[at], cb, np.minimum(ca, cb)))
+
+
+def _sides_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left and of the right block of a group, and which of them may be paired: one lies in the cell, each pair once."""
+    own, block = g["own"].to_numpy(), g["block"].to_numpy()
+    left, right = np.flatnonzero(block == g["i"].iat[0]), np.flatnonzero(block == g["j"].iat[0])
+    may = own[left][:, None] | own[right][None, :]
+    return left, right, np.triu(may, 1) if g["i"].iat[0] == g["j"].iat[0] else may
+
+
+def possible(g: pd.DataFrame) -> pd.DataFrame | None:
+    """The members of a group (cell, i, j) whose signs leave them a partner."""
+    left, right, may = _sides_of(g)
+    if not may.any():
+        return None
+    s = np.stack([g["s0"].to_numpy(), g["s1"].to_numpy()]).view(np.uint64)
+    for k, words in enumerate(s):
+        bits = np.bitwise_count(words[left][:, None] ^ words[right][None, :])
+        differ = bits if not k else differ + bits
+    may &= differ <= MOST_DIFFERENT
+    live = np.zeros(len(g), bool)
+    live[left[may.any(axis=1)]] = True
+    live[right[may.any(axis=0)]] = True
+    return g.loc[live, ["cell", "i", "j", "block", "own", "node"]] if live.any() else None
 
 
 def compared(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
-    """One group (table, cell, i, j) -> (fp, links, root) of its linked nodes."""
-    table, cell, i, j = g["t"].iat[0], g["cell"].iat[0], g["i"].iat[0], g["j"].iat[0]
-    x, own, block = _unit(g["v"]), g["own"].to_numpy(), g["block"].to_numpy()
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    linked = x[left] @ x[right].T >= least
-    linked &= own[left][:, None] | own[right][None, :]
-    if i == j:
-        linked = np.triu(linked, 1)
+    """One group (cell, i, j) -> (node, links, root) of its linked nodes."""
+    left, right, may = _sides_of(g)
+    x = _unit(g["v"])
+    linked = (x[left] @ x[right].T >= least) & may
     a, b = np.nonzero(linked)
     if not len(a):
         return None
@@ -130,8 +183,7 @@ def compared(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
     links, weight = np.zeros(len(who), np.int64), g["n"].to_numpy()[who]
     for s in range(0, len(pa), 200_000):
         ka, kb = pa[s : s + 200_000], pb[s : s + 200_000]
-        first, at = _met(h[ka], h[kb])
-        mine = (first == table) & (at == cell)
+        mine = _met(h[ka], h[kb]) == g["cell"].iat[0]
         np.add.at(links, ka[mine], weight[kb[mine]])
         np.add.at(links, kb[mine], weight[ka[mine]])
     root = np.arange(len(who))
@@ -143,35 +195,41 @@ def compared(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
         if (nxt == root).all():
             break
         root = nxt
-    fp = g["fp"].to_numpy()[who]
-    return pd.DataFrame({"fp": fp, "links": links, "root": fp[root]})
+    node = g["node"].to_numpy()[who]
+    return pd.DataFrame({"node": node, "links": links, "root": node[root]})
 
 
 def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """vectors(fp, v, n), distinct and staged -> (fp, links, root), rows to be added up by fp."""
+    """vectors(node, v, n), distinct and staged -> (node, links, root), rows to be added up by node."""
     spark = vectors.sparkSession
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.tile(np.arange(1 + PROBES) == 0, TABLES)
         for b in batches:
             for _, g in b.groupby(b["v"].map(len)):
                 h = cells(_unit(g["v"]))
-                n, width = len(g), TABLES * (1 + PROBES)
-                yield pd.DataFrame({
-                    "t": np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n), "dim": np.int32(len(g["v"].iat[0])), "cell": h.reshape(-1),
-                    "own": np.tile(np.arange(1 + PROBES) == 0, n * TABLES), "fp": np.repeat(g["fp"].to_numpy(), width),
-                })
-
-    rows = stage(vectors.select("fp", "v").mapInPandas(hashed, "t int, dim int, cell long, own boolean, fp binary"), "lattice-cells")
-    key = ["t", "dim", "cell"]
-    size = rows.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("own").alias("owners")).where("m > 1 AND owners > 0").drop("owners")
+                yield pd.DataFrame({"cell": h.reshape(-1), "node": np.repeat(g["node"].to_numpy(), len(own)), "own": np.tile(own, len(g))})
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, g in b.groupby(b["v"].map(len)):
+                s = signs(_unit(g["v"]))
+                yield pd.DataFrame({"signed": g["node"].to_numpy(), "s0": s[:, 0], "s1": s[:, 1]})
+
+    rows = stage(vectors.select("node", "v").mapInPandas(hashed, "cell long, node long, own boolean"), "lattice-cells")
+    # a cell of one member, or of none that lies in it, has no pair
+    size = rows.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("own").alias("owners")).where("m > 1 AND owners > 0").drop("owners")
     size = stage(size, "lattice-sizes")  # else a join with an aggregate, which can't be split at a crowded cell
-    member = rows.join(size, key).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    member = rows.join(size, "cell").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    full = member.join(vectors, "fp").repartition(parts, *key, "i", "j").sortWithinPartitions(*key, "i", "j")
-    return full.mapInPandas(grouped([*key, "i", "j"], lambda g: compared(g, least), ["fp", "links", "root"]), "fp binary, links long, root binary")
+    member = member.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "node")
+    by, parts = ["cell", "i", "j"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, *by).sortWithinPartitions(*by)
+    sign = vectors.select("node", "v").mapInPandas(signed, "signed long, s0 long, s1 long")
+    live = dealt(member.join(sign, F.col("node") == F.col("signed")).drop("signed")).mapInPandas(grouped(by, possible, [*by, "block", "own", "node"]), "cell long, i int, j int, block int, own boolean, node long")
+    full = dealt(stage(live, "lattice-live").join(vectors, "node"))
+    return full.mapInPandas(grouped(by, lambda g: compared(g, least), ["node", "links", "root"]), "node long, links long, root long")
 
 
 def embedding_report(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = THRESHOLD) -> DataFrame:
@@ -179,12 +237,13 @@ def embedding_report(embeddings: DataFrame, *, id_col: str = "vec_id", vector_co
     good = F.col("id").isNotNull() & F.expr("coalesce(size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0), false)")
     rows = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("good", good)
     rows = rows.withColumn("fp", F.when(F.col("good"), F.unhex(F.md5(F.col("v").cast("string")))))
-    nodes = stage(rows.where("good").groupBy("fp").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id")), "lattice-nodes")
-    found = stage(links(nodes.select("fp", "v", "n"), least).groupBy("fp", "root").agg(F.sum("links").alias("links")), "lattice-links")
-    parts = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    counted = found.groupBy("fp").agg(F.sum("links").alias("links")).withColumnRenamed("fp", "f")
-    node = nodes.select("fp", "n", "least_id").join(parts, F.col("fp") == F.col("node"), "left").join(counted, F.col("fp") == F.col("f"), "left")
-    node = stage(node.select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "lattice-nodes")
+    nodes = rows.where("good").groupBy("fp").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "lattice-nodes")  # the number is fixed once staged
+    found = stage(links(nodes.select("node", "v", "n"), least).groupBy("node", "root").agg(F.sum("links").alias("links")), "lattice-links")
+    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "part_node")
+    counted = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "linked")
+    node = nodes.select("fp", "node", "n", "least_id").join(parts, F.col("node") == F.col("part_node"), "left").join(counted, F.col("node") == F.col("linked"), "left")
+    node = stage(node.select("fp", "n", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "lattice-nodes")
     name = stage(node.groupBy("component").agg(F.min("least_id").alias("component_id")), "lattice-names")
     node = node.join(name, "component").select(F.col("fp").alias("f"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "fp").join(node, F.col("fp") == F.col("f"), "left")
