@@ -74,6 +74,24 @@ def test_crowded_cells(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("small", [1, 5, 64])
+def test_pairs_of_groups(monkeypatch, small):
+    """Every pair of a group once, if one of the two lies in the cell and the blocks are those that meet."""
+    import pandas as pd
+
+    monkeypatch.setattr(E, "SMALL", small)
+    r = np.random.default_rng(small)
+    rows = []
+    for cell in range(40):
+        i, j = (0, 0) if cell % 2 else (0, 1)
+        rows += [(cell, i, j, int(r.integers(i, j + 1)), bool(r.random() < 0.4)) for _ in range(r.integers(2, 12))]
+    g = pd.DataFrame(rows, columns=["cell", "i", "j", "block", "own"])
+    a, b = E.pairs(g, g["cell"].to_numpy(), lambda a, b, crossed: np.ones((len(a), len(b)) if crossed else len(a), bool))
+    got = Counter(tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True))
+    want = [(x, y) for y in range(len(rows)) for x in range(y) if rows[x][0] == rows[y][0] and (rows[x][4] or rows[y][4]) and (rows[x][1] == rows[x][2] or rows[x][3] != rows[y][3])]
+    assert got == Counter(want)
+
+
 def test_odd_rows(spark):
     one = np.float32(np.random.default_rng(1).normal(size=8)).tolist()
     rows = [(1, one), (BIG, one), (3, None), (4, []), (5, [0.0] * 8), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [float("inf"), 1.0]), (None, one), (9, one[:7]), (1, one), (10, [x * 1e30 for x in one]), (11, [x * 1e-30 for x in one])]

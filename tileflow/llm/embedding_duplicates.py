@@ -25,7 +25,7 @@ Defined results
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.llm.components import components
-from tileflow.llm.groups import grouped
+from tileflow.llm.groups import together
 from tileflow.llm.scratch import stage
 
 THRESHOLD = 0.95
@@ -44,6 +44,8 @@ TABLES, PROBES, BLOCKS, SCALE = 14, 4, 2, 0.6
 BITS, MOST_DIFFERENT = 128, 40
 #: Members of a cell that are compared at once with as many others.
 BLOCK = 1024
+#: Rows of a group up to which its pairs are formed together with those of other groups.
+SMALL = 64
 
 
 def _roots() -> np.ndarray:
@@ -144,59 +146,82 @@ def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same[at] | a_in[at] & ~b_in[at], ca, np.where(b_in[at] & ~a_in[at], cb, np.minimum(ca, cb)))
 
 
-def _sides_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the left and of the right block of a group, and which of them may be paired: one lies in the cell, each pair once."""
-    own, block = g["own"].to_numpy(), g["block"].to_numpy()
-    left, right = np.flatnonzero(block == g["i"].iat[0]), np.flatnonzero(block == g["j"].iat[0])
-    may = own[left][:, None] | own[right][None, :]
-    return left, right, np.triu(may, 1) if g["i"].iat[0] == g["j"].iat[0] else may
+Test = Callable[[np.ndarray, np.ndarray, bool], np.ndarray]
 
 
-def possible(g: pd.DataFrame) -> pd.DataFrame | None:
-    """The members of a group (cell, i, j) whose signs leave them a partner."""
-    left, right, may = _sides_of(g)
-    if not may.any():
-        return None
-    s = np.stack([g["s0"].to_numpy(), g["s1"].to_numpy()]).view(np.uint64)
-    for k, words in enumerate(s):
-        bits = np.bitwise_count(words[left][:, None] ^ words[right][None, :])
-        differ = bits if not k else differ + bits
-    may &= differ <= MOST_DIFFERENT
-    live = np.zeros(len(g), bool)
-    live[left[may.any(axis=1)]] = True
-    live[right[may.any(axis=0)]] = True
-    return g.loc[live, ["cell", "i", "j", "block", "own", "node"]] if live.any() else None
-
-
-def compared(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
-    """One group (cell, i, j) -> (node, links, root) of its linked nodes."""
-    left, right, may = _sides_of(g)
+def pairs(g: pd.DataFrame, group: np.ndarray, test: Test) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of groups (cell, i, j) -> positions of the pairs that pass the test: one of them lies in the cell, each pair once.
+
+    ``test(a, b, crossed)`` tells of rows a and b, either one by one or, crossed, all a with all b. Small groups are paired
+    all at once, by the distance of their rows; of a larger one, block i meets block j."""
+    own, block, i, j = (g[c].to_numpy() for c in ("own", "block", "i", "j"))
+    size = np.bincount(group)[group]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, SMALL):
+        a = np.flatnonzero((group[:-d] == group[d:]) & (size[d:] <= SMALL))
+        if not len(a):
+            break
+        a = a[(own[a] | own[a + d]) & ((i[a] == j[a]) | (block[a] != block[a + d]))]
+        a = a[test(a, a + d, False)]
+        left.append(a)
+        right.append(a + d)
+    for first in np.flatnonzero((size > SMALL) & (group != np.concatenate([[-1], group[:-1]]))):
+        rows = np.arange(first, first + size[first])
+        a, b = rows[block[rows] == i[first]], rows[block[rows] == j[first]]
+        may = own[a][:, None] | own[b][None, :]
+        if i[first] == j[first]:
+            may = np.triu(may, 1)
+        x, y = np.nonzero(may & test(a, b, True)) if may.any() else ([], [])
+        left.append(a[x])
+        right.append(b[y])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def possible(g: pd.DataFrame, group: np.ndarray) -> pd.DataFrame | None:
+    """The members of groups whose signs leave them a partner."""
+    signs = [g[c].to_numpy().view(np.uint64) for c in ("s0", "s1")]
+
+    def test(a: np.ndarray, b: np.ndarray, crossed: bool) -> np.ndarray:
+        a = a[:, None] if crossed else a
+        return sum(np.bitwise_count(s[a] ^ s[b]).astype(np.uint8) for s in signs) <= MOST_DIFFERENT
+
+    live = np.unique(np.concatenate(pairs(g, group, test)))
+    return g.loc[live, ["cell", "i", "j", "block", "own", "node"]] if len(live) else None
+
+
+def compared(g: pd.DataFrame, group: np.ndarray, least: float) -> pd.DataFrame | None:
+    """Rows of groups -> (node, links, root) of their linked nodes."""
+    out = [one for _, at in g.groupby(g["v"].map(len)).indices.items() if (one := _compared(g.iloc[at], group[at], least)) is not None]
+    return pd.concat(out, ignore_index=True) if out else None
+
+
+def _compared(g: pd.DataFrame, group: np.ndarray, least: float) -> pd.DataFrame | None:
     x = _unit(g["v"])
-    linked = (x[left] @ x[right].T >= least) & may
-    a, b = np.nonzero(linked)
+    a, b = pairs(g, group, lambda a, b, crossed: (x[a] @ x[b].T if crossed else (x[a] * x[b]).sum(axis=1)) >= least)
     if not len(a):
         return None
-    a, b = left[a], right[b]
-    who, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pa, pb = inverse[: len(a)], inverse[len(a) :]
-    h = cells(x[who])
-    links, weight = np.zeros(len(who), np.int64), g["n"].to_numpy()[who]
-    for s in range(0, len(pa), 200_000):
-        ka, kb = pa[s : s + 200_000], pb[s : s + 200_000]
-        mine = _met(h[ka], h[kb]) == g["cell"].iat[0]
-        np.add.at(links, ka[mine], weight[kb[mine]])
-        np.add.at(links, kb[mine], weight[ka[mine]])
-    root = np.arange(len(who))
+    node, cell, n = (g[c].to_numpy() for c in ("node", "cell", "n"))
+    _, first, same = np.unique(node, return_index=True, return_inverse=True)  # a vector is in several cells of a batch
+    linked, at = np.unique(same[np.concatenate([a, b])], return_inverse=True)
+    h = cells(x[first[linked]])
+    ha, hb = at[: len(a)], at[len(a) :]
+    links = np.zeros(len(g), np.int64)
+    for s in range(0, len(a), 200_000):
+        pa, pb = a[s : s + 200_000], b[s : s + 200_000]
+        mine = _met(h[ha[s : s + 200_000]], h[hb[s : s + 200_000]]) == cell[pa]
+        np.add.at(links, pa[mine], n[pb[mine]])
+        np.add.at(links, pb[mine], n[pa[mine]])
+    root = np.arange(len(g))
     while True:
         nxt = root.copy()
-        np.minimum.at(nxt, pa, root[pb])
-        np.minimum.at(nxt, pb, root[pa])
+        np.minimum.at(nxt, a, root[b])
+        np.minimum.at(nxt, b, root[a])
         nxt = nxt[nxt]
         if (nxt == root).all():
             break
         root = nxt
-    node = g["node"].to_numpy()[who]
-    return pd.DataFrame({"node": node, "links": links, "root": node[root]})
+    who = np.unique(np.concatenate([a, b]))
+    return pd.DataFrame({"node": node[who], "links": links[who], "root": node[root[who]]})
 
 
 def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -227,9 +252,9 @@ def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     by, parts = ["cell", "i", "j"], int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(parts, *by).sortWithinPartitions(*by)
     sign = vectors.select("node", "v").mapInPandas(signed, "signed long, s0 long, s1 long")
-    live = dealt(member.join(sign, F.col("node") == F.col("signed")).drop("signed")).mapInPandas(grouped(by, possible, [*by, "block", "own", "node"]), "cell long, i int, j int, block int, own boolean, node long")
+    live = dealt(member.join(sign, F.col("node") == F.col("signed")).drop("signed")).mapInPandas(together(by, possible, [*by, "block", "own", "node"]), "cell long, i int, j int, block int, own boolean, node long")
     full = dealt(stage(live, "lattice-live").join(vectors, "node"))
-    return full.mapInPandas(grouped(by, lambda g: compared(g, least), ["node", "links", "root"]), "node long, links long, root long")
+    return full.mapInPandas(together(by, lambda g, group: compared(g, group, least), ["node", "links", "root"]), "node long, links long, root long")
 
 
 def embedding_report(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = THRESHOLD) -> DataFrame:
