@@ -46,6 +46,21 @@ def test_one_text_is_most_rows(spark):
     assert max(size.values()) <= 1.05 * min(size.values())
 
 
+@pytest.mark.parametrize("slice_bytes", [100, 700, 10_000])
+def test_slices_number_a_shard_without_gaps(spark, slice_bytes):
+    docs = [(i, "same text" if i % 3 == 0 else "other text, much longer" if i % 3 == 1 else text(i, 8), "en", "a") for i in range(1500)] + [(None, None, None, None)] * 3
+    out = sharding.shard(documents(spark, docs), 4, slice_bytes=slice_bytes).select("doc.doc_id", "size", "shard", "slot").collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == len(docs)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    size = Counter()
+    for r in out:
+        size[r.shard] += r.size
+    assert max(size.values()) <= 1.05 * min(size.values())
+
+
 def test_documents_keep_their_columns(spark):
     out = sharding.shard(documents(spark), 2)
     assert set(out.columns) == {"doc", "size", "shard", "slot"}
@@ -90,6 +105,23 @@ def test_targets(spark, sources):
     assert sorted(got, key=lambda r: r.doc_id) == sorted(mixing.mix_report(documents(spark, docs)).collect(), key=lambda r: r.doc_id)
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows"])
+def test_shared_ids_are_split(spark, kind):
+    """Nine in ten rows without an id, with one id, or equal altogether: every source still comes within a document of its target."""
+    shared = {"null ids": lambda i: None, "one id": lambda i: 7, "equal rows": lambda i: None}[kind]
+    docs = [(i if i % 10 == 0 else shared(i), text(3, 20) if kind == "equal rows" and i % 10 else text(i, 20), "en", "abc"[i % 3]) for i in range(1000)]
+    got = mixing.mix_report(documents(spark, docs))
+    docs_by = mixing.mixed_documents(documents(spark, docs)).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    sizes = Counter()
+    for _, t, _, s in docs:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    assert {r.source for r in docs_by} == set(want)
+    assert all(abs(r.words - want[r.source]) <= 20 for r in docs_by)
+    assert got.agg(F.sum("taken")).first()[0] == sum(r.words for r in docs_by)
+    assert Counter(got.collect()) == Counter(mixing.mix_report(documents(spark, docs).repartition(7)).collect())
+
+
 def test_mix_odd_rows(spark):
     got = mixing.mix_report(documents(spark)).collect()
     assert len(got) == len(ROWS)
@@ -112,7 +144,7 @@ def test_mixed_documents_follow_the_report(spark):
 
 def test_budgets_are_nested(spark):
     rows = documents(spark, [(i, text(i, 20), "en", "a" if i % 3 else "b") for i in range(500)], extra=False)
-    m = mixing.measured(rows).select(F.col("doc.doc_id").alias("doc_id"), "source", "size", "hk").cache()
+    m = mixing.measured(rows).select(F.col("doc.doc_id").alias("doc_id"), "source", "size", "hk", "row").cache()
     below = [{r.source: r.below for r in mixing.thresholds(m, w).collect() if r.whole == 0} for w in ((1, 2, 3), (1, 4, 3))]
     assert below[0]["a"] < 1 << 60
     assert below[1]["a"] <= below[0]["a"]
