@@ -3,9 +3,10 @@
 Rows are ordered by (60-bit hash of the text, 60-bit hash of the id). Splitters are found
 by probing: each round cuts every open cell of the key space into ``FAN`` equal intervals,
 counts exact bytes and rows below each of them across all partitions, and keeps the
-interval that holds the splitter, until its bytes are within tolerance of the aim. Rows are
-then exchanged once, by the finest range, and numbered inside it; the rows below each
-range are known from the counts, so numbers are gapless over a whole shard.
+interval that holds the splitter, until its bytes are within tolerance of the aim. Between splitters
+keys are hashes, so equal slices of the key space hold about equal bytes: a range is sliced until a slice
+holds about ``slice_bytes``. Rows are then exchanged once, by range and slice, and numbered
+inside it; the rows of each slice are counted, so numbers are gapless over a whole shard.
 
 Equal texts are neighbours in this order, and a splitter falls between two texts wherever
 that meets the tolerance; a group of copies larger than that is cut by id hash, so no shard
@@ -75,15 +76,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[Column]) -> Da
     return docs.select(*keep, size.alias("size"), id_hash(F.col(text_col)).alias("k"), id_hash(F.col(id_col)).alias("h"))
 
 
-def splitters(rows: DataFrame, ranges: int, slack: list[float]) -> tuple[list[tuple[int, int]], list[int]]:
-    """rows(k, h, size), staged -> the first keys of ranges 1.., and the rows below each.
+def splitters(rows: DataFrame, ranges: int, slack: list[float]) -> list[tuple[int, int]]:
+    """rows(k, h, size), staged -> the first keys of ranges 1..
     slack: for each splitter, the bytes by which it may miss its aim."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     aims = [total * i // ranges for i in range(1, ranges)]
-    found: dict[int, tuple[tuple[int, int], int]] = {}
-    cells = {i: (Cell(None, 0, TOP), 0, 0) for i in range(len(aims))} if total else {}
+    found: dict[int, tuple[int, int]] = {}
+    cells = {i: (Cell(None, 0, TOP), 0) for i in range(len(aims))} if total else {}
     while cells:
-        open_cells = sorted({c for c, _, _ in cells.values()}, key=lambda c: (c.start(), c.k is not None))
+        open_cells = sorted({c for c, _ in cells.values()}, key=lambda c: (c.start(), c.k is not None))
         number = {c: n for n, c in enumerate(open_cells)}
         which, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
         for c, n in number.items():
@@ -93,27 +94,26 @@ def splitters(rows: DataFrame, ranges: int, slack: list[float]) -> tuple[list[tu
         for r in counted.collect():
             by.setdefault(r.c, []).append((r.b, r.bytes, r.rows))
         nxt = {}
-        for i, (cell, under, rows_under) in cells.items():
+        for i, (cell, under) in cells.items():
             aim = aims[i]
             for b, n_bytes, n_rows in sorted(by[number[cell]]):
                 if under + n_bytes >= aim:
                     break
-                under, rows_under = under + n_bytes, rows_under + n_rows
+                under += n_bytes
             part = cell.part(b)
             if aim - under <= slack[i]:
-                found[i] = (part.start(), rows_under)
+                found[i] = part.start()
             elif under + n_bytes - aim <= slack[i]:
-                found[i] = (part.after(), rows_under + n_rows)
+                found[i] = part.after()
             elif part.lo < part.hi and n_rows > 1:
-                nxt[i] = (part, under, rows_under)
+                nxt[i] = (part, under)
             elif n_rows > 1 and (inner := part.inner()):
-                nxt[i] = (inner, under, rows_under)
+                nxt[i] = (inner, under)
             else:
                 near = aim - under <= under + n_bytes - aim
-                found[i] = (part.start(), rows_under) if near else (part.after(), rows_under + n_rows)
+                found[i] = part.start() if near else part.after()
         cells = nxt
-    keys = [found[i][0] for i in sorted(found)]
-    return keys, [found[i][1] for i in sorted(found)]
+    return [found[i] for i in sorted(found)]
 
 
 def range_of(keys: list[tuple[int, int]], first: int = 0) -> Column:
@@ -126,7 +126,20 @@ def range_of(keys: list[tuple[int, int]], first: int = 0) -> Column:
     return F.when(at_or_above, range_of(keys[mid + 1 :], first + mid + 1)).otherwise(range_of(keys[:mid], first))
 
 
-def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, tolerance: float = 0.002, ranges_per_shard: int = 8) -> DataFrame:
+def slice_of(keys: list[tuple[int, int]], slices: int) -> Column:
+    """Slice of a row within its range, rising with the key: of the text hash, or of the id hash where a range lies in one text."""
+    edges = [(0, 0), *keys, (TOP + 1, 0)]
+    low, width, by_id = [], [], []
+    for (k, h), (k2, h2) in zip(edges, edges[1:], strict=False):
+        by_id.append(k == k2)
+        low.append(h if k == k2 else k)
+        width.append(max((h2 - h if k == k2 else k2 - k + 1), 1))
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("range_no") + 1)
+    key = F.when(of(by_id, "boolean"), F.col("h")).otherwise(F.col("k"))
+    return F.least(F.floor((key - of(low, "long")) / of(width, "double") * slices), F.lit(slices - 1)).cast("int")
+
+
+def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, tolerance: float = 0.002, ranges_per_shard: int = 8, slice_bytes: int = 128 << 20) -> DataFrame:
     """``keep`` (all columns as struct ``doc`` by default), size, shard, slot. Splitters of shards
     miss their aim by at most ``tolerance`` of a shard, unless one row is larger than that."""
     rows = stage(keyed(docs, id_col, text_col, keep if keep is not None else [F.struct("*").alias("doc")]), "shard-rows")
@@ -134,13 +147,15 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     ranges = shards * ranges_per_shard
     # only splitters between shards must be near their aim; the others just spread the work
     slack = [total / shards * (0.2 / ranges_per_shard if i % ranges_per_shard else tolerance) for i in range(1, ranges)]
-    keys, under = splitters(rows, ranges, slack)
+    keys = splitters(rows, ranges, slack)
     placed = rows.withColumn("range_no", range_of(keys).cast("int"))
-    under = [0, *under]
-    base = [under[r] - under[r // ranges_per_shard * ranges_per_shard] for r in range(len(under))]
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in base]), F.col("range_no") + 1)
-    slot = F.row_number().over(Window.partitionBy("range_no").orderBy("k", "h")) - 1 + offset
-    return placed.withColumns({"slot": slot.cast("long"), "shard": F.floor(F.col("range_no") / ranges_per_shard).cast("int")}).drop("k", "h", "range_no")
+    placed = placed.withColumn("slice_no", slice_of(keys, max(1, -(-total // (ranges * slice_bytes)))))
+    dealt = ["range_no", "slice_no"]
+    count = placed.groupBy(*dealt).agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("range_no") / ranges_per_shard).cast("int"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(*dealt)) - F.col("n")
+    count = stage(count.select(*dealt, "shard", before.alias("before")), "shard-counts")
+    slot = F.row_number().over(Window.partitionBy(*dealt).orderBy("k", "h")) - 1 + F.col("before")
+    return placed.join(count, dealt).withColumn("slot", slot.cast("long")).drop("k", "h", "before", *dealt)
 
 
 def shard_report(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
