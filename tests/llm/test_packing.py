@@ -51,7 +51,7 @@ def test_few_sequences(spark, plain):
 
 
 def test_tree_of_small_nodes(spark, plain, monkeypatch):
-    monkeypatch.setattr(P, "KEEP", 10)
+    monkeypatch.setattr(P, "NODE", 80)
     docs = [(i, text(i, 20 + i * 37 % 200), "en", "a") for i in range(600)]
     n, least = check(P.packing_report(documents(spark, docs).repartition(8)).collect(), docs, plain)
     assert n <= least * 1.05 + 2
@@ -71,6 +71,18 @@ def test_input_sorted_by_length(spark, monkeypatch, leaf):
     assert len(used) <= (2000 if leaf > 4000 else 2100)
 
 
+def test_no_bin_is_closed_before_its_time(spark, monkeypatch):
+    """Bins that only other leaves' bins can fill, many times what a node holds: the rounds still join nearly all."""
+    monkeypatch.setattr(P, "LEAF", 500)
+    monkeypatch.setattr(P, "NODE", 100)
+    parts = spark.range(0, 6000, 1, 3).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 600L ELSE 424L END AS length")
+    rows = P.packed(parts).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6000))
+    assert len({r.sequence_id for r in rows}) <= 3000 * 1.04
+    alike = P.packed(spark.range(0, 3000, 1, 3).selectExpr("id AS doc_id", "600L AS length")).collect()
+    assert len({r.sequence_id for r in alike}) == 3000
+
+
 def test_sequences_hold_the_ids(spark, plain):
     docs = [(i, text(i, 300), "en", "a") for i in range(20)] + [(3, text(3, 300), "en", "a")]
     rows = P.sequences(documents(spark, docs)).collect()

@@ -3,11 +3,10 @@
 Documents are tokenised, ended with one id, and cut only where they are longer than a
 sequence. Pieces are dealt by a hash of their row number to leaves of about ``LEAF``, so that each
 sees the whole mix of lengths whatever the input's order, and packed there by best fit, largest first. Bins with at
-most ``SLACK`` free places are finished; of the rest each node passes its ``KEEP`` emptiest
-bins up a tree, where they are items of the next round of best fit, eight nodes' bins in
-one, until one node is left. A bin moves as a whole, so its pieces stay together and a
-round ships only what can still be improved. A node holds at most ``CHUNK`` pieces or
-``FAN * KEEP`` bins, whatever the input's size.
+most ``SLACK`` free places are finished; all others go up a tree, where they are items of the next round
+of best fit, dealt anew to nodes of about ``NODE`` bins, until one node holds all or a round joins less than
+one bin in ``STALL``. A bin moves as a whole, so its pieces stay together and a round ships only what can still
+be improved. A node holds at most ``CHUNK`` pieces or about ``NODE`` bins, whatever the input's size.
 
 Best fit runs on residual classes: open bins are kept by free places, and a bit set of the
 non-empty classes gives the tightest one, so an item costs a few machine operations.
@@ -39,7 +38,8 @@ from tileflow.llm.scratch import stage
 LENGTH = 1024
 END_ID = 2
 SLACK = 4
-KEEP, FAN = 8192, 8
+#: Bins of a node of the tree; a round that joins fewer than one bin in STALL is the last.
+NODE, STALL = 65_536, 200
 CHUNK, LEAF = 400_000, 100_000
 PROBE = "It's a test: café 你好  \t\n\n 12345 foo_bar <|endoftext|> don't x \U0001f600"
 
@@ -136,7 +136,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def merge(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, length: int, slack: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, length: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One node: pieces of whole bins -> for each piece its bin after the round, its offset there, and whether that bin is done."""
     ids, of = np.unique(bins, return_inverse=True)
     used = np.bincount(of, weights=lengths).astype(np.int64)
@@ -155,9 +155,6 @@ def merge(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, length: in
     target[order] = into
     room = length - np.bincount(into, weights=used[order], minlength=n).astype(np.int64)
     done = room <= slack
-    still = np.flatnonzero(~done)
-    if len(still) > keep:
-        done[still[np.lexsort((still, -room[still]))[keep:]]] = True
     return ids[first[target[of]]], offsets + shift[of], done[target[of]]
 
 
@@ -166,9 +163,9 @@ def _with(rows, name: str, values: np.ndarray):
     return rows.set_column(at, rows.schema.field(at), pa.array(values))
 
 
-def _merged(rows: pa.Table, length: int, keep: int) -> Iterator[pa.RecordBatch]:
+def _merged(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """One node over Arrow rows; ids pass through untouched."""
-    bins, offsets, done = merge(*[rows.column(c).to_numpy() for c in ("bin", "length", "offset")], length, SLACK, keep)
+    bins, offsets, done = merge(*[rows.column(c).to_numpy() for c in ("bin", "length", "offset")], length, SLACK)
     for name, values in (("bin", bins), ("offset", offsets), ("done", done)):
         rows = _with(rows, name, values)
     yield from rows.combine_chunks().to_batches(max_chunksize=10_000)
@@ -177,7 +174,7 @@ def _merged(rows: pa.Table, length: int, keep: int) -> Iterator[pa.RecordBatch]:
 def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces -> the same with sequence_id and offset. Every level is staged, so a lost executor repeats one level's tasks."""
     items = stage(parts, "pack-pieces").withColumn("bin", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    items, keep = items.withColumn("done", F.lit(False)), KEEP
+    items = items.withColumn("done", F.lit(False))
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,25 +184,26 @@ def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield _with(whole, "done", np.ones(whole.num_rows, bool))
             held.append(b.filter(pc.invert(full)))
             if sum(x.num_rows for x in held) >= CHUNK:
-                yield from _merged(pa.Table.from_batches(held), length, keep)
+                yield from _merged(pa.Table.from_batches(held), length)
                 held = []
         if sum(x.num_rows for x in held):
-            yield from _merged(pa.Table.from_batches(held), length, keep)
+            yield from _merged(pa.Table.from_batches(held), length)
 
     def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if sum(x.num_rows for x in held):
-            yield from _merged(pa.Table.from_batches(held), length, keep)
+            yield from _merged(pa.Table.from_batches(held), length)
 
     leaves = max(1, -(-items.count() // LEAF))
     level = stage(items.repartition(leaves, "bin").mapInArrow(leaf, items.schema), "pack-level")
-    finished = [level.where("done")]
+    finished, turn, last = [level.where("done")], 0, None
     while left := level.where("NOT done").select("bin").distinct().count():
-        nodes = -(-left // (FAN * keep))
-        level = stage(level.where("NOT done").repartition(nodes, "bin").mapInArrow(node, items.schema), "pack-level")
-        finished.append(level if nodes == 1 else level.where("done"))
-        if nodes == 1:
+        if last is not None and (last[0] == 1 or left > last[1] - last[1] // STALL):
+            finished.append(level.where("NOT done"))  # they can't be joined, or hardly
             break
+        last, turn = (-(-left // NODE), left), turn + 1
+        level = stage(level.where("NOT done").repartition(last[0], F.xxhash64("bin", F.lit(turn))).mapInArrow(node, items.schema), "pack-level")
+        finished.append(level.where("done"))
     return reduce(DataFrame.unionAll, finished).withColumnRenamed("bin", "sequence_id").drop("done")
 
 
