@@ -165,7 +165,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The documents whose score reaches ``cut``, with all their columns."""
-    model = train(stage(measured(docs, id_col, text_col), "quality-statistics"), labels)
-
-    return kept(docs, text_col, lambda: lambda texts: scores(model, np.stack([statistics(t) for t in texts])) >= cut)
+    """The documents whose score reaches ``cut``, with all their columns. They are staged with their statistics, which
+    costs less than to compute these again."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = stage(computed(rows, ["text"], lambda: lambda texts: [[statistics(t) for t in texts]], "x array<double>"), "quality-documents")
+    model = train(rows.select("id", "x"), labels)
+    return kept(rows.select("doc", "x"), "x", lambda: lambda x: scores(model, np.array(x)) >= cut).select("doc.*")

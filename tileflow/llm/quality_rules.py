@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tileflow.llm.scratch import stage
 
+#: Documents from which a group's own thresholds count; a smaller one uses those of the merged sketches. Default of the parameter ``min_group``.
 MIN_GROUP = 100
 #: metric -> (numerator, denominator, scale, slack above the upper fence, whether it has a lower fence)
 METRICS = {
@@ -93,7 +94,7 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return q.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("lo", "hi")])
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """rows(lang, source, counts..), staged -> with base_failed and kept."""
     rows = rows.withColumn("base_failed", F.expr(BASE_FAILED))
     sketches = stage(sketch(rows.where("NOT base_failed")), "rule-sketches")
@@ -102,17 +103,17 @@ def verdicts(rows: DataFrame) -> DataFrame:
     of_lang = of_lang.select(F.col("lang").alias("l1"), F.col("docs").alias("docs1"), *[F.col(c).alias(f"{c}1") for c in cols])
     of_all = of_all.select(*[F.col(c).alias(f"{c}2") for c in cols])
     chosen = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").join(of_all, F.lit(True), "left")
-    pick = lambda c: F.when(F.col("docs") >= MIN_GROUP, F.col(c)).when(F.col("docs1") >= MIN_GROUP, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
+    pick = lambda c: F.when(F.col("docs") >= min_group, F.col(c)).when(F.col("docs1") >= min_group, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
     chosen = stage(chosen.select(F.col("lang").alias("fl"), F.col("source").alias("fs"), *[pick(c).alias(c) for c in cols]), "rule-fences")
     inside = " AND ".join(f"coalesce({metric(m)} <= {m}_hi, true) AND coalesce({metric(m)} >= {m}_lo, true)" for m in METRICS)
     joined = rows.join(chosen, F.col("lang").eqNullSafe(F.col("fl")) & F.col("source").eqNullSafe(F.col("fs")), "left")
     return joined.withColumn("kept", F.expr(f"NOT base_failed AND {inside}")).drop("fl", "fs", *cols)
 
 
-def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     rows = counted(docs, text_col)
     rows = stage(rows.select(F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{lang_col}").alias("lang"), F.col(f"doc.{source_col}").alias("source"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"), "rule-counts")
-    return verdicts(rows).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return verdicts(rows, min_group).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
