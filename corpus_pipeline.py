@@ -3,7 +3,15 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
 the last return the columns of ``documents``; the last returns the pieces of the packed
 sequences. A stage's result is meant to be written as Parquet and read again as the next
-one's ``docs``; ``run`` does that in the shared folder of the session.
+one's ``docs``; ``run`` does that in the shared folder of the session, and deletes what a
+stage wrote on the way as soon as its result is there.
+
+Defined results
+    Nulls in any column: as the operators define them; a null text scores as the empty text, is a class of its
+    own, holds no secret, has size 0 (and so is taken as often as its source's whole copies say) and is
+    packed as the end id alone. Ties: each operator's. Repeated rows: one is kept by near-dedup.
+    Empty table: empty results. Very long texts: handled whole, cut only when packed. Columns beyond
+    those of ``documents``, whatever their names: dropped by the first stage, ignored by all.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.llm import mixing, near_duplicates, packing, quality_classifier, secrets
-from tileflow.llm.scratch import small_batches, stage, tables
+from tileflow.llm.scratch import passing, small_batches, stage, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,7 +74,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir, "documents")
+    docs, label = tables(spark, sf_dir, "documents"), lambda name: f"pipeline-{name.replace(' ', '-')}"
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with passing(spark, keep=label(name)):
+            docs = stage(step(spark, docs, sf_dir), label(name))
     return STAGES[-1][1](spark, docs, sf_dir)
