@@ -82,12 +82,33 @@ def test_admission_equals_replay(spark, seed):
     cmds = list(Q.QUEUE_OF)
     rows = [(i, "s", 12, rng.randrange(40) * 8, rng.randrange(30) * 8, rng.choice(cmds)) for i in range(1500)]
     df = spark.createDataFrame(rows, "req_id long, style string, z int, mx long, my long, cmd string")
-    # caps so that nothing is dropped: with drops the set form counts a metatile's repeats with its first request
+    # caps so that nothing is dropped
     want = dict(Q.replay(((i, (s, z, x, y), c) for i, s, z, x, y, c in rows), 50, 5000))
     got = {r.req_id: r.reply for r in Q.replies(Q.admission(df, 50, 5000)).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize(("seed", "req_limit", "dirty_limit"), [(s, r, d) for s in range(3) for r, d in ((3, 10), (20, 5), (8, 60))])
+def test_admission_equals_replay_with_drops(spark, seed, req_limit, dirty_limit):
+    """Rare commands leave queues with room after Dirty is full, so metatiles once dropped come in later."""
+    rng = random.Random(100 + seed)
+    cmds = [*["Dirty", "RenderPrio"] * 8, *Q.QUEUE_OF]
+    rows = [(i, "s", 12, rng.randrange(25) * 8, rng.randrange(12) * 8, rng.choice(cmds)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "req_id long, style string, z int, mx long, my long, cmd string")
+    q = Q.RenderQueue(req_limit, dirty_limit)
+    want, dropped = {}, 0
+    for i, s, z, x, y, c in rows:
+        was = q.dropped
+        reply = q.add((s, z, x, y), c, i)
+        dropped += q.dropped - was
+        want[i] = (reply, q.dropped > was)
+    got = Q.admission(df, req_limit, dirty_limit)
+    replies = {r.req_id: r.reply for r in Q.replies(got).collect()}
+    assert replies == {i: reply for i, (reply, _) in want.items()}
+    assert {r.req_id for r in got.where("queue = 'Dropped'").collect()} == {i for i, (_, d) in want.items() if d}
+    assert dropped > 0
+
+
 def test_admission_drops(spark):
     rows = [(i, "s", 12, i % 900 * 8, 0, "RenderPrio") for i in range(1800)]
     df = spark.createDataFrame(rows, "req_id long, style string, z int, mx long, my long, cmd string")
@@ -140,7 +161,7 @@ def test_buckets():
 
 
 def test_container_round_trip(spark):
-    tiles = {(x & 7) * 8 + (y & 7): f"DEADBEAF {x:02d} {y:02d}".encode() for x in range(4) for y in range(8)}
+    tiles = {(x & 7) * 8 + (y & 7): f"tile of column {x} and row {y}".encode() for x in range(4) for y in range(8)}
     for packed in (False, True):
         blob = metatile.pack(1024, 1024, 10, tiles, packed)
         df = spark.createDataFrame([(x, y, bytearray(blob)) for x in range(8) for y in range(8)], "x long, y long, blob binary")

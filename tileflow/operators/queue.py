@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections import OrderedDict, deque
 from collections.abc import Iterable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,11 @@ def wanted(cmd: str = "cmd"):
 
 
 def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int = DIRTY_LIMIT) -> DataFrame:
-    """requests with wanted, first_req (of the metatile), queue (of first requests: where they went, or Dropped)."""
+    """requests with wanted, first_req (the admitted one of the metatile, or its first) and queue (where that went, or Dropped).
+
+    Until Dirty is full nothing is dropped, so the first request of a metatile is the one that counts. A dropped request
+    leaves nothing behind: a later one of its metatile is admitted if its own queue still has room, see ``_late``.
+    """
     first = requests.groupBy(*KEY).agg(F.min_by(F.struct("req_id", wanted().alias("wanted")), "req_id").alias("f"))
     first = first.select(*KEY, F.col("f.req_id").alias("req_id"), F.col("f.wanted").alias("wanted"))
     last = {}
@@ -43,14 +49,47 @@ def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int
     for q in last:
         own = F.when(F.col("wanted") == q, F.col("req_id") <= F.col(f"last_{q}")).otherwise(own)
     marked = marked.select(*KEY, "req_id", "wanted", F.coalesce(own, F.lit(False)).alias("own"))
-    cut = marked.where("NOT own").select("req_id").orderBy("req_id").limit(dirty_limit).agg(F.max("req_id").alias("last_dirty"))
-    placed = marked.join(F.broadcast(cut), how="left")
-    queue = F.when(F.col("own"), F.col("wanted")).when(F.col("req_id") <= F.col("last_dirty"), "Dirty").otherwise("Dropped")
-    placed = placed.select(*[F.col(k).alias(f"k_{k}") for k in KEY], F.col("req_id").alias("first_req"), queue.alias("queue"))
+    cut = marked.where("NOT own").select("req_id").orderBy("req_id").limit(dirty_limit).agg(F.when(F.count("*") >= dirty_limit, F.max("req_id")).alias("full_at"))
+    placed = marked.join(F.broadcast(cut), how="left").withColumn("early", F.coalesce(F.col("req_id") <= F.col("full_at"), F.lit(True)))
+    late = _late(requests, placed, req_limit)
+    same = F.lit(True)
+    for k in KEY:
+        same &= F.col(k) == F.col(f"late_{k}")
+    placed = placed.join(late, same & ~F.col("early"), "left")
+    queue = F.when(F.col("early"), F.when(F.col("own"), F.col("wanted")).otherwise(F.lit("Dirty"))).otherwise(F.coalesce("late_queue", F.lit("Dropped")))
+    placed = placed.select(*[F.col(k).alias(f"k_{k}") for k in KEY], F.col("req_id").alias("f"), F.col("late_req").alias("late"), queue.alias("q"))
     same = F.lit(True)
     for k in KEY:
         same &= F.col(k) == F.col(f"k_{k}")
-    return requests.join(placed, same).drop(*[f"k_{k}" for k in KEY]).withColumn("wanted", wanted())
+    out = requests.join(placed, same)
+    before = F.coalesce(F.col("req_id") < F.col("late"), F.lit(False))  # dropped, before one that was admitted
+    return out.select(*requests.columns, wanted().alias("wanted"), F.when(before, F.col("f")).otherwise(F.coalesce("late", "f")).alias("first_req"), F.when(before, "Dropped").otherwise(F.col("q")).alias("queue"))
+
+
+def _late(requests: DataFrame, placed: DataFrame, req_limit: int) -> DataFrame:
+    """Metatiles not seen before Dirty was full -> (late_<key>, late_req, late_queue) of those admitted after it.
+
+    Of a metatile only its first request for each queue can matter: a queue that had no room then has none later.
+    At most ``req_limit`` go to each of the four other queues, and each of them can make one candidate of another queue
+    void, so the first four times ``req_limit`` candidates of a queue decide: few rows, run through in order.
+    """
+    open_keys = placed.where("NOT early").select(*KEY)
+    taken = placed.where("early AND own").groupBy("wanted").agg(F.count("*").alias("taken")).withColumnRenamed("wanted", "w")
+    offers = requests.withColumn("wanted", wanted()).where("wanted <> 'Dirty'").join(open_keys, KEY, "left_semi").groupBy(*KEY, "wanted").agg(F.min("req_id").alias("req_id"))
+    queues = [q for q in FETCH_ORDER if q != "Dirty"]
+    few = reduce(DataFrame.unionAll, [offers.where(F.col("wanted") == q).orderBy("req_id").limit(len(queues) * req_limit) for q in queues])
+    few = few.join(F.broadcast(taken), F.col("wanted") == F.col("w"), "left").select(*KEY, "wanted", "req_id", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        room, got = {q: req_limit - int(n) for q, n in zip(g["wanted"], g["taken"], strict=True)}, {}
+        for style, z, mx, my, q, req_id, _ in g.sort_values("req_id").itertuples(index=False):
+            if (style, z, mx, my) not in got and room[q] > 0:
+                room[q] -= 1
+                got[style, z, mx, my] = (req_id, q)
+        return pd.DataFrame([(*k, *v) for k, v in got.items()], columns=[*[f"late_{k}" for k in KEY], "late_req", "late_queue"])
+
+    types = dict(requests.dtypes)
+    return few.groupBy().applyInPandas(run, ", ".join(f"late_{k} {types[k]}" for k in KEY) + f", late_req {types['req_id']}, late_queue string")
 
 
 def replies(admitted: DataFrame) -> DataFrame:
