@@ -190,11 +190,79 @@ def test_stores(tmp_path, spark):
     assert stores.open_store("ftp://x") is None
     assert stores.open_store("") is None
     for uri in ("ro_http_proxy://h", "composite:{a,/x}{b,/y}"):
-        with pytest.raises(stores.ReadOnlyStore):
-            stores.open_store(uri).write(spark.range(1))
+        for change in ("write", "delete", "expire"):
+            with pytest.raises(stores.ReadOnlyStore):
+                getattr(stores.open_store(uri), change)(spark.range(1))
     stores.open_store("null://").write(spark.range(1))
 
 
+def _some_tiles(spark):
+    rows = [("s", 10, 8 * i, 16, 8 * i + k, 16 + k, f"tile {i} {k}".encode()) for i in range(4) for k in range(3)]
+    return spark.createDataFrame(rows, "style string, z int, mx long, my long, x long, y long, data binary")
+
+
+@pytest.mark.parametrize("uri", ["file", "memcached://", "rados://pool/etc/x"])
+def test_store_operations(spark, tmp_path, uri):
+    """Written tiles are read and stated, deleted ones are gone, expired ones are old or marked, written again they are fresh."""
+    import datetime as dt
+
+    tiles = _some_tiles(spark)
+    blobs = metatile.encoded(tiles, ["style", "z", "mx", "my"]).withColumn("mtime", F.expr("TIMESTAMP_NTZ '2024-02-29 10:00:00'"))
+    store = stores.open_store(str(tmp_path)) if uri == "file" else stores.open_store(uri, tables=str(tmp_path))
+    store.write(blobs)
+    store.write(blobs)
+    asked = tiles.select("style", "z", "x", "y", "data").withColumnRenamed("data", "want").unionByName(spark.createDataFrame([("s", 10, 0, 23, None), ("s", 10, 800, 800, None)], "style string, z int, x long, y long, want binary"))
+    asked = asked.unionByName(asked)
+    got = store.read(asked).collect()
+    assert len(got) == 28
+    for r in got:
+        want = r.want if r.want is not None else (b"" if r.x == 0 else None)
+        assert (r.data, r.status, r.compressed) == (want, -1 if want is None else len(want), None if want is None else False)
+    stat = {(r.x, r.y): r for r in store.stat(asked).collect()}
+    whole = {r.mx: r.n for r in blobs.select("mx", F.length("blob").alias("n")).collect()}
+    assert all(r.size == (-1 if x == 800 else whole[x & ~7] if uri == "file" else len(r.want or b"")) for (x, _), r in stat.items())
+    assert stat[8, 16].mtime == dt.datetime(2024, 2, 29, 10)
+    gone = blobs.where("mx = 8")
+    store.delete(gone)
+    store.delete(gone)
+    store.expire(blobs.where("mx >= 8 AND mx <= 16").unionByName(blobs.where("mx = 16")))
+    stat = {r.x: r for r in store.stat(asked.where("y = 16")).collect()}
+    assert [stat[x].size >= 0 for x in (0, 8, 16, 24)] == [True, False, True, True]
+    assert store.read(asked.where("x = 8 AND y = 16")).first().status == -1
+    if uri == "file":
+        assert [stat[x].mtime.year for x in (0, 16, 24)] == [2024, 2004, 2024]
+    else:
+        assert [stat[x].expired for x in (0, 8, 16, 24)] == [False, False, True, False]
+    store.write(blobs.where("mx <= 16"))
+    stat = {r.x: r for r in store.stat(asked.where("y = 16")).collect()}
+    assert all(stat[x].size >= 0 and not stat[x].expired and stat[x].mtime.year == 2024 for x in (0, 8, 16))
+    place = store.storage_id(asked.where("x = 9")).first().storage_id
+    assert place == {"file": f"file://{tmp_path}/s/10/0/0/0/1/128.meta", "memcached://": "memcached:///s/9/17/10.meta", "rados://pool/etc/x": "rados://pool/s/10/8/16.meta"}[uri]
+    store.close()
+
+
+def test_proxy_composite_and_null(spark, tmp_path):
+    tiles = _some_tiles(spark)
+    answers = tiles.select(F.concat(F.lit("/s/10/"), C("x").cast("string"), F.lit("/"), C("y").cast("string"), F.lit(".png")).alias("path"), F.when(C("x") < 16, 200).otherwise(404).alias("http"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("last_modified"), C("data").alias("body"))
+    proxy = stores.open_store("ro_http_proxy://h", responses=answers)
+    asked = tiles.select("style", "z", "x", "y")
+    assert {r.x: (r.size >= 0, r.expired) for r in proxy.stat(asked).collect()} == {x: (x < 16, False) for x in (8 * i + k for i in range(4) for k in range(3))}
+    over = metatile.encoded(tiles.where("mx = 0").withColumn("style", F.lit("o")), ["style", "z", "mx", "my"])
+    store = stores.open_store("composite:{s,memcached://a}{o,memcached://b}", tables=str(tmp_path))
+    store.lower.write(metatile.encoded(tiles, ["style", "z", "mx", "my"]))
+    store.upper.write(over)
+    got = {r.x: (r.status, r.data, r.over) for r in store.read(asked.where("y = 16")).collect()}
+    assert got[0] == (8, b"tile 0 0", b"tile 0 0")
+    assert {x: s for x, (s, _, _) in got.items()} == {0: 8, 8: -1, 16: -1, 24: -1}
+    assert all(r.size > 0 for r in store.stat(asked).collect())
+    null = stores.open_store("null://")
+    for change in (null.write, null.delete, null.expire):
+        change(asked)
+    assert {(r.size, r.expired) for r in null.stat(asked).collect()} == {(-1, True)}
+    assert {r.status for r in null.read(asked).collect()} == {-1}
+    assert [s.storage_id(asked.limit(1)).first().storage_id for s in (null, store)] == ["null://", "Coposite tile"]
+
+
 def test_layer_defaults_and_errors(spark):
     r = config.layers(spark, "[daemon]\n[Default]\nuri=/map\n").first()
     assert (r.baseuri, r.minzoom, r.maxzoom, r.output_format, r.scale) == ("/map/", 0, 20, "png256", 1.0)
@@ -234,3 +302,60 @@ def test_metrics_text(tmp_path):
     write_text(["a: 1", "b: 2"], str(tmp_path / "s"))
     assert (tmp_path / "s").read_text() == "a: 1\nb: 2\n"
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_counters_add_up_since_the_start():
+    from tileflow.streaming.live import added_up
+
+    total = {}
+    assert added_up(total, ["a: 1", "b x: 2"]) == ["a: 1", "b x: 2"]
+    assert added_up(total, ["b x: 3", "c: 0"]) == ["a: 1", "b x: 5", "c: 0"]
+
+
+def test_parameterisations(spark):
+    sql = spark.createDataFrame([("(select way,name,x from t) as q",)], "s string")
+    assert "tags->'name:de'" in sql.select(W.parameterized("language", C("s"), "de,_")).first()[0]
+    with pytest.warns(UserWarning, match="unknown"):
+        assert sql.select(W.parameterized("colour", C("s"), "de")).first()[0] == "(select way,name,x from t) as q"
+    assert sql.select(W.parameterized("", C("s"), "de")).first()[0] == "(select way,name,x from t) as q"
+
+
+def test_renderer_slot(spark):
+    from tileflow.operators.render import plain, rendered
+
+    metatiles = spark.createDataFrame([("s", 1, 0, 0), ("s", 12, 8, 16), ("bad", 12, 8, 16)], "style string, z int, mx long, my long")
+    assert sorted(plain("s", 1, 0, 0, "")) == [0, 1, 8, 9]
+    got = {(r["style"], r.z): r for r in rendered(metatiles).collect()}
+    assert metatile.unpack(bytes(got["s", 12].blob), 9, 18)[1] == b"s/12/9/18"
+    assert rendered(metatiles).select("blob").exceptAll(rendered(metatiles.repartition(3)).select("blob")).count() == 0
+
+    def fails(style, z, mx, my, options):
+        if style == "bad":
+            raise ValueError("no such style")
+        return {0: b"x"}
+
+    got = {r["style"]: r for r in rendered(metatiles.where("z = 12"), fails).collect()}
+    assert (got["bad"].blob, got["bad"].error) == (None, "ValueError: no such style")
+    assert metatile.unpack(bytes(got["s"].blob), 8, 16)[0] == 1
+
+
+def test_sql_table_to_files(spark, tmp_path):
+    """Rows of a SQL table read by jdbc in parts, exported as files that carry the rows' times."""
+    import datetime as dt
+
+    from tileflow.sources import tables
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(3, i, i + 1, "" if i % 3 == 0 else f"tile {i}", f"2023-0{1 + i % 9}-28 12:00:0{i % 10}" if i else "soon") for i in range(20)]
+    df = spark.createDataFrame(rows, "z int, x int, y int, data string, created string")
+    df.write.jdbc(url, "tiles", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    back = tables.read_table(spark, url, "tiles", split_by="x", bounds=(0, 20), parts=3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert back.rdd.getNumPartitions() == 3
+    back = back.withColumn("created_at", tables.parsed_time(C("created")))
+    assert back.where("created_at IS NULL").select("x").collect() == [(0,)]
+    tables.export(back, str(tmp_path / "out"))
+    files = sorted(p for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert len(files) == 13
+    one = tmp_path / "out" / "3" / "4" / "5.png"
+    assert one.read_bytes() == b"tile 4"
+    assert dt.datetime.fromtimestamp(one.stat().st_mtime, dt.UTC).replace(tzinfo=None) == dt.datetime(2023, 5, 28, 12, 0, 4)

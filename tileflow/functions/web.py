@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -123,11 +125,13 @@ ADDRESS = r"^\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)\.([a-z]{1,255})(?:/(\S{1,
 ADDRESS_WITH_OPTIONS = r"^([^/]{1,40})/\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)\.([a-z]{1,255})(?:/(\S{1,10}))?"
 
 
-def route(url: Column, layer: dict[str, Column], with_options: bool = False) -> dict[str, Column]:
+def route(url: Column, layer: dict[str, Column], with_options: bool = False, cfg: ServerConfig | None = None) -> dict[str, Column]:
     """Handler of a url under its first matching layer, and its address.
 
-    stats, metrics, json, serve, status, dirty; notfound outside the layer's bounds; declined otherwise.
+    stats, metrics, json, serve, status, dirty; notfound outside the layer's bounds and for /status and /dirty of a server
+    that has them switched off; error for statistics that are switched off; declined otherwise.
     """
+    cfg = cfg or ServerConfig()
     shift = 1 if with_options else 0
     rest = F.substring(url, F.length(layer["baseuri"]) + 1, F.length(url))
     part = lambda i: F.regexp_extract(rest, ADDRESS_WITH_OPTIONS if with_options else ADDRESS, i + shift)
@@ -140,10 +144,68 @@ def route(url: Column, layer: dict[str, Column], with_options: bool = False) ->
         F.when(url.startswith("/server_stats"), "stats").when(url.startswith("/metrics"), "metrics").when(layer["baseuri"].isNull(), "declined").when(rest.startswith("tile-layer.json"), "json")
         .when(~parsed | (ext != layer["ext"]), "declined").when(~inside, "notfound").when(tail == "", "serve").when(tail == "status", "status").when(tail == "dirty", "dirty").otherwise("declined")
     )
+    off = [name for name, on in (("status", cfg.enable_status_url), ("dirty", cfg.enable_dirty_url)) if not on]
+    if off:
+        handler = F.when(handler.isin(*off), "notfound").otherwise(handler)
+    if not cfg.enable_global_stats:
+        handler = F.when(handler.isin("stats", "metrics"), "error").otherwise(handler)
     found = handler.isin("serve", "status", "dirty")
     return {"handler": handler, "z": F.when(found, z).cast("int"), "x": F.when(found, x), "y": F.when(found, y), "options": F.when(found, part(0)) if with_options else F.when(found, F.lit(""))}
 
 
+def dirty(cfg: ServerConfig) -> dict[str, Column]:
+    """Answer to /dirty, and the command that it sends to the renderer."""
+    if not cfg.enable_dirty_url:
+        return {"result": F.lit("404"), "sent": F.lit(None).cast("string")}
+    return {"result": F.lit("ok"), "sent": F.lit(None).cast("string") if cfg.enable_bulk_mode else F.lit("Dirty")}
+
+
+def body(size: Column, tag: Column, asked: Column) -> dict[str, Column]:
+    """Answer to a tile that was read: 200 with its bytes, 304 where the client has it, 404 where nothing is stored."""
+    status = F.when(size <= 0, 404).when(asked == tag, 304).otherwise(200)
+    return {"status": status, "etag": F.when(size > 0, tag), "n_bytes": F.when(status == 200, size)}
+
+
+def content_encoding(compressed: Column, accepts: Column) -> dict[str, Column]:
+    """gzip where the tile is stored compressed and the client accepts it; else served as it is, with a warning."""
+    ok = F.contains(accepts, F.lit("gzip"))
+    return {"content_encoding": F.when(compressed & ok, "gzip"), "warned": compressed & ~ok}
+
+
+def legacy_type(extension: Column) -> dict[str, Column]:
+    """Type and origin policy of a layer configured by the old directive."""
+    script = extension == "js"
+    return {"mime": F.when(script, "text/javascript").otherwise("image/png"), "cors": F.when(script, "*").otherwise("")}
+
+
+#: The sentences of /status.
+STATUS_MISSING, STATUS_HEAD = "No tile could not be found at storage location: ", "Tile is "
+STATUS_TAIL = "(Dates might not be accurate. Rendering time might be reset to an old date for tile expiry. Access times might not be updated on all file systems)"
+
+
+def status_text(state: Column, rendered: Column, accessed: Column, place: Column) -> Column:
+    """Text of /status; ``place`` is the tile's storage id, times are printed as yyyy-mm-dd hh:mm:ss."""
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    due = F.when(state.isin("old", "veryold"), "due to be rendered").otherwise("clean")
+    found = F.concat(F.lit(STATUS_HEAD), due, F.lit(". Last rendered at "), at(rendered), F.lit(". Last accessed at "), at(accessed), F.lit(". Stored in "), place, F.lit(f"\n\n{STATUS_TAIL}\n"))
+    return F.when(state == "missing", F.concat(F.lit(STATUS_MISSING), place, F.lit("\n"))).otherwise(found)
+
+
+def tilejson(layer: dict[str, Column], hosts: Column, description: Column, attribution: Column) -> Column:
+    """TileJSON 2.0.0 of a layer, laid out exactly as clients get it (a fixed value)."""
+    tiles = F.array_join(F.transform(hosts, lambda h: F.concat(F.lit('\t\t"'), h, layer["baseuri"], F.lit("{z}/{x}/{y}."), layer["ext"], F.lit('"'))), ",\n")
+    head = F.format_string('{\n\t"tilejson": "2.0.0",\n\t"schema": "xyz",\n\t"name": "%s",\n\t"description": "%s",\n\t"attribution": "%s",\n\t"minzoom": %d,\n\t"maxzoom": %d,\n\t"tiles": [\n', layer["style"], description, attribution, layer["minzoom"], layer["maxzoom"])
+    return F.concat(head, tiles, F.lit("\n\t]\n}\n"))
+
+
+def answers(asked: dict[str, Column], got: dict[str, Column]) -> Column:
+    """Whether an answer of the renderer names the tile that was asked for."""
+    same = F.lit(True)
+    for k, c in asked.items():
+        same &= c == got[k]
+    return same
+
+
 def cors(policy: Column, origin: Column, method: Column, asks: Column) -> dict[str, Column]:
     """Answer to a cross-origin request: the outcome (pass, preflight, forbidden) and its headers."""
     anyone = policy == "*"
@@ -186,3 +248,16 @@ def localized_query(sql: Column, languages: str) -> Column:
     choice = ", ".join("name" if lang == "_" else f"tags->'name:{lang}'" for lang in languages.split(","))
     at = F.locate(",name", sql)
     return F.when(at > 0, F.concat(F.substring(sql, F.lit(1), at - 1), F.lit(f", coalesce({choice}) as name"), F.substring(sql, at + 5, F.length(sql)))).otherwise(sql)
+
+
+#: What a map's PARAMETERIZE_STYLE can name: a function of (layer's table query, options of the request).
+PARAMETERIZE: dict[str, Callable[[Column, str], Column]] = {"language": localized_query}
+
+
+def parameterized(name: str, sql: Column, options: str) -> Column:
+    """The layer's query as the named parameterisation makes it; an unknown name warns and changes nothing."""
+    if name not in PARAMETERIZE:
+        if name:
+            warnings.warn(f"unknown parameterisation: {name}", stacklevel=2)
+        return sql
+    return PARAMETERIZE[name](sql, options)

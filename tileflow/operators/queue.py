@@ -9,7 +9,7 @@ which every partition does for itself before the merge; nothing larger is gather
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import OrderedDict
 from collections.abc import Iterable
 from functools import reduce
 
@@ -165,13 +165,12 @@ class RenderQueue:
                 item["fds"] = [-1 if x == fd else x for x in item["fds"]]
 
 
-def replay(events: Iterable[tuple], req_limit: int = REQ_LIMIT, dirty_limit: int = DIRTY_LIMIT) -> list[tuple]:
-    """events (req_id, key, cmd) in order; cmd may also be Fetch or Cancel -> (req_id, outcome)."""
-    q, out, running = RenderQueue(req_limit, dirty_limit), [], deque()
+def replay(events: Iterable[tuple], req_limit: int = REQ_LIMIT, dirty_limit: int = DIRTY_LIMIT, queue: RenderQueue | None = None) -> list[tuple]:
+    """events (req_id, key, cmd) in order; cmd may also be Fetch or Cancel -> (req_id, outcome). A queue that is given goes on."""
+    q, out = queue or RenderQueue(req_limit, dirty_limit), []
     for req_id, key, cmd in events:
         if cmd == "Fetch":
-            if (k := q.fetch()) is not None:
-                running.append(k)
+            k = q.fetch()
             out.append((req_id, "-" if k is None else "/".join(map(str, k))))
         elif cmd == "Cancel":
             q.cancel(req_id)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tileflow.constants import PROJECTIONS
 from tileflow.functions import address as A
 from tileflow.plans.registry import query
+from tileflow.sources import stores
 from tileflow.sources.views import Views
 
 C = F.col
@@ -149,11 +150,5 @@ SELECT req_id, concat('file://', """ + _PATH + """) AS file_id, concat('memcache
 """)
 def storage_id(v: Views) -> DataFrame:
     """Where each kind of store says a tile is. The last text is misspelled as users know it."""
-    s = lambda c: C(c).cast("string")
-    keys = A.store_keys(C("style"), C("z"), C("x"), C("y"), F.lit(""))
-    return v.tile_requests.select(
-        "req_id", F.concat(F.lit("file://"), A.hashed_path(F.lit(TILE_DIR), C("style"), C("z"), C("x"), C("y"))).alias("file_id"),
-        F.concat(F.lit("memcached:///"), F.concat_ws("/", C("style"), s("x"), s("y"), s("z")), F.lit(".meta")).alias("memcached_id"),
-        F.concat(F.lit("rados://tiles/"), keys["rados_key"]).alias("rados_id"), F.concat(F.lit("http://proxy/"), keys["proxy_path"]).alias("proxy_id"),
-        F.lit("null://").alias("null_id"), F.lit("Coposite tile").alias("composite_id"),
-    )
+    kinds = {"file": stores.FileStore(TILE_DIR), "memcached": stores.TableStore("memcached", ""), "rados": stores.TableStore("rados", "", "tiles"), "proxy": stores.ProxyStore("proxy"), "null": stores.NullStore(), "composite": stores.CompositeStore(None, "", None, "")}
+    return v.tile_requests.select("req_id", *[s.place().alias(f"{kind}_id") for kind, s in kinds.items()])

@@ -9,9 +9,11 @@ from tileflow.functions import address as A
 from tileflow.functions import web as W
 from tileflow.operators import batch as B
 from tileflow.operators import freshness as fr
+from tileflow.operators import render
 from tileflow.operators.freshness import KEY
 from tileflow.plans.registry import query
 from tileflow.plans.serving import stats
+from tileflow.sources import tables
 from tileflow.sources.views import NOW, Views
 
 C = F.col
@@ -185,17 +187,27 @@ def progress_samples(v: Views) -> DataFrame:
     return n.where("arrival % 100 = 0").select("req_id")
 
 
-@query("SELECT x, y, z, data, created_at FROM tiles_table")
+@query("SELECT x, y, z, data, CASE WHEN x % 7 = 3 THEN NULL ELSE date_trunc('second', created_at) END AS created_at FROM tiles_table")
 def tiles_table(v: Views) -> DataFrame:
-    return v.tiles_table
+    """Rows of a SQL table whose times are texts, a seventh of them no times."""
+    text = F.when(C("x") % 7 == 3, "soon").otherwise(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    return v.tiles_table.select("x", "y", "z", "data", tables.parsed_time(text).alias("created_at"))
 
 
 @query("SELECT concat(z, '/', x, '/', y, '.png') AS path, created_at AS mtime, octet_length(encode(data)) AS n_bytes FROM tiles_table WHERE length(data) > 0")
 def export_paths(v: Views) -> DataFrame:
     """Where an exported tile goes, with the time it gets; empty tiles are skipped."""
-    s = lambda c: C(c).cast("string")
-    path = F.concat(F.concat_ws("/", s("z"), s("x"), s("y")), F.lit(".png"))
-    return v.tiles_table.where("length(data) > 0").select(path.alias("path"), C("created_at").alias("mtime"), F.octet_length("data").cast("long").alias("n_bytes"))
+    return tables.exported(v.tiles_table).select("path", "mtime", F.length("data").cast("long").alias("n_bytes"))
+
+
+_ACROSS = "least(CAST(pow(2, z) AS BIGINT), 8)"
+
+
+@query(f"SELECT style, z, mx, my, 532 + CAST(sum(length(concat(style, '/', z, '/', mx + i, '/', my + j))) AS BIGINT) AS size FROM (SELECT *, unnest(range({_ACROSS})) AS j FROM (SELECT *, unnest(range({_ACROSS})) AS i FROM tile_cache)) GROUP BY style, z, mx, my")
+def rendered(v: Views) -> DataFrame:
+    """The metatiles of the store rendered again by the default renderer."""
+    out = render.rendered(v.tile_cache.select(*KEY))
+    return out.select(*KEY, F.length("blob").cast("long").alias("size"))
 
 
 @query("""

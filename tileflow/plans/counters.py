@@ -125,11 +125,11 @@ def zoom_bands(v: Views) -> DataFrame:
     return outcomes(v).where("status IN (200, 304)").groupBy(K.band(C("z")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT z, min(render_ms) FILTER (WHERE render_ms > 0) AS min_ms, avg(render_ms) AS avg_ms, max(render_ms) AS max_ms, CAST(sum(render_ms) AS BIGINT) AS total_ms, count(*) AS n FROM tile_requests GROUP BY z")
+@query("SELECT z, coalesce(min(render_ms) FILTER (WHERE render_ms > 0), 0) AS min_ms, avg(render_ms) AS avg_ms, max(render_ms) AS max_ms, CAST(sum(render_ms) AS BIGINT) AS total_ms, count(*) AS n FROM tile_requests GROUP BY z")
 def latency_by_zoom(v: Views) -> DataFrame:
-    """Client latency; a latency of 0 counts as unset for the minimum."""
+    """Client latency; a latency of 0 counts as unset for the minimum, which is 0 where all are."""
     ms = C("render_ms")
-    return v.tile_requests.groupBy("z").agg(F.min(F.when(ms > 0, ms)).alias("min_ms"), F.avg(ms).alias("avg_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"), F.count("*").alias("n"))
+    return v.tile_requests.groupBy("z").agg(F.coalesce(F.min(F.when(ms > 0, ms)), F.lit(0)).alias("min_ms"), F.avg(ms).alias("avg_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"), F.count("*").alias("n"))
 
 
 @query("SELECT CAST(max(maxzoom) AS INT) AS max_zoom, count(*) AS n_layers FROM layers")

@@ -27,8 +27,7 @@ def admitted(v: Views) -> DataFrame:
 
 @query("SELECT req_id, CASE req_id % 8 WHEN 0 THEN 'Ignore' WHEN 1 THEN 'Render' WHEN 2 THEN 'Dirty' WHEN 3 THEN 'Done' WHEN 4 THEN 'NotDone' WHEN 5 THEN 'RenderPrio' WHEN 6 THEN 'RenderBulk' ELSE 'RenderLow' END AS cmd FROM tile_requests")
 def cmd_name(v: Views) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for k, n in COMMANDS.items() for x in (k, n)])
-    return v.tile_requests.select("req_id", F.element_at(names, (C("req_id") % 8).cast("int")).alias("cmd"))
+    return v.tile_requests.select("req_id", wire.name_of(C("req_id") % 8).alias("cmd"))
 
 
 @query("SELECT req_id, cmd FROM (SELECT req_id, CASE req_id % 8 WHEN 0 THEN 'Ignore' WHEN 1 THEN 'Done' ELSE cmd END AS cmd FROM tile_requests) WHERE cmd IN ('Render', 'RenderPrio', 'RenderLow', 'Dirty', 'RenderBulk')")
@@ -49,7 +48,7 @@ def proto_upgrade(v: Views) -> DataFrame:
 @query("SELECT req_id, 2 AS ver, 'RenderBulk' AS cmd, style, z, mx AS x, my AS y FROM tile_requests")
 def submit_cmds(v: Views) -> DataFrame:
     """Batch tools always submit bulk commands in version 2 of the protocol."""
-    return v.tile_requests.select("req_id", F.lit(2).alias("ver"), F.lit("RenderBulk").alias("cmd"), "style", "z", C("mx").alias("x"), C("my").alias("y"))
+    return wire.submissions(v.tile_requests.select("req_id", "style", "z", C("mx").alias("x"), C("my").alias("y")))
 
 
 @query("SELECT req_id FROM (SELECT req_id, row_number() OVER (PARTITION BY style, z, mx, my ORDER BY req_id) AS n FROM tile_requests) WHERE n = 1")
@@ -157,19 +156,26 @@ def queue_stats_text(v: Views) -> DataFrame:
 
 @query()
 def queue_replay(v: Views) -> DataFrame:
-    """The queue as it runs, with a fetch after every third request. Its caps are shared by all requests, so exactness
-    needs one ordered pass; queue_admission is the form for any size. Rows carry ids and keys only."""
+    """The queue as it runs: a fetch after every third request, and every eleventh client gives up after two further
+    requests. Its caps are shared by all requests, so exactness needs one ordered pass; queue_admission is the form for
+    any size. Rows carry ids and keys only, and are sorted by Spark and streamed: the queue alone is held."""
     rows = v.tile_requests.select("req_id", *Q.KEY, "cmd")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        events = []
-        for r in g.sort_values("req_id").itertuples(index=False):
-            events.append((r.req_id, (r.style, r.z, r.mx, r.my), r.cmd))
-            if r.req_id % 3 == 2:
-                events.append((r.req_id, None, "Fetch"))
-        return pd.DataFrame(Q.replay(events), columns=["req_id", "outcome"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queue = Q.RenderQueue()
+        for b in batches:
+            yield pd.DataFrame(Q.replay(_events(b), queue=queue), columns=["req_id", "outcome"])
+
+    return rows.coalesce(1).sortWithinPartitions("req_id").mapInPandas(run, "req_id long, outcome string")
+
 
-    return rows.groupBy().applyInPandas(run, "req_id long, outcome string")
+def _events(rows: pd.DataFrame) -> Iterator[tuple]:
+    for r in rows.itertuples(index=False):
+        yield r.req_id, (r.style, r.z, r.mx, r.my), r.cmd
+        if r.req_id % 11 == 2:
+            yield r.req_id - 2, None, "Cancel"
+        if r.req_id % 3 == 2:
+            yield r.req_id, None, "Fetch"
 
 
 SMALL = ServerConfig(enable_tile_throttling=True, delaypool_tile_size=20, delaypool_render_size=4, delaypool_tile_rate=600_000_000, delaypool_render_rate=3_000_000_000)
@@ -182,14 +188,17 @@ def _micros(v: Views) -> DataFrame:
 
 @query()
 def throttle_exact(v: Views) -> DataFrame:
-    """Token buckets with the shared top-up, replayed in time order: one ordered pass by definition."""
+    """Token buckets with the shared top-up, replayed in time order: one ordered pass by definition. Rows are sorted by
+    Spark and streamed: a bucket for each client is all that is held."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", "req_id"])
-        b = throttle.Buckets(SMALL, int(g["us"].iloc[0]))
-        return pd.DataFrame({"req_id": g["req_id"], "allowed": [b.allow(c, u, m) for c, u, m in zip(g["client_ip"], g["us"], g["missing"], strict=True)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets = None
+        for g in batches:
+            if len(g):
+                buckets = buckets or throttle.Buckets(SMALL, int(g["us"].iloc[0]))
+                yield pd.DataFrame({"req_id": g["req_id"], "allowed": [buckets.allow(c, u, m) for c, u, m in zip(g["client_ip"], g["us"], g["missing"], strict=True)]})
 
-    return _micros(v).groupBy().applyInPandas(run, "req_id long, allowed boolean")
+    return _micros(v).coalesce(1).sortWithinPartitions("us", "req_id").mapInPandas(run, "req_id long, allowed boolean")
 
 
 @query()
@@ -210,14 +219,28 @@ def throttle_ideal(v: Views) -> DataFrame:
     return _micros(v).repartition("client_ip").sortWithinPartitions("client_ip", "us", "req_id").mapInPandas(run, "req_id long, allowed boolean")
 
 
-@query()
+def _le(n: str) -> str:
+    h = f"printf('%08X', CAST({n} AS BIGINT))"
+    return f"concat({', '.join(f'substr({h}, {i}, 2)' for i in (7, 5, 3, 1))})"
+
+
+_CODE = "CASE cmd " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in COMMANDS.items()) + " END"
+_TEXT = lambda t: f"rpad(left(hex(encode({t})), 80), 82, '0')"
+
+
+def frames(v: Views) -> DataFrame:
+    """Requests as frames of version 3."""
+    r = v.tile_requests
+    return r.select("req_id", wire.encode(C("cmd"), C("x"), C("y"), C("z"), C("style"), F.lit("image/png"), F.lit("")).alias("frame"))
+
+
+@query(f"SELECT req_id, concat({_le('3')}, {_le(_CODE)}, {_le('x')}, {_le('y')}, {_le('z')}, {_TEXT('style')}, {_TEXT(chr(39) + 'image/png' + chr(39))}, {_TEXT(chr(39) * 2)}, '00') AS frame FROM tile_requests")
 def wire_encode(v: Views) -> DataFrame:
-    """Frames of version 3 as they go over the wire."""
-    r = v.tile_requests.withColumns({"mimetype": F.lit("image/png"), "options": F.lit("")})
-    return r.select("req_id", wire.encode(C("cmd"), C("x"), C("y"), C("z"), C("style"), C("mimetype"), C("options")).alias("frame"))
+    """Frames of version 3 as they go over the wire, in hexadecimal."""
+    return frames(v).select("req_id", F.hex("frame").alias("frame"))
 
 
 @query("SELECT req_id, cmd, x, y, z, style FROM tile_requests")
 def wire_decode(v: Views) -> DataFrame:
     """Frames encoded and decoded again: the request as it was."""
-    return wire.decode(wire_encode(v)).select("req_id", "cmd", "x", "y", "z", "style")
+    return wire.decode(frames(v)).select("req_id", "cmd", "x", "y", "z", "style")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tileflow.functions import web as W
 from tileflow.functions.web import ServerConfig
 from tileflow.operators import freshness as fr
+from tileflow.plans.addressing import _PATH, TILE_DIR
 from tileflow.plans.registry import query
+from tileflow.sources.stores import FileStore
 from tileflow.sources.views import NOW, Views
 
 C = F.col
@@ -31,12 +33,6 @@ def tile_stat(v: Views) -> DataFrame:
     return stats(v).select("req_id", "size", "mtime", F.coalesce(C("mtime") < C("planet_ts"), F.lit(True)).alias("expired"))
 
 
-@query("SELECT req_id, CASE WHEN size < 0 THEN -1 ELSE CAST(100 AS BIGINT) END AS size, mtime, coalesce(mtime < planet_ts, false) AS expired FROM tile_stats")
-def kv_tile_stat(v: Views) -> DataFrame:
-    """Key-value store: the size is the tile's own (metatiles of the view hold 100 bytes a tile), a missing tile is not expired."""
-    return stats(v).select("req_id", F.when(C("size") < 0, F.lit(-1)).otherwise(100).cast("long").alias("size"), "mtime", F.coalesce(C("mtime") < C("planet_ts"), F.lit(False)).alias("expired"))
-
-
 @query("SELECT req_id, state FROM tile_states")
 def tile_state(v: Views) -> DataFrame:
     return states(v).select("req_id", "state")
@@ -88,8 +84,9 @@ def serve_decision_bulk(v: Views) -> DataFrame:
 @query("SELECT req_id, CASE WHEN req_id % 10 = 0 THEN '404' ELSE 'ok' END AS result, CASE WHEN req_id % 10 > 1 THEN 'Dirty' END AS sent FROM tile_requests")
 def dirty_handler(v: Views) -> DataFrame:
     """/dirty under three servers by request: switched off, bulk mode, normal."""
-    off, bulk = C("req_id") % 10 == 0, C("req_id") % 10 == 1
-    return v.tile_requests.select("req_id", F.when(off, "404").otherwise("ok").alias("result"), F.when(~off & ~bulk, "Dirty").alias("sent"))
+    off, bulk, normal = (W.dirty(CFG.merged(over)) for over in ({"enable_dirty_url": False}, {"enable_bulk_mode": True}, {}))
+    which = lambda k: F.when(C("req_id") % 10 == 0, off[k]).when(C("req_id") % 10 == 1, bulk[k]).otherwise(normal[k])
+    return v.tile_requests.select("req_id", which("result").alias("result"), which("sent").alias("sent"))
 
 
 @query("""
@@ -100,9 +97,7 @@ def serve_body(v: Views) -> DataFrame:
     """Read, tag and answer: 200, 304 where the client's tag is the same, 404 where nothing is stored."""
     tag = W.etag(F.concat(C("style"), C("size").cast("string")))
     asked = F.when(C("req_id") % 6 == 0, tag).otherwise(F.lit('"x"'))
-    found = C("size") > 0
-    status = F.when(~found, 404).when(asked == tag, 304).otherwise(200)
-    return states(v).select("req_id", status.alias("status"), F.when(found, tag).alias("etag"), F.when(status == 200, C("size")).alias("n_bytes"))
+    return states(v).select("req_id", *[c.alias(k) for k, c in W.body(C("size"), tag, asked).items()])
 
 
 @query("SELECT req_id, req_id % 6 = 0 AS not_modified FROM tile_requests")
@@ -148,7 +143,7 @@ def route_first_match(v: Views) -> DataFrame:
     return fr.first_match(v.url_cases.select("req_id", "url"), v.layers).select("req_id", "layer_no")
 
 
-@query(r"""
+_ROUTE = r"""
 WITH u AS (SELECT req_id, url, min(layer_no) AS n FROM url_cases LEFT JOIN layers ON starts_with(url, baseuri) GROUP BY req_id, url),
 r AS (SELECT req_id, url, l.*, substr(url, length(baseuri) + 1) AS rest FROM u LEFT JOIN layers l ON l.layer_no = u.n),
 p AS (SELECT *, regexp_extract(rest, '^\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)\.([a-z]{1,255})(?:/(\S{1,10}))?', ['z', 'x', 'y', 'e', 't']) AS m FROM r),
@@ -156,7 +151,10 @@ q AS (SELECT *, TRY_CAST(m.z AS BIGINT) AS tz, TRY_CAST(m.x AS BIGINT) AS tx, TR
 h AS (SELECT *, CASE WHEN starts_with(url, '/server_stats') THEN 'stats' WHEN starts_with(url, '/metrics') THEN 'metrics' WHEN baseuri IS NULL THEN 'declined'
   WHEN starts_with(rest, 'tile-layer.json') THEN 'json' WHEN coalesce(m.e, '') <> ext THEN 'declined'
   WHEN NOT (tz BETWEEN minzoom AND maxzoom AND tx BETWEEN 0 AND CAST(pow(2, tz) AS BIGINT) * aspect_x - 1 AND ty BETWEEN 0 AND CAST(pow(2, tz) AS BIGINT) * aspect_y - 1) THEN 'notfound'
-  WHEN m.t = '' THEN 'serve' WHEN m.t = 'status' THEN 'status' WHEN m.t = 'dirty' THEN 'dirty' ELSE 'declined' END AS handler FROM q)
+  WHEN m.t = '' THEN 'serve' WHEN m.t = 'status' THEN 'status' WHEN m.t = 'dirty' THEN 'dirty' ELSE 'declined' END AS handler FROM q)"""
+
+
+@query(_ROUTE + """
 SELECT req_id, layer_no, handler, CASE WHEN handler IN ('serve', 'status', 'dirty') THEN CAST(tz AS INT) END AS z, CASE WHEN handler IN ('serve', 'status', 'dirty') THEN tx END AS x,
   CASE WHEN handler IN ('serve', 'status', 'dirty') THEN ty END AS y FROM h
 """)
@@ -193,9 +191,8 @@ def cors(v: Views) -> DataFrame:
 @query("SELECT req_id, CASE WHEN req_id % 2 = 0 AND req_id % 3 = 0 THEN 'gzip' END AS content_encoding, req_id % 2 = 0 AND req_id % 3 <> 0 AS warned FROM tile_requests")
 def content_encoding(v: Views) -> DataFrame:
     """gzip where the tile is stored compressed and the client accepts it; else served as it is, with a warning."""
-    packed, accepts = C("req_id") % 2 == 0, F.when(C("req_id") % 3 == 0, "gzip, deflate").otherwise("identity")
-    ok = F.contains(accepts, F.lit("gzip"))
-    return v.tile_requests.select("req_id", F.when(packed & ok, "gzip").alias("content_encoding"), (packed & ~ok).alias("warned"))
+    accepts = F.when(C("req_id") % 3 == 0, "gzip, deflate").otherwise("identity")
+    return v.tile_requests.select("req_id", *[c.alias(k) for k, c in W.content_encoding(C("req_id") % 2 == 0, accepts).items()])
 
 
 @query("SELECT req_id, round(floor(date_diff('microsecond', mtime, TIMESTAMP '2024-02-01 00:00:00') / 1000000) / 86400.0, 6) AS age_days FROM tile_stats")
@@ -208,22 +205,18 @@ def timeout_outcome(v: Views) -> DataFrame:
     return states(v).select("req_id", W.renders_in_time(C("state"), C("render_ms"), CFG).alias("in_time"))
 
 
-_STATUS_HEAD = "Tile is "
-_STATUS_TAIL = "(Dates might not be accurate. Rendering time might be reset to an old date for tile expiry. Access times might not be updated on all file systems)"
+_PLACE = f"concat('file://', {_PATH})"
 
 
 @query(f"""
-SELECT req_id, CASE WHEN state = 'missing' THEN concat('No tile could not be found at storage location: ', style, '/', z, chr(10))
-  ELSE concat('Tile is ', CASE WHEN state IN ('old', 'veryold') THEN 'due to be rendered' ELSE 'clean' END, '. Last rendered at ', strftime(mtime, '%Y-%m-%d %H:%M:%S'), '. Last accessed at ',
-    strftime(mtime, '%Y-%m-%d %H:%M:%S'), '. Stored in ', style, '/', z, chr(10), chr(10), '{_STATUS_TAIL}', chr(10)) END AS status FROM tile_states
+SELECT req_id, CASE WHEN state = 'missing' THEN concat('{W.STATUS_MISSING}', {_PLACE}, chr(10))
+  ELSE concat('{W.STATUS_HEAD}', CASE WHEN state IN ('old', 'veryold') THEN 'due to be rendered' ELSE 'clean' END, '. Last rendered at ', strftime(mtime, '%Y-%m-%d %H:%M:%S'), '. Last accessed at ',
+    strftime(mtime, '%Y-%m-%d %H:%M:%S'), '. Stored in ', {_PLACE}, chr(10), chr(10), '{W.STATUS_TAIL}', chr(10)) END AS status FROM tile_states
 """)
 def tile_status(v: Views) -> DataFrame:
-    """Text of /status. Times are printed as yyyy-mm-dd hh:mm:ss, the place as style/zoom."""
-    place = F.concat_ws("/", C("style"), C("z").cast("string"))
-    at = F.date_format("mtime", "yyyy-MM-dd HH:mm:ss")
-    due = F.when(C("state").isin("old", "veryold"), "due to be rendered").otherwise("clean")
-    found = F.concat(F.lit(_STATUS_HEAD), due, F.lit(". Last rendered at "), at, F.lit(". Last accessed at "), at, F.lit(". Stored in "), place, F.lit(f"\n\n{_STATUS_TAIL}\n"))
-    return states(v).select("req_id", F.when(C("state") == "missing", F.concat(F.lit("No tile could not be found at storage location: "), place, F.lit("\n"))).otherwise(found).alias("status"))
+    """Text of /status of a file store, which names the place of the tile."""
+    placed = FileStore(TILE_DIR).storage_id(states(v))
+    return placed.select("req_id", W.status_text(C("state"), C("mtime"), C("mtime"), C("storage_id")).alias("status"))
 
 
 @query("""
@@ -236,20 +229,18 @@ FROM layers JOIN t USING (layer_no)
 def tilejson(v: Views) -> DataFrame:
     """TileJSON 2.0.0 of every layer, laid out exactly as clients get it."""
     hosts = F.array(F.lit("http://a.example.org"), F.lit("http://b.example.org"))
-    tiles = F.array_join(F.transform(hosts, lambda h: F.concat(F.lit('\t\t"'), h, C("baseuri"), F.lit("{z}/{x}/{y}."), C("ext"), F.lit('"'))), ",\n")
-    head = F.format_string('{\n\t"tilejson": "2.0.0",\n\t"schema": "xyz",\n\t"name": "%s",\n\t"description": "%s",\n\t"attribution": "%s",\n\t"minzoom": %d,\n\t"maxzoom": %d,\n\t"tiles": [\n', C("style"), F.lit(""), F.lit("(c)"), C("minzoom"), C("maxzoom"))
-    return v.layers.select("layer_no", F.concat(head, tiles, F.lit("\n\t]\n}\n")).alias("document"))
+    return v.layers.select("layer_no", W.tilejson({c: C(c) for c in v.layers.columns}, hosts, F.lit(""), F.lit("(c)")).alias("document"))
 
 
 @query("SELECT req_id, CASE WHEN req_id % 2 = 0 THEN 'text/javascript' ELSE 'image/png' END AS mime, CASE WHEN req_id % 2 = 0 THEN '*' ELSE '' END AS cors FROM tile_requests")
 def legacy_mime(v: Views) -> DataFrame:
     ext = F.when(C("req_id") % 2 == 0, "js").otherwise("png")
-    return v.tile_requests.select("req_id", F.when(ext == "js", "text/javascript").otherwise("image/png").alias("mime"), F.when(ext == "js", "*").otherwise("").alias("cors"))
+    return v.tile_requests.select("req_id", *[c.alias(k) for k, c in W.legacy_type(ext).items()])
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN left(text, 20) END, CASE WHEN lang = 'en' THEN left(text, 20) END, source) AS name FROM documents")
+@query("SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN text END, CASE WHEN lang = 'en' THEN text END, source) AS name FROM documents")
 def localized_name(v: Views) -> DataFrame:
-    tags = F.create_map(F.concat(F.lit("name:"), C("lang")), F.substring("text", 1, 20))
+    tags = F.create_map(F.concat(F.lit("name:"), C("lang")), C("text"))
     return v.documents.select("doc_id", W.localized_name(tags, C("source"), "de,en,_").alias("name"))
 
 
@@ -265,6 +256,15 @@ SELECT req_id, x = rx AND y = ry AND z = rz AND style = rs AS matched FROM (SELE
 """)
 def response_match(v: Views) -> DataFrame:
     """Answers of the renderer that name the tile asked for."""
-    r = v.tile_requests
-    answers = r.select(C("req_id").alias("a"), F.when(C("req_id") % 9 == 0, C("x") + 1).otherwise(C("x")).alias("rx"), C("y").alias("ry"), C("z").alias("rz"), F.when(C("req_id") % 8 == 0, "default").otherwise(C("style")).alias("rs"))
-    return r.join(answers, C("req_id") == C("a")).select("req_id", ((C("x") == C("rx")) & (C("y") == C("ry")) & (C("z") == C("rz")) & (C("style") == C("rs"))).alias("matched"))
+    got = {"x": F.when(C("req_id") % 9 == 0, C("x") + 1).otherwise(C("x")), "y": C("y"), "z": C("z"), "style": F.when(C("req_id") % 8 == 0, "default").otherwise(C("style"))}
+    return v.tile_requests.select("req_id", W.answers({k: C(k) for k in got}, got).alias("matched"))
+
+
+_OFF = CFG.merged({"enable_status_url": False, "enable_dirty_url": False, "enable_global_stats": False})
+
+
+@query(_ROUTE + " SELECT req_id, CASE WHEN handler IN ('stats', 'metrics') THEN 'error' WHEN handler IN ('status', 'dirty') THEN 'notfound' ELSE handler END AS handler FROM h")
+def switched_off(v: Views) -> DataFrame:
+    """Handlers of a server that has its statistics, /status and /dirty switched off."""
+    r = fr.first_match(v.url_cases.select("req_id", "url"), v.layers)
+    return r.select("req_id", W.route(C("url"), {k: C(k) for k in v.layers.columns}, cfg=_OFF)["handler"].alias("handler"))

@@ -13,10 +13,9 @@ from tileflow.operators.freshness import KEY
 from tileflow.plans.registry import query
 from tileflow.plans.serving import stats
 from tileflow.sources import config, htcp, metatile, shared, stores
-from tileflow.sources.views import Views
+from tileflow.sources.views import NOW, Views
 
 C = F.col
-KV = "style string, mx long, my long, z int, data binary"
 
 
 def tiles(v: Views) -> DataFrame:
@@ -33,9 +32,22 @@ _DATA = "CASE WHEN x % 4 = 3 THEN '' ELSE concat('tile ', style, '/', z, '/', x,
 _BLOB_SIZE = f"WITH t AS (SELECT DISTINCT style, z, mx, my, x, y, {_DATA} AS data FROM tile_requests)"
 
 
-@query(f"{_BLOB_SIZE} SELECT style, z, mx, my, CAST(532 + sum(octet_length(encode(data))) AS BIGINT) AS size FROM t GROUP BY style, z, mx, my")
+def _le(n: str) -> str:
+    """Hexadecimal text of a 32-bit number, least byte first, in the oracle's SQL."""
+    h = f"printf('%08X', CAST({n} AS BIGINT))"
+    return f"concat({', '.join(f'substr({h}, {i}, 2)' for i in (7, 5, 3, 1))})"
+
+
+@query(f"""
+{_BLOB_SIZE}, slots AS (SELECT k.*, s.slot, coalesce(t.data, '') AS data FROM (SELECT DISTINCT style, z, mx, my FROM t) k CROSS JOIN (SELECT unnest(range(64)) AS slot) s
+  LEFT JOIN t ON t.style = k.style AND t.z = k.z AND t.mx = k.mx AND t.my = k.my AND (t.x % 8) * 8 + t.y % 8 = s.slot),
+e AS (SELECT *, length(data) AS n, 532 + coalesce(sum(length(data)) OVER (PARTITION BY style, z, mx, my ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM slots)
+SELECT style, z, mx, my, CAST(532 + sum(n) AS BIGINT) AS size, concat(hex(encode('META')), {_le("64")}, {_le("mx")}, {_le("my")}, {_le("z")}, string_agg(concat({_le("pos")}, {_le("n")}), '' ORDER BY slot), string_agg(hex(encode(data)), '' ORDER BY slot)) AS blob
+FROM e GROUP BY style, z, mx, my
+""")
 def metatile_encode(v: Views) -> DataFrame:
-    return containers(v).select(*KEY, F.length("blob").cast("long").alias("size"))
+    """Containers, byte by byte."""
+    return containers(v).select(*KEY, F.length("blob").cast("long").alias("size"), F.hex("blob").alias("blob"))
 
 
 @query(f"{_BLOB_SIZE} SELECT style, z, x, y, data FROM t WHERE data <> ''")
@@ -66,61 +78,85 @@ def metatile_validate(v: Views) -> DataFrame:
     return r.select("req_id", F.least(status, F.lit(0)).cast("int").alias("code"))
 
 
-def _written(v: Views) -> tuple[DataFrame, str]:
-    root = f"{shared.folder(v.spark)}/store-{uuid.uuid4().hex}"
-    files = containers(v).select(A.hashed_path(F.lit(root), C("style"), C("z"), C("mx"), C("my")).alias("path"), "blob")
-    stores.Store("file", root).write(files)
-    return files, root
+def _written(v: Views) -> stores.FileStore:
+    """A new file store that holds all containers."""
+    store = stores.FileStore(f"{shared.folder(v.spark)}/store-{uuid.uuid4().hex}")
+    store.write(containers(v))
+    return store
+
+
+def _table(v: Views, layout: str, metatiles: DataFrame) -> stores.TableStore:
+    """A new key-value store that holds these metatiles."""
+    store = stores.open_store(f"{layout}://tiles-{uuid.uuid4().hex}", tables=shared.folder(v.spark))
+    store.write(metatiles)
+    return store
 
 
 @query("SELECT DISTINCT style, z, mx, my FROM tile_requests")
 def metatile_write(v: Views) -> DataFrame:
     """All containers written as .meta files, and read back through the data source."""
-    _, root = _written(v)
-    back = v.spark.read.format("metatiles").option("root", root).load()
+    root = _written(v).root
+    back = v.spark.read.format("metatiles").option("root", root).option("contents", "false").load()
     return stores.parsed(back.select("path"), root).select("style", "z", C("x").alias("mx"), C("y").alias("my"))
 
 
 @query("SELECT DISTINCT style, z, mx, my FROM tile_requests WHERE z BETWEEN 4 AND 12 AND style IN ('click', 'error')")
 def scan_meta(v: Views) -> DataFrame:
     """The .meta files of two styles and nine zooms: other folders are not listed."""
-    _, root = _written(v)
+    root = _written(v).root
     found = stores.scan(v.spark, root, ["click", "error"], 4, 12)
     return stores.parsed(found.select("path"), root).select("style", "z", C("x").alias("mx"), C("y").alias("my"))
 
 
-def _kv_keys(v: Views) -> DataFrame:
-    k = A.store_keys(C("style"), C("z"), C("mx"), C("my"), F.lit(""))
-    return containers(v).select(k["memcached_key"].alias("memcached_key"), k["rados_key"].alias("rados_key"), "blob")
+@query(f"SELECT req_id, CAST(length({_DATA}) AS INT) AS status, {_DATA} AS data FROM tile_requests")
+def file_tile_read(v: Views) -> DataFrame:
+    """Every request read from the .meta files."""
+    out = _written(v).read(v.tile_requests.select("req_id", *KEY, "x", "y"))
+    return out.select("req_id", "status", C("data").cast("string").alias("data"))
 
 
 @query(f"SELECT req_id, CAST(length({_DATA}) AS INT) AS memcached_status, CAST(length({_DATA}) AS INT) AS rados_status FROM tile_requests")
 def kv_tile_read(v: Views) -> DataFrame:
     """The same tiles from the two key layouts."""
-    k = A.store_keys(C("style"), C("z"), C("x"), C("y"), F.lit(""))
-    r = v.tile_requests.select("req_id", "x", "y", k["memcached_key"].alias("memcached_key"), k["rados_key"].alias("rados_key"))
-    kv = _kv_keys(v)
-    slot = A.metatile_slot(C("x"), C("y"))
-    m = r.join(kv.select("memcached_key", "blob"), "memcached_key").select("req_id", metatile.read_status(C("blob"), slot).cast("int").alias("memcached_status"))
-    d = r.join(kv.select("rados_key", "blob"), "rados_key").select("req_id", metatile.read_status(C("blob"), slot).cast("int").alias("rados_status"))
+    blobs, requests = containers(v), v.tile_requests.select("req_id", "style", "z", "x", "y")
+    m, d = (_table(v, layout, blobs).read(requests).select("req_id", C("status").alias(f"{layout}_status")) for layout in ("memcached", "rados"))
     return m.join(d, "req_id")
 
 
+_CACHED = f"WITH t AS (SELECT DISTINCT style, z, x, y, CAST(length({_DATA}) AS BIGINT) AS n FROM tile_requests WHERE req_id % 4 <> 0)"
+
+
+@query(f"{_CACHED} SELECT req_id, CASE WHEN size < 0 THEN -1 ELSE coalesce(n, 0) END AS size, mtime, coalesce(mtime < planet_ts, false) AS expired FROM tile_stats LEFT JOIN t USING (style, z, x, y)")
+def kv_tile_stat(v: Views) -> DataFrame:
+    """Key-value store: the size is the tile's own entry, a missing tile is not expired."""
+    kept = v.tile_requests.where("req_id % 4 <> 0").select("style", "z", "x", "y").distinct()
+    blobs = metatile.encoded(tiles(v).join(kept, ["style", "z", "x", "y"], "left_semi"), KEY)
+    store = _table(v, "memcached", blobs.join(v.tile_cache.select(*KEY, "mtime"), KEY))
+    found = store.stat(v.tile_requests.select("req_id", "style", "z", "x", "y"))
+    found = fr.with_planet_time(found, v.planet_times, NOW)
+    return found.select("req_id", "size", "mtime", (C("expired") | F.coalesce(C("mtime") < C("planet_ts"), F.lit(False))).alias("expired"))
+
+
 @query("SELECT concat(style, '/', mx, '/', my, '/', z, '.meta') AS key, min(ts) AS mtime, false AS expired FROM tile_requests GROUP BY style, mx, my, z")
 def kv_write(v: Views) -> DataFrame:
-    """Metatiles written to a key-value table, with the state that is stored before each, and read back."""
-    path = f"{shared.folder(v.spark)}/kv-{uuid.uuid4().hex}"
-    k = A.store_keys(C("style"), C("z"), C("mx"), C("my"), F.lit(""))
+    """Metatiles written to a key-value store twice, the later time last: one row counts for each key."""
     rows = v.tile_requests.groupBy(*KEY).agg(F.min("ts").alias("mtime"))
-    stores.Store("memcached", table=path).write(rows.select(k["memcached_key"].alias("key"), "mtime", F.lit(False).alias("expired")))
-    return v.spark.read.parquet(path)
+    store = _table(v, "memcached", rows.withColumn("mtime", C("mtime") - F.expr("INTERVAL 1 DAY")))
+    store.write(rows)
+    return store.latest(v.spark, "mtime", "expired")
+
+
+_MISSING = "size < 0"
 
 
-@query("SELECT req_id, CASE WHEN size < 0 THEN 404 ELSE 200 END AS http, CASE WHEN size < 0 THEN -1 ELSE CAST(100 AS BIGINT) END AS size, CASE WHEN size >= 0 THEN mtime END AS last_modified, false AS expired FROM tile_stats")
+@query(f"SELECT req_id, CASE WHEN {_MISSING} THEN -1 ELSE CAST(length({_DATA}) AS BIGINT) END AS size, CASE WHEN size >= 0 THEN mtime END AS last_modified, false AS expired FROM tile_stats")
 def proxy_stat(v: Views) -> DataFrame:
-    """A read-only proxy answers 200 with Last-Modified, or 404: size -1; nothing it serves is expired."""
-    found = C("size") >= 0
-    return stats(v).select("req_id", F.when(found, 200).otherwise(404).alias("http"), F.when(found, 100).otherwise(-1).cast("long").alias("size"), F.when(found, C("mtime")).alias("last_modified"), F.lit(False).alias("expired"))
+    """A read-only proxy answers 200 with Last-Modified and the tile, or 404: size -1; nothing it serves is expired."""
+    known = stats(v).select("style", "z", "x", "y", "size", "mtime").distinct().join(tiles(v).select("style", "z", "x", "y", "data"), ["style", "z", "x", "y"])
+    path = F.concat_ws("/", F.lit(""), C("style"), A.store_keys(C("style"), C("z"), C("x"), C("y"), F.lit(""))["proxy_path"])
+    responses = known.select(path.alias("path"), F.when(C("size") < 0, 404).otherwise(200).alias("http"), C("mtime").alias("last_modified"), C("data").alias("body"))
+    store = stores.open_store("ro_http_proxy://tiles.example.org", responses=responses)
+    return store.stat(v.tile_requests.select("req_id", "style", "z", "x", "y")).select("req_id", "size", C("mtime").alias("last_modified"), "expired")
 
 
 _TWO = "FROM (SELECT * FROM tile_cache WHERE style = 'view') p {0} JOIN (SELECT * FROM tile_cache WHERE style = 'click') s ON p.z = s.z AND p.mx = s.mx AND p.my = s.my"
@@ -138,8 +174,10 @@ def composite_join(v: Views) -> DataFrame:
 @query("SELECT req_id, CAST(-1 AS BIGINT) AS size, true AS expired, -1 AS read, 0 AS written FROM tile_requests")
 def null_store(v: Views) -> DataFrame:
     """Nothing is found in a null store, and whatever is written to it succeeds."""
-    stores.Store("null").write(v.tile_requests.select(*KEY))
-    return v.tile_requests.select("req_id", F.lit(-1).cast("long").alias("size"), F.lit(True).alias("expired"), F.lit(-1).alias("read"), F.lit(0).alias("written"))
+    store = stores.open_store("null://")
+    store.write(v.tile_requests.select(*KEY))
+    out = store.read(store.stat(v.tile_requests.select("req_id", "style", "z", "x", "y")))
+    return out.select("req_id", "size", "expired", C("status").alias("read"), F.lit(0).alias("written"))
 
 
 _URIS = ["/var/tiles", "rados://pool/etc/ceph.conf", "memcached://", "memcached://host:11211", "ro_http_proxy://tiles.example.org", "composite:{a,/srv/a}{b,null://}", "null://", "ftp://x", ""]
@@ -165,14 +203,19 @@ def store_uri_parse(v: Views) -> DataFrame:
 
 @query("SELECT style, z, mx, my FROM tile_cache c WHERE NOT EXISTS (SELECT 1 FROM tile_requests r WHERE r.req_id % 10 = 0 AND r.style = c.style AND r.z = c.z AND r.mx = c.mx AND r.my = c.my)")
 def store_delete(v: Views) -> DataFrame:
-    return stores.deleted(v.tile_cache.select(*KEY), v.tile_requests.where("req_id % 10 = 0"), KEY)
+    store = _table(v, "rados", v.tile_cache.select(*KEY, "mtime"))
+    store.delete(v.tile_requests.where("req_id % 10 = 0"))
+    return store.latest(v.spark, *KEY).select(*KEY)
 
 
 @query("SELECT style, z, mx, my, CASE WHEN z % 2 = 0 THEN m ELSE m - INTERVAL 20 YEARS END AS mtime, true AS kv_expired FROM (SELECT *, CASE WHEN z % 2 = 0 THEN mtime - INTERVAL 19 YEARS ELSE mtime END AS m FROM tile_cache)")
 def store_expire(v: Views) -> DataFrame:
     """Expired files go back by 20 years unless they are from 2005 or before; a key-value store sets its flag."""
     m = F.when(C("z") % 2 == 0, C("mtime") - F.expr("INTERVAL 19 YEARS")).otherwise(C("mtime"))
-    return v.tile_cache.select(*KEY, stores.expired_time(m).alias("mtime"), F.lit(True).alias("kv_expired"))
+    store = _table(v, "memcached", v.tile_cache.select(*KEY, m.alias("mtime")))
+    store.expire(v.tile_cache.select(*KEY))
+    rows = store.latest(v.spark, *KEY, "mtime", "expired")
+    return rows.select(*KEY, stores.expired_time(C("mtime")).alias("mtime"), C("expired").alias("kv_expired"))
 
 
 @query("""
@@ -212,8 +255,7 @@ def opt_validate(v: Views) -> DataFrame:
 def kv_options(v: Views) -> DataFrame:
     """Directive arguments of the form key=value."""
     text = F.concat(F.lit("layer="), C("style"), F.lit(" maxzoom="), C("z").cast("string"))
-    m = F.str_to_map(text, F.lit(" "), F.lit("="))
-    return v.tile_requests.select("req_id", F.try_element_at(m, F.lit("layer")).alias("layer"), F.try_element_at(m, F.lit("maxzoom")).alias("maxzoom"))
+    return v.tile_requests.select("req_id", *[config.option(text, name).alias(name) for name in ("layer", "maxzoom")])
 
 
 @query("SELECT CAST(sum(threads) FILTER (WHERE daemon <> 0) AS BIGINT) AS slave_threads FROM (VALUES (0, 4), (1, 8), (2, 2)) t(daemon, threads)")

@@ -93,8 +93,8 @@ def _packed(x: pd.Series, y: pd.Series, z: pd.Series, tiles: pd.Series) -> pd.Se
 
 
 def encoded(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """tiles(keys.., mx, my, z, x, y, data) -> one container for each metatile; of repeated tiles the last stays.
-    A group is at most 64 tiles, as slots are made unique before they are collected."""
+    """tiles(keys.., mx, my, z, x, y, data) -> one container for each metatile; of tiles repeated with
+    other contents the greatest stays, whatever the order of rows. A group is at most 64 tiles, as slots are made unique before they are collected."""
     slot = metatile_slot(F.col("x"), F.col("y")).cast("int")
     one = tiles.withColumn("slot", slot).groupBy(*keys, "slot").agg(F.max("data").alias("data"))
     grouped = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "data"))).alias("tiles"))

@@ -1,13 +1,19 @@
-"""Tile stores: the seven operations behind a URI, as Spark data sources where they do I/O.
+"""Tile stores: seven operations behind a URI, on tables of requests and of metatiles.
 
-A store table has one row for each metatile: (style, z, mx, my, options, mtime, expired, blob).
-File stores are real ``.meta`` trees; key-value stores use any table with their key layout.
+read, stat and storage_id take requests(style, z, x, y) and add columns; write, delete and expire take
+metatiles(style, z, mx, my[, blob, mtime]); close has nothing to do. File stores are real ``.meta`` trees,
+read and written by a data source; key-value stores are logs of Parquet rows in which the latest row of a
+key counts, so that a write, a delete or an expiry appends and never rewrites. A proxy store answers
+from a table of responses, a composite store from two stores. Neither takes writes.
 """
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
 import os
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tileflow.constants import META_HEADER
 from tileflow.functions import address as A
+from tileflow.sources import metatile
 
 META_SCHEMA = "path string, mtime timestamp_ntz, size long, blob binary"
 SCHEMES = ("rados://", "memcached://", "ro_http_proxy://", "composite:{", "null://")
@@ -46,40 +54,260 @@ class ReadOnlyStore(RuntimeError):
 
 @dataclass(frozen=True)
 class Store:
-    """A store by kind; ``table`` is the metatile table of key-value stores."""
+    """What all kinds share; ``kind`` is the scheme's name."""
 
-    kind: str
-    root: str = ""
-    table: str = ""
+    kind = ""
+    read_only = False
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        """requests with size (-1 if missing), mtime and expired (as far as the store itself says)."""
+        raise NotImplementedError
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        """requests with status (bytes read, or a negative code), data and compressed."""
+        raise NotImplementedError
+
+    def storage_id(self, requests: DataFrame) -> DataFrame:
+        """requests with storage_id, the place of the tile in words."""
+        return requests.withColumn("storage_id", self.place())
+
+    def place(self) -> Column:
+        raise NotImplementedError
+
+    def write(self, metatiles: DataFrame) -> None:
+        raise ReadOnlyStore(self.kind)
+
+    def delete(self, metatiles: DataFrame) -> None:
+        raise ReadOnlyStore(self.kind)
+
+    def expire(self, metatiles: DataFrame) -> None:
+        raise ReadOnlyStore(self.kind)
+
+    def close(self) -> None:
+        """Stores hold nothing open between operations."""
+
+
+_ADDRESS = ("style", "z", "mx", "my")
+
+
+def _met(requests: DataFrame) -> tuple[Column, Column]:
+    """Origin of the metatile, whether rows are tiles or metatiles."""
+    x, y = ("x", "y") if "x" in requests.columns else ("mx", "my")
+    return A.metatile_origin(F.col(x)), A.metatile_origin(F.col(y))
+
+
+def _tiles(requests: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
+    """requests with the tile of the stored(stored_key, blob) metatile whose key they have. A metatile is taken apart once
+    for each slot asked for, so blobs meet the distinct tiles and not every request."""
+    r = requests.withColumn("tile_key", key).withColumn("tile_slot", A.metatile_slot(F.col("x"), F.col("y")).cast("int"))
+    asked = r.groupBy("tile_key", "tile_slot").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    found = metatile.read_tiles(asked.join(stored, F.col("tile_key") == F.col("stored_key"), "left"))
+    found = found.select(F.col("tile_key").alias("k"), F.col("tile_slot").alias("s"), "status", "data", "compressed")
+    return r.join(found, (F.col("tile_key") == F.col("k")) & (F.col("tile_slot") == F.col("s"))).drop("tile_key", "tile_slot", "k", "s")
+
+
+@dataclass(frozen=True)
+class FileStore(Store):
+    root: str
+    kind = "file"
+
+    def path(self, rows: DataFrame) -> Column:
+        return A.hashed_path(F.lit(self.root), F.col("style"), F.col("z"), *_met(rows))
+
+    def _files(self, requests: DataFrame, contents: bool) -> DataFrame:
+        spark = requests.sparkSession
+        spark.dataSource.register(MetaFiles)
+        return spark.read.format("metatiles").option("root", self.root).option("contents", str(contents).lower()).load()
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        files = self._files(requests, False).select(F.col("path").alias("file_path"), "mtime", F.col("size").alias("file_size"))
+        found = requests.join(files, self.path(requests) == F.col("file_path"), "left").drop("file_path")
+        return found.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", F.lit(False)).drop("file_size")
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        return _tiles(requests, self._files(requests, True).select(F.col("path").alias("stored_key"), "blob"), self.path(requests))
+
+    def place(self) -> Column:
+        return F.concat(F.lit("file://"), A.hashed_path(F.lit(self.root), F.col("style"), F.col("z"), F.col("x"), F.col("y")))
+
+    def _apply(self, metatiles: DataFrame, operation: str) -> None:
+        metatiles.sparkSession.dataSource.register(MetaFiles)
+        path = F.col("path") if "path" in metatiles.columns else self.path(metatiles)
+        extra = [c if c in metatiles.columns else F.lit(None).cast(t).alias(c) for c, t in (("mtime", "timestamp_ntz"), ("blob", "binary"))]
+        rows = metatiles.select(path.alias("path"), extra[0], F.lit(0).cast("long").alias("size"), extra[1])
+        rows = rows if operation == "write" else rows.dropDuplicates(["path"])
+        rows.write.format("metatiles").option("root", self.root).option("operation", operation).mode("append").save()
+
+    def write(self, metatiles: DataFrame) -> None:
+        self._apply(metatiles, "write")
+
+    def delete(self, metatiles: DataFrame) -> None:
+        self._apply(metatiles, "delete")
+
+    def expire(self, metatiles: DataFrame) -> None:
+        self._apply(metatiles, "expire")
+
+
+LOG_SCHEMA = "key string, style string, z int, mx long, my long, mtime timestamp_ntz, expired boolean, deleted boolean, version long, head binary, blob binary"
+
+
+@dataclass(frozen=True)
+class TableStore(Store):
+    """A key-value store of either key layout as a log of rows below ``table``. ``head`` repeats the index of the
+    container, so that stat does not read contents."""
+
+    layout: str  # memcached or rados
+    table: str
+    pool: str = "tiles"
 
     @property
-    def read_only(self) -> bool:
-        return self.kind in ("proxy", "composite")
+    def kind(self) -> str:  # type: ignore[override]
+        return self.layout
+
+    def key(self, rows: DataFrame) -> Column:
+        return A.store_keys(F.col("style"), F.col("z"), *_met(rows), F.lit(""))[f"{self.layout}_key"]
+
+    def latest(self, spark: SparkSession, *columns: str) -> DataFrame:
+        """The rows that count: the last of each key, unless it says that the key is gone."""
+        log = spark.read.schema(LOG_SCHEMA).parquet(self.table)
+        last = log.groupBy("key").agg(F.max_by(F.struct("deleted", *columns), "version").alias("last"))
+        return last.where("NOT last.deleted").select("key", *[F.col(f"last.{c}").alias(c) for c in columns])
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        """The size is the tile's own entry in the container; a missing tile is not expired."""
+        known = self.latest(requests.sparkSession, "mtime", "expired", "head").withColumnRenamed("key", "known_key").withColumnRenamed("expired", "marked")
+        found = requests.join(known, self.key(requests) == F.col("known_key"), "left")
+        _, size = metatile.entry(F.col("head"), A.metatile_slot(F.col("x"), F.col("y")))
+        return found.withColumn("size", F.when(F.col("known_key").isNull(), -1).otherwise(size).cast("long")).withColumn("expired", F.coalesce("marked", F.lit(False))).drop("known_key", "marked", "head")
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        return _tiles(requests, self.latest(requests.sparkSession, "blob").withColumnRenamed("key", "stored_key"), self.key(requests))
+
+    def place(self) -> Column:
+        if self.layout == "rados":
+            return F.concat(F.lit(f"rados://{self.pool}/"), A.store_keys(F.col("style"), F.col("z"), F.col("x"), F.col("y"), F.lit(""))["rados_key"])
+        s = lambda c: F.col(c).cast("string")
+        return F.concat(F.lit("memcached:///"), F.concat_ws("/", F.col("style"), s("x"), s("y"), s("z")), F.lit(".meta"))
+
+    def _append(self, rows: DataFrame, **values: Column) -> None:
+        have = {c: F.col(c) for c in rows.columns} | values | {"version": F.lit(time.time_ns())}
+        of = dict(x.split(" ") for x in LOG_SCHEMA.split(", "))
+        rows.select(*[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in of.items()]).write.mode("append").parquet(self.table)
 
     def write(self, metatiles: DataFrame) -> None:
-        if self.read_only:
-            raise ReadOnlyStore(self.kind)
-        if self.kind == "null":
-            metatiles.write.format("noop").mode("overwrite").save()
-        elif self.kind == "file":
-            metatiles.sparkSession.dataSource.register(MetaFiles)
-            metatiles.select("path", "blob").write.format("metatiles").option("root", self.root).mode("append").save()
-        else:
-            metatiles.write.mode("append").parquet(self.table)
-
-
-def open_store(uri: str) -> Store | None:
-    """The store of a URI, or None where the URI names none or its directory does not exist."""
+        """The state written with a metatile is that of a fresh one."""
+        head = F.substring(F.col("blob"), 1, META_HEADER) if "blob" in metatiles.columns else F.lit(None)
+        self._append(metatiles, key=self.key(metatiles), expired=F.lit(False), deleted=F.lit(False), head=head)
+
+    def delete(self, metatiles: DataFrame) -> None:
+        gone = metatiles.select(*_ADDRESS).distinct()
+        self._append(gone, key=self.key(gone), deleted=F.lit(True))
+
+    def expire(self, metatiles: DataFrame) -> None:
+        """What is stored is marked; what is not stays missing."""
+        marked = metatiles.select(self.key(metatiles).alias("key")).distinct()
+        columns = ("style", "z", "mx", "my", "mtime", "head", "blob")
+        self._append(self.latest(metatiles.sparkSession, *columns).join(marked, "key", "left_semi"), expired=F.lit(True), deleted=F.lit(False))
+
+
+@dataclass(frozen=True)
+class NullStore(Store):
+    """Nothing is found in it, and whatever is done to it succeeds."""
+
+    kind = "null"
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        return requests.withColumns({"size": F.lit(-1).cast("long"), "mtime": F.lit(None).cast("timestamp_ntz"), "expired": F.lit(True)})
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        return requests.withColumns({"status": F.lit(-1), "data": F.lit(None).cast("binary"), "compressed": F.lit(False)})
+
+    def place(self) -> Column:
+        return F.lit("null://")
+
+    def write(self, metatiles: DataFrame) -> None:
+        metatiles.write.format("noop").mode("overwrite").save()
+
+    delete = expire = write
+
+
+@dataclass(frozen=True)
+class ProxyStore(Store):
+    """A read-only proxy by its responses(path, http, last_modified, body): 200, or else the tile is missing. Nothing it
+    serves is expired."""
+
+    base: str
+    responses: DataFrame | None = None
+    kind = "proxy"
+    read_only = True
+
+    def _answers(self, requests: DataFrame) -> DataFrame:
+        if self.responses is None:
+            raise RuntimeError(f"no table of responses of {self.base}")
+        path = A.store_keys(F.col("style"), F.col("z"), F.col("x"), F.col("y"), F.lit(""))["proxy_path"]
+        got = self.responses.where("http = 200").select(F.col("path").alias("got_path"), "last_modified", "body")
+        return requests.join(got, F.concat(F.lit("/"), F.col("style"), F.lit("/"), path) == F.col("got_path"), "left").withColumn("found", F.col("got_path").isNotNull()).drop("got_path")
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        size = F.when(F.col("found"), F.length("body")).otherwise(-1).cast("long")
+        return self._answers(requests).withColumns({"size": size, "mtime": F.col("last_modified"), "expired": F.lit(False)}).drop("last_modified", "body", "found")
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        return self._answers(requests).withColumns({"status": F.when(F.col("found"), F.length("body")).otherwise(-1).cast("int"), "data": F.col("body"), "compressed": F.lit(False)}).drop("last_modified", "body", "found")
+
+    def place(self) -> Column:
+        return F.concat(F.lit(f"http://{self.base}/"), A.store_keys(F.col("style"), F.col("z"), F.col("x"), F.col("y"), F.lit(""))["proxy_path"])
+
+
+@dataclass(frozen=True)
+class CompositeStore(Store):
+    """Tiles of one style drawn over those of another: both must be there to read, the state is the lower one's alone."""
+
+    lower: Store | None
+    lower_style: str
+    upper: Store | None
+    upper_style: str
+    kind = "composite"
+    read_only = True
+
+    def stat(self, requests: DataFrame) -> DataFrame:
+        return self.lower.stat(requests.withColumn("style", F.lit(self.lower_style)))
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        """data and over: the tiles of both styles, for the renderer to blend; status is the lower one's, or what failed."""
+        below = self.lower.read(requests.withColumn("style", F.lit(self.lower_style)))
+        below = below.withColumnsRenamed({"status": "lower_status", "data": "lower_data"}).drop("compressed")
+        both = self.upper.read(below.withColumn("style", F.lit(self.upper_style))).withColumnRenamed("data", "over")
+        status = F.when(F.col("lower_status") < 0, F.col("lower_status")).when(F.col("status") < 0, F.col("status")).otherwise(F.col("lower_status"))
+        return both.withColumn("status", status).withColumnRenamed("lower_data", "data").drop("lower_status")
+
+    def place(self) -> Column:
+        return F.lit("Coposite tile")  # misspelled as users know it
+
+
+def open_store(uri: str, tables: str = "", responses: DataFrame | None = None) -> Store | None:
+    """The store of a URI, or None where the URI names none or its directory does not exist. Key-value stores keep their
+    rows below the folder ``tables``, a proxy answers from ``responses``."""
     if uri.startswith("/"):
-        return Store("file", uri) if os.path.isdir(uri) else None
+        return FileStore(uri) if os.path.isdir(uri) else None
     for scheme, kind in zip(SCHEMES, ("rados", "memcached", "proxy", "composite", "null"), strict=True):
         if uri.startswith(scheme):
-            return Store(kind, uri[len(scheme) :])
+            rest = uri[len(scheme) :]
+            if kind == "null":
+                return NullStore()
+            if kind == "proxy":
+                return ProxyStore(rest, responses)
+            if kind == "composite":
+                m = re.fullmatch(r"([^,]*),(.*?)\}\{([^,]*),(.*)\}", rest)
+                return CompositeStore(open_store(m[2], tables, responses), m[1], open_store(m[4], tables, responses), m[3]) if m else None
+            return TableStore(kind, f"{tables}/{kind}-{re.sub('[^A-Za-z0-9]+', '-', rest) or 'localhost'}", rest.split("/")[0])
     return None
 
 
 class MetaFiles(DataSource):
-    """``.meta`` files below a root that all nodes mount: one partition for each first-level hash directory to read, temporary file and rename to write."""
+    """``.meta`` files below a root that all nodes mount: one partition for each first-level hash directory to read, temporary
+    file and rename to write. Options: root, styles, minzoom, maxzoom; contents (false: no blobs are read); operation
+    (write, delete, expire)."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,39 +327,62 @@ class MetaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.styles = options["root"], [s for s in options.get("styles", "").split(",") if s]
         self.zooms = range(int(options.get("minzoom", 0)), int(options.get("maxzoom", 20)) + 1)
+        self.contents = options.get("contents", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         styles = self.styles or sorted(d for d in os.listdir(self.root) if os.path.isdir(f"{self.root}/{d}"))
-        return [InputPartition(f"{self.root}/{s}/{z}") for s in styles for z in self.zooms if os.path.isdir(f"{self.root}/{s}/{z}")] or [InputPartition("")]
+        zooms = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
+        return [InputPartition(f"{top}/{d}") for top in zooms if os.path.isdir(top) for d in sorted(os.listdir(top))] or [InputPartition("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import datetime as dt
-
         for folder, _, names in os.walk(partition.value) if partition.value else ():
             for n in sorted(names):
                 if n.endswith(".meta"):
                     path = f"{folder}/{n}"
-                    with open(path, "rb") as f:
-                        blob = f.read()
+                    blob = None
+                    if self.contents:
+                        with open(path, "rb") as f:
+                            blob = f.read()
                     st = os.stat(path)
                     yield path, dt.datetime.fromtimestamp(int(st.st_mtime), dt.UTC).replace(tzinfo=None), st.st_size, blob
 
 
 class MetaWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        self.root = options["root"]
+        self.root, self.operation = options["root"], options.get("operation", "write")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         for r in rows:
             if not r.path.startswith(f"{self.root}/") or ".." in r.path:
                 raise ValueError(f"{r.path} is outside the store")
-            os.makedirs(os.path.dirname(r.path), exist_ok=True)
-            temporary = f"{r.path}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as f:
-                f.write(r.blob)
-            os.replace(temporary, r.path)
+            if self.operation == "write":
+                self._write(r)
+            elif self.operation == "delete":
+                with contextlib.suppress(FileNotFoundError):  # gone already, maybe by another run of this task
+                    os.remove(r.path)
+            else:
+                self._expire(r.path)
         return WriterCommitMessage()
 
+    def _write(self, r) -> None:
+        os.makedirs(os.path.dirname(r.path), exist_ok=True)
+        temporary = f"{r.path}.{uuid.uuid4().hex}"
+        with open(temporary, "wb") as f:
+            f.write(r.blob)
+        if getattr(r, "mtime", None) is not None:
+            at = r.mtime.replace(tzinfo=dt.UTC).timestamp()
+            os.utime(temporary, (at, at))
+        os.replace(temporary, r.path)
+
+    def _expire(self, path: str) -> None:
+        """Back by 20 years, unless it is so old already: before 2006, or 20 years, so that another run of this task changes nothing."""
+        with contextlib.suppress(FileNotFoundError):
+            at = dt.datetime.fromtimestamp(os.stat(path).st_mtime, dt.UTC)
+            if at.year > max(2005, dt.datetime.now(dt.UTC).year - 20):
+                leap = at.month == 2 and at.day == 29
+                old = at.replace(year=at.year - 20, day=28 if leap and (at.year - 20) % 4 else at.day).timestamp()
+                os.utime(path, (old, old))
+
 
 def scan(spark: SparkSession, root: str, styles: list[str], min_zoom: int, max_zoom: int) -> DataFrame:
     """(path, mtime, size) of the metatiles of a file store, by Spark's own listing: contents are not read.
@@ -157,8 +408,3 @@ def parsed(scanned: DataFrame, root: str) -> DataFrame:
 def expired_time(mtime: Column) -> Column:
     """What expiring a file does to its time: back by 20 years, unless it is so old already."""
     return F.when(F.year(mtime) > 2005, mtime - F.expr("INTERVAL 20 YEARS")).otherwise(mtime)
-
-
-def deleted(store: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """The store table without the metatiles named."""
-    return store.join(gone.select(*keys).distinct(), keys, "left_anti")

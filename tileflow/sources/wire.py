@@ -47,6 +47,17 @@ def code_of(cmd: Column) -> Column:
     return out
 
 
+def name_of(code: Column) -> Column:
+    """Command of a number on the wire; null for others."""
+    names = F.create_map(*[F.lit(v) for k, n in COMMANDS.items() for v in (k, n)])
+    return F.try_element_at(names, code.cast("int"))
+
+
+def submissions(metatiles: DataFrame) -> DataFrame:
+    """metatiles(.., style, z, x, y) as batch tools submit them: bulk commands in version 2 of the protocol."""
+    return metatiles.withColumns({"ver": F.lit(2), "cmd": F.lit("RenderBulk")})
+
+
 def encode(cmd: Column, x: Column, y: Column, z: Column, style: Column, mimetype: Column, options: Column, ver: int = 3) -> Column:
     parts = [int32(F.lit(ver)), int32(code_of(cmd)), int32(x), int32(y), int32(z)]
     if ver > 1:
@@ -60,11 +71,10 @@ def encode(cmd: Column, x: Column, y: Column, z: Column, style: Column, mimetype
 def decode(frames: DataFrame) -> DataFrame:
     """frames(.., frame) -> with ver, cmd, x, y, z, style, mimetype, options; absent fields are null."""
     b = F.col("frame")
-    names = F.create_map(*[F.lit(v) for k, n in COMMANDS.items() for v in (k, n)])
     long = F.length(b)
     out = {k: read_int32(b, OFFSETS[k]) for k in ("ver", "x", "y")}
     out["z"] = read_int32(b, OFFSETS["z"]).cast("int")
-    out["cmd"] = F.try_element_at(names, read_int32(b, OFFSETS["cmd"]).cast("int"))
+    out["cmd"] = name_of(read_int32(b, OFFSETS["cmd"]))
     out |= {k: F.when(long >= OFFSETS[k] + TEXT, read_text(b, OFFSETS[k])) for k in ("style", "mimetype", "options")}
     return frames.select(*[c for c in frames.columns if c != "frame"], *[c.alias(k) for k, c in out.items()])
 

@@ -82,11 +82,27 @@ def write_text(lines: list[str], path: str) -> None:
     os.replace(temporary, path)
 
 
+def added_up(total: dict[str, int], lines: list[str]) -> list[str]:
+    """Counters ("name: value") added to those since the start, in the order of their first batch."""
+    for line in lines:
+        name, _, value = line.rpartition(": ")
+        total[name] = total.get(name, 0) + int(value)
+    return [f"{name}: {n}" for name, n in total.items()]
+
+
 def stats_file(stream: DataFrame, as_lines: Callable[[DataFrame], DataFrame], path: str, every: str = "10 seconds", **trigger: Any) -> DataStreamWriter:
-    """Every ten seconds, the counters of a batch as lines of a statistics file on the driver."""
+    """Every ten seconds, the counters since the stream's start as lines of a statistics file on the driver.
+
+    A batch that runs again after a failure replaces what its first run added."""
+    total: dict[str, int] = {}
+    last: dict[str, Any] = {"batch": None, "before": {}}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = as_lines(batch).orderBy("line_no").collect()  # a line for each counter, whatever the batch's size
-        write_text([r.line for r in rows], path)
+        if batch_id == last["batch"]:
+            total.clear()
+            total.update(last["before"])
+        last.update(batch=batch_id, before=dict(total))
+        write_text(added_up(total, [r.line for r in rows]), path)
 
     return stream.writeStream.foreachBatch(write).trigger(**(trigger or {"processingTime": every}))
