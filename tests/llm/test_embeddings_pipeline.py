@@ -152,18 +152,6 @@ def test_stages_by_hand(spark):
     assert C.run(spark, sf).count() == out.count()
 
 
-def test_stages_on_odd_rows(spark):
-    import corpus_pipeline as C
-
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("no test data")
-    for name, step in C.STAGES:
-        for docs in (documents(spark), documents(spark, [])):
-            out = step(spark, docs, sf)
-            assert out.count() >= 0, name
-
-
 def test_queries_are_registered():
     import __spark_entry__ as e
 
