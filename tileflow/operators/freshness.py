@@ -1,7 +1,7 @@
 """Requests joined to what a store knows of their tiles.
 
-Store tables grow with the data, so they are joined on (style, z, mx, my) and the engine
-picks the strategy; dimensions with a row for each style or layer are broadcast.
+Store tables and styles are joined by equality and the engine picks the strategy by their size;
+only single rows are broadcast by hint.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileflow.constants import XMLCONFIGS_MAX
 from tileflow.functions import web
 
 KEY = ["style", "z", "mx", "my"]
@@ -18,7 +19,7 @@ def with_planet_time(rows: DataFrame, planet_times: DataFrame, now: str) -> Data
     """planet_ts of the row's style, else of all styles ('*'), else three days before now."""
     own = planet_times.where("style <> '*'").select(F.col("style").alias("p_style"), F.col("planet_ts").alias("own_ts"))
     overall = planet_times.where("style = '*'").agg(F.max("planet_ts").alias("all_ts"))
-    r = rows.join(F.broadcast(own), F.col("style") == F.col("p_style"), "left").join(F.broadcast(overall), how="left")
+    r = rows.join(own, F.col("style") == F.col("p_style"), "left").join(F.broadcast(overall), how="left")
     last = F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL 3 DAYS")
     return r.withColumn("planet_ts", F.coalesce("own_ts", "all_ts", last)).drop("p_style", "own_ts", "all_ts")
 
@@ -41,11 +42,12 @@ def timestamp(text: str) -> Column:
 def first_match(urls: DataFrame, layers: DataFrame) -> DataFrame:
     """Each url with the first layer whose base it begins with; nulls if none.
 
-    ``layers`` is configuration of at most 100 rows, so all of it travels as one array and
+    ``layers`` is configuration of at most 100 rows (checked), so all of it travels as one array and
     requests are neither shuffled nor multiplied.
     """
     rest = [c for c in layers.columns if c != "layer_no"]
     known = layers.agg(F.sort_array(F.collect_list(F.struct("layer_no", *rest))).alias("known"))
+    known = known.select(F.when(F.size("known") <= XMLCONFIGS_MAX, F.col("known")).otherwise(F.raise_error(F.lit(f"more than {XMLCONFIGS_MAX} layers"))).alias("known"))
     found = urls.join(F.broadcast(known)).withColumn("layer", F.try_element_at(F.filter("known", lambda x: F.startswith(F.col("url"), x["baseuri"])), F.lit(1)))
     return found.select(*urls.columns, *[F.col(f"layer.{c}").alias(c) for c in layers.columns])
 

@@ -131,13 +131,13 @@ def present_tiles(v: Views) -> DataFrame:
 
 @query("SELECT r.req_id, l.layer_no FROM tile_requests r JOIN layers l USING (style)")
 def render_map_join(v: Views) -> DataFrame:
-    return v.tile_requests.join(F.broadcast(v.layers.select("style", "layer_no")), "style").select("req_id", "layer_no")
+    return v.tile_requests.join(v.layers.select("style", "layer_no"), "style").select("req_id", "layer_no")
 
 
 @query("SELECT req_id, style, 'NotDone' AS reply FROM tile_requests WHERE style NOT IN (SELECT style FROM layers)")
 def unknown_style(v: Views) -> DataFrame:
     """Requests for a style no map has; they are answered, unlike in a queue that never lets go of them."""
-    return v.tile_requests.join(F.broadcast(v.layers.select("style")), "style", "left_anti").select("req_id", "style", F.lit("NotDone").alias("reply"))
+    return v.tile_requests.join(v.layers.select("style"), "style", "left_anti").select("req_id", "style", F.lit("NotDone").alias("reply"))
 
 
 @query("WITH s AS (SELECT style, layer_no, layer_no AS section FROM layers UNION ALL SELECT style, layer_no + 100, layer_no + 10 FROM layers WHERE layer_no % 2 = 0) SELECT style, max(layer_no) AS layer_no FROM s GROUP BY style")

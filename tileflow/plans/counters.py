@@ -17,7 +17,7 @@ LAYERS = [(0, "/tiles/click/"), (1, "/tiles/error/"), (2, "/tiles/view/"), (3, "
 
 
 def outcomes(v: Views) -> DataFrame:
-    d = decided(v).join(F.broadcast(v.layers.select("style", "layer_no")), "style", "left")
+    d = decided(v).join(v.layers.select("style", "layer_no"), "style", "left")
     i = C("req_id")
     status = F.when(i % 50 == 0, 503).when(i % 101 == 0, 500).when(i % 103 == 0, 302).when(C("result") == "404", 404).when(i % 6 == 0, 304).otherwise(200)
     return d.select("req_id", "z", (i * 37 % 5000).alias("read_us"), F.coalesce("layer_no", F.lit(4)).alias("layer_no"), status.alias("status"), F.when(i % 50 > 0, C("counter")).alias("counter"))
