@@ -359,3 +359,28 @@ def test_sql_table_to_files(spark, tmp_path):
     one = tmp_path / "out" / "3" / "4" / "5.png"
     assert one.read_bytes() == b"tile 4"
     assert dt.datetime.fromtimestamp(one.stat().st_mtime, dt.UTC).replace(tzinfo=None) == dt.datetime(2023, 5, 28, 12, 0, 4)
+
+
+def test_rates_and_buckets():
+    cfg = W.ServerConfig().throttled(tiles=(10, 4.0), renders=(3, 0.5))
+    assert (cfg.delaypool_tile_size, cfg.delaypool_tile_rate, cfg.delaypool_render_size, cfg.delaypool_render_rate) == (10, 250_000, 3, 2_000_000)
+    assert W.ServerConfig().throttled().delaypool_tile_rate == W.ServerConfig().delaypool_tile_rate
+    with pytest.raises(ValueError, match="rate"):
+        W.top_up_us(0)
+
+
+def test_work_order_and_back_off(spark):
+    df = spark.createDataFrame([(3, 8, 0), (12, 0, 8), (5, 0, 0), (3, 0, 0)], "z int, mx long, my long")
+    assert [(r.z, r.mx) for r in B.in_order(df).collect()] == [(3, 0), (3, 8), (5, 0), (12, 0)]
+    assert [r.z for r in B.in_order(df, expiry=True).collect()] == [12, 5, 3, 3]
+    loads, slept = iter([20.0, 16.0, 15.9]), []
+    assert B.wait_for_load(lambda: next(loads), 16, slept.append) == 2
+    assert slept == [5.0, 5.0]
+
+
+def test_switched_off_handlers(spark):
+    layer = {"baseuri": F.lit("/t/"), "ext": F.lit("png"), "minzoom": F.lit(0), "maxzoom": F.lit(20), "aspect_x": F.lit(1), "aspect_y": F.lit(1)}
+    urls = spark.createDataFrame([("/t/1/0/0.png/status",), ("/t/1/0/0.png/dirty",), ("/metrics",), ("/server_stats",), ("/t/1/0/0.png",)], "url string")
+    on, off = W.ServerConfig(), W.ServerConfig().merged({"enable_dirty_url": False, "enable_status_url": False, "enable_global_stats": False})
+    got = [[r.h for r in urls.select(W.route(C("url"), layer, cfg=c)["handler"].alias("h")).collect()] for c in (on, off)]
+    assert got == [["status", "dirty", "metrics", "stats", "serve"], ["notfound", "notfound", "error", "error", "serve"]]

@@ -41,6 +41,20 @@ class ServerConfig:
     request_timeout: int = REQUEST_TIMEOUT
     request_timeout_priority: int = REQUEST_TIMEOUT
     very_old_us: int = VERY_OLD_US
+    tile_dir: str = "/var/cache/tiles"
+    renderer_socket: str = "/run/renderer.sock"
+    renderer_address: tuple[str, int] | None = None
+    #: configuration files to load, and layers added one by one: (base uri, style, type and further arguments)
+    config_files: tuple[str, ...] = ()
+    added_layers: tuple[tuple[str, ...], ...] = ()
+
+    def throttled(self, tiles: tuple[int, float] | None = None, renders: tuple[int, float] | None = None) -> ServerConfig:
+        """With buckets as directives give them: (size, tokens a second)."""
+        over: dict = {}
+        for name, given in (("tile", tiles), ("render", renders)):
+            if given is not None:
+                over |= {f"delaypool_{name}_size": given[0], f"delaypool_{name}_rate": top_up_us(given[1])}
+        return self.merged(over)
 
     def merged(self, over: dict) -> ServerConfig:
         """A virtual host's own directives win one by one."""
@@ -50,6 +64,13 @@ class ServerConfig:
         return ServerConfig(**{**self.__dict__, **over})
 
 
+def top_up_us(rate: float) -> int:
+    """Microseconds for one token at ``rate`` tokens a second."""
+    if rate <= 0:
+        raise ValueError("a rate must be above 0")
+    return int(1_000_000 / rate)
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     """Whole seconds from a to b, the same in any session time zone."""
     return F.timestamp_diff("SECOND", a, b)

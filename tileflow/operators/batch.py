@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +106,17 @@ def members(metatiles: DataFrame) -> DataFrame:
     n = F.least(F.pow(F.lit(2.0), F.col("z")).cast("long"), F.lit(METATILE).cast("long"))
     m = metatiles.withColumn("x", F.explode(F.sequence(F.col("mx"), F.col("mx") + n - 1)))
     return m.withColumn("y", F.explode(F.sequence(F.col("my"), F.col("my") + n - 1)))
+
+
+def in_order(metatiles: DataFrame, expiry: bool = False) -> DataFrame:
+    """The order in which lists are worked off: zoom by zoom upwards, for expiry downwards. Sorted by ranges, so over many tasks."""
+    return metatiles.orderBy(F.desc("z") if expiry else F.asc("z"), *[c for c in metatiles.columns if c != "z"])
+
+
+def wait_for_load(load: Callable[[], float], limit: float, pause: Callable[[float], None] = time.sleep, every: float = 5.0) -> int:
+    """Clients that submit work hold back while the load is at its limit or above; returns how often they waited."""
+    waits = 0
+    while load() >= limit:
+        pause(every)
+        waits += 1
+    return waits
