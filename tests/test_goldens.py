@@ -384,3 +384,15 @@ def test_switched_off_handlers(spark):
     on, off = W.ServerConfig(), W.ServerConfig().merged({"enable_dirty_url": False, "enable_status_url": False, "enable_global_stats": False})
     got = [[r.h for r in urls.select(W.route(C("url"), layer, cfg=c)["handler"].alias("h")).collect()] for c in (on, off)]
     assert got == [["status", "dirty", "metrics", "stats", "serve"], ["notfound", "notfound", "error", "error", "serve"]]
+
+
+def test_numbered(spark):
+    from tileflow.operators.freshness import numbered
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", "c", None]), i) for i in rng.sample(range(5000), 700)]
+    got = {(r.g, r.o): r.arrival for r in numbered(spark.createDataFrame(rows, "g string, o long"), "g", "o").collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        want |= {(g, o): n for n, o in enumerate(sorted(o for k, o in rows if k == g), 1)}
+    assert got == want

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tileflow.constants import XMLCONFIGS_MAX
 from tileflow.functions import web
+from tileflow.sources import shared
 
 KEY = ["style", "z", "mx", "my"]
 
@@ -55,3 +56,16 @@ def first_match(urls: DataFrame, layers: DataFrame) -> DataFrame:
 def admitted_first(requests: DataFrame, key: list[str] = KEY, order: str = "req_id") -> DataFrame:
     """rank 1 for the first request of each key; the others coalesce with it."""
     return requests.withColumn("arrival", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``arrival`` of each row within its group, from 1, without a task that holds a group: rows are sorted by ranges, numbered
+    within a range, and the numbers shifted by what earlier ranges hold of the group."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, group, order).sortWithinPartitions(group, order)
+    dealt = shared.staged(dealt.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "numbered")
+    held = dealt.groupBy("part", F.col(group).alias("in_group")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("in_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = shared.staged(held.select(F.col("part").alias("in_part"), "in_group", (earlier - F.col("first") + 1).alias("shift")), "shifts")
+    out = dealt.join(held, (F.col("part") == F.col("in_part")) & F.col(group).eqNullSafe(F.col("in_group")))
+    return out.select(*rows.columns, (F.col("place") + F.col("shift")).alias("arrival"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileflow.constants import DIRTY_LIMIT, FETCH_ORDER, QUEUE_OF, REQ_LIMIT
+from tileflow.sources import shared
 
 KEY = ["style", "z", "mx", "my"]
 
@@ -61,7 +62,7 @@ def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int
     same = F.lit(True)
     for k in KEY:
         same &= F.col(k) == F.col(f"k_{k}")
-    out = requests.join(placed, same)
+    out = requests.join(shared.staged(placed, "placed"), same)  # a metatile of a low zoom can have a third of all requests
     before = F.coalesce(F.col("req_id") < F.col("late"), F.lit(False))  # dropped, before one that was admitted
     return out.select(*requests.columns, wanted().alias("wanted"), F.when(before, F.col("f")).otherwise(F.coalesce("late", "f")).alias("first_req"), F.when(before, "Dropped").otherwise(F.col("q")).alias("queue"))
 

@@ -183,7 +183,7 @@ def purge_urls(v: Views) -> DataFrame:
 @query("SELECT req_id FROM (SELECT req_id, row_number() OVER (PARTITION BY style ORDER BY req_id) AS n FROM tile_requests) WHERE n % 100 = 0")
 def progress_samples(v: Views) -> DataFrame:
     """Every hundredth item of each style's list, as progress is reported."""
-    n = fr.admitted_first(v.tile_requests.select("req_id", "style"), ["style"])
+    n = fr.numbered(v.tile_requests.select("req_id", "style"), "style", "req_id")
     return n.where("arrival % 100 = 0").select("req_id")
 
 

@@ -15,7 +15,7 @@ from tileflow.operators import queue as Q
 from tileflow.operators import throttle
 from tileflow.plans.registry import query
 from tileflow.plans.serving import states
-from tileflow.sources import wire
+from tileflow.sources import shared, wire
 from tileflow.sources.views import Views
 
 C = F.col
@@ -90,7 +90,7 @@ def fetch_order(v: Views) -> DataFrame:
 def response_fanout(v: Views) -> DataFrame:
     """Every request with the one that renders for it, and how many wait for that result."""
     done = v.tile_requests.groupBy(*Q.KEY).agg(F.min("req_id").alias("first_req"), F.count("*").alias("waiting"))
-    return v.tile_requests.join(done, Q.KEY).select("req_id", "first_req", "waiting")
+    return v.tile_requests.join(shared.staged(done, "waiting"), Q.KEY).select("req_id", "first_req", "waiting")
 
 
 _NEW, _OLD = "req_id % 4 = 0", "req_id % 4 > 0"

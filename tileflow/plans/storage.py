@@ -60,14 +60,17 @@ def metatile_decode(v: Views) -> DataFrame:
 @query(f"SELECT req_id, CAST(length({_DATA}) AS INT) AS status, {_DATA} AS data FROM tile_requests")
 def metatile_read(v: Views) -> DataFrame:
     """Every request read from the container of its metatile."""
-    r = v.tile_requests.join(containers(v), KEY)
-    return metatile.read_tiles(r).select("req_id", "status", C("data").cast("string").alias("data"))
+    key = A.store_keys(C("style"), C("z"), C("mx"), C("my"), F.lit(""))["rados_key"]
+    r = stores.tiles_of(v.tile_requests, containers(v).select(key.alias("stored_key"), "blob"), key)
+    return r.select("req_id", "status", C("data").cast("string").alias("data"))
 
 
 @query("SELECT req_id, CASE req_id % 7 WHEN 0 THEN -1 WHEN 1 THEN -2 WHEN 2 THEN -3 WHEN 3 THEN -4 WHEN 4 THEN -5 WHEN 5 THEN -8 ELSE 0 END AS code FROM tile_requests")
 def metatile_validate(v: Views) -> DataFrame:
-    """Containers spoiled in different ways, and the code each gives."""
-    r = v.tile_requests.join(containers(v), KEY)
+    """Containers spoiled in different ways, and the code each gives. Each kind of spoiling of a tile is checked once."""
+    asked = v.tile_requests.select("req_id", *KEY, "x", "y", (C("req_id") % 7).alias("kind"))
+    one = [*KEY, "x", "y", "kind"]
+    r = asked.groupBy(*one).agg(F.min("req_id").alias("req_id")).join(containers(v), KEY)
     i, b = C("req_id") % 7, C("blob")
     bad = (
         F.when(i == 0, None).when(i == 1, F.lit(b"")).when(i == 2, F.substring(b, 1, 12)).when(i == 3, F.concat(F.lit(b"MOTE"), F.substring(b, F.lit(5), F.length(b))))
@@ -75,7 +78,8 @@ def metatile_validate(v: Views) -> DataFrame:
         .when(i == 5, F.concat(F.substring(b, 1, 20), F.lit(b"\x00\x00\x00\x00\x00\x00\x0f\x00" * 64), F.lit(b"x"))).otherwise(b)
     )
     status = metatile.read_status(bad, A.metatile_slot(C("x"), C("y")))
-    return r.select("req_id", F.least(status, F.lit(0)).cast("int").alias("code"))
+    codes = shared.staged(r.select(*one, F.least(status, F.lit(0)).cast("int").alias("code")), "codes")
+    return asked.join(codes, one).select("req_id", "code")
 
 
 def _written(v: Views) -> stores.FileStore:

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from tileflow.constants import META_HEADER
 from tileflow.functions import address as A
-from tileflow.sources import metatile
+from tileflow.sources import metatile, shared
 
 META_SCHEMA = "path string, mtime timestamp_ntz, size long, blob binary"
 SCHEMES = ("rados://", "memcached://", "ro_http_proxy://", "composite:{", "null://")
@@ -96,13 +96,14 @@ def _met(requests: DataFrame) -> tuple[Column, Column]:
     return A.metatile_origin(F.col(x)), A.metatile_origin(F.col(y))
 
 
-def _tiles(requests: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
+def tiles_of(requests: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
     """requests with the tile of the stored(stored_key, blob) metatile whose key they have. A metatile is taken apart once
-    for each slot asked for, so blobs meet the distinct tiles and not every request."""
+    for each slot asked for, so blobs meet the distinct tiles and not every request, and a tile that a third of all
+    requests ask for is joined to them in as many tasks as they need."""
     r = requests.withColumn("tile_key", key).withColumn("tile_slot", A.metatile_slot(F.col("x"), F.col("y")).cast("int"))
     asked = r.groupBy("tile_key", "tile_slot").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     found = metatile.read_tiles(asked.join(stored, F.col("tile_key") == F.col("stored_key"), "left"))
-    found = found.select(F.col("tile_key").alias("k"), F.col("tile_slot").alias("s"), "status", "data", "compressed")
+    found = shared.staged(found.select(F.col("tile_key").alias("k"), F.col("tile_slot").alias("s"), "status", "data", "compressed"), "tiles")
     return r.join(found, (F.col("tile_key") == F.col("k")) & (F.col("tile_slot") == F.col("s"))).drop("tile_key", "tile_slot", "k", "s")
 
 
@@ -125,7 +126,7 @@ class FileStore(Store):
         return found.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", F.lit(False)).drop("file_size")
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return _tiles(requests, self._files(requests, True).select(F.col("path").alias("stored_key"), "blob"), self.path(requests))
+        return tiles_of(requests, self._files(requests, True).select(F.col("path").alias("stored_key"), "blob"), self.path(requests))
 
     def place(self) -> Column:
         return F.concat(F.lit("file://"), A.hashed_path(F.lit(self.root), F.col("style"), F.col("z"), F.col("x"), F.col("y")))
@@ -181,7 +182,7 @@ class TableStore(Store):
         return found.withColumn("size", F.when(F.col("known_key").isNull(), -1).otherwise(size).cast("long")).withColumn("expired", F.coalesce("marked", F.lit(False))).drop("known_key", "marked", "head")
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return _tiles(requests, self.latest(requests.sparkSession, "blob").withColumnRenamed("key", "stored_key"), self.key(requests))
+        return tiles_of(requests, self.latest(requests.sparkSession, "blob").withColumnRenamed("key", "stored_key"), self.key(requests))
 
     def place(self) -> Column:
         if self.layout == "rados":
