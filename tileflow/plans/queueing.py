@@ -178,7 +178,8 @@ def _events(rows: pd.DataFrame) -> Iterator[tuple]:
             yield r.req_id, None, "Fetch"
 
 
-SMALL = ServerConfig(enable_tile_throttling=True, delaypool_tile_size=20, delaypool_render_size=4, delaypool_tile_rate=600_000_000, delaypool_render_rate=3_000_000_000)
+#: Buckets small and slow enough that the clients of the tables, with a few requests a month each, meet their limits.
+SMALL = ServerConfig(enable_tile_throttling=True, delaypool_tile_size=3, delaypool_render_size=1, delaypool_tile_rate=4 * 86_400_000_000, delaypool_render_rate=12 * 86_400_000_000)
 
 
 def _micros(v: Views) -> DataFrame:
@@ -201,7 +202,18 @@ def throttle_exact(v: Views) -> DataFrame:
     return _micros(v).coalesce(1).sortWithinPartitions("us", "req_id").mapInPandas(run, "req_id long, allowed boolean")
 
 
-@query()
+_DRIP = "least({0} + greatest(0, m.us - s.last_us) / {1}, {2})"
+_TILES, _RENDERS = _DRIP.format("s.tiles", f"{SMALL.delaypool_tile_rate}.0", f"{SMALL.delaypool_tile_size}.0"), _DRIP.format("s.renders", f"{SMALL.delaypool_render_rate}.0", f"{SMALL.delaypool_render_size}.0")
+
+
+@query(f"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT req_id, client_ip, epoch_us(ts) AS us, state = 'missing' AS missing, row_number() OVER (PARTITION BY client_ip ORDER BY ts, req_id) AS n FROM tile_states),
+s AS (SELECT req_id, client_ip, n, us AS last_us, true AS allowed, CAST({SMALL.delaypool_tile_size} - 1 AS DOUBLE) AS tiles, CAST({SMALL.delaypool_render_size} - CASE WHEN missing THEN 1 ELSE 0 END AS DOUBLE) AS renders FROM m WHERE n = 1
+  UNION ALL
+  SELECT req_id, client_ip, n, last_us, ok, CASE WHEN ok THEN t - 1 ELSE t END, CASE WHEN ok AND missing THEN r - 1 ELSE r END
+  FROM (SELECT *, NOT (t < 1 OR missing AND r < 1) AS ok FROM (SELECT m.req_id, m.client_ip, m.n, m.missing, greatest(s.last_us, m.us) AS last_us, {_TILES} AS t, {_RENDERS} AS r FROM s JOIN m ON m.client_ip = s.client_ip AND m.n = s.n + 1)))
+SELECT req_id, allowed FROM s
+""")
 def throttle_ideal(v: Views) -> DataFrame:
     """Independent buckets: rows are dealt by client, sorted by time inside a partition and streamed through, so no
     client's rows are ever held together."""

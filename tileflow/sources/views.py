@@ -114,7 +114,10 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    return f"WITH {ctes},\n{sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {ctes}\n{sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{ctes},\n{sql[len(start) :]}"
+    return f"WITH {ctes}\n{sql}"
 
 
 class Views:
