@@ -306,7 +306,7 @@ def open_store(uri: str, tables: str = "", responses: DataFrame | None = None) -
 
 
 class MetaFiles(DataSource):
-    """``.meta`` files below a root that all nodes mount: one partition for each first-level hash directory to read, temporary
+    """``.meta`` files below a root that all nodes mount: the first-level hash directories are dealt to partitions to read, temporary
     file and rename to write. Options: root, styles, minzoom, maxzoom; contents (false: no blobs are read); operation
     (write, delete, expire)."""
 
@@ -333,12 +333,14 @@ class MetaReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         styles = self.styles or sorted(d for d in os.listdir(self.root) if os.path.isdir(f"{self.root}/{d}"))
         zooms = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
-        return [InputPartition(f"{top}/{d}") for top in zooms if os.path.isdir(top) for d in sorted(os.listdir(top))] or [InputPartition("")]
+        folders = [f"{top}/{d}" for top in zooms if os.path.isdir(top) for d in sorted(os.listdir(top))]
+        n = min(len(folders), max(64, len(folders) // 16))
+        return [InputPartition(folders[i::n]) for i in range(n)] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for folder, _, names in os.walk(partition.value) if partition.value else ():
-            for n in sorted(names):
-                if n.endswith(".meta"):
+        for top in partition.value:
+            for folder, _, names in os.walk(top):
+                for n in sorted(x for x in names if x.endswith(".meta")):
                     path = f"{folder}/{n}"
                     blob = None
                     if self.contents:
