@@ -117,7 +117,8 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     second = refined(equal.select("source", "size", id_hash(F.col("row")).alias("key")), tied)
     second = second.select(F.col("source").alias("s2"), F.when(closer & (F.col("n") > 0), F.col("hi")).otherwise(F.col("lo")).alias("row_below"))
     out = plan.join(first, F.col("source").eqNullSafe(F.col("s1")), "left").join(second, F.col("source").eqNullSafe(F.col("s2")) & F.col("at").isNotNull(), "left")
-    return out.select("source", "source_size", "target", "whole", F.when(F.col("rem") > 0, F.col("below")).otherwise(F.lit(0)).cast("long").alias("below"), "at", F.coalesce("row_below", F.lit(0).cast("long")).alias("row_below"))
+    out = out.select("source", "source_size", "target", "whole", F.when(F.col("rem") > 0, F.col("below")).otherwise(F.lit(0)).cast("long").alias("below"), "at", F.coalesce("row_below", F.lit(0).cast("long")).alias("row_below"))
+    return stage(out, "mix-plan")  # so its size is known: a row for each source, joined to the documents without moving them
 
 
 def mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
