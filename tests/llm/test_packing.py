@@ -126,3 +126,12 @@ def test_very_long_runs(plain):
     e = P.encoder(P.default_tokenizer())
     for t in (" " * 200_000, "a" * 200_000, "\n" * 50_000):
         assert list(e(t)) == plain(t)
+
+
+def test_rounds_end_without_progress(spark, monkeypatch):
+    """132 bins of which no two fit, at nodes of 100."""
+    monkeypatch.setattr(P, "NODE", 100)
+    parts = spark.range(0, 132, 1, 3).selectExpr("id AS doc_id", "600L AS length")
+    for stall in (P.STALL, 0):
+        rows = P.packed(parts, stall=stall).collect()
+        assert len({r.sequence_id for r in rows}) == len(rows) == 132

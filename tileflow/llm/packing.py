@@ -4,8 +4,8 @@ Documents are tokenised, ended with one id, and cut only where they are longer t
 sequence. Pieces are dealt by a hash of their row number to leaves of about ``LEAF``, so that each
 sees the whole mix of lengths whatever the input's order, and packed there by best fit, largest first. Bins with at
 most ``SLACK`` free places are finished; all others go up a tree, where they are items of the next round
-of best fit, dealt anew to nodes of about ``NODE`` bins, until one node holds all or a round joins less than
-one bin in ``STALL``. A bin moves as a whole, so its pieces stay together and a round ships only what can still
+of best fit, dealt anew to nodes of about ``NODE`` bins, until one node holds all or a round joins no bin, or less than
+one bin in ``stall``. A bin moves as a whole, so its pieces stay together and a round ships only what can still
 be improved. A node holds at most ``CHUNK`` pieces or about ``NODE`` bins, whatever the input's size.
 
 Best fit runs on residual classes: open bins are kept by free places, and a bit set of the
@@ -38,7 +38,7 @@ from tileflow.llm.scratch import stage
 LENGTH = 1024
 END_ID = 2
 SLACK = 4
-#: Bins of a node of the tree; a round that joins fewer than one bin in STALL is the last.
+#: Bins of a node of the tree; a round that joins fewer than one bin in STALL (0: none at all) is the last.
 NODE, STALL = 65_536, 200
 CHUNK, LEAF = 400_000, 100_000
 PROBE = "It's a test: café 你好  \t\n\n 12345 foo_bar <|endoftext|> don't x \U0001f600"
@@ -171,7 +171,7 @@ def _merged(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     yield from rows.combine_chunks().to_batches(max_chunksize=10_000)
 
 
-def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
+def packed(parts: DataFrame, length: int = LENGTH, stall: int = STALL) -> DataFrame:
     """Pieces -> the same with sequence_id and offset. Every level is staged, so a lost executor repeats one level's tasks."""
     items = stage(parts, "pack-pieces").withColumn("bin", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     items = items.withColumn("done", F.lit(False))
@@ -198,7 +198,7 @@ def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     level = stage(items.repartition(leaves, "bin").mapInArrow(leaf, items.schema), "pack-level")
     finished, turn, last = [level.where("done")], 0, None
     while left := level.where("NOT done").select("bin").distinct().count():
-        if last is not None and (last[0] == 1 or left > last[1] - last[1] // STALL):
+        if last is not None and (last[0] == 1 or left >= last[1] - (last[1] // stall if stall else 0)):
             finished.append(level.where("NOT done"))  # they can't be joined, or hardly
             break
         last, turn = (-(-left // NODE), left), turn + 1
