@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import embedding_duplicates, html_text, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, secrets, sharding
+from tileflow.llm import cost_packing, embedding_duplicates, html_text, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, secrets, sharding
 from tileflow.llm.scratch import small_batches, tables
 
 
@@ -57,8 +57,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return cost_packing.cost_packing_report(tables(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_order_minhash, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_lattice_embeddings, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_order_minhash, op3_residual_packing, op4_language_id, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_lattice_embeddings, op9_source_mixing, op10_quality_classifier, op12_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
