@@ -42,16 +42,39 @@ LINEAR, QUADRATIC = 1.0, 1 / 8192
 CHUNK = 4096 * 1024
 #: Words whose ids a task keeps, and the longest such word.
 WORDS, WORD = 200_000, 40
+#: A byte that no UTF-8 text has; the last letter up to which composition and lower case need no look at neighbours.
+END, LATIN = b"\xff", "\u024f"
 PROBE = "It's a TEST:\tcafé café 你好 ΟΔΟΣ   x　y \n\n 12345 foo_bar <|endoftext|> don't x \U0001f600 a b ́c"
 
 
+def _merges(rules: dict) -> Callable[[bytes], list[int]] | None:
+    """Bytes of a word (lower case, no white space) -> ids, by tiktoken's merges over the file's own vocabulary; None if the file is
+    of another kind. The end of a word is a byte that no text has."""
+    import tiktoken
+
+    model, vocab = rules["model"], rules["model"].get("vocab") or {}
+    ids = [vocab.get("".join(m), -1) for m in model.get("merges", [])]
+    if model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix") or not ids or ids != sorted(ids) or ids[0] < 512:
+        return None
+    # fixed values: the byte alphabet of byte-level files maps printable bytes to themselves, others upwards from 256
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in kept)}
+    special = {t["content"] for t in rules.get("added_tokens", [])}
+    raw = lambda t: bytes(byte_of[c] for c in t.removesuffix("</w>")) + (END if t.endswith("</w>") else b"")
+    words = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks={raw(t): i for t, i in vocab.items() if t not in special}, special_tokens={})
+    return lambda word: words._encode_single_piece(word + END)
+
+
 @cache
 def word_encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids of the tokenizer file at ``path``, special tokens in a text being ordinary text.
 
     If the file's rules drop white space and never look across it, words between white space are encoded each for itself and
-    their ids kept, as most words of a corpus come again; this is checked on a probe text.
+    their ids kept, as many words of a corpus come again. Words of Latin letters are split by the file's own pattern and merged by
+    tiktoken, others by tokenizers itself. This is checked on a probe text; a file of other rules, or one that differs, is run by
+    tokenizers as a whole.
     """
+    import regex
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -60,15 +83,25 @@ def word_encoder(path: str) -> Callable[[str], list[int]]:
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)
     steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[-1].get("add_prefix_space") is False
+    lower = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    if not (lower and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[-1].get("add_prefix_space") is False):
+        return plain
+    parts = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+    merge = _merges(rules)
     known: dict[bytes, list[int]] = {}
 
+    def word(raw: bytes) -> list[int]:
+        w = raw.decode()
+        if merge is None or not w.isascii() and max(w) > LATIN:
+            return plain(w)
+        return [i for p in parts.findall(w.lower()) for i in merge(p.encode())]
+
     def encode(text: str) -> list[int]:
         out: list[int] = []
         for w in text.encode().split():  # at ASCII white space
             ids = known.get(w)
             if ids is None:
-                ids = plain(w.decode())
+                ids = word(w)
                 if len(w) <= WORD:
                     if len(known) >= WORDS:
                         known.clear()
@@ -76,7 +109,7 @@ def word_encoder(path: str) -> Callable[[str], list[int]]:
             out += ids
         return out
 
-    return encode if drops and encode(PROBE) == plain(PROBE) else plain
+    return encode if encode(PROBE) == plain(PROBE) else plain
 
 
 def balanced(lengths: list[int], length: int, longest: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
