@@ -24,9 +24,30 @@ def edited(t, edits, seed):
     return " ".join(w)
 
 
+def common(a, b):
+    """Longest common subsequence by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = last + 1 if x == y else max(row[j], row[j - 1]), row[j]
+    return row[-1]
+
+
+def near(t, u, least):
+    """Near by different 5-word shingles or by words in order."""
+    a, b = shingles(t), shingles(u)
+    if not a or not b:
+        return False
+    if len(a & b) >= least * len(a | b) - 1e-9:
+        return True
+    x, y = WORD.findall(t), WORD.findall(u)
+    need = least * max(len(x), len(y)) - 1e-9
+    return (Counter(x) & Counter(y)).total() >= need and common(x, y) >= need
+
+
 def brute(docs, least=0.8):
     texts = sorted({t for _, t, *_ in docs if t is not None})
-    s = [shingles(t) for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -36,7 +57,7 @@ def brute(docs, least=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if s[i] and s[j] and len(s[i] & s[j]) >= least * len(s[i] | s[j]) - 1e-9:
+            if root(i) != root(j) and near(texts[i], texts[j], least):
                 parent[root(i)] = root(j)
     of = {t: root(i) for i, t in enumerate(texts)}
     groups = defaultdict(set)
@@ -76,7 +97,7 @@ def test_crowded_sketches(spark):
 
 
 def test_repeated_passages(spark):
-    """Repeats of a passage change what is shared of labelled k-mers, not of different ones."""
+    """Repeats of a passage change what is shared of words and labelled k-mers, not of different ones."""
     docs = []
     for base in range(40):
         w = text(base, 104).split()
@@ -181,15 +202,57 @@ def test_similarity_is_exact_without_moves(seed):
     u = edited(t, r.randrange(4), seed)
     a, b = shingles(t), shingles(u)
     exact = len(a & b) / len(a | b) if a | b else 0.0
-    got = N.similarity(N.kmers(t), N.kmers(u), 0.0)
+    got = N.kmer_similarity(N.kmers(t), N.kmers(u), 0.0)
     assert got <= exact + 1e-9
     if exact >= 0.8 and len(set(t.split())) == len(t.split()):
         assert got == pytest.approx(exact)
+    x, y = t.split(), u.split()
+    assert N.word_similarity(N.word_hashes(t), N.word_hashes(u), 0.0) == pytest.approx(common(x, y) / max(len(x), len(y)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_texts_are_aligned_in_parts(seed, monkeypatch):
+    """Between aligned k-mers; at most a little below the whole alignment."""
+    t = text(seed, 900)
+    u = edited(t, 20 + 20 * seed, seed)
+    a, b = N.word_hashes(t), N.word_hashes(u)
+    whole = N.word_similarity(a, b, 0.5)
+    for exact in (100, 3):
+        monkeypatch.setattr(N, "EXACT", exact)
+        assert whole - 0.02 <= N.word_similarity(a, b, 0.5) <= whole
+
+
+@pytest.mark.parametrize("band", [0, 1, 3, 50])
+def test_common_words_in_a_band(band):
+    r = random.Random(band)
+    for _ in range(60):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(30))] for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = max(row[i][j + 1], row[i + 1][j], row[i][j] + (x == y and abs(i - j) <= band))
+        found = N.common_words(a, b, band)
+        assert row[-1][-1] == found if band == 50 else row[-1][-1] <= found <= common(a, b)
+
+
+@pytest.mark.parametrize("percent", [1, 2, 4, 6, 8, 10])
+def test_recall_at_edit_rates(spark, percent):
+    """Texts of 60, 150 and 400 words and a copy of each with so many words replaced: all pairs are at 0.8 or above."""
+    r, docs = random.Random(percent), []
+    for base in range(150):
+        w = text(1000 * percent + base, (60, 150, 400)[base % 3]).split()
+        u = list(w)
+        for at in r.sample(range(len(w)), max(1, len(w) * percent // 100)):
+            u[at] = "zz%d" % r.randrange(10**6)
+        docs += [(2 * base, " ".join(w), "en", "a"), (2 * base + 1, " ".join(u), "en", "a")]
+    rows = N.near_duplicate_report(documents(spark, docs, extra=False)).collect()
+    assert sum(x.class_id != x.doc_id for x in rows) >= 0.9 * 150
+    assert all(x.class_id // 2 == x.doc_id // 2 for x in rows)
 
 
 def test_order_matters():
     a, b = text(1, 60), text(2, 60)
-    x, y = N.kmers(f"{a} {b}"), N.kmers(f"{b} {a}")
+    x, y = N.word_hashes(f"{a} {b}"), N.word_hashes(f"{b} {a}")
     assert N.similarity(x, y, 0.0) < 0.6
     assert N.similarity(x, x, 0.8) == 1.0
 

@@ -6,13 +6,16 @@ picks the ``PICK`` labelled k-mers of smallest hash and keeps them in text order
 share a sketch only if they share these k-mers in the same order, which follows edit
 similarity rather than set overlap. A text that repeats k-mers is also sketched over its
 different k-mers, in order of first occurrence and, for pairs in which both texts repeat,
-without order, as similarity counts different k-mers however often each occurs. A pair at the
-threshold 0.8 shares one sketch with probability of about 0.5, so it shares none of 16 once in 10^5.
+without order, as different k-mers count however often each occurs. Texts that differ in one word of twenty share a sketch with probability of about 0.4, in one of ten of about
+0.17; so of pairs that meet at random places, 1 in 4,000 and 1 in 20 share none of 16.
 
-Candidates are verified by banded alignment: labelled k-mers common to both texts are the
-matching cells, cells further from the diagonal than the threshold allows are outside the
-band, and the longest chain that rises in both texts is the alignment. Similarity is the
-number of different k-mers aligned over the number of different k-mers of either text.
+Candidates are verified by banded alignment, twice. Of k-mers: labelled k-mers common to both texts are the matching cells, cells
+further from the diagonal than the threshold allows are outside the band, and the longest chain that rises in both
+texts is the alignment; similarity is the number of different k-mers aligned over the different k-mers of either
+text. Of words: the longest common subsequence within such a band, by bit vectors; similarity is the number of words aligned over the
+words of the longer text. (In texts of more than ``EXACT`` words, words between aligned k-mers are aligned so, and runs of more than ``EXACT``
+between them by labelled words.) A pair is near if either is 0.8 or more: by words a few single changes in a text
+count once each and not for each k-mer, by different k-mers a passage repeated more often changes nothing.
 
 Equal texts are one node from the start, so copies are never paired. Texts that share a
 sketch are first compared with one of them (its leader); links found so merge into
@@ -22,7 +25,8 @@ classes; pairs are never rows. Hot sketches are split over tasks, not gathered.
 
 Defined results
     null text: a class of its own (rows repeated with their id: one class). Texts without a word: only
-    equal texts are one class. Texts of fewer than five words: one k-mer of all words. Repeated
+    equal texts are one class. Texts of fewer than five words: one k-mer of all words. Texts of so few words that changes leave no
+    k-mer as it was share no sketch, whatever their similarity. Repeated
     rows: one class. Null id: takes part by its text; a class whose ids are all null has a null id.
     Ties: the smallest id of a class represents it, and of rows with that id, one is kept. Empty table:
     an empty result.
@@ -46,8 +50,10 @@ from tileflow.llm.groups import grouped
 from tileflow.llm.scratch import stage
 
 K = 5
-SKETCHES, PICK = 16, 3
+SKETCHES, PICK = 16, 2
 THRESHOLD = 0.8
+#: Words of a text that are aligned at once.
+EXACT = 4096
 EPS = 1e-9
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +107,10 @@ def word_hashes(text: str) -> np.ndarray:
 
 def kmers(text: str | None) -> np.ndarray:
     """Hashes of the K-word k-mers in text order; a shorter text is one k-mer; no word, none."""
-    h = word_hashes(text or "")
+    return shingles(word_hashes(text or ""))
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
     n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
@@ -173,26 +182,90 @@ def sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
-    """Aligned different k-mers over all different k-mers of texts with k-mers a and b; 0 where
-    the sizes or the common k-mers alone rule out ``least``."""
+    """The larger of both measures of two texts, given as hashes of their words; 0 where neither can reach ``least``."""
+    found = kmer_similarity(shingles(a), shingles(b), least)
+    return found if found >= least - EPS else max(found, word_similarity(a, b, least))
+
+
+def kmer_similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
+    """Aligned different k-mers over all different k-mers of texts with k-mers a and b; 0 where the sizes or the common k-mers alone
+    rule out ``least``."""
     n, m = len(np.unique(a)), len(np.unique(b))
     if not n or not m or min(n, m) < least * max(n, m) - EPS:
         return 0.0
-    common, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
     need = least / (1 + least) * (n + m) - EPS
-    if len(common) < need:
-        return 0.0
     # an alignment good enough leaves at most this many k-mers of either text unmatched
-    band = max(len(a), len(b)) - int(need)
+    i, _ = _chain(a, b, max(len(a), len(b)) - int(need), need)
+    aligned = len(np.unique(a[i]))
+    return aligned / (n + m - aligned)
+
+
+def word_similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
+    """Aligned words over the words of the longer text; 0 where the lengths or the common words alone rule out ``least``."""
+    n = max(len(a), len(b))
+    need = least * n - EPS
+    if not n or min(len(a), len(b)) < need or len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
+        return 0.0
+    return _aligned(a, b, n - int(need)) / n
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words aligned, none further than ``band`` from the diagonal."""
+    if max(len(a), len(b)) <= EXACT:
+        return common_words(a.tolist(), b.tolist(), band)
+    i, j = _chain(shingles(a), shingles(b), band)
+    edges = [(0, 0)]
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if x >= edges[-1][0] and y >= edges[-1][1]:
+            edges += [(x, y), (x + K, y + K)]
+    edges.append((len(a), len(b)))
+    total = K * (len(edges) // 2 - 1)
+    for (x0, y0), (x1, y1) in zip(edges[::2], edges[1::2], strict=True):
+        left, right = a[x0:x1], b[y0:y1]
+        if max(len(left), len(right)) <= EXACT:
+            total += common_words(left.tolist(), right.tolist(), band)
+        else:
+            total += len(_chain(left, right, band)[0])
+    return total
+
+
+def common_words(a: list[int], b: list[int], band: int) -> int:
+    """Length of a longest common subsequence of cells (i, j) with abs(i - j) <= band. Bit j of ``rows`` is 0 where the row so far gains a
+    word at b[j]; an addition carries each gain to its place."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return head + tail
+    at: dict[int, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    inside, rows = (1 << 2 * band + 1) - 1, full
+    for i, w in enumerate(a):
+        if found := at.get(w):
+            gains = rows & found & (inside << i - band if i > band else inside >> band - i)
+            rows = (rows + gains | rows - gains) & full
+    return head + tail + len(b) - rows.bit_count()
+
+
+def _chain(a: np.ndarray, b: np.ndarray, band: int, need: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A longest chain of equal labelled elements that rises in both, within the band; none where fewer than ``need`` are equal."""
+    common, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    if len(common) < need:
+        return i[:0], j[:0]
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     order = np.argsort(i)
     i, j = i[order], j[order]
     if len(j) and (np.diff(j) <= 0).any():
         chain = _rising(j)
-        i = i[chain]
-    aligned = len(np.unique(a[i]))
-    return aligned / (n + m - aligned)
+        i, j = i[chain], j[chain]
+    return i, j
 
 
 def _rising(j: np.ndarray) -> np.ndarray:
@@ -258,23 +331,23 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep = []
             for fp, ta, tb in zip(x["a"], x["text_a"], x["text_b"], strict=True):
                 if fp != last:
-                    last, s = fp, kmers(ta)
-                keep.append(similarity(s, kmers(tb), least) >= least - EPS)
+                    last, s = fp, word_hashes(ta)
+                keep.append(similarity(s, word_hashes(tb), least) >= least - EPS)
             yield x.loc[keep, ["a", "b"]]
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
-#: Texts of a block; a sketch with more is compared block by block, each pair of blocks a group of its own.
-BLOCK = 1024
-#: k-mers whose presence is held as a dense table at a time.
+#: Texts of a block, and about how many words; a sketch with more is compared block by block, each pair of blocks a group of its own.
+BLOCK, BLOCK_WORDS = 1024, 1_000_000
+#: Words whose presence is held as a dense table at a time.
 COLUMNS = 4096
-#: k-mers of a group that are sorted at a time.
+#: Words of a group that are sorted at a time.
 SORTED = 4_000_000
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of k-mers that each of the ascending sets of left shares with each of right, all at once."""
+    """Number of elements that each of the ascending sets of left shares with each of right, all at once."""
     sets, out = [*left, *right], np.zeros((len(left), len(right)), np.float32)
     parts = -(-sum(map(len, sets)) // SORTED)
     ends = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
@@ -301,19 +374,21 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
     """One group (key, i, j): links that join the classes of its texts, as few as do that.
 
-    Pairs of different classes go through two gates: shared k-mers (exact, all pairs at once; no alignment can exceed
-    it), alignment. A pair already joined through others is not aligned.
+    Pairs of different classes go through two gates: shared k-mers and shared labelled words (exact, all pairs at once; no
+    alignment can exceed both), alignment. A pair already joined through others is not aligned.
     """
     fp, own = g["fp"].to_numpy(), g["own"].to_numpy()
     comp = pd.factorize(g["component"])[0]
     left, right = np.flatnonzero(own == g["i"].iat[0]), np.flatnonzero(own == g["j"].iat[0])
     if not len(left) or not len(right) or comp.max() == 0:
         return []
-    s = [kmers(t) for t in g["text"]]
-    sets = [np.unique(x) for x in s]
-    n = np.array([len(x) for x in sets])
-    both = shared_counts([sets[x] for x in left], [sets[x] for x in right])
-    share = both / (n[left][:, None] + n[right][None, :] - both)
+    s = [word_hashes(t) for t in g["text"]]
+    share = np.zeros((len(left), len(right)))
+    for sets, jaccard in (([np.unique(shingles(x)) for x in s], True), ([np.sort(labelled(x)) for x in s], False)):
+        n = np.array([len(x) for x in sets])
+        both = shared_counts([sets[x] for x in left], [sets[x] for x in right])
+        of = n[left][:, None] + n[right][None, :] - both if jaccard else np.maximum(n[left][:, None], n[right][None, :])
+        share = np.maximum(share, both / of)
     a, b = np.nonzero((share >= least - EPS) & (comp[left][:, None] != comp[right][None, :]))
     share, a, b = share[a, b], left[a], right[b]
     once = (g["i"].iat[0] < g["j"].iat[0]) | (a < b)
@@ -337,14 +412,16 @@ def linking_pairs(g: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
 
 
 def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """members(key, fp, component), staged -> links (a, b) between different classes of a key.
+    """members(key, fp, n: k-mers, component), staged -> links (a, b) between different classes of a key.
 
     A key's largest class is never compared within itself: its texts are in blocks of their own, which meet only the
     blocks of the other texts. So a key costs its size times the texts outside its largest class.
     """
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("m")).where("most.n < m")
-    keys = keys.select(F.col("key").alias("k"), F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.n")) / BLOCK).cast("int").alias("others"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n").alias("words"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "words")).alias("most"), F.sum("n").alias("m"), F.sum("words").alias("all")).where("most.n < m")
+    blocks = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+    mains, others = blocks(F.col("most.n"), F.col("most.words")), blocks(F.col("m") - F.col("most.n"), F.col("all") - F.col("most.words"))
+    keys = keys.select(F.col("key").alias("k"), F.col("most.component").alias("main"), mains.alias("mains"), others.alias("others"))
     rows = members.join(stage(keys, "near-unsettled"), F.col("key") == F.col("k")).withColumn("within", F.col("component") == F.col("main"))
     own = F.when(F.col("within"), F.col("others") + F.pmod(F.xxhash64("fp"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("others")))
     met = F.when(F.col("within"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
@@ -363,8 +440,8 @@ def remaining_links(members: DataFrame, texts: DataFrame, least: float) -> DataF
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(rows(id, fp, row) of all documents, classes(fp, component) of the texts that have a near-duplicate text)."""
     rows = stage(sketched(docs, id_col, text_col), "near-sketches")
-    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
-    member = texts.select("fp", F.explode("keys").alias("key"))
+    texts = stage(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-nodes")
+    member = texts.select("fp", "n", F.explode("keys").alias("key"))
     shared = stage(member.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1"), "near-shared")
     member = stage(member.join(shared, "key"), "near-members")
     tested = stage(member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
@@ -373,7 +450,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = stage(verified(tested, full, least), "near-links")
     found = components(links)
     # a key of two texts is settled by its one pair; larger ones may still join different classes
-    larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+    larger = member.where("m > 2").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("component"))
     more = stage(remaining_links(stage(larger, "near-larger"), full, least), "near-links")
     if not more.isEmpty():
         found = components(links.union(more))
