@@ -53,11 +53,6 @@ def first_match(urls: DataFrame, layers: DataFrame) -> DataFrame:
     return found.select(*urls.columns, *[F.col(f"layer.{c}").alias(c) for c in layers.columns])
 
 
-def admitted_first(requests: DataFrame, key: list[str] = KEY, order: str = "req_id") -> DataFrame:
-    """rank 1 for the first request of each key; the others coalesce with it."""
-    return requests.withColumn("arrival", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
-
-
 def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
     """``arrival`` of each row within its group, from 1, without a task that holds a group: rows are sorted by ranges, numbered
     within a range, and the numbers shifted by what earlier ranges hold of the group."""

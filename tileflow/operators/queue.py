@@ -37,32 +37,27 @@ def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int
     leaves nothing behind: a later one of its metatile is admitted if its own queue still has room, see ``_late``.
     """
     first = requests.groupBy(*KEY).agg(F.min_by(F.struct("req_id", wanted().alias("wanted")), "req_id").alias("f"))
-    first = first.select(*KEY, F.col("f.req_id").alias("req_id"), F.col("f.wanted").alias("wanted"))
-    last = {}
-    for q in FETCH_ORDER:
-        if q != "Dirty":
-            cut = first.where(F.col("wanted") == q).select("req_id").orderBy("req_id").limit(req_limit).agg(F.max("req_id").alias(f"last_{q}"))
-            last[q] = cut
-    marked = first
-    for cut in last.values():  # one row each
-        marked = marked.join(F.broadcast(cut), how="left")
-    own = F.lit(False)
-    for q in last:
-        own = F.when(F.col("wanted") == q, F.col("req_id") <= F.col(f"last_{q}")).otherwise(own)
-    marked = marked.select(*KEY, "req_id", "wanted", F.coalesce(own, F.lit(False)).alias("own"))
-    cut = marked.where("NOT own").select("req_id").orderBy("req_id").limit(dirty_limit).agg(F.when(F.count("*") >= dirty_limit, F.max("req_id")).alias("full_at"))
-    placed = marked.join(F.broadcast(cut), how="left").withColumn("early", F.coalesce(F.col("req_id") <= F.col("full_at"), F.lit(True)))
+    # staged, as it is cut twice, and as a metatile of a low zoom can have a third of all requests
+    first = shared.staged(first.select(*[F.col(k).alias(f"k_{k}") for k in KEY], F.col("f.req_id").alias("f"), F.col("f.wanted").alias("w")), "first")
+    queues = [q for q in FETCH_ORDER if q != "Dirty"]
+    # the last first request that each queue takes; every task hands on its first ``req_limit`` of each
+    rank = F.row_number().over(Window.partitionBy("w").orderBy("f"))
+    last = first.where(F.col("w").isin(queues)).select("w", "f", rank.alias("n")).where(F.col("n") <= req_limit).groupBy("w").agg(F.max("f").alias("last")).collect()  # four rows
+    own = F.coalesce(reduce(lambda x, r: x.when(F.col("w") == r.w, F.col("f") <= r["last"]), last, F.when(F.lit(False), F.lit(False))), F.lit(False))
+    placed = first.withColumn("own", own)
+    cut = placed.where("NOT own").select("f").orderBy("f").limit(dirty_limit).agg(F.count("*").alias("n"), F.max("f").alias("last")).first()
+    early = F.col("f") <= cut["last"] if cut.n >= dirty_limit else F.lit(True)
+    placed = placed.withColumn("early", early)
+    same = reduce(lambda x, k: x & (F.col(k) == F.col(f"k_{k}")), KEY, F.lit(True))
+    queue = F.when(F.col("own"), F.col("w")).otherwise(F.lit("Dirty"))
+    if cut.n < dirty_limit or placed.where("NOT early").isEmpty():  # nothing is dropped
+        return requests.join(placed.select(*[f"k_{k}" for k in KEY], "f", queue.alias("q")), same).select(*requests.columns, wanted().alias("wanted"), F.col("f").alias("first_req"), F.col("q").alias("queue"))
     late = _late(requests, placed, req_limit)
-    same = F.lit(True)
-    for k in KEY:
-        same &= F.col(k) == F.col(f"late_{k}")
-    placed = placed.join(late, same & ~F.col("early"), "left")
-    queue = F.when(F.col("early"), F.when(F.col("own"), F.col("wanted")).otherwise(F.lit("Dirty"))).otherwise(F.coalesce("late_queue", F.lit("Dropped")))
-    placed = placed.select(*[F.col(k).alias(f"k_{k}") for k in KEY], F.col("req_id").alias("f"), F.col("late_req").alias("late"), queue.alias("q"))
-    same = F.lit(True)
-    for k in KEY:
-        same &= F.col(k) == F.col(f"k_{k}")
-    out = requests.join(shared.staged(placed, "placed"), same)  # a metatile of a low zoom can have a third of all requests
+    of_late = reduce(lambda x, k: x & (F.col(f"k_{k}") == F.col(f"late_{k}")), KEY, ~F.col("early"))
+    placed = placed.join(late, of_late, "left")
+    queue = F.when(F.col("early"), queue).otherwise(F.coalesce("late_queue", F.lit("Dropped")))
+    placed = shared.staged(placed.select(*[f"k_{k}" for k in KEY], "f", F.col("late_req").alias("late"), queue.alias("q")), "placed")
+    out = requests.join(placed, same)
     before = F.coalesce(F.col("req_id") < F.col("late"), F.lit(False))  # dropped, before one that was admitted
     return out.select(*requests.columns, wanted().alias("wanted"), F.when(before, F.col("f")).otherwise(F.coalesce("late", "f")).alias("first_req"), F.when(before, "Dropped").otherwise(F.col("q")).alias("queue"))
 
@@ -74,8 +69,8 @@ def _late(requests: DataFrame, placed: DataFrame, req_limit: int) -> DataFrame:
     At most ``req_limit`` go to each of the four other queues, and each of them can make one candidate of another queue
     void, so the first four times ``req_limit`` candidates of a queue decide: few rows, run through in order.
     """
-    open_keys = placed.where("NOT early").select(*KEY)
-    taken = placed.where("early AND own").groupBy("wanted").agg(F.count("*").alias("taken")).withColumnRenamed("wanted", "w")
+    open_keys = placed.where("NOT early").select(*[F.col(f"k_{k}").alias(k) for k in KEY])
+    taken = placed.where("early AND own").groupBy("w").agg(F.count("*").alias("taken"))
     offers = requests.withColumn("wanted", wanted()).where("wanted <> 'Dirty'").join(open_keys, KEY, "left_semi").groupBy(*KEY, "wanted").agg(F.min("req_id").alias("req_id"))
     queues = [q for q in FETCH_ORDER if q != "Dirty"]
     few = reduce(DataFrame.unionAll, [offers.where(F.col("wanted") == q).orderBy("req_id").limit(len(queues) * req_limit) for q in queues])
@@ -179,8 +174,3 @@ def replay(events: Iterable[tuple], req_limit: int = REQ_LIMIT, dirty_limit: int
         else:
             out.append((req_id, q.add(key, cmd, req_id)))
     return out
-
-
-def coalesced(requests: DataFrame) -> DataFrame:
-    """rank of each request among those of its metatile, by arrival; 1 is rendered, the others wait for it."""
-    return requests.withColumn("arrival", F.row_number().over(Window.partitionBy(*KEY).orderBy("req_id")))

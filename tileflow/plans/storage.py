@@ -12,7 +12,7 @@ from tileflow.operators import freshness as fr
 from tileflow.operators.freshness import KEY
 from tileflow.plans.registry import query
 from tileflow.plans.serving import stats
-from tileflow.sources import config, htcp, metatile, shared, stores
+from tileflow.sources import config, files, htcp, metatile, shared, stores
 from tileflow.sources.views import NOW, Views
 
 C = F.col
@@ -84,14 +84,14 @@ def metatile_validate(v: Views) -> DataFrame:
 
 def _written(v: Views) -> stores.FileStore:
     """A new file store that holds all containers."""
-    store = stores.FileStore(f"{shared.folder(v.spark)}/store-{uuid.uuid4().hex}")
+    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW)
     store.write(containers(v))
     return store
 
 
 def _table(v: Views, layout: str, metatiles: DataFrame) -> stores.TableStore:
     """A new key-value store that holds these metatiles."""
-    store = stores.open_store(f"{layout}://tiles-{uuid.uuid4().hex}", tables=shared.folder(v.spark))
+    store = stores.open_store(f"{layout}://tiles-{uuid.uuid4().hex}", tables=shared.own_folder(v.spark))
     store.write(metatiles)
     return store
 
@@ -119,6 +119,29 @@ def file_tile_read(v: Views) -> DataFrame:
     return out.select("req_id", "status", C("data").cast("string").alias("data"))
 
 
+_KEPT_BLOBS = f"""k AS (SELECT style, z, mx, my, CAST(532 + sum(length(data)) AS BIGINT) AS n FROM (SELECT DISTINCT style, z, mx, my, x, y, {_DATA} AS data FROM tile_requests WHERE req_id % 4 <> 0) GROUP BY style, z, mx, my)"""
+
+
+def _cached_blobs(v: Views) -> DataFrame:
+    """Containers of the tiles of the cache, with its times."""
+    kept = v.tile_requests.where("req_id % 4 <> 0").select("style", "z", "x", "y").distinct()
+    blobs = metatile.encoded(tiles(v).join(kept, ["style", "z", "x", "y"], "left_semi"), KEY)
+    return blobs.join(v.tile_cache.select(*KEY, "mtime"), KEY)
+
+
+@query(f"""
+WITH {_KEPT_BLOBS} SELECT req_id, CASE WHEN size < 0 THEN -1 ELSE n END AS size, date_trunc('second', mtime) AS mtime, size < 0 OR date_trunc('second', mtime) < planet_ts AS expired
+FROM tile_stats LEFT JOIN k USING (style, z, mx, my)
+""")
+def file_tile_stat(v: Views) -> DataFrame:
+    """File store: the size is the file's; what is older than its style's import, or missing, is expired."""
+    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW)
+    store.write(_cached_blobs(v))
+    for style, at in v.planet_times.select("style", F.unix_seconds(C("planet_ts").cast("timestamp")).alias("at")).collect():  # a row a style
+        files.mark_import(store.root, None if style == "*" else style, at)
+    return store.stat(v.tile_requests.select("req_id", "style", "z", "x", "y")).select("req_id", "size", "mtime", "expired")
+
+
 @query(f"SELECT req_id, CAST(length({_DATA}) AS INT) AS memcached_status, CAST(length({_DATA}) AS INT) AS rados_status FROM tile_requests")
 def kv_tile_read(v: Views) -> DataFrame:
     """The same tiles from the two key layouts."""
@@ -133,9 +156,7 @@ _CACHED = f"WITH t AS (SELECT DISTINCT style, z, x, y, CAST(length({_DATA}) AS B
 @query(f"{_CACHED} SELECT req_id, CASE WHEN size < 0 THEN -1 ELSE coalesce(n, 0) END AS size, mtime, coalesce(mtime < planet_ts, false) AS expired FROM tile_stats LEFT JOIN t USING (style, z, x, y)")
 def kv_tile_stat(v: Views) -> DataFrame:
     """Key-value store: the size is the tile's own entry, a missing tile is not expired."""
-    kept = v.tile_requests.where("req_id % 4 <> 0").select("style", "z", "x", "y").distinct()
-    blobs = metatile.encoded(tiles(v).join(kept, ["style", "z", "x", "y"], "left_semi"), KEY)
-    store = _table(v, "memcached", blobs.join(v.tile_cache.select(*KEY, "mtime"), KEY))
+    store = _table(v, "memcached", _cached_blobs(v))
     found = store.stat(v.tile_requests.select("req_id", "style", "z", "x", "y"))
     found = fr.with_planet_time(found, v.planet_times, NOW)
     return found.select("req_id", "size", "mtime", (C("expired") | F.coalesce(C("mtime") < C("planet_ts"), F.lit(False))).alias("expired"))
@@ -175,6 +196,22 @@ def composite_join(v: Views) -> DataFrame:
     return p.join(s, key, "left").select(*key, "stat_size", F.coalesce("over", F.lit(False)).alias("readable"))
 
 
+@query(f"""
+{_BLOB_SIZE} SELECT u.z, u.x, u.y, CASE WHEN m.z IS NULL THEN -1 ELSE CAST(length(u.data) AS INT) END AS status, u.data, CASE WHEN m.z IS NOT NULL THEN coalesce(o.data, '') END AS over
+FROM (SELECT * FROM t WHERE style = 'view') u LEFT JOIN (SELECT DISTINCT z, mx, my FROM t WHERE style = 'click') m ON m.z = u.z AND m.mx = u.mx AND m.my = u.my
+LEFT JOIN t o ON o.style = 'click' AND o.z = u.z AND o.x = u.x AND o.y = u.y
+""")
+def composite_read(v: Views) -> DataFrame:
+    """Tiles of one style with those of another over them, from a composite of two key-value stores."""
+    name = uuid.uuid4().hex
+    store = stores.open_store(f"composite:{{view,memcached://a-{name}}}{{click,rados://b-{name}}}", tables=shared.own_folder(v.spark))
+    blobs = containers(v)
+    store.lower.write(blobs.where("style = 'view'"))
+    store.upper.write(blobs.where("style = 'click'"))
+    out = store.read(tiles(v).where("style = 'view'").select("style", "z", "x", "y"))
+    return out.select("z", "x", "y", "status", C("data").cast("string").alias("data"), C("over").cast("string").alias("over"))
+
+
 @query("SELECT req_id, CAST(-1 AS BIGINT) AS size, true AS expired, -1 AS read, 0 AS written FROM tile_requests")
 def null_store(v: Views) -> DataFrame:
     """Nothing is found in a null store, and whatever is written to it succeeds."""
@@ -209,6 +246,7 @@ def store_uri_parse(v: Views) -> DataFrame:
 def store_delete(v: Views) -> DataFrame:
     store = _table(v, "rados", v.tile_cache.select(*KEY, "mtime"))
     store.delete(v.tile_requests.where("req_id % 10 = 0"))
+    store.runs.compact(v.spark)
     return store.latest(v.spark, *KEY).select(*KEY)
 
 

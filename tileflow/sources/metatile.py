@@ -35,25 +35,31 @@ def pack(x: int, y: int, z: int, tiles: dict[int, bytes], compressed: bool = Fal
     return HEAD.pack(b"METZ" if compressed else b"META", SLOTS, x, y, z) + b"".join(index) + b"".join(body)
 
 
-def unpack(blob: bytes, x: int, y: int) -> tuple[int, bytes | None, bool]:
-    """(bytes read or a negative code, tile as stored, compressed)."""
-    if len(blob) < HEAD.size:
-        return (-2 if not blob else -3), None, False
-    magic, count, *_ = HEAD.unpack_from(blob)
+def locate(head: bytes, length: int, slot: int) -> tuple[int, int]:
+    """(offset, size) of a slot by the first bytes of a container of some length; size is a negative code if something is wrong."""
+    if len(head) < HEAD.size:
+        return 0, -2 if not head else -3
+    magic, count, *_ = HEAD.unpack_from(head)
     if magic not in (b"META", b"METZ"):
-        return -4, None, False
+        return 0, -4
     if count != SLOTS:
-        return -5, None, False
-    if len(blob) < META_HEADER:
-        return -3, None, False
-    at, size = ENTRY.unpack_from(blob, HEAD.size + ENTRY.size * ((x & 7) * METATILE + (y & 7)))
+        return 0, -5
+    if len(head) < META_HEADER:
+        return 0, -3
+    at, size = ENTRY.unpack_from(head, HEAD.size + ENTRY.size * slot)
     if size > MAX_SIZE:
-        return -6, None, False
-    if at < 0 or at > len(blob):
-        return -7, None, False
-    if at + size > len(blob):
-        return -8, None, False
-    return size, blob[at : at + size], magic == b"METZ"
+        return 0, -6
+    if at < 0 or at > length:
+        return 0, -7
+    if at + size > length:
+        return 0, -8
+    return at, size
+
+
+def unpack(blob: bytes, x: int, y: int) -> tuple[int, bytes | None, bool]:
+    """(bytes read or a negative code, tile as stored, compressed)."""
+    at, size = locate(blob[:META_HEADER], len(blob), (x & 7) * METATILE + (y & 7))
+    return (size, blob[at : at + size], blob[:4] == b"METZ") if size >= 0 else (size, None, False)
 
 
 def read_status(blob: Column, slot: Column) -> Column:

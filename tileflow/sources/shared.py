@@ -29,6 +29,11 @@ def _staged(spark: SparkSession) -> str:
     return f"{base(spark)}/engine/{spark.sparkContext.applicationId}"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Path for stores that live as long as this application's staged tables."""
+    return f"{folder(spark)}/engine/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back. A join with it can be split where one key has very many rows,
     as a join with the output of an aggregation on that key cannot; and a lost executor costs nothing that was written."""

@@ -2,8 +2,8 @@
 
 read, stat and storage_id take requests(style, z, x, y) and add columns; write, delete and expire take
 metatiles(style, z, mx, my[, blob, mtime]); close has nothing to do. File stores are real ``.meta`` trees,
-read and written by a data source; key-value stores are logs of Parquet rows in which the latest row of a
-key counts, so that a write, a delete or an expiry appends and never rewrites. A proxy store answers
+of which only the files asked for are opened; key-value stores are log-structured tables, to which a write, a delete or an
+expiry adds a run of rows. A proxy store answers
 from a table of responses, a composite store from two stores. Neither takes writes.
 """
 
@@ -13,8 +13,8 @@ import contextlib
 import datetime as dt
 import os
 import re
-import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from tileflow.constants import META_HEADER
 from tileflow.functions import address as A
-from tileflow.sources import metatile, shared
+from tileflow.sources import files, metatile, segments, shared
 
 META_SCHEMA = "path string, mtime timestamp_ntz, size long, blob binary"
 SCHEMES = ("rados://", "memcached://", "ro_http_proxy://", "composite:{", "null://")
@@ -110,23 +110,30 @@ def tiles_of(requests: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
 @dataclass(frozen=True)
 class FileStore(Store):
     root: str
+    now: str | None = None
     kind = "file"
 
     def path(self, rows: DataFrame) -> Column:
         return A.hashed_path(F.lit(self.root), F.col("style"), F.col("z"), *_met(rows))
 
-    def _files(self, requests: DataFrame, contents: bool) -> DataFrame:
-        spark = requests.sparkSession
-        spark.dataSource.register(MetaFiles)
-        return spark.read.format("metatiles").option("root", self.root).option("contents", str(contents).lower()).load()
-
     def stat(self, requests: DataFrame) -> DataFrame:
-        files = self._files(requests, False).select(F.col("path").alias("file_path"), "mtime", F.col("size").alias("file_size"))
-        found = requests.join(files, self.path(requests) == F.col("file_path"), "left").drop("file_path")
-        return found.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", F.lit(False)).drop("file_size")
+        """Expired is what is older than the last import of its style (see ``files.IMPORTED``), without one than three days ago,
+        and what is missing."""
+        path = self.path(requests)
+        asked = requests.select(path.alias("path"), "style").distinct()
+        found = shared.staged(files.stats(asked, self.root).withColumnRenamed("path", "file_path"), "stats")
+        now = F.expr("localtimestamp()") if self.now is None else F.expr(f"TIMESTAMP_NTZ '{self.now}'")
+        out = requests.join(found, path == F.col("file_path"), "left")
+        expired = F.coalesce(F.col("mtime") < F.coalesce("imported", now - F.expr("INTERVAL 3 DAYS")), F.lit(True))
+        return out.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", expired).drop("file_path", "file_size", "imported")
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return tiles_of(requests, self._files(requests, True).select(F.col("path").alias("stored_key"), "blob"), self.path(requests))
+        """Every file asked for is opened once, for all its tiles asked for; a tile that a third of all requests ask for is joined
+        to them in as many tasks as they need."""
+        r = requests.withColumn("tile_key", self.path(requests)).withColumn("tile_slot", A.metatile_slot(F.col("x"), F.col("y")).cast("int"))
+        asked = r.groupBy(F.col("tile_key").alias("path")).agg(F.sort_array(F.collect_set("tile_slot")).alias("slots"))  # at most 64
+        found = shared.staged(files.tiles(asked).withColumnsRenamed({"path": "k", "slot": "s"}), "tiles")
+        return r.join(found, (F.col("tile_key") == F.col("k")) & (F.col("tile_slot") == F.col("s"))).drop("tile_key", "tile_slot", "k", "s")
 
     def place(self) -> Column:
         return F.concat(F.lit("file://"), A.hashed_path(F.lit(self.root), F.col("style"), F.col("z"), F.col("x"), F.col("y")))
@@ -149,13 +156,10 @@ class FileStore(Store):
         self._apply(metatiles, "expire")
 
 
-LOG_SCHEMA = "key string, style string, z int, mx long, my long, mtime timestamp_ntz, expired boolean, deleted boolean, version long, head binary, blob binary"
-
-
 @dataclass(frozen=True)
 class TableStore(Store):
-    """A key-value store of either key layout as a log of rows below ``table``. ``head`` repeats the index of the
-    container, so that stat does not read contents."""
+    """A key-value store of either key layout as a log-structured table below ``table``. ``head`` repeats the index of the
+    container, so that stat reads no contents. An expiry is a new row that names the old contents."""
 
     layout: str  # memcached or rados
     table: str
@@ -165,24 +169,30 @@ class TableStore(Store):
     def kind(self) -> str:  # type: ignore[override]
         return self.layout
 
+    @property
+    def runs(self) -> segments.Segments:
+        return segments.Segments(self.table)
+
     def key(self, rows: DataFrame) -> Column:
         return A.store_keys(F.col("style"), F.col("z"), *_met(rows), F.lit(""))[f"{self.layout}_key"]
 
     def latest(self, spark: SparkSession, *columns: str) -> DataFrame:
-        """The rows that count: the last of each key, unless it says that the key is gone."""
-        log = spark.read.schema(LOG_SCHEMA).parquet(self.table)
-        last = log.groupBy("key").agg(F.max_by(F.struct("deleted", *columns), "version").alias("last"))
-        return last.where("NOT last.deleted").select("key", *[F.col(f"last.{c}").alias(c) for c in columns])
+        """What is stored: (key, columns)."""
+        return self.runs.latest(spark, *columns)
+
+    def _known(self, requests: DataFrame, *columns: str) -> DataFrame:
+        return self.runs.latest(requests.sparkSession, *columns, keys=requests.select(self.key(requests).alias("key")))
 
     def stat(self, requests: DataFrame) -> DataFrame:
         """The size is the tile's own entry in the container; a missing tile is not expired."""
-        known = self.latest(requests.sparkSession, "mtime", "expired", "head").withColumnRenamed("key", "known_key").withColumnRenamed("expired", "marked")
+        known = shared.staged(self._known(requests, "mtime", "expired", "head"), "known")
+        known = known.withColumnRenamed("key", "known_key").withColumnRenamed("expired", "marked")
         found = requests.join(known, self.key(requests) == F.col("known_key"), "left")
         _, size = metatile.entry(F.col("head"), A.metatile_slot(F.col("x"), F.col("y")))
         return found.withColumn("size", F.when(F.col("known_key").isNull(), -1).otherwise(size).cast("long")).withColumn("expired", F.coalesce("marked", F.lit(False))).drop("known_key", "marked", "head")
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return tiles_of(requests, self.latest(requests.sparkSession, "blob").withColumnRenamed("key", "stored_key"), self.key(requests))
+        return tiles_of(requests, self.runs.blobs(self._known(requests, "blob_run")).withColumnRenamed("key", "stored_key"), self.key(requests))
 
     def place(self) -> Column:
         if self.layout == "rados":
@@ -190,25 +200,26 @@ class TableStore(Store):
         s = lambda c: F.col(c).cast("string")
         return F.concat(F.lit("memcached:///"), F.concat_ws("/", F.col("style"), s("x"), s("y"), s("z")), F.lit(".meta"))
 
-    def _append(self, rows: DataFrame, **values: Column) -> None:
-        have = {c: F.col(c) for c in rows.columns} | values | {"version": F.lit(time.time_ns())}
-        of = dict(x.split(" ") for x in LOG_SCHEMA.split(", "))
-        rows.select(*[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in of.items()]).write.mode("append").parquet(self.table)
-
     def write(self, metatiles: DataFrame) -> None:
         """The state written with a metatile is that of a fresh one."""
-        head = F.substring(F.col("blob"), 1, META_HEADER) if "blob" in metatiles.columns else F.lit(None)
-        self._append(metatiles, key=self.key(metatiles), expired=F.lit(False), deleted=F.lit(False), head=head)
+        head = F.substring(F.col("blob"), 1, META_HEADER) if "blob" in metatiles.columns else F.lit(None).cast("binary")
+        have = [c for c in (*_ADDRESS, "mtime", "blob") if c in metatiles.columns]
+        rows = metatiles.select(self.key(metatiles).alias("key"), *have, head.alias("head"), F.lit(False).alias("expired"), F.lit(False).alias("deleted"))
+        self.runs.add(rows)
 
     def delete(self, metatiles: DataFrame) -> None:
         gone = metatiles.select(*_ADDRESS).distinct()
-        self._append(gone, key=self.key(gone), deleted=F.lit(True))
+        self.runs.add(gone.select(self.key(gone).alias("key"), *_ADDRESS, F.lit(True).alias("deleted")))
 
     def expire(self, metatiles: DataFrame) -> None:
         """What is stored is marked; what is not stays missing."""
-        marked = metatiles.select(self.key(metatiles).alias("key")).distinct()
-        columns = ("style", "z", "mx", "my", "mtime", "head", "blob")
-        self._append(self.latest(metatiles.sparkSession, *columns).join(marked, "key", "left_semi"), expired=F.lit(True), deleted=F.lit(False))
+        rows = self._known(metatiles, *_ADDRESS, "mtime", "head", "blob_run")
+        self.runs.add(rows.withColumn("expired", F.lit(True)).withColumn("deleted", F.lit(False)))
+
+    def close(self) -> None:
+        """Between operations, neighbouring runs are merged where enough of a level stand together."""
+        if spark := SparkSession.getActiveSession():
+            self.runs.merge(spark)
 
 
 @dataclass(frozen=True)
@@ -324,6 +335,10 @@ class MetaFiles(DataSource):
         return MetaWriter(self.options)
 
 
+#: Partitions of a style's zoom.
+SHARES = 4
+
+
 class MetaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.styles = options["root"], [s for s in options.get("styles", "").split(",") if s]
@@ -331,15 +346,17 @@ class MetaReader(DataSourceReader):
         self.contents = options.get("contents", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
+        """A share of the hash folders of each style and zoom, by name: they are listed by the tasks."""
         styles = self.styles or sorted(d for d in os.listdir(self.root) if os.path.isdir(f"{self.root}/{d}"))
         zooms = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
-        folders = [f"{top}/{d}" for top in zooms if os.path.isdir(top) for d in sorted(os.listdir(top))]
-        n = min(len(folders), max(64, len(folders) // 16))
-        return [InputPartition(folders[i::n]) for i in range(n)] or [InputPartition([])]
+        return [InputPartition((top, i)) for top in zooms if os.path.isdir(top) for i in range(SHARES)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for top in partition.value:
-            for folder, _, names in os.walk(top):
+        top, share = partition.value or (None, 0)
+        for first in sorted(os.listdir(top)) if top else []:
+            if zlib.crc32(first.encode()) % SHARES != share:
+                continue
+            for folder, _, names in os.walk(f"{top}/{first}"):
                 for n in sorted(x for x in names if x.endswith(".meta")):
                     path = f"{folder}/{n}"
                     blob = None
@@ -388,18 +405,11 @@ class MetaWriter(DataSourceWriter):
 
 
 def scan(spark: SparkSession, root: str, styles: list[str], min_zoom: int, max_zoom: int) -> DataFrame:
-    """(path, mtime, size) of the metatiles of a file store, by Spark's own listing: contents are not read.
+    """(path, mtime, size) of the metatiles of a file store, listed by tasks; contents are not read.
 
     Zooms are pruned by naming their folders; bad paths are kept out by the address they parse to.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    paths = [f"{root}/{s}/{z}" for s in styles for z in range(min_zoom, max_zoom + 1)]
-    paths = [p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
-    if not paths:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta").load(paths)
-    return found.select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), "modificationTime", "length")
+    return files.listed(spark, [f"{root}/{s}/{z}" for s in styles for z in range(min_zoom, max_zoom + 1)])
 
 
 def parsed(scanned: DataFrame, root: str) -> DataFrame:
