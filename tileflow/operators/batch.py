@@ -46,25 +46,38 @@ def check_range(min_zoom: int, max_zoom: int, box: dict[str, float | None], tile
 
 
 def grid(spark: SparkSession, min_zoom: int, max_zoom: int, box: dict[str, float | None] | None = None, tiles: dict[str, int | None] | None = None, parallelism: int = 64) -> DataFrame:
-    """(z, x, y) of metatiles to render. Rows of x are dealt out before y is expanded, so a deep zoom spreads over tasks.
-
-    A lon/lat box steps from its own corner, unaligned, and leaves out the last column but not the last row.
-    """
+    """(z, x, y) of metatiles to render: ``grids`` of one area given by options."""
     box, tiles = box or {}, tiles or {}
     check_range(min_zoom, max_zoom, box, tiles)
-    z = spark.range(min_zoom, max_zoom + 1, numPartitions=1).select(F.col("id").cast("int").alias("z"))
-    last = F.pow(F.lit(2.0), F.col("z")).cast("long") - 1
-    if all(box.get(k) is not None for k in ("min_lon", "min_lat", "max_lon", "max_lat")):
-        zz = F.col("z")
-        end = A.lon_to_x(F.lit(box["max_lon"]), zz)
-        x0, x1 = A.lon_to_x(F.lit(box["min_lon"]), zz), F.when(end != 0, end - 1).otherwise(end)
-        y0, y1 = A.lat_to_y(F.lit(box["max_lat"]), zz), A.lat_to_y(F.lit(box["min_lat"]), zz)
-    else:
-        pick = lambda k, d: F.lit(tiles[k]).cast("long") if tiles.get(k) is not None else d
-        x0, y0, x1, y1 = pick("min_x", F.lit(0).cast("long")), pick("min_y", F.lit(0).cast("long")), pick("max_x", last), pick("max_y", last)
+    lit = lambda d, k, t: F.lit(d.get(k)).cast(t).alias(k)
+    ends = [lit(box, k, "double") for k in BOX] + [lit(tiles, k, "long") for k in TILES]
+    area = spark.range(1, numPartitions=1).select(F.lit(min_zoom).alias("min_zoom"), F.lit(max_zoom).alias("max_zoom"), *ends)
+    return grids(area, parallelism).select("z", "x", "y")
+
+
+BOX, TILES = ("min_lon", "max_lon", "min_lat", "max_lat"), ("min_x", "max_x", "min_y", "max_y")
+
+
+def grids(areas: DataFrame, parallelism: int = 64) -> DataFrame:
+    """areas(.., min_zoom, max_zoom[, box][, tiles]) -> (.., z, x, y) of the metatiles to render of each. Rows of x are dealt out before y is
+    expanded, so a deep zoom spreads over tasks.
+
+    A lon/lat box steps from its own corner, unaligned, and leaves out the last column but not the last row; an area without one
+    goes by its tile bounds, null ones being those of the zoom.
+    """
+    have = lambda k, t: F.col(k) if k in areas.columns else F.lit(None).cast(t)
+    rest = [c for c in areas.columns if c not in ("min_zoom", "max_zoom", *BOX, *TILES)]
+    z = areas.withColumn("z", F.explode(F.sequence("min_zoom", "max_zoom")))
+    zz, last = F.col("z"), F.pow(F.lit(2.0), F.col("z")).cast("long") - 1
+    lon0, lon1, lat0, lat1 = (have(k, "double") for k in BOX)
+    boxed = lon0.isNotNull() & lon1.isNotNull() & lat0.isNotNull() & lat1.isNotNull()
+    pick = lambda k, d: F.coalesce(have(k, "long"), d)
+    end, none = A.lon_to_x(lon1, zz), F.lit(0).cast("long")
+    x0, x1 = F.when(boxed, A.lon_to_x(lon0, zz)).otherwise(pick("min_x", none)), F.when(boxed, F.when(end != 0, end - 1).otherwise(end)).otherwise(pick("max_x", last))
+    y0, y1 = F.when(boxed, A.lat_to_y(lat1, zz)).otherwise(pick("min_y", none)), F.when(boxed, A.lat_to_y(lat0, zz)).otherwise(pick("max_y", last))
     step = F.lit(METATILE).cast("long")
-    columns = z.select("z", y0.alias("y0"), y1.alias("y1"), F.when(x1 >= x0, F.sequence(x0, x1, step)).alias("xs")).select("z", "y0", "y1", F.explode("xs").alias("x"))
-    return columns.repartition(parallelism, "z", "x").where("y1 >= y0").select("z", "x", F.explode(F.sequence(F.col("y0"), F.col("y1"), step)).alias("y"))
+    columns = z.select(*rest, "z", y0.alias("y0"), y1.alias("y1"), F.when(x1 >= x0, F.sequence(x0, x1, step)).alias("xs")).select(*rest, "z", "y0", "y1", F.explode("xs").alias("x"))
+    return columns.repartition(parallelism, *rest, "z", "x").where("y1 >= y0").select(*rest, "z", "x", F.explode(F.sequence(F.col("y0"), F.col("y1"), step)).alias("y"))
 
 
 def expand(tiles: DataFrame, min_zoom: int, max_zoom: int, full_cover: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from tileflow.constants import CLIENT_PENALTY
@@ -78,3 +79,7 @@ class Bucket:
         self.tiles -= 1
         self.renders -= missing
         return True
+
+    def full_us(self) -> int:
+        """When both tokens are back to the full: from then on the bucket is as a new one."""
+        return math.ceil(self.last_us + max((self.cfg.delaypool_tile_size - self.tiles) * self.cfg.delaypool_tile_rate, (self.cfg.delaypool_render_size - self.renders) * self.cfg.delaypool_render_rate))

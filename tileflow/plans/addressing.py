@@ -92,9 +92,11 @@ _BOUNDS = ", ".join(
 )
 
 
-@query(f"SELECT srs_no, {_BOUNDS} FROM srs_cases")
+@query(f"WITH s AS (SELECT s_suppkey, CAST(s_suppkey % 4 AS INT) AS srs_no FROM supplier) SELECT s_suppkey AS layer, srs_no, {_BOUNDS} FROM s")
 def projection_lookup(v: Views) -> DataFrame:
-    return v.srs_cases.select("srs_no", *[c.alias(k) for k, c in A.projection(C("srs")).items()])
+    """Bounds of each layer by the projection of its map."""
+    r = v.supplier.select(C("s_suppkey").alias("layer"), (C("s_suppkey") % 4).cast("int").alias("srs_no")).join(v.srs_cases, "srs_no")
+    return r.select("layer", "srs_no", *[c.alias(k) for k, c in A.projection(C("srs")).items()])
 
 
 @query(f"""

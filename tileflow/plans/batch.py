@@ -66,39 +66,41 @@ def expire_totals(v: Views) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT CAST(unnest(range(0, 10)) AS INT) AS z), x AS (SELECT z, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS x FROM g)
-SELECT z, x, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS y FROM x
+WITH g AS (SELECT area, CAST(unnest(range(min_zoom, max_zoom + 1)) AS INT) AS z FROM areas WHERE area % 50 = 0), x AS (SELECT area, z, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS x FROM g)
+SELECT area, z, x, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS y FROM x
 """)
 def render_grid(v: Views) -> DataFrame:
-    return B.grid(v.spark, 0, 9, parallelism=v.parallelism)
+    """All metatiles of the zooms that the whole-world areas (every fiftieth) ask for."""
+    return B.grids(v.areas.where("area % 50 = 0").select("area", "min_zoom", "max_zoom"))
 
 
 _X, _Y = "CAST(floor(({0} + 180.0) / 360.0 * pow(2.0, z)) AS BIGINT)", "CAST(floor((1.0 - ln(tan({0} * pi() / 180.0) + 1.0 / cos({0} * pi() / 180.0)) / pi()) / 2.0 * pow(2.0, z)) AS BIGINT)"
 
 
 @query(f"""
-WITH g AS (SELECT CAST(unnest(range(0, 15)) AS INT) AS z), b AS (SELECT z, {_X.format("-0.5")} AS x0, {_X.format("0.5")} AS x1, {_Y.format("51.75")} AS y0, {_Y.format("51.25")} AS y1 FROM g),
-x AS (SELECT z, y0, y1, unnest(range(x0, CASE WHEN x1 <> 0 THEN x1 ELSE x1 + 1 END, 8)) AS x FROM b)
-SELECT z, x, unnest(range(y0, y1 + 1, 8)) AS y FROM x
+WITH g AS (SELECT *, CAST(unnest(range(min_zoom, max_zoom + 1)) AS INT) AS z FROM areas), b AS (SELECT area, z, {_X.format("min_lon")} AS x0, {_X.format("max_lon")} AS x1, {_Y.format("max_lat")} AS y0, {_Y.format("min_lat")} AS y1 FROM g),
+x AS (SELECT area, z, y0, y1, unnest(range(x0, CASE WHEN x1 <> 0 THEN x1 ELSE x1 + 1 END, 8)) AS x FROM b)
+SELECT area, z, x, unnest(range(y0, y1 + 1, 8)) AS y FROM x
 """)
 def render_grid_bbox(v: Views) -> DataFrame:
-    return B.grid(v.spark, 0, 14, {"min_lon": -0.5, "max_lon": 0.5, "min_lat": 51.25, "max_lat": 51.75}, parallelism=v.parallelism)
+    """The metatiles of each area's box, stepped from its own corner."""
+    return B.grids(v.areas)
 
 
 @query("""
-WITH g AS (SELECT CAST(unnest(range(0, 21)) AS INT) AS z), c AS (SELECT z, pow(2.0, z) * 256.0 AS c FROM g),
-p AS (SELECT z, round(c / 2.0 + -0.5 * (c / 360.0)) AS px0, round(c / 2.0 + 0.5 * (c / 360.0)) AS px1,
-  round(c / 2.0 - 0.5 * ln((1.0 + sin(51.75 * pi() / 180.0)) / (1.0 - sin(51.75 * pi() / 180.0))) * (c / (2.0 * pi()))) AS py0,
-  round(c / 2.0 - 0.5 * ln((1.0 + sin(51.25 * pi() / 180.0)) / (1.0 - sin(51.25 * pi() / 180.0))) * (c / (2.0 * pi()))) AS py1 FROM c)
-SELECT z, CAST((floor(px1 / 256) - floor(px0 / 256) + 1) * (floor(py1 / 256) - floor(py0 / 256) + 1) AS BIGINT) AS n_tiles FROM p
+WITH c AS (SELECT *, pow(2.0, z) * 256.0 AS c FROM (SELECT *, CAST(unnest(range(0, 21)) AS INT) AS z FROM areas)),
+p AS (SELECT area, z, round(c / 2.0 + min_lon * (c / 360.0)) AS px0, round(c / 2.0 + max_lon * (c / 360.0)) AS px1,
+  round(c / 2.0 - 0.5 * ln((1.0 + sin(max_lat * pi() / 180.0)) / (1.0 - sin(max_lat * pi() / 180.0))) * (c / (2.0 * pi()))) AS py0,
+  round(c / 2.0 - 0.5 * ln((1.0 + sin(min_lat * pi() / 180.0)) / (1.0 - sin(min_lat * pi() / 180.0))) * (c / (2.0 * pi()))) AS py1 FROM c)
+SELECT area, z, CAST((floor(px1 / 256) - floor(px0 / 256) + 1) * (floor(py1 / 256) - floor(py0 / 256) + 1) AS BIGINT) AS n_tiles FROM p
 """)
 def bbox_tile_count(v: Views) -> DataFrame:
-    """Tiles of the benchmark box at every zoom."""
-    z = v.spark.range(0, 21, numPartitions=1).select(C("id").cast("int").alias("z"))
-    px0, py0 = A.ll_to_pixel(F.lit(-0.5), F.lit(51.75), C("z"))
-    px1, py1 = A.ll_to_pixel(F.lit(0.5), F.lit(51.25), C("z"))
+    """Tiles of each area's box at every zoom, as the benchmark counts them."""
+    z = v.areas.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    px0, py0 = A.ll_to_pixel(C("min_lon"), C("max_lat"), C("z"))
+    px1, py1 = A.ll_to_pixel(C("max_lon"), C("min_lat"), C("z"))
     across = lambda a, b: F.floor(b / 256) - F.floor(a / 256) + 1
-    return z.select("z", (across(px0, px1) * across(py0, py1)).cast("long").alias("n_tiles"))
+    return z.select("area", "z", (across(px0, px1) * across(py0, py1)).cast("long").alias("n_tiles"))
 
 
 @query("SELECT req_id, size < 0 OR mtime < planet_ts OR req_id % 10 = 0 AS needed FROM tile_stats WHERE size < 0 OR mtime < planet_ts OR req_id % 10 = 0")
@@ -140,25 +142,24 @@ def unknown_style(v: Views) -> DataFrame:
     return v.tile_requests.join(v.layers.select("style"), "style", "left_anti").select("req_id", "style", F.lit("NotDone").alias("reply"))
 
 
-@query("WITH s AS (SELECT style, layer_no, layer_no AS section FROM layers UNION ALL SELECT style, layer_no + 100, layer_no + 10 FROM layers WHERE layer_no % 2 = 0) SELECT style, max(layer_no) AS layer_no FROM s GROUP BY style")
+@query("SELECT style, max(layer_no) AS layer_no FROM many_layers GROUP BY style")
 def config_lookup(v: Views) -> DataFrame:
     """A map's name finds its last section."""
-    s = v.layers.select("style", "layer_no", C("layer_no").alias("section"))
-    both = s.union(s.where("layer_no % 2 = 0").select("style", C("layer_no") + 100, C("section") + 10))
-    return both.groupBy("style").agg(F.max_by("layer_no", "section").alias("layer_no"))
+    return v.many_layers.groupBy("style").agg(F.max("layer_no").alias("layer_no"))
 
 
-@query("SELECT layer_no AS ordinal, style, baseuri FROM layers UNION ALL SELECT layer_no + 5, style, concat('/vhost', baseuri) FROM layers WHERE layer_no < 2")
+@query("SELECT layer_no AS ordinal, style, baseuri FROM many_layers UNION ALL SELECT layer_no + (SELECT max(layer_no) + 1 FROM many_layers), style, concat('/vhost', baseuri) FROM many_layers WHERE layer_no % 4 = 0")
 def layer_union(v: Views) -> DataFrame:
     """Layers of the base server first, then those of the virtual host."""
-    over = v.layers.where("layer_no < 2").select((C("layer_no") + 5).alias("ordinal"), "style", F.concat(F.lit("/vhost"), C("baseuri")).alias("baseuri"))
-    return v.layers.select(C("layer_no").alias("ordinal"), "style", "baseuri").unionByName(over)
+    last = v.many_layers.agg((F.max("layer_no") + 1).alias("after"))  # one row
+    over = v.many_layers.where("layer_no % 4 = 0").join(F.broadcast(last)).select((C("layer_no") + C("after")).alias("ordinal"), "style", F.concat(F.lit("/vhost"), C("baseuri")).alias("baseuri"))
+    return v.many_layers.select(C("layer_no").alias("ordinal"), "style", "baseuri").unionByName(over)
 
 
-@query("SELECT style, count(*) AS n FROM (SELECT style FROM layers UNION ALL SELECT style FROM layers WHERE layer_no % 2 = 0) GROUP BY style HAVING count(*) > 1")
+@query("SELECT style, count(*) AS n FROM many_layers GROUP BY style HAVING count(*) > 1")
 def dup_sections(v: Views) -> DataFrame:
-    s = v.layers.select("style")
-    return s.union(v.layers.where("layer_no % 2 = 0").select("style")).groupBy("style").agg(F.count("*").alias("n")).where("n > 1")
+    """Names of maps that several sections have."""
+    return v.many_layers.groupBy("style").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT req_id, unnest(string_split('de,en,_', ',')) AS token FROM tile_requests")

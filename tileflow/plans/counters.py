@@ -132,9 +132,9 @@ def latency_by_zoom(v: Views) -> DataFrame:
     return v.tile_requests.groupBy("z").agg(F.coalesce(F.min(F.when(ms > 0, ms)), F.lit(0)).alias("min_ms"), F.avg(ms).alias("avg_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"), F.count("*").alias("n"))
 
 
-@query("SELECT CAST(max(maxzoom) AS INT) AS max_zoom, count(*) AS n_layers FROM layers")
+@query("SELECT CAST(max(maxzoom) AS INT) AS max_zoom, count(*) AS n_layers FROM many_layers")
 def layer_extents(v: Views) -> DataFrame:
-    return v.layers.agg(F.max("maxzoom").alias("max_zoom"), F.count("*").alias("n_layers"))
+    return v.many_layers.agg(F.max("maxzoom").alias("max_zoom"), F.count("*").alias("n_layers"))
 
 
 _GROUP = f"g AS (SELECT poll, coalesce({_BAND}, 0) AS band, CAST(sum(n_reads) AS BIGINT) AS n, CAST(sum(dur_us) AS BIGINT) AS us FROM counter_polls GROUP BY 1, 2 UNION ALL SELECT poll, 0, CAST(sum(n_reads) AS BIGINT), CAST(sum(dur_us) AS BIGINT) FROM counter_polls GROUP BY 1)"

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Plan], P
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tileflow.plans import addressing, batch, counters, queueing, serving, storage  # noqa: F401
+    from tileflow.plans import addressing, arrivals, batch, counters, queueing, serving, storage  # noqa: F401
 
     return {k: (lambda spark, sf_dir, p=p: p(Views(spark, sf_dir))) for k, p in PLANS.items()}
 

@@ -300,45 +300,16 @@ def kv_options(v: Views) -> DataFrame:
     return v.tile_requests.select("req_id", *[config.option(text, name).alias(name) for name in ("layer", "maxzoom")])
 
 
-@query("SELECT CAST(sum(threads) FILTER (WHERE daemon <> 0) AS BIGINT) AS slave_threads FROM (VALUES (0, 4), (1, 8), (2, 2)) t(daemon, threads)")
+@query("SELECT s_suppkey AS server, CAST(s_suppkey % 5 + 1 + 4 AS BIGINT) AS slave_threads FROM supplier")
 def slave_threads(v: Views) -> DataFrame:
-    """Threads of all daemons but the active one."""
-    d = config.parse(SAMPLE).daemons
-    rows = v.spark.createDataFrame([(n, x["num_threads"]) for n, x in d.items()], "daemon int, threads int")
-    return rows.where("daemon <> 0").agg(F.sum("threads").alias("slave_threads"))
-
-
-SAMPLE = """
-[daemon]
-num_threads=4
-[daemon1]
-num_threads=8
-iphostname=one.example.org
-ipport=7654
-[daemon2]
-num_threads=2
-[engine]
-plugins_dir=/usr/lib/engine
-[click]
-URI=/tiles/click
-XML=/etc/click.xml
-HOST=a.example.org
-SERVER_ALIAS=http://b.example.org
-[labels]
-URI=/tiles/labels/
-TYPE=jpg image/jpeg
-MINZOOM=3
-MAXZOOM=18
-PARAMETERIZE_STYLE=language
-SCALE=2.0
-ASPECTX=2
-"""
+    """Threads of all daemons but the active one, in each server's configuration; four where none are given."""
+    return config.daemons(v.config_texts).where("daemon <> 0").groupBy("server").agg(F.sum("num_threads").alias("slave_threads"))
 
 
 @query("""
-SELECT * FROM (VALUES (0, 'click', '/tiles/click/', 0, 20, 1, 1.0, 'png', 'image/png', 'png256', false), (1, 'labels', '/tiles/labels/', 3, 18, 2, 2.0, 'jpg', 'image/jpeg', 'png256', true))
-  t(layer_no, style, baseuri, minzoom, maxzoom, aspect_x, scale, ext, mime, output_format, enable_options)
+SELECT s_suppkey AS server, 0 AS layer_no, concat('s', s_suppkey) AS style, concat('/tiles/s', s_suppkey, '/') AS baseuri, 0 AS minzoom, CAST(10 + s_suppkey % 11 AS INT) AS maxzoom, 1 AS aspect_x, CAST(1 AS DOUBLE) AS scale, 'png' AS ext, 'image/png' AS mime, 'png256' AS output_format, false AS enable_options FROM supplier
+UNION ALL SELECT s_suppkey, 1, 'labels', '/labels/', CAST(s_suppkey % 5 AS INT), 20, 2, 2.0, 'jpg', 'image/jpeg', 'png256', true FROM supplier WHERE s_suppkey % 3 = 0
 """)
 def layer_config(v: Views) -> DataFrame:
-    """The map sections of a configuration, with defaults and a closed URI."""
-    return config.layers(v.spark, SAMPLE).select("layer_no", "style", "baseuri", "minzoom", "maxzoom", "aspect_x", "scale", "ext", "mime", "output_format", "enable_options")
+    """The map sections of each server's configuration, with defaults and a closed URI."""
+    return config.parsed(v.config_texts).select("server", "layer_no", "style", "baseuri", "minzoom", "maxzoom", "aspect_x", "scale", "ext", "mime", "output_format", "enable_options")

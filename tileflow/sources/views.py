@@ -39,6 +39,19 @@ SELECT * FROM (VALUES
   (3, 'signup', '/tiles/signup/', 0, 20, 1, 1, 'jpg', 'image/jpeg'),
   (4, 'fallback', '/tiles/', 0, 20, 1, 1, 'png', 'image/png')
 ) AS t(layer_no, style, baseuri, minzoom, maxzoom, aspect_x, aspect_y, ext, mime)""",
+    "many_layers": """
+SELECT s_suppkey AS layer_no, concat('s', CAST(s_suppkey % 40 AS STRING)) AS style, concat('/tiles/s', CAST(s_suppkey AS STRING), '/') AS baseuri, CAST(s_suppkey % 5 AS INT) AS minzoom, CAST(10 + s_suppkey % 11 AS INT) AS maxzoom,
+  CAST(1 + s_suppkey % 2 AS INT) AS aspect_x, 1 AS aspect_y, CASE WHEN s_suppkey % 3 = 0 THEN 'jpg' ELSE 'png' END AS ext, CASE WHEN s_suppkey % 3 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS mime
+FROM supplier""",
+    "config_texts": """
+SELECT s_suppkey AS server, concat('[daemon]', chr(10), 'num_threads=', CAST(s_suppkey % 8 + 1 AS STRING), chr(10), '[daemon1]', chr(10), 'num_threads=', CAST(s_suppkey % 5 + 1 AS STRING), chr(10), '[daemon2]', chr(10), '[engine]', chr(10), 'plugins_dir=/usr/lib/engine', chr(10), '[s', CAST(s_suppkey AS STRING),
+  ']', chr(10), 'URI=/tiles/s', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END, chr(10), 'XML=/etc/s.xml', chr(10), 'MAXZOOM=', CAST(10 + s_suppkey % 11 AS STRING),
+  CASE WHEN s_suppkey % 3 = 0 THEN concat(chr(10), '[labels]', chr(10), 'URI=/labels', chr(10), 'TYPE=jpg image/jpeg', chr(10), 'ASPECTX=2', chr(10), 'PARAMETERIZE_STYLE=language', chr(10), 'SCALE=2.0', chr(10), 'MINZOOM=', CAST(s_suppkey % 5 AS STRING)) ELSE '' END, chr(10)) AS text
+FROM supplier""",
+    "areas": """
+SELECT c_custkey AS area, CAST(c_custkey % 4 AS INT) AS min_zoom, CAST(4 + c_custkey % 8 AS INT) AS max_zoom, (c_custkey * 37 % 35000) / CAST(100 AS DOUBLE) - 178 AS min_lon, (c_custkey * 37 % 35000) / CAST(100 AS DOUBLE) - 177 AS max_lon,
+  (c_custkey * 53 % 16000) / CAST(100 AS DOUBLE) - 81 AS min_lat, (c_custkey * 53 % 16000) / CAST(100 AS DOUBLE) - 80 AS max_lat
+FROM customer""",
     "expire_lines": """
 SELECT req_id, CASE WHEN req_id % 97 = 0 THEN 'z/x/y' ELSE concat(CAST(z AS STRING), '/', CAST(x AS STRING), '/', CAST(y AS STRING)) END AS line
 FROM tile_requests""",
