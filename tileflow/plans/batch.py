@@ -66,12 +66,12 @@ def expire_totals(v: Views) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT area, CAST(unnest(range(min_zoom, max_zoom + 1)) AS INT) AS z FROM areas WHERE area % 50 = 0), x AS (SELECT area, z, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS x FROM g)
+WITH g AS (SELECT area, CAST(unnest(range(min_zoom, min_zoom + 4)) AS INT) AS z FROM areas), x AS (SELECT area, z, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS x FROM g)
 SELECT area, z, x, unnest(range(0, CAST(pow(2, z) AS BIGINT), 8)) AS y FROM x
 """)
 def render_grid(v: Views) -> DataFrame:
-    """All metatiles of the zooms that the whole-world areas (every fiftieth) ask for."""
-    return B.grids(v.areas.where("area % 50 = 0").select("area", "min_zoom", "max_zoom"))
+    """All metatiles of the four zooms that each area begins with."""
+    return B.grids(v.areas.select("area", "min_zoom", (C("min_zoom") + 3).alias("max_zoom")))
 
 
 _X, _Y = "CAST(floor(({0} + 180.0) / 360.0 * pow(2.0, z)) AS BIGINT)", "CAST(floor((1.0 - ln(tan({0} * pi() / 180.0) + 1.0 / cos({0} * pi() / 180.0)) / pi()) / 2.0 * pow(2.0, z)) AS BIGINT)"
