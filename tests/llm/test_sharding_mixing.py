@@ -61,6 +61,21 @@ def test_slices_number_a_shard_without_gaps(spark, slice_bytes):
     assert max(size.values()) <= 1.05 * min(size.values())
 
 
+def test_a_text_over_the_edge_of_a_range_is_sliced(spark):
+    """Two texts, one with most rows: wherever ranges begin and end in it, its rows are dealt to slices; slices rise with the key."""
+    docs = [(i, "same text" if i % 10 else text(i, 3), "en", "a") for i in range(4000)]
+    rows = sharding.keyed(documents(spark, docs, extra=False), "doc_id", "text", [F.col("doc_id")]).cache()
+    (k,) = {r.k for r in rows.groupBy("k").count().where("count > 1000").collect()}
+    keys = [(k // 2, 0), (k, sharding.TOP // 3), (k, sharding.TOP // 2), (k + 5, 7)]
+    placed = rows.withColumn("range_no", sharding.range_of(keys).cast("int"))
+    got = placed.withColumn("slice_no", sharding.slice_of(keys, 8)).collect()
+    count = Counter((r.range_no, r.slice_no) for r in got if r.k == k)
+    assert {n for n, _ in count} == {1, 2, 3}
+    assert max(count.values()) < 1.5 * 3600 * max(1 / 3, 1 / 6, 1 / 2) / 8
+    in_order = sorted(got, key=lambda r: (r.k, r.h))
+    assert [(r.range_no, r.slice_no) for r in in_order] == sorted((r.range_no, r.slice_no) for r in got)
+
+
 def test_documents_keep_their_columns(spark):
     out = sharding.shard(documents(spark), 2)
     assert set(out.columns) == {"doc", "size", "shard", "slot"}

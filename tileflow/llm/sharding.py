@@ -127,16 +127,17 @@ def range_of(keys: list[tuple[int, int]], first: int = 0) -> Column:
 
 
 def slice_of(keys: list[tuple[int, int]], slices: int) -> Column:
-    """Slice of a row within its range, rising with the key: of the text hash, or of the id hash where a range lies in one text."""
+    """Slice of a row within its range, rising with the key: of the id hash in the text a range begins in, then of the text hash, then of the
+    id hash in the text it ends in. So a text with very many rows is cut wherever the edges of ranges fall in it."""
     edges = [(0, 0), *keys, (TOP + 1, 0)]
-    low, width, by_id = [], [], []
-    for (k, h), (k2, h2) in zip(edges, edges[1:], strict=False):
-        by_id.append(k == k2)
-        low.append(h if k == k2 else k)
-        width.append(max((h2 - h if k == k2 else k2 - k + 1), 1))
-    of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("range_no") + 1)
-    key = F.when(of(by_id, "boolean"), F.col("h")).otherwise(F.col("k"))
-    return F.least(F.floor((key - of(low, "long")) / of(width, "double") * slices), F.lit(slices - 1)).cast("int")
+    pairs = list(zip(edges, edges[1:], strict=False))
+    of = lambda values, kind="long": F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("range_no") + 1)
+    part = lambda value, width: F.least(F.floor(value / of([max(w, 1) for w in width], "double") * slices), F.lit(slices - 1))
+    first, last = of([k for (k, _), _ in pairs]), of([k2 if k2 <= TOP else -1 for _, (k2, _) in pairs])
+    begins = part(F.col("h") - of([h for (_, h), _ in pairs]), [(h2 if k == k2 else TOP + 1) - h for (k, h), (k2, h2) in pairs])
+    between = part(F.col("k") - first, [k2 - k for (k, _), (k2, _) in pairs])
+    ends = part(F.col("h"), [h2 for _, (_, h2) in pairs])
+    return F.when(F.col("k") == first, begins).when(F.col("k") == last, ends + 2 * slices).otherwise(between + slices).cast("int")
 
 
 def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, tolerance: float = 0.002, ranges_per_shard: int = 8, slice_bytes: int = 128 << 20) -> DataFrame:
