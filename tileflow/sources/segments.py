@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX = "key string, style string, z int, mx long, my long, mtime timestamp_ntz, expired boolean, deleted boolean, head binary, blob_run string"
-BUCKETS, FAN = 64, 4
+#: Folders of a table by hash of the key, fixed when it is made (more suit large ones); runs of a level that are merged at a time.
+BUCKETS, FAN = 16, 4
 #: Bytes of blobs that a task hands on at a time.
 BATCH = 16 << 20
 
