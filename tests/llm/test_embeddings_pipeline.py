@@ -156,5 +156,5 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     found = [re.match(r"op(\d+)_", n) for n in e.queries()]
-    assert sorted(int(m[1]) for m in found if m) == list(range(1, 11))
+    assert sorted(int(m[1]) for m in found if m) == list(range(1, 14))
     assert "pipeline" in e.queries()

@@ -23,8 +23,7 @@ from tileflow.llm import quality_classifier as Q
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
-@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize(("name", "odd"), [(n, odd) for n in sorted(queries.oracle_sql()) for odd in (False, True) if not odd or n.startswith(("op7", "op9"))])
 def test_sql(spark, tmp_path, name, odd):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
@@ -37,7 +36,8 @@ def test_sql(spark, tmp_path, name, odd):
             rows = [(n, *rest) for n, (_, *rest) in enumerate(rows)]
         documents(spark, rows, extra=False).write.parquet(f"{where}/documents.parquet")
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet{'/*.parquet' if odd else ''}'")
+    for table in ("documents",) if odd else ("documents", "conversations", "sale_lines"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{where}/{table}.parquet{'/*.parquet' if odd else ''}'")
     got, want = queries.queries()[name](spark, where).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert comparable(got) == comparable(want)
