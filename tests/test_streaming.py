@@ -25,7 +25,7 @@ def source(spark, df, tmp_path, name, files=1):
 def test_throttled(spark, tmp_path):
     rng = random.Random(3)
     cfg = ServerConfig(delaypool_tile_size=3, delaypool_render_size=1, delaypool_tile_rate=1_000_000, delaypool_render_rate=2_000_000)
-    rows = [(i, f"10.0.0.{rng.randrange(5)}", i * 150_000, rng.random() < 0.3) for i in range(300)]
+    rows = [(i, f"10.0.0.{rng.randrange(5)}", 1_700_000_000_000_000 + i * 150_000, rng.random() < 0.3) for i in range(300)]
     df = spark.createDataFrame(rows, "req_id long, client_ip string, us long, missing boolean")
     got = {r.req_id: r.allowed for r in run(live.throttled(source(spark, df, tmp_path, "in"), cfg), tmp_path, "out").collect()}
     buckets = {}
