@@ -208,7 +208,7 @@ def test_store_operations(spark, tmp_path, uri):
 
     tiles = _some_tiles(spark)
     blobs = metatile.encoded(tiles, ["style", "z", "mx", "my"]).withColumn("mtime", F.expr("TIMESTAMP_NTZ '2024-02-29 10:00:00'"))
-    store = stores.open_store(str(tmp_path)) if uri == "file" else stores.open_store(uri, tables=str(tmp_path))
+    store = stores.FileStore(str(tmp_path), now="2024-03-01 00:00:00") if uri == "file" else stores.open_store(uri, tables=str(tmp_path))
     store.write(blobs)
     store.write(blobs)
     asked = tiles.select("style", "z", "x", "y", "data").withColumnRenamed("data", "want").unionByName(spark.createDataFrame([("s", 10, 0, 23, None), ("s", 10, 800, 800, None)], "style string, z int, x long, y long, want binary"))
