@@ -88,7 +88,7 @@ def test_admission_equals_replay(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize(("seed", "req_limit", "dirty_limit"), [(s, r, d) for s in range(3) for r, d in ((3, 10), (20, 5), (8, 60))])
+@pytest.mark.parametrize(("seed", "req_limit", "dirty_limit"), [(s, r, d) for s in range(3) for r, d in ((3, 10), (20, 5), (8, 60), (1, 100), (8, 0))])
 def test_admission_equals_replay_with_drops(spark, seed, req_limit, dirty_limit):
     """Rare commands leave queues with room after Dirty is full, so metatiles once dropped come in later."""
     rng = random.Random(100 + seed)

@@ -40,19 +40,25 @@ def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int
     # staged, as it is cut twice, and as a metatile of a low zoom can have a third of all requests
     first = shared.staged(first.select(*[F.col(k).alias(f"k_{k}") for k in KEY], F.col("f.req_id").alias("f"), F.col("f.wanted").alias("w")), "first")
     queues = [q for q in FETCH_ORDER if q != "Dirty"]
-    # the last first request that each queue takes; every task hands on its first ``req_limit`` of each
+    # the first requests that each queue takes; every task hands on its first ``req_limit`` of each
     rank = F.row_number().over(Window.partitionBy("w").orderBy("f"))
-    last = first.where(F.col("w").isin(queues)).select("w", "f", rank.alias("n")).where(F.col("n") <= req_limit).groupBy("w").agg(F.max("f").alias("last")).collect()  # four rows
-    own = F.coalesce(reduce(lambda x, r: x.when(F.col("w") == r.w, F.col("f") <= r["last"]), last, F.when(F.lit(False), F.lit(False))), F.lit(False))
+    takes = first.where(F.col("w").isin(queues)).select("w", "f", rank.alias("n")).where(F.col("n") <= req_limit).groupBy("w").agg(F.collect_list("f").alias("f")).collect()  # four rows of req_limit
+    takes = {r.w: r.f for r in takes}
+    own = F.coalesce(reduce(lambda x, q: x.when(F.col("w") == q, F.col("f") <= max(takes[q])), takes, F.when(F.lit(False), F.lit(False))), F.lit(False))
     placed = first.withColumn("own", own)
     cut = placed.where("NOT own").select("f").orderBy("f").limit(dirty_limit).agg(F.count("*").alias("n"), F.max("f").alias("last")).first()
-    early = F.col("f") <= cut["last"] if cut.n >= dirty_limit else F.lit(True)
+    full = cut.n >= dirty_limit
+    early = F.lit(not full) if not full or cut.n == 0 else F.col("f") <= cut["last"]
     placed = placed.withColumn("early", early)
     same = reduce(lambda x, k: x & (F.col(k) == F.col(f"k_{k}")), KEY, F.lit(True))
     queue = F.when(F.col("own"), F.col("w")).otherwise(F.lit("Dirty"))
-    if cut.n < dirty_limit or placed.where("NOT early").isEmpty():  # nothing is dropped
-        return requests.join(placed.select(*[f"k_{k}" for k in KEY], "f", queue.alias("q")), same).select(*requests.columns, wanted().alias("wanted"), F.col("f").alias("first_req"), F.col("q").alias("queue"))
-    late = _late(requests, placed, req_limit)
+    # a queue that has no room when Dirty gets full has none later, so only the others can take what was dropped before
+    room = {q: req_limit - sum(cut.n > 0 and f <= cut["last"] for f in takes.get(q, [])) for q in queues} if full else {}
+    room = {q: n for q, n in room.items() if n > 0}
+    if not room or placed.where("NOT early").isEmpty():
+        known = placed.select(*[f"k_{k}" for k in KEY], "f", F.when(F.col("early"), queue).otherwise(F.lit("Dropped")).alias("q"))
+        return requests.join(known, same).select(*requests.columns, wanted().alias("wanted"), F.col("f").alias("first_req"), F.col("q").alias("queue"))
+    late = _late(requests, placed, room, req_limit)
     of_late = reduce(lambda x, k: x & (F.col(f"k_{k}") == F.col(f"late_{k}")), KEY, ~F.col("early"))
     placed = placed.join(late, of_late, "left")
     queue = F.when(F.col("early"), queue).otherwise(F.coalesce("late_queue", F.lit("Dropped")))
@@ -62,25 +68,22 @@ def admission(requests: DataFrame, req_limit: int = REQ_LIMIT, dirty_limit: int
     return out.select(*requests.columns, wanted().alias("wanted"), F.when(before, F.col("f")).otherwise(F.coalesce("late", "f")).alias("first_req"), F.when(before, "Dropped").otherwise(F.col("q")).alias("queue"))
 
 
-def _late(requests: DataFrame, placed: DataFrame, req_limit: int) -> DataFrame:
+def _late(requests: DataFrame, placed: DataFrame, room: dict[str, int], req_limit: int) -> DataFrame:
     """Metatiles not seen before Dirty was full -> (late_<key>, late_req, late_queue) of those admitted after it.
 
-    Of a metatile only its first request for each queue can matter: a queue that had no room then has none later.
-    At most ``req_limit`` go to each of the four other queues, and each of them can make one candidate of another queue
-    void, so the first four times ``req_limit`` candidates of a queue decide: few rows, run through in order.
+    Of a metatile only its first request for each queue with room can matter. At most ``req_limit`` go to each of these
+    queues, and each of them can make one candidate of another queue void, so the first ``req_limit`` candidates of a
+    queue for each queue with room decide: few rows, run through in order.
     """
     open_keys = placed.where("NOT early").select(*[F.col(f"k_{k}").alias(k) for k in KEY])
-    taken = placed.where("early AND own").groupBy("w").agg(F.count("*").alias("taken"))
-    offers = requests.withColumn("wanted", wanted()).where("wanted <> 'Dirty'").join(open_keys, KEY, "left_semi").groupBy(*KEY, "wanted").agg(F.min("req_id").alias("req_id"))
-    queues = [q for q in FETCH_ORDER if q != "Dirty"]
-    few = reduce(DataFrame.unionAll, [offers.where(F.col("wanted") == q).orderBy("req_id").limit(len(queues) * req_limit) for q in queues])
-    few = few.join(F.broadcast(taken), F.col("wanted") == F.col("w"), "left").select(*KEY, "wanted", "req_id", F.coalesce("taken", F.lit(0)).alias("taken"))
+    offers = requests.withColumn("wanted", wanted()).where(F.col("wanted").isin(list(room))).join(open_keys, KEY, "left_semi").groupBy(*KEY, "wanted").agg(F.min("req_id").alias("req_id"))
+    few = reduce(DataFrame.unionAll, [offers.where(F.col("wanted") == q).orderBy("req_id").limit(len(room) * req_limit) for q in room])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        room, got = {q: req_limit - int(n) for q, n in zip(g["wanted"], g["taken"], strict=True)}, {}
-        for style, z, mx, my, q, req_id, _ in g.sort_values("req_id").itertuples(index=False):
-            if (style, z, mx, my) not in got and room[q] > 0:
-                room[q] -= 1
+        left, got = dict(room), {}
+        for style, z, mx, my, q, req_id in g.sort_values("req_id").itertuples(index=False):
+            if (style, z, mx, my) not in got and left[q] > 0:
+                left[q] -= 1
                 got[style, z, mx, my] = (req_id, q)
         return pd.DataFrame([(*k, *v) for k, v in got.items()], columns=[*[f"late_{k}" for k in KEY], "late_req", "late_queue"])
 
