@@ -1,6 +1,7 @@
 """Golden values of addressing, projections, the queue, stores and configuration."""
 
 import random
+from collections import OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,41 @@ def test_admission_drops(spark):
     assert got.where("queue = 'Dropped'").count() == 288
 
 
+@pytest.mark.parametrize("size", [70, 5000])
+def test_replay_in_slices_equals_replay(spark, size):
+    """Slices of requests one after the other, with drops, styles that are null and metatiles asked for in many slices."""
+    rng = random.Random(7)
+    cmds = [*["Dirty", "RenderPrio"] * 3, *Q.QUEUE_OF]
+    rows = [(i, rng.choice(["s", None]), 12, rng.randrange(20) * 8, rng.randrange(20) * 8, rng.choice(cmds)) for i in range(900)]
+    events = [e for i, s, z, x, y, c in rows for e in [(i, (s, z, x, y), c), *([(i, None, "Fetch")] if i % 3 == 2 else [])]]
+    q = Q.RenderQueue(6, 40)
+    want = Q.replay(events, queue=q)
+    df = spark.createDataFrame(rows, "req_id long, style string, z int, mx long, my long, cmd string").repartition(3)
+    got = Q.replayed(df, F.col("req_id") % 3 == 2, 6, 40, size=size).collect()
+    assert sorted((r.req_id, r.outcome) for r in got) == sorted(want)
+    assert q.dropped > 0
+
+
+def test_cancel_looks_at_its_own_items_alone():
+    """Cancels that went through all that was ever fetched made the replay quadratic."""
+
+    class Unlisted(OrderedDict):
+        def values(self):
+            raise AssertionError("all items are gone through")
+
+    q = Q.RenderQueue()
+    q.queues = {k: Unlisted() for k in q.queues}
+    for fd, c in ((1, "Render"), (2, "RenderLow")):
+        q.add(("s", 10, fd, 0), c, fd)
+    q.cancel(1)
+    q.cancel(2)
+    assert [q.pending["s", 10, fd, 0]["fds"] for fd in (1, 2)] == [[-1], [2]]
+    assert [q.fetch()[2], q.fetch()[2]] == [1, 2]
+    q.cancel(2)
+    assert [q.done(("s", 10, fd, 0), 0) for fd in (1, 2)] == [[-1], [-1]]
+    assert not q.waits
+
+
 def test_queue_order_and_dedup():
     q = Q.RenderQueue()
     for i, c in enumerate(("Render", "RenderBulk", "Dirty", "RenderPrio", "RenderLow")):

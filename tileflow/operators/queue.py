@@ -5,22 +5,30 @@ metatile, its rank among first requests of its queue, and its rank among those t
 overflow to Dirty. Ranks matter only up to the caps (256 and 8000), so instead of numbering
 all requests in one task, each queue's first ``cap`` requests are found by a bounded top-k,
 which every partition does for itself before the merge; nothing larger is gathered.
+
+The queue as it runs, with fetches in between, has one state that every request may change. ``replayed`` runs through slices of
+requests one after the other; what goes on from slice to slice is what waits in the queues, which the caps bound, and
+a table of the metatiles admitted.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileflow.constants import DIRTY_LIMIT, FETCH_ORDER, QUEUE_OF, REQ_LIMIT
 from tileflow.sources import shared
 
 KEY = ["style", "z", "mx", "my"]
+#: Requests that one task runs through in order. At most ``SLICES`` slices are made; more requests make them longer.
+SLICE, SLICES = 1_000_000, 32
 
 
 def wanted(cmd: str = "cmd"):
@@ -117,6 +125,7 @@ class RenderQueue:
         self.limit = {q: dirty_limit if q == "Dirty" else req_limit for q in FETCH_ORDER}
         self.queues: dict[str, OrderedDict] = {q: OrderedDict() for q in (*FETCH_ORDER, "Render")}
         self.pending: dict[tuple, dict] = {}
+        self.waits: dict[int, dict[tuple, dict]] = {}  # fd -> the items it waits for
         self.dropped = 0
         self.rendered = dict.fromkeys(FETCH_ORDER, 0)
         self.render_ms = dict.fromkeys(FETCH_ORDER, 0)
@@ -126,7 +135,7 @@ class RenderQueue:
         item = self.pending.get(key)
         if item:
             if item["queue"] in self.WAITING:
-                item["fds"].append(fd)
+                self._wait(key, item, fd)
                 return "Ignore"
             return "NotDone"
         queue, reply = QUEUE_OF[cmd], "Ignore"
@@ -135,9 +144,18 @@ class RenderQueue:
             if len(self.queues[queue]) >= self.limit[queue]:
                 self.dropped += 1
                 return "NotDone"
-        self.pending[key] = self.queues[queue][key] = {"queue": queue, "from": queue, "fds": [fd]}
+        self.put(key, queue, fd)
         return reply
 
+    def put(self, key: tuple, queue: str, fd: int) -> None:
+        self.pending[key] = self.queues[queue][key] = item = {"queue": queue, "from": queue, "fds": []}
+        self._wait(key, item, fd)
+
+    def _wait(self, key: tuple, item: dict, fd: int) -> None:
+        item["fds"].append(fd)
+        if fd != -1:
+            self.waits.setdefault(fd, {})[key] = item
+
     def fetch(self) -> tuple | None:
         for q in FETCH_ORDER:
             if self.queues[q]:
@@ -151,6 +169,10 @@ class RenderQueue:
     def done(self, key: tuple, ms: int) -> list[int]:
         item = self.pending.pop(key)
         self.queues["Render"].pop(key, None)
+        for fd in set(item["fds"]) & self.waits.keys() if self.waits else ():
+            self.waits[fd].pop(key, None)
+            if not self.waits[fd]:
+                del self.waits[fd]
         if ms > 0:
             self.render_ms[item["from"]] += ms
             n = self.zoom.setdefault(key[1], [0, 0])
@@ -159,9 +181,13 @@ class RenderQueue:
         return item["fds"]
 
     def cancel(self, fd: int) -> None:
-        for q in ("Request", "Render", "Prio", "Bulk"):
-            for item in self.queues[q].values():
+        """Not in Low and Dirty, until they are rendered."""
+        for key, item in list(self.waits.get(fd, {}).items()):
+            if item["queue"] in ("Request", "Render", "Prio", "Bulk"):
                 item["fds"] = [-1 if x == fd else x for x in item["fds"]]
+                del self.waits[fd][key]
+        if not self.waits.get(fd, True):
+            del self.waits[fd]
 
 
 def replay(events: Iterable[tuple], req_limit: int = REQ_LIMIT, dirty_limit: int = DIRTY_LIMIT, queue: RenderQueue | None = None) -> list[tuple]:
@@ -177,3 +203,79 @@ def replay(events: Iterable[tuple], req_limit: int = REQ_LIMIT, dirty_limit: int
         else:
             out.append((req_id, q.add(key, cmd, req_id)))
     return out
+
+
+def replayed(requests: DataFrame, fetch: Column, req_limit: int = REQ_LIMIT, dirty_limit: int = DIRTY_LIMIT, size: int = SLICE) -> DataFrame:
+    """requests(req_id, key, cmd) in order of req_id, with a fetch after each for which ``fetch`` holds -> (req_id, outcome), a row for
+    each request and each fetch. Nothing is ever done, so what was fetched stays in Render.
+
+    Metatiles are numbered, so that the ordered pass carries no texts. A metatile that was admitted in an earlier slice and waits
+    no longer is in Render: a join says so for the requests of a slice.
+    """
+    # staged, as the numbers must stay what they are
+    keys = shared.staged(requests.select(*KEY).distinct().withColumn("no", F.monotonically_increasing_id()), "metatiles")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"k_{k}")), KEY, F.lit(True))
+    numbered = requests.join(keys.select(*[F.col(k).alias(f"k_{k}") for k in KEY], "no"), same)
+    rows = shared.staged(numbered.select("req_id", "no", "cmd", fetch.alias("fetch")).repartitionByRange("req_id").sortWithinPartitions("req_id"), "requests")
+    parts = min(SLICES, max(1, math.ceil(rows.count() / size)))
+    edges = rows.agg(F.percentile_approx("req_id", [i / parts for i in range(1, parts)]).alias("e")).first().e if parts > 1 else []
+    edges = sorted(set(edges or []))  # at most SLICES
+    waiting: list[tuple[str, int]] = []
+    out: list[DataFrame] = []
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = rows
+        if low is not None:
+            part = part.where(F.col("req_id") > low)
+        if high is not None:
+            part = part.where((F.col("req_id") <= high) | F.col("req_id").isNull() if low is None else F.col("req_id") <= high)
+        known = F.lit(False)
+        if out:
+            admitted = reduce(DataFrame.unionAll, out).where("kind = 'add' AND no IS NOT NULL").select(F.col("no").alias("known_no"))
+            part, known = part.join(admitted, F.col("no") == F.col("known_no"), "left"), F.col("known_no").isNotNull()
+        part = part.select("req_id", "no", "cmd", "fetch", known.alias("known")).repartition(1).sortWithinPartitions("req_id", "no")
+        out.append(shared.staged(part.mapInArrow(_slice(waiting, req_limit, dirty_limit), "kind string, req_id long, outcome string, no long"), "replayed"))
+        left = out[-1].where("kind = 'left'").orderBy("req_id").collect()  # at most 4 * req_limit + dirty_limit
+        waiting = [(r.outcome, r.no) for r in left]
+    every = reduce(DataFrame.unionAll, out)
+    fetched = every.where("kind = 'fetch'").select("req_id", "no").join(keys, "no", "left")
+    name = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in KEY])
+    fetched = fetched.select("req_id", F.when(F.col("no").isNull(), "-").otherwise(name).alias("outcome"))
+    return every.where("kind = 'add'").select("req_id", "outcome").unionAll(fetched)
+
+
+def _slice(waiting: list[tuple[str, int]], req_limit: int, dirty_limit: int):
+    """Function of a slice's sorted batches(req_id, no, cmd, fetch, known) -> rows of kind add (no: what it admitted), fetch (no: what was
+    fetched) and left (in req_id's place their order: what waits at the end, in which queue)."""
+    schema = pa.schema([("kind", pa.string()), ("req_id", pa.int64()), ("outcome", pa.string()), ("no", pa.int64())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def values(column: pa.Array) -> list:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, rendering = RenderQueue(req_limit, dirty_limit), set()
+        for name, no in waiting:
+            queue.put(no, name, -1)
+        for b in batches:
+            rows = []
+            for req_id, no, cmd, fetch, known in zip(*[values(b.column(c)) for c in ("req_id", "no", "cmd", "fetch", "known")], strict=True):
+                if no in queue.pending:
+                    rows.append(("add", req_id, queue.add(no, cmd, -1), None))
+                elif known or no in rendering:
+                    rows.append(("add", req_id, "Ignore", None))
+                else:
+                    reply = queue.add(no, cmd, -1)
+                    rows.append(("add", req_id, reply, no if no in queue.pending else None))
+                if fetch:
+                    got = queue.fetch()
+                    if got is not None:
+                        queue.done(got, 0)
+                        rendering.add(got)
+                    rows.append(("fetch", req_id, None, got))
+            yield batch(rows)
+        yield batch([("left", i, item["queue"], no) for i, (no, item) in enumerate(x for q in FETCH_ORDER for x in queue.queues[q].items())])
+
+    return run
