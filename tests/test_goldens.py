@@ -11,6 +11,7 @@ from tileflow.functions import address as A
 from tileflow.functions import web as W
 from tileflow.operators import batch as B
 from tileflow.operators import queue as Q
+from tileflow.operators import throttle
 from tileflow.operators.throttle import Bucket, Buckets
 from tileflow.sources import config, metatile, stores, wire
 
@@ -153,6 +154,34 @@ def test_cancel_looks_at_its_own_items_alone():
     assert not q.waits
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_exact_throttle_equals_the_replay(spark, seed):
+    """Clients run through apart from each other, with the top-ups of all, many of them within the seconds a client is held."""
+    rng = random.Random(seed)
+    cfg = W.ServerConfig(enable_tile_throttling=True, delaypool_tile_size=3, delaypool_render_size=2, delaypool_tile_rate=20_000_000, delaypool_render_rate=70_000_000)
+    rows = [(i, rng.choice([*"abcdefgh", None]), rng.randrange(400) * 500_000, rng.random() < 0.4) for i in range(500)]
+    rows.sort(key=lambda r: (r[2], r[0]))
+    b = Buckets(cfg, rows[0][2])
+    want = {i: b.allow(c, us, missing) for i, c, us, missing in rows}
+    df = spark.createDataFrame(rows, "req_id long, client_ip string, us long, missing boolean").repartition(3)
+    plan = throttle.exact(df, cfg)
+    assert {r.req_id: r.allowed for r in plan.collect()} == want
+    assert {False, True} == set(want.values())
+    assert "Coalesce" not in plan._jdf.queryExecution().toString()
+
+
+def test_top_up_is_not_taken_back():
+    """Held clients top up at a later time than the next request's; the tokens given then are not given again."""
+    b = Buckets(W.ServerConfig(enable_tile_throttling=True, delaypool_tile_size=1, delaypool_render_size=1, delaypool_tile_rate=100_000_000, delaypool_render_rate=100_000_000), 0)
+    for c in "ab":
+        assert b.allow(c, 1, False)
+        assert b.allow(c, 2, False)
+    assert b.allow("a", 98_000_000, False)  # due at 100 s, when it was held for three
+    assert b.tile_fill == 100_000_000
+    assert b.allow("b", 98_000_001, False)  # its share of it
+    assert not b.allow("b", 98_000_002, False)
+
+
 def test_queue_order_and_dedup():
     q = Q.RenderQueue()
     for i, c in enumerate(("Render", "RenderBulk", "Dirty", "RenderPrio", "RenderLow")):
