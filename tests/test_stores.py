@@ -140,3 +140,30 @@ def test_reads_shuffle_keys_only(spark, tmp_path):
     key = A.store_keys(F.lit("s"), F.lit(10), F.lit(80), F.lit(16), F.lit(""))["memcached_key"]
     assert [bytes(r.blob) for r in store.runs.blobs(known).collect()] == [bytes(r.blob) for r in blobs.where("mx = 80").collect()]
     assert spark.range(1).select(key.alias("k")).first().k == known.first().key
+
+
+def test_writes_look_at_their_rows_once(spark, tmp_path):
+    """A write to a key-value store took its metatiles twice, for blobs and for the index."""
+    _, blobs = _blobs(spark)
+    n, seen = blobs.count(), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    store = stores.TableStore("memcached", str(tmp_path / "t"))
+    store.write(blobs.mapInArrow(run, blobs.schema))
+    assert seen.value == n
+
+
+def test_tiles_leave_the_tasks_that_read_blobs(spark, tmp_path):
+    tiles, blobs = _blobs(spark)
+    store = stores.TableStore("rados", str(tmp_path / "t"))
+    store.write(blobs)
+    asked = tiles.select("style", "z", "x", "y", F.col("data").alias("want")).unionAll(spark.createDataFrame([("none", 10, 80, 16, None)], "style string, z int, x long, y long, want binary"))
+    got = store.read(asked.unionAll(asked)).collect()
+    assert len(got) == 2 * asked.count()
+    assert all((r.status, r.data, r.compressed) == ((-1, None, None) if r.style == "none" else (len(r.want or b""), r.want or b"", False)) for r in got)
+    plan = store.runs.tiles(store._known(asked, "blob_run").withColumn("slots", F.array(F.lit(0))))
+    assert plan.columns == ["key", "slot", "status", "data", "compressed"]

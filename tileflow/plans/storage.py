@@ -145,7 +145,7 @@ def file_tile_stat(v: Views) -> DataFrame:
 @query(f"SELECT req_id, CAST(length({_DATA}) AS INT) AS memcached_status, CAST(length({_DATA}) AS INT) AS rados_status FROM tile_requests")
 def kv_tile_read(v: Views) -> DataFrame:
     """The same tiles from the two key layouts."""
-    blobs, requests = containers(v), v.tile_requests.select("req_id", "style", "z", "x", "y")
+    blobs, requests = shared.staged(containers(v), "containers"), v.tile_requests.select("req_id", "style", "z", "x", "y")
     m, d = (_table(v, layout, blobs).read(requests).select("req_id", C("status").alias(f"{layout}_status")) for layout in ("memcached", "rados"))
     return m.join(d, "req_id")
 

@@ -3,7 +3,7 @@
 A write adds a run; nothing is rewritten. A run has an index (a row a key, without contents) and, if it brought contents, blobs;
 both are Parquet, in folders by ``bucket`` of the key's hash. What counts of a key is its row in the newest run that has
 it, so reading shuffles keys and small columns; a row names the run that holds its blob, and blobs are read by the tasks to which the
-wanted keys of a bucket are dealt.
+wanted keys of a bucket are dealt, a range of sorted keys at a time, or the tiles asked for are taken out there.
 
 The manifest is a numbered file of names of runs, oldest first. A change writes its files, then links the next number, which fails if
 another writer was first: then it is tried again on top of that one. So order is the manifest's, whatever clocks say, a change
@@ -26,6 +26,9 @@ import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tileflow.constants import META_HEADER
+from tileflow.sources import metatile, shared
+
 INDEX = "key string, style string, z int, mx long, my long, mtime timestamp_ntz, expired boolean, deleted boolean, head binary, blob_run string"
 #: Folders of a table by hash of the key, fixed when it is made (more suit large ones); runs of a level that are merged at a time.
 BUCKETS, FAN = 16, 4
@@ -98,37 +101,64 @@ class Segments:
         out = last if gone else last.where("NOT last.deleted")
         return out.select("key", *[F.col(f"last.{c}").alias(c) for c in columns])
 
-    def blobs(self, wanted: DataFrame) -> DataFrame:
-        """wanted(key, blob_run) -> (key, blob). Keys are dealt by run and bucket; tasks read the row groups that may hold them."""
-        folder, schema = self.folder, pa.schema([("key", pa.string()), ("blob", pa.binary())])
-        by = ["blob_run", "bucket"]
+    def _found(self, wanted: DataFrame, rest: list[str], answer, result: pa.Schema, types: str) -> DataFrame:
+        """wanted(key, blob_run, rest..) -> the rows that answer(blob, key, rest..) gives. Keys are dealt by run and bucket; tasks read the row
+        groups that may hold them: they are sorted in files and in a task, so some thousand at a time lie close together."""
+        folder, by = self.folder, ["blob_run", "bucket"]
 
-        def of(run: str, n: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
+        def of(run: str, n: int, keys: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             files = ds.dataset(f"{folder}/{run}/blobs/bucket={n}", format="parquet")
-            for b in files.scanner(columns=["key", "blob"], filter=ds.field("key").isin(keys), batch_size=64).to_batches():
-                rows.append(b.cast(schema))
-                size += b.nbytes
-                if size >= BATCH:
-                    yield from rows
-                    rows, size = [], 0
-            yield from rows
+            key = ds.field("key")
+            near = (key >= min(keys)) & (key <= max(keys))
+            for b in files.scanner(columns=["key", "blob"], filter=near, batch_size=4096).to_batches():  # in a row group of 8 MB
+                for k, blob in zip(b.column("key").to_pylist(), b.column("blob"), strict=True):
+                    if k in keys:
+                        got = answer(blob.as_buffer(), k, *keys[k])
+                        rows += got
+                        size += sum(len(x) for r in got for x in r if isinstance(x, bytes))
+                        if size >= BATCH or len(rows) >= 10_000:
+                            yield batch(rows)
+                            rows, size = [], 0
+            if rows:
+                yield batch(rows)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), result, strict=True)], schema=result)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, keys = None, []
+            now, keys = None, {}
             for b in batches:
-                for r, n, k in zip(*[b.column(c).to_pylist() for c in (*by, "key")], strict=True):
+                for r, n, k, *more in zip(*[b.column(c).to_pylist() for c in (*by, "key", *rest)], strict=True):
                     if (r, n) != now or len(keys) >= 10_000:
                         if keys:
                             yield from of(*now, keys)
-                        now, keys = (r, n), []
-                    keys.append(k)
+                        now, keys = (r, n), {}
+                    keys[k] = tuple(more)
             if keys:
                 yield from of(*now, keys)
 
         parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = wanted.where("blob_run IS NOT NULL").select("blob_run", bucket(F.col("key"), self.buckets).alias("bucket"), "key").distinct()
-        return dealt.repartition(parts, *by).sortWithinPartitions(*by, "key").mapInArrow(run, "key string, blob binary")
+        dealt = wanted.where("blob_run IS NOT NULL").select("blob_run", bucket(F.col("key"), self.buckets).alias("bucket"), "key", *rest).dropDuplicates(["blob_run", "key"])
+        return dealt.repartition(parts, *by).sortWithinPartitions(*by, "key").mapInArrow(run, types)
+
+    def blobs(self, wanted: DataFrame) -> DataFrame:
+        """wanted(key, blob_run) -> (key, blob)."""
+        schema = pa.schema([("key", pa.string()), ("blob", pa.binary())])
+        return self._found(wanted, [], lambda blob, k: [(k, blob.to_pybytes())], schema, "key string, blob binary")
+
+    def tiles(self, wanted: DataFrame) -> DataFrame:
+        """wanted(key, blob_run, slots: array<int>) -> (key, slot, status, data, compressed) for every slot asked for: the tiles alone leave the task."""
+        schema = pa.schema([("key", pa.string()), ("slot", pa.int32()), ("status", pa.int32()), ("data", pa.binary()), ("compressed", pa.bool_())])
+
+        def answer(blob: pa.Buffer, k: str, slots: list[int]) -> list[tuple]:
+            head, out = blob[:META_HEADER].to_pybytes(), []
+            for slot in slots:
+                at, size = metatile.locate(head, blob.size, slot)
+                out.append((k, slot, size, blob[at : at + size].to_pybytes() if size >= 0 else None, head[:4] == b"METZ"))
+            return out
+
+        return self._found(wanted, ["slots"], answer, schema, "key string, slot int, status int, data binary, compressed boolean")
 
     def _write_index(self, rows: DataFrame, name: str) -> None:
         types = dict(x.split(" ") for x in INDEX.split(", "))
@@ -149,6 +179,7 @@ class Segments:
         if blobs:
             order = [c for c in ("mtime", "blob") if c in rows.columns]
             rows = rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), F.struct(*order)).alias("r")).select("key", "r.*")
+            rows = shared.staged(rows, "run")  # read twice, without blobs the second time
             self._write_blobs(rows.where("blob IS NOT NULL"), name)
             rows = rows.withColumn("blob_run", F.when(F.col("blob").isNotNull(), F.lit(name))).drop("blob")
         elif "mtime" in rows.columns and "blob_run" not in rows.columns:

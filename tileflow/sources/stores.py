@@ -192,7 +192,15 @@ class TableStore(Store):
         return found.withColumn("size", F.when(F.col("known_key").isNull(), -1).otherwise(size).cast("long")).withColumn("expired", F.coalesce("marked", F.lit(False))).drop("known_key", "marked", "head")
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return tiles_of(requests, self.runs.blobs(self._known(requests, "blob_run")).withColumnRenamed("key", "stored_key"), self.key(requests))
+        """Every metatile asked for is read once, for all its tiles asked for, as in a file store."""
+        r = requests.withColumn("tile_key", self.key(requests)).withColumn("tile_slot", A.metatile_slot(F.col("x"), F.col("y")).cast("int"))
+        asked = r.groupBy(F.col("tile_key").alias("key")).agg(F.sort_array(F.collect_set("tile_slot")).alias("slots"))  # at most 64
+        asked = shared.staged(asked, "asked")
+        runs = self.runs
+        found = runs.tiles(runs.latest(requests.sparkSession, "blob_run", keys=asked).join(asked, "key"))
+        found = shared.staged(found.withColumnsRenamed({"key": "k", "slot": "s"}), "tiles")
+        out = r.join(found, (F.col("tile_key") == F.col("k")) & (F.col("tile_slot") == F.col("s")), "left")
+        return out.withColumn("status", F.coalesce("status", F.lit(-1))).drop("tile_key", "tile_slot", "k", "s")
 
     def place(self) -> Column:
         if self.layout == "rados":
