@@ -167,3 +167,18 @@ def test_tiles_leave_the_tasks_that_read_blobs(spark, tmp_path):
     assert all((r.status, r.data, r.compressed) == ((-1, None, None) if r.style == "none" else (len(r.want or b""), r.want or b"", False)) for r in got)
     plan = store.runs.tiles(store._known(asked, "blob_run").withColumn("slots", F.array(F.lit(0))))
     assert plan.columns == ["key", "slot", "status", "data", "compressed"]
+
+
+def test_listing_is_dealt_by_folders_of_any_zoom(spark, tmp_path):
+    """Below zoom 17 all files of a style and zoom lie in one first-level folder, so one task listed them."""
+    rows = [("s", 16, 4096 * i, 4096 * k, 4096 * i, 4096 * k, b"tile") for i in range(8) for k in range(8)]
+    blobs = metatile.encoded(spark.createDataFrame(rows, "style string, z int, mx long, my long, x long, y long, data binary"), KEY)
+    store = stores.FileStore(str(tmp_path))
+    store.write(blobs)
+    reader = stores.MetaReader({"root": str(tmp_path)})
+    shares = [sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()]
+    assert sum(shares) == 64
+    assert max(shares) < 10
+    back = spark.read.format("metatiles").option("root", str(tmp_path)).load()
+    assert {(r.path, bytes(r.blob)) for r in back.collect()} == {(r.path, bytes(r.blob)) for r in blobs.select(store.path(blobs).alias("path"), "blob").collect()}
+    assert not [n for _, _, names in os.walk(tmp_path) for n in names if not n.endswith(".meta")]

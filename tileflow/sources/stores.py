@@ -18,9 +18,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tileflow.constants import META_HEADER
@@ -325,7 +326,7 @@ def open_store(uri: str, tables: str = "", responses: DataFrame | None = None) -
 
 
 class MetaFiles(DataSource):
-    """``.meta`` files below a root that all nodes mount: the first-level hash directories are dealt to partitions to read, temporary
+    """``.meta`` files below a root that all nodes mount: the second-level hash directories are dealt to partitions to read, temporary
     file and rename to write. Options: root, styles, minzoom, maxzoom; contents (false: no blobs are read); operation
     (write, delete, expire)."""
 
@@ -343,8 +344,8 @@ class MetaFiles(DataSource):
         return MetaWriter(self.options)
 
 
-#: Partitions of a style's zoom.
-SHARES = 4
+#: Partitions of a store that is listed; rows and bytes of blobs that they hand on at a time.
+SHARES, ROWS, BATCH = 64, 10_000, 16 << 20
 
 
 class MetaReader(DataSourceReader):
@@ -354,53 +355,87 @@ class MetaReader(DataSourceReader):
         self.contents = options.get("contents", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """A share of the hash folders of each style and zoom, by name: they are listed by the tasks."""
-        styles = self.styles or sorted(d for d in os.listdir(self.root) if os.path.isdir(f"{self.root}/{d}"))
-        zooms = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
-        return [InputPartition((top, i)) for top in zooms if os.path.isdir(top) for i in range(SHARES)] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        top, share = partition.value or (None, 0)
-        for first in sorted(os.listdir(top)) if top else []:
-            if zlib.crc32(first.encode()) % SHARES != share:
-                continue
-            for folder, _, names in os.walk(f"{top}/{first}"):
-                for n in sorted(x for x in names if x.endswith(".meta")):
-                    path = f"{folder}/{n}"
-                    blob = None
-                    if self.contents:
-                        with open(path, "rb") as f:
-                            blob = f.read()
-                    st = os.stat(path)
-                    yield path, dt.datetime.fromtimestamp(int(st.st_mtime), dt.UTC).replace(tzinfo=None), st.st_size, blob
-
-
-class MetaWriter(DataSourceWriter):
+        """Shares of the second-level hash folders of all styles and zooms, by name: they are listed by the tasks."""
+        return [InputPartition(i) for i in range(SHARES)]
+
+    def _folders(self, share: int) -> Iterator[str]:
+        styles = self.styles or sorted(d.name for d in os.scandir(self.root) if d.is_dir())
+        tops = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
+        for top in tops:
+            for first in _below(top):
+                for second in _below(first):
+                    if zlib.crc32(second.encode()) % SHARES == share:
+                        yield second
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us")), ("size", pa.int64()), ("blob", pa.binary())])
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for top in self._folders(partition.value):
+            folders = [top]
+            while folders:  # as os.walk, without a look at each folder for links: a file of a high zoom has most of its folders to itself
+                with os.scandir(folders.pop()) as entries:
+                    for e in entries:
+                        if e.is_dir(follow_symlinks=False):
+                            folders.append(e.path)
+                        elif e.name.endswith(".meta"):
+                            blob = None
+                            if self.contents:
+                                with open(e.path, "rb") as f:
+                                    blob = f.read()
+                                held += len(blob)
+                            st = e.stat()
+                            rows.append((e.path, int(st.st_mtime) * 1_000_000, st.st_size, blob))
+                            if len(rows) >= ROWS or held >= BATCH:
+                                yield batch()
+                                rows, held = [], 0
+        yield batch()
+
+
+def _below(folder: str) -> list[str]:
+    """Folders in a folder; none if it does not exist."""
+    try:
+        return sorted(e.path for e in os.scandir(folder) if e.is_dir())
+    except FileNotFoundError:
+        return []
+
+
+class MetaWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.root, self.operation = options["root"], options.get("operation", "write")
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        for r in rows:
-            if not r.path.startswith(f"{self.root}/") or ".." in r.path:
-                raise ValueError(f"{r.path} is outside the store")
-            if self.operation == "write":
-                self._write(r)
-            elif self.operation == "delete":
-                with contextlib.suppress(FileNotFoundError):  # gone already, maybe by another run of this task
-                    os.remove(r.path)
-            else:
-                self._expire(r.path)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        suffix = uuid.uuid4().hex
+        for b in batches:
+            for path, mtime, blob in zip(b.column("path").to_pylist(), b.column("mtime").to_pylist(), b.column("blob"), strict=True):
+                if not path.startswith(f"{self.root}/") or ".." in path:
+                    raise ValueError(f"{path} is outside the store")
+                if self.operation == "write":
+                    self._write(path, mtime, blob.as_py(), suffix)
+                elif self.operation == "delete":
+                    with contextlib.suppress(FileNotFoundError):  # gone already, maybe by another run of this task
+                        os.remove(path)
+                else:
+                    self._expire(path)
         return WriterCommitMessage()
 
-    def _write(self, r) -> None:
-        os.makedirs(os.path.dirname(r.path), exist_ok=True)
-        temporary = f"{r.path}.{uuid.uuid4().hex}"
-        with open(temporary, "wb") as f:
-            f.write(r.blob)
-        if getattr(r, "mtime", None) is not None:
-            at = r.mtime.replace(tzinfo=dt.UTC).timestamp()
+    def _write(self, path: str, mtime: dt.datetime | None, blob: bytes, suffix: str) -> None:
+        temporary = f"{path}.{suffix}"
+        try:
+            f = open(temporary, "wb")  # noqa: SIM115
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            f = open(temporary, "wb")  # noqa: SIM115
+        with f:
+            f.write(blob)
+        if mtime is not None:
+            at = mtime.replace(tzinfo=dt.UTC).timestamp()
             os.utime(temporary, (at, at))
-        os.replace(temporary, r.path)
+        os.replace(temporary, path)
 
     def _expire(self, path: str) -> None:
         """Back by 20 years, unless it is so old already: before 2006, or 20 years, so that another run of this task changes nothing."""
