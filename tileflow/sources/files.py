@@ -3,21 +3,24 @@
 Reading is by key: the distinct paths asked for are dealt to tasks, and a task opens those files and no other. Of a file it
 reads the index and the tiles asked for. Listing goes from the folders of styles and zooms down by two levels of hash
 folders, each level dealt to tasks anew, before whole trees are walked; the driver sees the folders of zooms alone.
-The root is a folder that all nodes mount.
+The root is a folder that all nodes mount. In a packed store the files lie in archives (see ``archives``): tasks get whole archives, and
+open each once.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.constants import META_HEADER
-from tileflow.sources import metatile
+from tileflow.sources import archives, metatile
 
 #: A file's time says when the data of its style, or of all styles of the store, were last imported.
 IMPORTED = "planet-import-complete"
@@ -29,38 +32,70 @@ def _time(seconds: float) -> dt.datetime:
     return dt.datetime.fromtimestamp(int(seconds), dt.UTC).replace(tzinfo=None)
 
 
-def tiles(asked: DataFrame) -> DataFrame:
+def _dealt(asked: DataFrame) -> DataFrame:
+    """Rows with paths, those of an archive in one task and side by side."""
+    return asked.repartition(archives.archive(F.col("path"))).sortWithinPartitions(archives.archive(F.col("path")))
+
+
+def _packed(rows: Iterable[tuple]) -> Iterator[tuple[archives.Archive | None, str, tuple]]:
+    """rows(path, ..) with the opened archive and the name in it; an archive is opened once for the rows that stand side by side."""
+    for at, group in itertools.groupby(rows, lambda row: archives.place(row[0])[0]):
+        found = archives.opened(at)
+        with found or contextlib.nullcontext():
+            for row in group:
+                yield found, archives.place(row[0])[1], row
+
+
+def _cut(read: Callable[[int, int], bytes], length: int, path: str, slots: list[int]) -> Iterator[tuple]:
+    """Tiles of a container by read(offset, n): its index and the tiles asked for."""
+    head = read(0, min(META_HEADER, length))
+    for slot in slots:
+        at, size = metatile.locate(head, length, slot)
+        yield path, slot, size, read(at, size) if size >= 0 else None, head[:4] == b"METZ"
+
+
+def tiles(asked: DataFrame, packed: bool = False) -> DataFrame:
     """asked(path, slots: array<int>) -> (path, slot, status, data, compressed) for every slot asked for."""
     schema = pa.schema([("path", pa.string()), ("slot", pa.int32()), ("status", pa.int32()), ("data", pa.binary()), ("compressed", pa.bool_())])
 
-    def one(path: str, slots: list[int]) -> Iterator[tuple]:
-        try:
-            with open(path, "rb") as f:
-                length, head = os.fstat(f.fileno()).st_size, f.read(META_HEADER)
-                for slot in slots:
-                    at, size = metatile.locate(head, length, slot)
-                    data = None
-                    if size >= 0:
-                        f.seek(at)
-                        data = f.read(size)
-                    yield path, slot, size, data, head[:4] == b"METZ"
-        except FileNotFoundError:
-            for slot in slots:
-                yield path, slot, -1, None, None
+    def missing(path: str, slots: list[int]) -> Iterator[tuple]:
+        for slot in slots:
+            yield path, slot, -1, None, None
+
+    def of_tree(wanted: Iterable[tuple]) -> Iterator[Iterator[tuple]]:
+        for path, slots in wanted:
+            try:
+                with open(path, "rb", buffering=0) as f:
+                    yield _cut(lambda at, n, fd=f.fileno(): os.pread(fd, n, at), os.fstat(f.fileno()).st_size, path, slots)
+            except FileNotFoundError:
+                yield missing(path, slots)
+
+    def of_archives(wanted: Iterable[tuple]) -> Iterator[Iterator[tuple]]:
+        for found, name, (path, slots) in _packed(wanted):
+            info = found and found.members.get(name)
+            if info is None:
+                yield missing(path, slots)
+            else:
+                yield _cut(lambda at, n, start=found.start(info), found=found: found.read(start + at, n), info.file_size, path, slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for b in batches:
-            for path, slots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in one(path, slots):
-                    rows.append(row)
-                    size += len(row[3] or b"")
-                if size >= BATCH or len(rows) >= 10_000:
-                    yield _batch(rows, schema)
-                    rows, size = [], 0
+        for one in (of_archives if packed else of_tree)(_rows(batches)):
+            for row in one:
+                rows.append(row)
+                size += len(row[3] or b"")
+            if size >= BATCH or len(rows) >= 10_000:
+                yield _batch(rows, schema)
+                rows, size = [], 0
         yield _batch(rows, schema)
 
-    return asked.select("path", "slots").mapInArrow(run, "path string, slot int, status int, data binary, compressed boolean")
+    asked = asked.select("path", "slots")
+    return (_dealt(asked) if packed else asked).mapInArrow(run, "path string, slot int, status int, data binary, compressed boolean")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

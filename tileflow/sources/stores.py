@@ -2,7 +2,7 @@
 
 read, stat and storage_id take requests(style, z, x, y) and add columns; write, delete and expire take
 metatiles(style, z, mx, my[, blob, mtime]); close has nothing to do. File stores are real ``.meta`` trees,
-of which only the files asked for are opened; key-value stores are log-structured tables, to which a write, a delete or an
+of which only the files asked for are opened, or packed, the same files in archives; key-value stores are log-structured tables, to which a write, a delete or an
 expiry adds a run of rows. A proxy store answers
 from a table of responses, a composite store from two stores. Neither takes writes.
 """
@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from tileflow.constants import META_HEADER
 from tileflow.functions import address as A
-from tileflow.sources import files, metatile, segments, shared
+from tileflow.sources import archives, files, metatile, segments, shared
 
 META_SCHEMA = "path string, mtime timestamp_ntz, size long, blob binary"
 SCHEMES = ("rados://", "memcached://", "ro_http_proxy://", "composite:{", "null://")
@@ -110,8 +111,11 @@ def tiles_of(requests: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class FileStore(Store):
+    """A tree of ``.meta`` files, or ``packed``: the same files in zip archives, for more metatiles than a file system has inodes for."""
+
     root: str
     now: str | None = None
+    packed: bool = False
     kind = "file"
 
     def path(self, rows: DataFrame) -> Column:
@@ -133,7 +137,7 @@ class FileStore(Store):
         to them in as many tasks as they need."""
         r = requests.withColumn("tile_key", self.path(requests)).withColumn("tile_slot", A.metatile_slot(F.col("x"), F.col("y")).cast("int"))
         asked = r.groupBy(F.col("tile_key").alias("path")).agg(F.sort_array(F.collect_set("tile_slot")).alias("slots"))  # at most 64
-        found = shared.staged(files.tiles(asked).withColumnsRenamed({"path": "k", "slot": "s"}), "tiles")
+        found = shared.staged(files.tiles(asked, self.packed).withColumnsRenamed({"path": "k", "slot": "s"}), "tiles")
         return r.join(found, (F.col("tile_key") == F.col("k")) & (F.col("tile_slot") == F.col("s"))).drop("tile_key", "tile_slot", "k", "s")
 
     def place(self) -> Column:
@@ -145,7 +149,10 @@ class FileStore(Store):
         extra = [c if c in metatiles.columns else F.lit(None).cast(t).alias(c) for c, t in (("mtime", "timestamp_ntz"), ("blob", "binary"))]
         rows = metatiles.select(path.alias("path"), extra[0], F.lit(0).cast("long").alias("size"), extra[1])
         rows = rows if operation == "write" else rows.dropDuplicates(["path"])
-        rows.write.format("metatiles").option("root", self.root).option("operation", operation).mode("append").save()
+        if self.packed:  # an archive in one task, its rows side by side, of a file written twice the later first
+            at = archives.archive(F.col("path"))
+            rows = rows.withColumn("archive", at).repartition("archive").sortWithinPartitions("archive", "path", F.desc_nulls_first("mtime")).drop("archive")
+        rows.write.format("metatiles").option("root", self.root).option("operation", operation).option("packed", self.packed).mode("append").save()
 
     def write(self, metatiles: DataFrame) -> None:
         self._apply(metatiles, "write")
@@ -306,11 +313,11 @@ class CompositeStore(Store):
         return F.lit("Coposite tile")  # misspelled as users know it
 
 
-def open_store(uri: str, tables: str = "", responses: DataFrame | None = None) -> Store | None:
+def open_store(uri: str, tables: str = "", responses: DataFrame | None = None, packed: bool = False) -> Store | None:
     """The store of a URI, or None where the URI names none or its directory does not exist. Key-value stores keep their
-    rows below the folder ``tables``, a proxy answers from ``responses``."""
+    rows below the folder ``tables``, a proxy answers from ``responses``, a directory's files may be ``packed``."""
     if uri.startswith("/"):
-        return FileStore(uri) if os.path.isdir(uri) else None
+        return FileStore(uri, packed=packed) if os.path.isdir(uri) else None
     for scheme, kind in zip(SCHEMES, ("rados", "memcached", "proxy", "composite", "null"), strict=True):
         if uri.startswith(scheme):
             rest = uri[len(scheme) :]
@@ -328,7 +335,7 @@ def open_store(uri: str, tables: str = "", responses: DataFrame | None = None) -
 class MetaFiles(DataSource):
     """``.meta`` files below a root that all nodes mount: the second-level hash directories are dealt to partitions to read, temporary
     file and rename to write. Options: root, styles, minzoom, maxzoom; contents (false: no blobs are read); operation
-    (write, delete, expire)."""
+    (write, delete, expire); packed (true: files are changed in archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -407,21 +414,36 @@ def _below(folder: str) -> list[str]:
 class MetaWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.root, self.operation = options["root"], options.get("operation", "write")
+        self.packed = options.get("packed", "false").lower() == "true"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        if self.packed:
+            for at, rows in groupby(self._placed(batches), lambda row: row[0]):
+                archives.change(at, (row[1:] for row in rows), self.operation)
+            return WriterCommitMessage()
         suffix = uuid.uuid4().hex
+        for path, mtime, blob in self._rows(batches):
+            if self.operation == "write":
+                self._write(path, mtime, blob.as_py(), suffix)
+            elif self.operation == "delete":
+                with contextlib.suppress(FileNotFoundError):  # gone already, maybe by another run of this task
+                    os.remove(path)
+            else:
+                self._expire(path)
+        return WriterCommitMessage()
+
+    def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, mtime, blob in zip(b.column("path").to_pylist(), b.column("mtime").to_pylist(), b.column("blob"), strict=True):
                 if not path.startswith(f"{self.root}/") or ".." in path:
                     raise ValueError(f"{path} is outside the store")
-                if self.operation == "write":
-                    self._write(path, mtime, blob.as_py(), suffix)
-                elif self.operation == "delete":
-                    with contextlib.suppress(FileNotFoundError):  # gone already, maybe by another run of this task
-                        os.remove(path)
-                else:
-                    self._expire(path)
-        return WriterCommitMessage()
+                yield path, mtime, blob
+
+    def _placed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows by archive: (archive, name, microseconds, contents)."""
+        since = dt.datetime(1970, 1, 1)
+        for path, mtime, blob in self._rows(batches):
+            yield *archives.place(path), None if mtime is None else (mtime - since) // dt.timedelta(microseconds=1), blob.as_py()
 
     def _write(self, path: str, mtime: dt.datetime | None, blob: bytes, suffix: str) -> None:
         temporary = f"{path}.{suffix}"
@@ -438,12 +460,9 @@ class MetaWriter(DataSourceArrowWriter):
         os.replace(temporary, path)
 
     def _expire(self, path: str) -> None:
-        """Back by 20 years, unless it is so old already: before 2006, or 20 years, so that another run of this task changes nothing."""
         with contextlib.suppress(FileNotFoundError):
-            at = dt.datetime.fromtimestamp(os.stat(path).st_mtime, dt.UTC)
-            if at.year > max(2005, dt.datetime.now(dt.UTC).year - 20):
-                leap = at.month == 2 and at.day == 29
-                old = at.replace(year=at.year - 20, day=28 if leap and (at.year - 20) % 4 else at.day).timestamp()
+            at = os.stat(path).st_mtime
+            if (old := archives.aged(at)) != at:
                 os.utime(path, (old, old))
 
 
