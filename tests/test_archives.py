@@ -1,5 +1,6 @@
 """Packed file stores: the files of a tree in a few archives, with the same results for all operations."""
 
+import datetime as dt
 import multiprocessing
 import os
 import zipfile
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tileflow.functions import address as A
-from tileflow.sources import archives, metatile, shared, stores
+from tileflow.sources import archives, files, metatile, shared, stores
 
 KEY = ["style", "z", "mx", "my"]
 
@@ -106,3 +107,25 @@ def test_archive_of_a_path(spark):
     assert all(archives.place(r.path)[0] == r.archive for r in rows)
     assert len({r.archive for r in rows}) > 32
     assert {archives.place(r.path.removeprefix("/a b"))[0] for r in rows} == {r.archive.removeprefix("/a b") for r in rows}
+
+
+def test_file_tile_stat_takes_few_inodes(spark, tmp_path):
+    taken, rows = _taken(spark, tmp_path, "file_tile_stat")
+    assert len(rows) == 2000
+    assert 400 < sum(r.size < 0 for r in rows) <= 500
+    assert all(r.expired == (r.size < 0 or r.mtime < dt.datetime(2024, 1, 10)) for r in rows)
+    assert taken <= 2 * archives.SHELVES + 5
+
+
+def test_packed_stat_knows_imports(spark, tmp_path):
+    _, blobs = _blobs(spark, 2)
+    asked = spark.createDataFrame([("s", 20, 0, 16), ("s", 20, 800, 800), ("none", 20, 0, 0)], "style string, z int, x long, y long")
+    store = stores.FileStore(str(tmp_path), now="2024-01-07 00:00:00", packed=True)
+    store.write(blobs)
+    size = blobs.where("mx = 0").select(F.length("blob")).first()[0]
+    stat = lambda: {(r.style, r.x): (r.size, r.mtime, r.expired) for r in store.stat(asked.unionAll(asked)).collect()}
+    assert stat() == {("s", 0): (size, dt.datetime(2024, 1, 5, 10, 0, 1), False), ("s", 800): (-1, None, True), ("none", 0): (-1, None, True)}
+    files.mark_import(store.root, None, dt.datetime(2024, 1, 6, tzinfo=dt.UTC).timestamp())
+    assert stat()["s", 0][2]
+    files.mark_import(store.root, "s", dt.datetime(2024, 1, 4, tzinfo=dt.UTC).timestamp())
+    assert not stat()["s", 0][2]

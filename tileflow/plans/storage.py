@@ -135,7 +135,7 @@ FROM tile_stats LEFT JOIN k USING (style, z, mx, my)
 """)
 def file_tile_stat(v: Views) -> DataFrame:
     """File store: the size is the file's; what is older than its style's import, or missing, is expired."""
-    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW)
+    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW, packed=True)
     store.write(_cached_blobs(v))
     for style, at in v.planet_times.select("style", F.unix_seconds(C("planet_ts").cast("timestamp")).alias("at")).collect():  # a row a style
         files.mark_import(store.root, None if style == "*" else style, at)

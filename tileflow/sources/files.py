@@ -34,7 +34,7 @@ def _time(seconds: float) -> dt.datetime:
 
 def _dealt(asked: DataFrame) -> DataFrame:
     """Rows with paths, those of an archive in one task and side by side."""
-    return asked.repartition(archives.archive(F.col("path"))).sortWithinPartitions(archives.archive(F.col("path")))
+    return asked.withColumn("archive", archives.archive(F.col("path"))).repartition("archive").sortWithinPartitions("archive").drop("archive")
 
 
 def _packed(rows: Iterable[tuple]) -> Iterator[tuple[archives.Archive | None, str, tuple]]:
@@ -103,26 +103,31 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def stats(asked: DataFrame, root: str) -> DataFrame:
+def stats(asked: DataFrame, root: str, packed: bool = False) -> DataFrame:
     """asked(path, style) -> (path, file_size, mtime, imported: time of the style's last import) of the files that exist."""
     schema = pa.schema([("path", pa.string()), ("file_size", pa.int64()), ("mtime", pa.timestamp("us")), ("imported", pa.timestamp("us"))])
 
+    def of_tree(wanted: Iterable[tuple]) -> Iterator[tuple]:
+        for path, style in wanted:
+            if st := _stat(path):
+                yield path, style, st.st_size, _time(st.st_mtime)
+
+    def of_archives(wanted: Iterable[tuple]) -> Iterator[tuple]:
+        for found, name, (path, style) in _packed(wanted):
+            if info := found and found.members.get(name):
+                yield path, style, info.file_size, _time(archives.changed_at(info) / 1e6)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         imported: dict[str | None, dt.datetime | None] = {}
-        for b in batches:
-            rows = []
-            for path, style in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    st = os.stat(path)
-                except FileNotFoundError:
-                    continue
-                if style not in imported:
-                    marks = [m for m in (f"{root}/{style}/{IMPORTED}", f"{root}/{IMPORTED}") if os.path.exists(m)]
-                    imported[style] = _time(os.stat(marks[0]).st_mtime) if marks else None
-                rows.append((path, st.st_size, _time(st.st_mtime), imported[style]))
-            yield _batch(rows, schema)
-
-    return asked.select("path", "style").mapInArrow(run, "path string, file_size long, mtime timestamp_ntz, imported timestamp_ntz")
+        found = (of_archives if packed else of_tree)(_rows(batches))
+        while rows := list(itertools.islice(found, 10_000)):
+            for style in {r[1] for r in rows} - imported.keys():
+                marks = [m for m in (f"{root}/{style}/{IMPORTED}", f"{root}/{IMPORTED}") if os.path.exists(m)]
+                imported[style] = _time(os.stat(marks[0]).st_mtime) if marks else None
+            yield _batch([(path, size, at, imported[style]) for path, style, size, at in rows], schema)
+
+    asked = asked.select("path", "style")
+    return (_dealt(asked) if packed else asked).mapInArrow(run, "path string, file_size long, mtime timestamp_ntz, imported timestamp_ntz")
 
 
 def listed(spark: SparkSession, folders: list[str]) -> DataFrame:

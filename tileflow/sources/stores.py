@@ -124,13 +124,13 @@ class FileStore(Store):
     def stat(self, requests: DataFrame) -> DataFrame:
         """Expired is what is older than the last import of its style (see ``files.IMPORTED``), without one than three days ago,
         and what is missing."""
-        path = self.path(requests)
-        asked = requests.select(path.alias("path"), "style").distinct()
-        found = shared.staged(files.stats(asked, self.root).withColumnRenamed("path", "file_path"), "stats")
+        r = requests.withColumn("file_key", self.path(requests))  # a column: a join on an expression has it anew in each comparison of its sort
+        asked = r.select(F.col("file_key").alias("path"), "style").distinct()
+        found = shared.staged(files.stats(asked, self.root, self.packed).withColumnRenamed("path", "file_path"), "stats")
         now = F.expr("localtimestamp()") if self.now is None else F.expr(f"TIMESTAMP_NTZ '{self.now}'")
-        out = requests.join(found, path == F.col("file_path"), "left")
+        out = r.join(found, F.col("file_key") == F.col("file_path"), "left")
         expired = F.coalesce(F.col("mtime") < F.coalesce("imported", now - F.expr("INTERVAL 3 DAYS")), F.lit(True))
-        return out.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", expired).drop("file_path", "file_size", "imported")
+        return out.withColumn("size", F.coalesce("file_size", F.lit(-1).cast("long"))).withColumn("expired", expired).drop("file_key", "file_path", "file_size", "imported")
 
     def read(self, requests: DataFrame) -> DataFrame:
         """Every file asked for is opened once, for all its tiles asked for; a tile that a third of all requests ask for is joined
