@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tileflow.functions import address as A
 from tileflow.sources import archives, files, metatile, shared, stores
+from tileflow.sources.views import Views
 
 KEY = ["style", "z", "mx", "my"]
 
@@ -129,3 +130,30 @@ def test_packed_stat_knows_imports(spark, tmp_path):
     assert stat()["s", 0][2]
     files.mark_import(store.root, "s", dt.datetime(2024, 1, 4, tzinfo=dt.UTC).timestamp())
     assert not stat()["s", 0][2]
+
+
+def test_metatile_write_takes_few_inodes(spark, tmp_path):
+    taken, rows = _taken(spark, tmp_path, "metatile_write")
+    want = Views(spark, str(tmp_path)).tile_requests.select(*KEY).distinct().collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want))
+    assert taken <= 2 * archives.SHELVES + 2
+
+
+def test_source_reads_archives(spark, tmp_path):
+    _, blobs = _blobs(spark)
+    store = stores.FileStore(str(tmp_path), packed=True)
+    store.write(blobs)
+    back = spark.read.format("metatiles").option("root", str(tmp_path)).option("packed", True).load()
+    want = {(r.path, dt.datetime(2024, 1, 5, 10, 0, 1), len(r.blob), bytes(r.blob)) for r in blobs.select(store.path(blobs).alias("path"), "blob").collect()}
+    assert {(r.path, r.mtime, r.size, bytes(r.blob)) for r in back.collect()} == want
+    assert {r.blob for r in back.sparkSession.read.format("metatiles").option("root", str(tmp_path)).option("packed", True).option("contents", False).load().collect()} == {None}
+
+
+def test_paths_are_matched_once(spark):
+    """Each number of a path was matched anew wherever it was used: more than a hundred times a path."""
+    paths = spark.createDataFrame([("/t/s/10/0/0/0/1/128.meta",), ("/t/s/10/0/0/0/1/300.meta",), ("/t/s/3/0/0/0/1/128.meta",), ("x",), (None,)], "path string")
+    out = stores.parsed(paths, "/t")
+    assert out.collect() == [("/t/s/10/0/0/0/1/128.meta", "s", 10, 8, 16)]
+    assert paths.select(A.parse_path("/t", F.col("path"))["code"]).collect() == [(0,), (2,), (3,), (1,), (1,)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_replace") + plan.count("regexp_extract") == 1

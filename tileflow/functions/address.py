@@ -40,18 +40,29 @@ def hashed_path(tile_dir: Column, style: Column, z: Column, x: Column, y: Column
 
 def parse_path(tile_dir: str, path: Column) -> dict[str, Column]:
     """style, z, x, y of a hashed path and a code: 0 valid, 1 not such a path, 2 a number over 255, 3 outside the zoom."""
+    found = parsed_path(tile_dir, path)[0]
+    return {c: found[c] for c in ("style", "z", "x", "y", "code")}
+
+
+def parsed_path(tile_dir: str, path: Column) -> Column:
+    """An array of one, (style, z, x, y, code) as ``parse_path`` has them. A path is matched once, not anew for each number: what is used
+    often is the element that a function gets by name."""
     rest = F.when(path.startswith(tile_dir), F.substring(path, len(tile_dir) + 1, 4096))
     pattern = r"^/([^/]{1,40})/\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)/\s*([-+]?\d+)"
-    part = lambda i: F.regexp_extract(rest, pattern, i)
-    parsed = F.coalesce(part(1) != "", F.lit(False))
-    h = [F.when(parsed, part(i).cast("long")) for i in range(3, 8)]
-    z = F.when(parsed, part(2).cast("int"))
-    x = reduce(lambda a, b: a * 16 + F.shiftright(b, 4).bitwiseAND(F.lit(15)), h, F.lit(0).cast("long"))
-    y = reduce(lambda a, b: a * 16 + b.bitwiseAND(F.lit(15)), h, F.lit(0).cast("long"))
-    over = reduce(lambda a, b: a | (b < 0) | (b > 255), h, F.lit(False))
-    code = F.when(~parsed, 1).when(over, 2).when(~valid_xyz(x, y, z), 3).otherwise(0)
-    ok = parsed & ~over
-    return {"style": F.when(parsed, part(1)), "z": z, "x": F.when(ok, x), "y": F.when(ok, y), "code": code}
+    parts = F.when(F.regexp_like(rest, F.lit(pattern)), F.split(F.regexp_replace(rest, f"(?s){pattern}.*$", "$1/$2/$3/$4/$5/$6/$7"), "/"))
+
+    def numbers(p: Column) -> Column:
+        h = [p[i].cast("long") for i in range(2, 7)]
+        x = reduce(lambda a, b: a * 16 + F.shiftright(b, 4).bitwiseAND(F.lit(15)), h, F.lit(0).cast("long"))
+        y = reduce(lambda a, b: a * 16 + b.bitwiseAND(F.lit(15)), h, F.lit(0).cast("long"))
+        over = reduce(lambda a, b: a | (b < 0) | (b > 255), h, F.lit(False))
+        return F.struct(p[0].alias("style"), p[1].cast("int").alias("z"), x.alias("x"), y.alias("y"), over.alias("over"))
+
+    def checked(n: Column) -> Column:
+        code = F.when(n["style"].isNull(), 1).when(n["over"], 2).when(~valid_xyz(n["x"], n["y"], n["z"]), 3).otherwise(0)
+        return F.struct(n["style"].alias("style"), n["z"].alias("z"), *[F.when(~n["over"], n[c]).alias(c) for c in ("x", "y")], code.alias("code"))
+
+    return F.transform(F.transform(F.array(parts), numbers), checked)
 
 
 def store_keys(style: Column, z: Column, x: Column, y: Column, options: Column) -> dict[str, Column]:

@@ -98,9 +98,9 @@ def _table(v: Views, layout: str, metatiles: DataFrame) -> stores.TableStore:
 
 @query("SELECT DISTINCT style, z, mx, my FROM tile_requests")
 def metatile_write(v: Views) -> DataFrame:
-    """All containers written as .meta files, and read back through the data source."""
-    root = _written(v, packed=False).root
-    back = v.spark.read.format("metatiles").option("root", root).option("contents", "false").load()
+    """All containers written as .meta files in archives, and read back through the data source."""
+    root = _written(v).root
+    back = v.spark.read.format("metatiles").option("root", root).option("packed", True).option("contents", "false").load()
     return stores.parsed(back.select("path"), root).select("style", "z", C("x").alias("mx"), C("y").alias("my"))
 
 

@@ -335,7 +335,7 @@ def open_store(uri: str, tables: str = "", responses: DataFrame | None = None, p
 class MetaFiles(DataSource):
     """``.meta`` files below a root that all nodes mount: the second-level hash directories are dealt to partitions to read, temporary
     file and rename to write. Options: root, styles, minzoom, maxzoom; contents (false: no blobs are read); operation
-    (write, delete, expire); packed (true: files are changed in archives)."""
+    (write, delete, expire); packed (true: the files lie in archives, dealt by their numbers)."""
 
     @classmethod
     def name(cls) -> str:
@@ -360,15 +360,18 @@ class MetaReader(DataSourceReader):
         self.root, self.styles = options["root"], [s for s in options.get("styles", "").split(",") if s]
         self.zooms = range(int(options.get("minzoom", 0)), int(options.get("maxzoom", 20)) + 1)
         self.contents = options.get("contents", "true") == "true"
+        self.packed = options.get("packed", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         """Shares of the second-level hash folders of all styles and zooms, by name: they are listed by the tasks."""
-        return [InputPartition(i) for i in range(SHARES)]
+        return [InputPartition(i) for i in range(archives.SHELVES if self.packed else SHARES)]
 
-    def _folders(self, share: int) -> Iterator[str]:
+    def _tops(self) -> list[str]:
         styles = self.styles or sorted(d.name for d in os.scandir(self.root) if d.is_dir())
-        tops = [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
-        for top in tops:
+        return [f"{self.root}/{s}/{z}" for s in styles for z in self.zooms]
+
+    def _folders(self, share: int) -> Iterator[str]:
+        for top in self._tops():
             for first in _below(top):
                 for second in _below(first):
                     if zlib.crc32(second.encode()) % SHARES == share:
@@ -382,7 +385,23 @@ class MetaReader(DataSourceReader):
             columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for top in self._folders(partition.value):
+        for row in (self._packed if self.packed else self._tree)(partition.value):
+            rows.append(row)
+            held += len(row[3] or b"")
+            if len(rows) >= ROWS or held >= BATCH:
+                yield batch()
+                rows, held = [], 0
+        yield batch()
+
+    def _packed(self, n: int) -> Iterator[tuple]:
+        for top in self._tops():
+            if found := archives.opened(archives.shelf(top, n)):
+                with found:
+                    for name, info in found.members.items():
+                        yield f"{top}/{name}", int(archives.changed_at(info) / 1e6) * 1_000_000, info.file_size, found.contents(info) if self.contents else None
+
+    def _tree(self, share: int) -> Iterator[tuple]:
+        for top in self._folders(share):
             folders = [top]
             while folders:  # as os.walk, without a look at each folder for links: a file of a high zoom has most of its folders to itself
                 with os.scandir(folders.pop()) as entries:
@@ -394,13 +413,8 @@ class MetaReader(DataSourceReader):
                             if self.contents:
                                 with open(e.path, "rb") as f:
                                     blob = f.read()
-                                held += len(blob)
                             st = e.stat()
-                            rows.append((e.path, int(st.st_mtime) * 1_000_000, st.st_size, blob))
-                            if len(rows) >= ROWS or held >= BATCH:
-                                yield batch()
-                                rows, held = [], 0
-        yield batch()
+                            yield e.path, int(st.st_mtime) * 1_000_000, st.st_size, blob
 
 
 def _below(folder: str) -> list[str]:
@@ -476,8 +490,8 @@ def scan(spark: SparkSession, root: str, styles: list[str], min_zoom: int, max_z
 
 def parsed(scanned: DataFrame, root: str) -> DataFrame:
     """Scanned files with style, z, x, y; files whose path is no address are left out."""
-    p = A.parse_path(root, F.col("path"))
-    return scanned.select("*", *[c.alias(k) for k, c in p.items()]).where("code = 0").drop("code")
+    valid = F.filter(A.parsed_path(root, F.col("path")), lambda p: p["code"] == 0)
+    return scanned.select("*", F.inline(valid)).drop("code")
 
 
 def expired_time(mtime: Column) -> Column:
