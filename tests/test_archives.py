@@ -70,6 +70,34 @@ def test_reads_and_bad_containers(spark, tmp_path, packed):
     assert len(got) == 82
 
 
+def test_changes_equal_those_of_a_tree(spark, tmp_path):
+    """Writes over what is there, deletions, expiries and times out of a zip file's own range."""
+    times = ["2024-02-29 10:00:00", "1970-01-01 00:00:00", "1950-06-01 00:00:00", "2200-01-01 00:00:00", "2005-12-31 23:59:59", "2024-01-05 10:00:01"]
+    _, blobs = _blobs(spark)
+    rows = blobs.withColumn("mtime", F.element_at(F.array(*[F.expr(f"TIMESTAMP_NTZ '{t}'") for t in times]), (F.col("mx") / 4096 % len(times) + 1).cast("int")))
+    states = []
+    for packed in (False, True):
+        root = str(tmp_path / f"{packed}")
+        store = stores.open_store(root, packed=packed) or stores.FileStore(root, packed=packed)
+        listed = lambda store=store, root=root, packed=packed: sorted((r.path.removeprefix(root), r.mtime, r.size) for r in stores.scan(spark, root, ["s"], 0, 20, packed).collect())
+        seen = []
+        store.delete(rows)  # nothing is there yet
+        store.write(rows.where("mx < 100000"))
+        store.write(rows)
+        seen.append(listed())
+        store.delete(rows.where("mx < 20000"))
+        store.expire(rows.where("mx < 120000").unionByName(rows.where("mx >= 40000 AND mx < 60000")))
+        seen.append(listed())
+        store.write(rows.where("mx = 0").withColumn("mtime", F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'")))
+        seen.append(listed())
+        store.delete(rows)
+        seen.append(listed())
+        states.append(seen)
+    assert states[0] == states[1]
+    assert [len(s) for s in states[1]] == [40, 35, 36, 0]
+    assert not [n for _, _, names in os.walk(tmp_path / "True") for n in names if not n.endswith(".lock")]
+
+
 def test_archives_unpack_into_the_tree(spark, tmp_path):
     tiles, blobs = _blobs(spark)
     store = stores.FileStore(str(tmp_path / "packed"), packed=True)
@@ -157,3 +185,24 @@ def test_paths_are_matched_once(spark):
     assert paths.select(A.parse_path("/t", F.col("path"))["code"]).collect() == [(0,), (2,), (3,), (1,), (1,)]
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_replace") + plan.count("regexp_extract") == 1
+
+
+def test_scan_meta_takes_few_inodes(spark, tmp_path):
+    taken, rows = _taken(spark, tmp_path, "scan_meta")
+    assert rows == []  # all requests are of zoom 20
+    assert taken <= 2 * archives.SHELVES + 2
+
+
+def test_scan_opens_archives_of_its_folders_only(spark, tmp_path):
+    """All other archives are spoiled."""
+    _, blobs = _blobs(spark, z=18)
+    store = stores.FileStore(str(tmp_path), packed=True)
+    for style in ("s", "t"):
+        store.write(blobs.withColumn("style", F.lit(style)).unionByName(blobs.withColumn("style", F.lit(style)).withColumn("z", F.lit(19))))
+    for folder in ("s/19", "t/18", "t/19"):
+        for n in os.listdir(tmp_path / folder):
+            (tmp_path / folder / n).write_bytes(b"no archive")
+    got = stores.scan(spark, store.root, ["s", "none"], 17, 18, packed=True).collect()
+    assert sorted(r.path for r in got) == sorted(r.path for r in blobs.select(store.path(blobs).alias("path")).collect())
+    with pytest.raises(Exception, match="BadZipFile"):
+        stores.scan(spark, store.root, ["s"], 18, 19, packed=True).collect()

@@ -82,9 +82,9 @@ def metatile_validate(v: Views) -> DataFrame:
     return asked.join(codes, one).select("req_id", "code")
 
 
-def _written(v: Views, packed: bool = True) -> stores.FileStore:
-    """A new file store that holds all containers; as single files 36 million requests take 34 million inodes."""
-    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW, packed=packed)
+def _written(v: Views) -> stores.FileStore:
+    """A new file store that holds all containers, packed: as single files 36 million requests take 34 million inodes."""
+    store = stores.FileStore(f"{shared.own_folder(v.spark)}/store-{uuid.uuid4().hex}", now=NOW, packed=True)
     store.write(containers(v))
     return store
 
@@ -106,9 +106,9 @@ def metatile_write(v: Views) -> DataFrame:
 
 @query("SELECT DISTINCT style, z, mx, my FROM tile_requests WHERE z BETWEEN 4 AND 12 AND style IN ('click', 'error')")
 def scan_meta(v: Views) -> DataFrame:
-    """The .meta files of two styles and nine zooms: other folders are not listed."""
-    root = _written(v, packed=False).root
-    found = stores.scan(v.spark, root, ["click", "error"], 4, 12)
+    """The .meta files of two styles and nine zooms: other folders' archives are not opened."""
+    root = _written(v).root
+    found = stores.scan(v.spark, root, ["click", "error"], 4, 12, packed=True)
     return stores.parsed(found.select("path"), root).select("style", "z", C("x").alias("mx"), C("y").alias("my"))
 
 

@@ -130,7 +130,7 @@ def stats(asked: DataFrame, root: str, packed: bool = False) -> DataFrame:
     return (_dealt(asked) if packed else asked).mapInArrow(run, "path string, file_size long, mtime timestamp_ntz, imported timestamp_ntz")
 
 
-def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
+def listed(spark: SparkSession, folders: list[str], packed: bool = False) -> DataFrame:
     """(path, mtime, size) of the ``.meta`` files below folders of zooms, as many as styles and zooms."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -148,7 +148,16 @@ def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
                     rows = [(f"{folder}/{n}", st) for n in names if n.endswith(".meta") and (st := _stat(f"{folder}/{n}"))]
                     yield _batch([(p, _time(st.st_mtime), st.st_size) for p, st in rows], schema)
 
+    def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for top, n in _rows(batches):
+            if found := archives.opened(archives.shelf(top, n)):
+                with found:
+                    yield _batch([(f"{top}/{name}", _time(archives.changed_at(i) / 1e6), i.file_size) for name, i in found.members.items()], schema)
+
     level = spark.createDataFrame([(f,) for f in folders], "folder string")
+    if packed:
+        level = level.select("folder", F.explode(F.sequence(F.lit(0), F.lit(archives.SHELVES - 1))).alias("n")).repartition(parts, F.xxhash64("folder", "n"))
+        return level.mapInArrow(archived, "path string, mtime timestamp_ntz, size long")
     for _ in range(2):
         level = level.mapInArrow(below, "folder string").repartition(parts, F.xxhash64("folder"))
     return level.mapInArrow(walked, "path string, mtime timestamp_ntz, size long")

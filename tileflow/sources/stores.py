@@ -480,12 +480,12 @@ class MetaWriter(DataSourceArrowWriter):
                 os.utime(path, (old, old))
 
 
-def scan(spark: SparkSession, root: str, styles: list[str], min_zoom: int, max_zoom: int) -> DataFrame:
+def scan(spark: SparkSession, root: str, styles: list[str], min_zoom: int, max_zoom: int, packed: bool = False) -> DataFrame:
     """(path, mtime, size) of the metatiles of a file store, listed by tasks; contents are not read.
 
     Zooms are pruned by naming their folders; bad paths are kept out by the address they parse to.
     """
-    return files.listed(spark, [f"{root}/{s}/{z}" for s in styles for z in range(min_zoom, max_zoom + 1)])
+    return files.listed(spark, [f"{root}/{s}/{z}" for s in styles for z in range(min_zoom, max_zoom + 1)], packed)
 
 
 def parsed(scanned: DataFrame, root: str) -> DataFrame:
